@@ -1,0 +1,290 @@
+"""Token-id files coded by an adaptive context-mixing range coder.
+
+A file is a row of segments; a segment holds whole documents (ids, lengths) and blocks of token ids.
+Blocks are reset and checksummed on their own. A block lays its ids out in lanes, each a run of
+consecutive ids with its own range coder; all lanes share one model and advance together, which lets
+numpy code a step of every lane at once. The model mixes three predictions: the id that last followed
+the two ids before (order 2), the id that last followed the id before (order 1), each with a share
+that its confidence has earned so far, and the counts of all ids (order 0) with the rest.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracelake.llm import kit
+from tracelake.plans.ship import map_arrow
+
+MAGIC = b"TLID"
+LANES, STEPS = 2048, 512
+BLOCK_IDS = LANES * STEPS
+#: Shares are out of 2**12; order-0 counts stay below 2**19, so a total is below 2**31.
+SHARE, COUNT_LIMIT, GAIN, REFRESH = 12, 1 << 19, 24, 8
+_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+_CONFIDENT = 3
+
+
+class _Model:
+    """What coder and decoder both know before a step, and how a step changes it."""
+
+    def __init__(self, ids: int, lanes: int):
+        self.counts = np.ones(ids, np.int64)
+        self.sums()
+        self.guess = [np.zeros(1 << 16, np.int64), np.zeros(ids, np.int64)]
+        self.sure = [np.zeros(1 << 16, np.int64), np.zeros(ids, np.int64)]
+        self.hits = [np.ones(_CONFIDENT + 1) for _ in range(2)]
+        self.tries = [np.full(_CONFIDENT + 1, 2.0) for _ in range(2)]
+        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step, self.seen = 0, []
+
+    def sums(self) -> None:
+        self.cum = np.concatenate([[0], np.cumsum(self.counts)])
+        self.total = int(self.cum[-1])
+
+    def predict(self) -> None:
+        """Contexts, guesses and shares of the next step."""
+        self.context = [(self.last2 * 40503 + self.last * 2654435761 >> 7) & 0xFFFF, self.last]
+        self.level = [self.sure[k][self.context[k]] for k in range(2)]
+        self.say = [self.guess[k][self.context[k]] for k in range(2)]
+        most = (1 << SHARE) - 64
+        share = [(h / t * most).astype(np.int64) for h, t in zip(self.hits, self.tries, strict=True)]
+        for s in share:
+            s[0] = 0
+        self.two = share[0][self.level[0]]
+        self.one = (((1 << SHARE) - self.two) * share[1][self.level[1]]) >> SHARE
+        self.rest = (1 << SHARE) - self.two - self.one
+
+    def learn(self, ids: np.ndarray) -> None:
+        for k in range(2):
+            hit = self.say[k] == ids
+            self.hits[k] += np.bincount(self.level[k], hit, _CONFIDENT + 1)
+            self.tries[k] += np.bincount(self.level[k], minlength=_CONFIDENT + 1)
+            old = self.level[k]
+            self.sure[k][self.context[k]] = np.where(hit, np.minimum(old + 1, _CONFIDENT), np.maximum(old - 1, 0) + (old == 0))
+            self.guess[k][self.context[k]] = np.where(hit | (old > 1), self.say[k], ids)
+        self.last2, self.last = self.last, ids
+        self.seen.append(ids)
+        self.step += 1
+        if self.step % REFRESH == 0:
+            self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))
+            while self.counts.sum() >= COUNT_LIMIT:
+                self.counts = (self.counts + 1) >> 1
+            self.seen = []
+            self.sums()
+
+
+def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
+    n = len(ids)
+    lanes = max(1, min(LANES, -(-n // 64)))
+    steps = -(-n // lanes)
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[:n] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    out, at = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    model = _Model(vocabulary, lanes)
+    for now in grid:
+        model.predict()
+        total = model.total
+        by_two = (model.say[0] == now) & (model.two > 0)
+        by_one = (model.say[1] == now) & (model.one > 0) & ~by_two
+        start = np.where(by_two, 0, np.where(by_one, model.two * total, (model.two + model.one) * total + model.rest * model.cum[now]))
+        width = np.where(by_two, model.two * total, np.where(by_one, model.one * total, model.rest * model.counts[now]))
+        unit = span // np.uint64(total << SHARE)
+        low = low + unit * start.astype(np.uint64)
+        span = unit * width.astype(np.uint64)
+        while True:
+            settled = (low ^ (low + span)) < _TOP
+            small = ~settled & (span < _BOTTOM)
+            go = np.flatnonzero(settled | small)
+            if not len(go):
+                break
+            span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+            out[go, at[go]] = low[go] >> np.uint64(48)
+            at[go] += 1
+            low[go] <<= _WORD
+            span[go] <<= _WORD
+        model.learn(now)
+    for shift in (48, 32, 16, 0):
+        out[np.arange(lanes), at] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+        at += 1
+    words = out[np.arange(out.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    raw = np.ascontiguousarray(ids, "<u4").tobytes()
+    body = struct.pack("<IIII", n, lanes, vocabulary, len(words)) + at.astype("<u4").tobytes() + words
+    return body + struct.pack("<II", zlib.crc32(raw), zlib.crc32(body))
+
+
+def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
+    """Token ids and the length of the block in bytes."""
+    n, lanes, vocabulary, size = struct.unpack_from("<IIII", data)
+    end = 16 + 4 * lanes + size
+    crc_ids, crc_body = struct.unpack_from("<II", data, end)
+    if zlib.crc32(data[:end]) != crc_body:
+        raise ValueError("damaged block")
+    lengths = np.frombuffer(data, "<u4", lanes, 16).astype(np.int64)
+    words = np.concatenate([np.frombuffer(data, "<u2", size // 2, 16 + 4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)])
+    at = np.cumsum(lengths) - lengths
+    code = np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        code = code << _WORD | words[at]
+        at = at + 1
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    steps = -(-n // lanes) if lanes else 0
+    grid = np.zeros((steps, lanes), np.int64)
+    model = _Model(vocabulary, lanes)
+    for k in range(steps):
+        model.predict()
+        total = model.total
+        unit = span // np.uint64(total << SHARE)
+        place = np.minimum((code - low) // unit, np.uint64((total << SHARE) - 1)).astype(np.int64)
+        edge_two, edge_one = model.two * total, (model.two + model.one) * total
+        by_two, by_one = place < edge_two, (place >= edge_two) & (place < edge_one)
+        plain = np.searchsorted(model.cum, np.maximum(place - edge_one, 0) // model.rest, "right") - 1
+        now = np.where(by_two, model.say[0], np.where(by_one, model.say[1], plain))
+        start = np.where(by_two, 0, np.where(by_one, edge_two, edge_one + model.rest * model.cum[now]))
+        width = np.where(by_two, edge_two, np.where(by_one, edge_one - edge_two, model.rest * model.counts[now]))
+        low = low + unit * start.astype(np.uint64)
+        span = unit * width.astype(np.uint64)
+        while True:
+            settled = (low ^ (low + span)) < _TOP
+            small = ~settled & (span < _BOTTOM)
+            go = np.flatnonzero(settled | small)
+            if not len(go):
+                break
+            span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+            code[go] = code[go] << _WORD | words[at[go]]
+            at[go] += 1
+            low[go] <<= _WORD
+            span[go] <<= _WORD
+        model.learn(now)
+        grid[k] = now
+    ids = np.ascontiguousarray(grid.T).ravel()[:n]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
+        raise ValueError("ids don't match their checksum")
+    return ids, end + 8
+
+
+def encode_segment(docs: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
+    known = np.array([d is not None for d in docs])
+    head = struct.pack("<4sII", MAGIC, len(docs), -(-len(ids) // BLOCK_IDS))
+    table = np.array([d or 0 for d in docs], "<i8").tobytes() + np.packbits(known).tobytes() + np.array(lengths, "<u8").tobytes()
+    return b"".join([head, table, struct.pack("<I", zlib.crc32(table)), *(encode_block(ids[i : i + BLOCK_IDS], vocabulary) for i in range(0, len(ids), BLOCK_IDS))])
+
+
+def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, numbers of tokens, and all token ids."""
+    magic, n, blocks = struct.unpack_from("<4sII", data)
+    bits = -(-n // 8)
+    table = data[12 : 12 + 16 * n + bits]
+    if magic != MAGIC or zlib.crc32(table) != struct.unpack_from("<I", data, 12 + len(table))[0]:
+        raise ValueError("no token-id segment")
+    known = np.unpackbits(np.frombuffer(table, np.uint8, bits, 8 * n))[:n].astype(bool)
+    docs = [d if k else None for d, k in zip(np.frombuffer(table, "<i8", n).tolist(), known.tolist(), strict=True)]
+    lengths = np.frombuffer(table, "<u8", n, 8 * n + bits).astype(np.int64)
+    view, at, ids = memoryview(data), 16 + len(table), []
+    for _ in range(blocks):
+        block, size = decode_block(view[at:])
+        ids.append(block)
+        at += size
+    return docs, lengths, np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
+
+# --- the tokenizers library ----------------------------------------------------------------
+
+
+class LibraryEncoder:
+    """Encodes with the tokenizers library, which sees each blank-separated string once.
+
+    Right for tokenizers whose pieces never reach over a space or line feed, and which drop those
+    (white space removed between pieces); others are to be called with whole texts.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """For each text its ids and the end id, as little-endian 32-bit integers."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > 1_000_000:
+            self.known = {"": b""}
+        new = sorted(set().union(*words) - self.known.keys())
+        for i in range(0, len(new), 4096):
+            found = self.library.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new[i : i + 4096], found, strict=True))
+        last = np.array([end], "<u4").tobytes()
+        return [b"".join([self.known[w] for w in ws]) + last for ws in words]
+
+
+@lru_cache(4)
+def encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
+def write_id_files(df: DataFrame, path: str, folder: str, end: int = 2, text: str = "text", ident: str = "doc_id") -> None:
+    """Writes the token ids of all rows, in ascending order of ident, as segments in Parquet part files.
+
+    Null ids come first; rows with one id follow each other by text. A null or empty text has the end
+    id alone. Columns of the result: part, seq, before (ids of the part before the segment), n_ids, segment.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        docs, coded, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            segment = encode_segment(docs, [len(c) // 4 for c in coded], ids, enc.vocabulary)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(ids)]), pa.array([segment], pa.binary())], ["part", "seq", "before", "n_ids", "segment"])
+
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                rows = batch.slice(i, 512)
+                for d, ids in zip(rows.column("id").to_pylist(), enc.encode([t or "" for t in rows.column("text").to_pylist()], end), strict=True):
+                    docs.append(d)
+                    coded.append(ids)
+                    size += len(ids) // 4
+                    if size >= BLOCK_IDS:
+                        yield flush()
+                        seq, before, docs, coded, size = seq + 1, before + size, [], [], 0
+        if docs:
+            yield flush()
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    map_arrow(ordered, run, "part int, seq int, before long, n_ids long, segment binary").write.parquet(folder)
+
+
+def read_id_files(spark, folder: str, ident: str = "doc_id") -> DataFrame:
+    """(ident, start, n_tokens, ids) of every document in the files; ids as little-endian 32-bit integers."""
+    rows = spark.read.parquet(folder)
+    sums = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each part file's partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    placed = kit.sized_join(rows, starts, "part", "inner").select((F.col("part_start") + F.col("before")).alias("start"), "segment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, segment in zip(batch.column("start").to_pylist(), batch.column("segment"), strict=True):
+                docs, lengths, ids = decode_segment(segment.as_py())
+                edges = np.concatenate([[0], np.cumsum(lengths)])
+                raw = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(start + edges[:-1]), pa.array(lengths), raw.cast(pa.binary())], [ident, "start", "n_tokens", "ids"])
+
+    return map_arrow(placed, run, f"`{ident}` long, start long, n_tokens long, ids binary")

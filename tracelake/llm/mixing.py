@@ -99,8 +99,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(sized, **options).filter("taken > 0").select("doc_id", "size", "epochs", "cut")
     copies = F.concat(F.expr("array_repeat(size, cast(epochs as int))"), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.expr("array()").cast("array<bigint>")))
     plan = plan.select("doc_id", F.col("size").alias("_size"), F.explode(copies).alias("_words"))
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_words").cast("string"), F.lit("}"))
-    short = F.regexp_extract("text", head, F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    short = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     rows = docs.join(plan, "doc_id").withColumn("text", F.when(F.col("_words") < F.col("_size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
