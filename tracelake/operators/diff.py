@@ -32,10 +32,9 @@ def _runs(left: DataFrame, right: DataFrame, window_ns: int) -> DataFrame:
 
 def _greedy(window_ns: int):
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("id"), right.sort_values("id")
-        free = list(zip(right["id"], right["ts_ns"], right["method"], strict=True))
-        out = []
-        for one, ts, method in zip(left["id"], left["ts_ns"], left["method"], strict=True):
+        rows = lambda side: sorted(zip(side["id"], side["ts_ns"], side["method"], strict=True), key=lambda r: r[0]) if "id" in side else []
+        free, out = rows(right), []
+        for one, ts, method in rows(left):
             near = [(abs(t - ts), k) for k, (_, t, m) in enumerate(free) if abs(t - ts) <= window_ns and (pd.isna(m) or pd.isna(method) or m == method)]
             if near:
                 out.append((one, free.pop(min(near)[1])[0], "both"))

@@ -647,17 +647,11 @@ def _custom_detector(p: DataFrame) -> DataFrame:
 on_streams("register_detector", _custom_detector, f"SELECT 'DNS' AS detected, count(*) AS packets {_WIRED} AND {_PORT.format('dst')} = 53")
 
 
-def _size_decoder(rows):
-    import pandas as pd
-
-    return pd.DataFrame({"flow": [rows["flow"].iloc[0]], "bytes": [int(rows["data"].map(len).sum())]})
-
-
 def _decoded(s: DataFrame) -> DataFrame:
     from tracelake.plans.ship import ship
 
     ship(s.sparkSession)
-    registry.register_decoder("size", _size_decoder, "flow long, bytes long")
+    registry.register_decoder("size", registry.stream_bytes, "flow long, bytes long")
     return registry.decode(packets.tcp_reassemble(s), "size")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 
@@ -66,6 +67,11 @@ def register_normalizer(function: Callable[[DataFrame], DataFrame]) -> None:
     NORMALIZERS.append(function)
 
 
+def stream_bytes(rows: pd.DataFrame) -> pd.DataFrame:
+    """The least decoder: the number of bytes of a flow."""
+    return pd.DataFrame({"flow": [rows["flow"].iloc[0]], "bytes": [int(rows["data"].map(len).sum())]})
+
+
 def decode(streams: DataFrame, protocol: str) -> DataFrame:
     """The registered decoder over every flow of a table of reassembled streams."""
     if protocol not in DECODERS:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelake.operators import packets
-from tracelake.plans.ship import ship
 
 IDLE = "30 seconds"
 
@@ -141,6 +142,7 @@ REASSEMBLED = T.StructType([
 
 def stream_reassemble(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Reassembly across micro-batches of (flow, dir, rel, payload, rst, ts); needs the RocksDB state store."""
-    ship(stream.sparkSession)
+    # the driver's state runner doesn't see shipped files, so the processor travels by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     grouped = stream.withWatermark("ts", delay).groupBy("flow", "dir")
     return grouped.transformWithStateInPandas(Reassembler(), outputStructType=REASSEMBLED, outputMode="Append", timeMode="EventTime")
