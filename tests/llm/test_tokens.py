@@ -1,0 +1,95 @@
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import EDGES
+from tracelake.llm import bpe, idfile, queries
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    "", " ", "  a  b\n\n c", "<|endoftext|>x<|endoftext|>", "don't I'll 123 45.6 $%^", "\x1c\x1d a\x85b　c​d", "naïve café ÄÖÜ 日本語 한국어", "é à", "😀😀 👨‍👩‍👧", "\t\tx\r\ny\x0b\x0cz", "ab" * 3000,
+    "ﬁ ẞ ΑΣ ς İI", "½ ²", " 's 'S x's", "<|startoftext|> <|ENDOFTEXT|>", "x" * 64 + " " + "y" * 65 + " " + "z" * 66,
+]
+
+
+def ids(raw):
+    return np.frombuffer(raw, "<u4").tolist()
+
+
+def test_bpe_is_the_library(spark):
+    own, lib = bpe.ByteBpe(BYTES), Tokenizer.from_file(BYTES)
+    for text, raw in zip(ODD, own.encode(ODD), strict=True):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert ids(raw) == want
+        assert own.decode(raw) == lib.decode(want, skip_special_tokens=False)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
+def test_bpe_on_any_text(texts):
+    own, lib = bpe.tokenizer(BYTES), Tokenizer.from_file(BYTES)
+    assert [ids(r) for r in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_one_tree_and_many_agree():
+    own = bpe.tokenizer(BYTES)
+    pieces = [p for p in (b"hello", b"abababab", b"the", bytes(range(33, 90)), b"  ") if len(p) > 1]
+    assert [own.merge(p) for p in pieces] == [x.tolist() for p in pieces for x in own.merge_many([p])]
+
+
+def test_op3_over_a_table(spark, docs, sf_dir):
+    lib = Tokenizer.from_file(BYTES)
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op3_bpe(spark, sf_dir).collect():
+        e = lib.encode(rows[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
+    edges = bpe.bpe_encode(docs(*EDGES), BYTES).collect()
+    assert len(edges) == len(EDGES) and all(bytes(r.ids) == b"" for r in edges if not r.text)
+    assert bpe.bpe_encode(docs(*EDGES).limit(0), BYTES).count() == 0
+
+
+def test_words_one_by_one_are_the_whole_text():
+    own, lib = idfile.LibraryEncoder(WORDS), Tokenizer.from_file(WORDS)
+    assert [ids(r) for r in own.encode(ODD, 2)] == [lib.encode(t, add_special_tokens=False).ids + [2] for t in ODD]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 299), max_size=700), st.integers(1, 4))
+def test_blocks_round_trip(values, repeat):
+    x = np.array(values * repeat, np.int64)
+    if len(x):
+        data = idfile.encode_block(x, 300)
+        back, size = idfile.decode_block(memoryview(data + b"tail"))
+        assert size == len(data) and (back == x).all()
+        with pytest.raises(ValueError):
+            idfile.decode_block(memoryview(data[:-9] + bytes([data[-9] ^ 1]) + data[-8:]))
+
+
+def test_prediction_compresses():
+    x = np.tile(np.random.default_rng(1).integers(0, 40_000, 300), 300)
+    assert len(idfile.encode_block(x, 49_408)) < 0.5 * len(x)
+
+
+def test_segments_keep_documents():
+    docs, lengths = [None, 5, 5, -3], [2, 0, 3, 1]
+    x = np.arange(6)
+    d, n, back = idfile.decode_segment(idfile.encode_segment(docs, lengths, x, 10))
+    assert (d, n.tolist(), back.tolist()) == (docs, lengths, x.tolist())
+
+
+def test_op5_files(spark, sf_dir):
+    lib = Tokenizer.from_file(WORDS)
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.op5_id_files(spark, sf_dir).collect()}
+    start = 0
+    for i, text in rows:
+        e = np.array(lib.encode(text, add_special_tokens=False).ids + [2], "<u4").tobytes()
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(e) // 4, zlib.crc32(e))
+        start += len(e) // 4
