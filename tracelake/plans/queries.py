@@ -57,7 +57,7 @@ ISO = "concat(strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%g'), '
 
 # --- sources --------------------------------------------------------------------------------
 
-_BACK = ["id", "ts_ns", "adapter", "origin", "src", "dst", "transport", "direction", F.octet_length("payload").alias("size"), "sequence", meta("grpc.method").alias("grpc_method")]
+_BACK = ["id", "ts_ns", "adapter", "origin", "src", "dst", "transport", "direction", "octet_length(payload) AS size", "sequence", "try_element_at(metadata, 'grpc.method') AS grpc_method"]
 _BACK_SQL = "SELECT id, ts_ns, adapter, origin, src, dst, transport, direction, length(payload_text) AS size, sequence, grpc_method FROM m"
 
 
@@ -90,8 +90,8 @@ def _fixture_docs(m: DataFrame) -> str:
     return path
 
 
-on_messages("read_messages_ndjson", lambda m: readers.read_messages_ndjson(m.sparkSession, _written(writers.write_messages_ndjson, m)).select(*_BACK), _BACK_SQL)
-on_messages("read_messages_json", lambda m: readers.read_messages_json(m.sparkSession, _json_arrays(m)).select(*_BACK), _BACK_SQL)
+on_messages("read_messages_ndjson", lambda m: readers.read_messages_ndjson(m.sparkSession, _written(writers.write_messages_ndjson, m)).selectExpr(*_BACK), _BACK_SQL)
+on_messages("read_messages_json", lambda m: readers.read_messages_json(m.sparkSession, _json_arrays(m)).selectExpr(*_BACK), _BACK_SQL)
 on_messages("read_fixture_docs", lambda m: readers.read_fixture_docs(m.sparkSession, _fixture_docs(m))[0].groupBy("transport", "direction").agg(F.count("*").alias("events"), F.max("ts_ns").alias("last_ns"), F.count("src").alias("wired")))
 on_messages("validate_messages", lambda m: readers.validate_messages(_fixture_events(m))[1].groupBy("reason").agg(F.count("*").alias("events")))
 on_messages(
@@ -372,8 +372,8 @@ def on_conversations(name: str, rows: Rows, sql: str | None = None, *ctes: str)
 
 def _of_transport(name: str, sockets: tuple[str, ...] | None, transport: str) -> None:
     """Flows of one strategy: id, number of messages, first and last."""
-    socket = meta("zmq.socket_type").isin(*sockets) if sockets else F.lit(True)
-    rows = lambda m: C.assign_flows(m).filter((F.col("transport") == transport) & socket & F.col("claimed")).groupBy("flow_id").agg(F.count("*").alias("events"), F.min("id").alias("first_id"))
+    socket = lambda: meta("zmq.socket_type").isin(*sockets) if sockets else F.lit(True)
+    rows = lambda m: C.assign_flows(m).filter((F.col("transport") == transport) & socket() & F.col("claimed")).groupBy("flow_id").agg(F.count("*").alias("events"), F.min("id").alias("first_id"))
     cond = f" AND zmq_socket IN ({', '.join(map(repr, sockets))})" if sockets else ""
     on_messages(name, rows, f"SELECT cid AS flow_id, count(*) AS events, min(id) AS first_id FROM g WHERE transport = '{transport}' AND claimed{cond} GROUP BY cid", _PAIR_CTE, _FLOW_CTE)
 
