@@ -8,11 +8,12 @@ Documents are sets of distinct word shingles. Two link when 100 * |A & B| >= per
    those tokens; a token's block is named by the smallest class that posts it, which lets all
    tokens of a group of near copies fall into a few blocks. The order puts tokens that stand
    in many documents last, so that common passages open no block.
-3. In a block, a signature tree is built: leaves are sets with a bitmap of hashed tokens,
-   nodes hold the OR of their bitmaps and the range of sizes. A dual traversal goes down pairs
-   of nodes and drops those whose sizes are too far apart or whose greatest possible overlap
-   is too small; pairs of nodes already known to be one component are dropped as well.
-   What arrives at the leaves is compared exactly.
+3. In a block, a signature tree is built: leaves are bitmaps of hashed tokens, about two bits a
+   token, nodes hold the OR of their bitmaps and the range of sizes. A dual traversal goes down
+   pairs of nodes and drops those whose sizes are too far apart or whose greatest possible overlap
+   is too small; pairs of nodes already known to be one component are dropped as well. Sets that
+   may link with none leave the block; the others' whole sets are fetched, and a second traversal
+   compares what arrives at the leaves exactly.
 4. A block with many tokens is split into chunks of bounded size that all hold its pivot.
    After the first components are known, only members outside the block's largest component
    are sent on to the other chunks, so a large group of near copies costs its rows once.
@@ -35,9 +36,9 @@ from tracelake.plans.ship import map_arrow
 BLOCK_TOKENS = 1 << 21
 BLOCK_SETS = 4096
 #: Tokens of one look at a partition, in which a token is counted, and its least count.
-LOOK, OFTEN = 1 << 22, 4
+LOOK, OFTEN = 1 << 22, 2
 #: Fixed bound of the list of frequent tokens that orders prefixes; it only affects speed.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 FANOUT = 8
 
 
@@ -106,7 +107,10 @@ def _scan(text: str, ident: str, words: int):
 
 
 def _prefixes(text: str, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """(token, n, sid) for the rarest n - need + 1 tokens of every set, once per set and task."""
+    """(token, n, most, sid) for the rarest n - need + 1 tokens of every set, once per set and task.
+
+    most is the size of the largest set that can link with this one and share none of its earlier tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -131,7 +135,23 @@ def _prefixes(text: str, words: int, percent: int, frequent: np.ndarray, rank: n
                 start = np.searchsorted(owner, np.arange(len(n)))
                 place = np.arange(len(tokens)) - start[owner]
                 keep = place <= n[owner] - -(-percent * n[owner] // 100)
-                yield pa.record_batch([pa.array(tokens[keep].view(np.int64)), pa.array(n[owner[keep]]), pa.array(sid[owner[keep]])], ["token", "n", "sid"])
+                size = n[owner[keep]]
+                # were this the first token shared with a set of m tokens, size - place >= need of (size + m) tokens
+                most = (100 + percent) * (size - place[keep]) // percent - size
+                yield pa.record_batch([pa.array(tokens[keep].view(np.int64)), pa.array(size), pa.array(most), pa.array(sid[owner[keep]])], ["token", "n", "most", "sid"])
+
+    return run
+
+
+def _bitmaps(text: str, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in kit.text_slices(batch.column(text)):
+                tokens, bounds, sid = shingle_sets(data, offsets, words)
+                sets = [tokens[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                maps = [bitmap(x, width(len(x))).tobytes() for x in sets]
+                least = np.array([x[0] if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(sid), pa.array(least), pa.array(maps, pa.binary())], ["sid", "least", "bits"])
 
     return run
 
@@ -151,22 +171,32 @@ def _sets(text: str, words: int):
 # --- one block ---------------------------------------------------------------------------
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n tokens."""
+    return 1 << int(np.clip((2 * n - 1).bit_length(), 9, 16))
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that fewer low bits of the tokens would have given."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 class SignatureTree:
     """Sets of a block below nodes with OR-combined bitmaps and size ranges.
 
     Sets are laid out by their smallest token, so near copies share nodes.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets])
-        self.order = np.lexsort((sizes, [s[0] for s in sets]))
-        bits = 1 << int(np.clip(np.ceil(np.log2(2 * sizes.max())), 9, 13))
-        words = bits // 64
-        leaf = np.zeros((len(sets), words), np.uint64)
-        for row, k in enumerate(self.order):
-            at = (sets[k] & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(leaf[row], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    def __init__(self, sizes: np.ndarray, least: np.ndarray, bitmaps: list[np.ndarray]):
+        self.order = np.lexsort((sizes, least))
+        words = min(map(len, bitmaps))
+        leaf = np.stack([folded(bitmaps[k], words) for k in self.order.tolist()])
         low = high = sizes[self.order]
         #: Tokens of a set beyond its number of bits: they share a bit with another one.
         spare = low - np.bitwise_count(leaf).sum(1).astype(np.int64)
@@ -252,82 +282,126 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def block_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, probes: int = 0) -> list[tuple[int, int]]:
-    """Links that, with the known components, connect all sets of the block that link.
-
-    The first ``probes`` sets are compared with all, the others only with them; 0: all with all.
-    """
-    n, out = len(sets), []
-    forest = _Forest(n)
-    if known is not None:
-        first: dict[int, int] = {}
-        for k, label in enumerate(known.tolist()):
-            forest.join(first.setdefault(label, k), k)
-
-    def test(x: int, y: int) -> bool:
-        if forest.root(x) != forest.root(y) and linked(sets[x], sets[y], percent):
-            forest.join(x, y)
-            out.append((x, y))
-            return True
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with bitmaps a and b can link."""
+    if 100 * min(n, m) < percent * max(n, m):
         return False
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    # every bit that the other one lacks is a token that isn't shared
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return (100 + percent) * most >= percent * (n + m)
+
+
+class Block:
+    """Sets of a block: sizes, smallest tokens, bitmaps, and the test that two of them have to pass."""
+
+    def __init__(self, sizes, least, bitmaps, test):
+        self.sizes, self.least, self.bitmaps, self.test = np.array(sizes, np.int64), np.array(least, np.uint64), bitmaps, test
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], percent: int) -> Block:
+        return cls([len(s) for s in sets], [s[0] for s in sets], [bitmap(s, width(len(s))) for s in sets], lambda x, y: linked(sets[x], sets[y], percent))
+
+    @classmethod
+    def of_bitmaps(cls, sizes: list[int], least: list[int], bitmaps: list[np.ndarray], percent: int) -> Block:
+        return cls(sizes, least, bitmaps, lambda x, y: may_link(bitmaps[x], sizes[x], bitmaps[y], sizes[y], percent))
+
+    def tree(self, first: int, end: int) -> SignatureTree:
+        return SignatureTree(self.sizes[first:end], self.least[first:end], self.bitmaps[first:end])
+
+    def links(self, percent: int, known: np.ndarray | None = None, probes: int = 0) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links that, with the known components, connect all sets that pass the test, and the labels they give.
+
+        The first ``probes`` sets are compared with the others, and with nothing else; 0: all with all.
+        """
+        n, out = len(self.sizes), []
+        forest = _Forest(n)
+        if known is not None:
+            first: dict[int, int] = {}
+            for k, label in enumerate(known.tolist()):
+                forest.join(first.setdefault(label, k), k)
+
+        def test(x: int, y: int) -> None:
+            if forest.root(x) != forest.root(y) and self.test(x, y):
+                forest.join(x, y)
+                out.append((x, y))
+
+        if n == 2:
+            test(0, 1)
+            return out, forest.labels()
+        if probes:
+            a, b = self.tree(0, probes), self.tree(probes, n)
+        else:
+            a = b = self.tree(0, n)
+            for x in range(1, n):
+                test(0, x)
+            for x, y in zip(a.order.tolist(), a.order[1:].tolist(), strict=False):
+                test(x, y)
+        cache: list = [-1, None]
+
+        def labels():
+            if cache[0] != len(out):
+                every = forest.labels()
+                cache[:] = [len(out), (a.uniform(every[:probes]), b.uniform(every[probes:])) if probes else (u := a.uniform(every), u)]
+            return cache[1]
+
+        for i, j in dual_pairs(a, b, labels, percent, not probes):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                test(x, y + probes)
+        return out, forest.labels()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of equal leading columns, as tuples, of a partition sorted by them."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
+
+
+def _candidates(percent: int):
+    """(block, sub, sid): parts of each block in which sets may link, by their bitmaps alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), rows in _grouped(batches, 1):
+            one = list({r[0]: r for r in rows}.values())
+            if len(one) < 2:
+                continue
+            maps = [np.frombuffer(r[3], np.uint64) for r in one]
+            _, labels = Block.of_bitmaps([r[1] for r in one], [r[2] & 0xFFFFFFFFFFFFFFFF for r in one], maps, percent).links(percent)
+            count = np.bincount(labels, minlength=len(one))
+            stay = np.flatnonzero(count[labels] > 1)
+            if len(stay):
+                ids = np.array([r[0] for r in one])
+                yield pa.record_batch([pa.array(np.full(len(stay), block)), pa.array(ids[labels[stay]]), pa.array(ids[stay])], ["block", "sub", "sid"])
+
+    return run
 
-    if n == 2:
-        test(0, 1)
-        return out
-    if probes:
-        a, b = SignatureTree(sets[:probes]), SignatureTree(sets[probes:])
-    else:
-        a = b = SignatureTree(sets)
-        for x in range(1, n):
-            test(0, x)
-        for x, y in zip(a.order.tolist(), a.order[1:].tolist(), strict=False):
-            test(x, y)
-    cache: list = [-1, None]
-
-    def labels():
-        if cache[0] != len(out):
-            all_labels = forest.labels()
-            cache[:] = [len(out), (a.uniform(all_labels[:probes]), b.uniform(all_labels[probes:])) if probes else (u := a.uniform(all_labels), u)]
-        return cache[1]
-
-    for i, j in dual_pairs(a, b, labels, percent, not probes):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            test(x, y + probes)
-    return out
-
-
-def _blocks(percent: int, crossed: bool):
-    """Links of all blocks in a partition whose rows come sorted by block and chunk (and probes first)."""
-    names = ["block", "chunk"]
-
-    def solve(rows: list[tuple[int, np.ndarray, int, bool]]) -> pa.RecordBatch | None:
-        known: dict[tuple[int, bool], tuple] = {}
-        for row in rows:  # a pivot may stand twice; a probe stays a member of its own chunk
-            known[row[0], row[3]] = row
-        rows = sorted(known.values(), key=lambda r: not r[3])
-        probes = sum(r[3] for r in rows)
-        if len(rows) < 2 or crossed and not probes:
-            return None
-        labels = np.array([r[2] for r in rows]) if crossed else None
-        found = block_links([r[1] for r in rows], percent, labels, probes if crossed and probes < len(rows) else 0)
-        ids = np.array([r[0] for r in rows])
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"]) if found else None
+
+def _exact(percent: int, crossed: bool):
+    """Links of all parts of blocks in a partition sorted by them; crossed rows also have a label and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            sid, tokens = batch.column("sid").to_pylist(), batch.column("tokens")
-            label, probe = (batch.column(c).to_pylist() for c in ("label", "probe")) if crossed else ([0] * len(sid), [False] * len(sid))
-            for k, key in enumerate(keys):
-                if key != at:
-                    if rows and (out := solve(rows)) is not None:
-                        yield out
-                    at, rows = key, []
-                rows.append((sid[k], np.frombuffer(tokens[k].as_buffer(), np.uint64).copy(), label[k], probe[k]))
-        if rows and (out := solve(rows)) is not None:
-            yield out
+        for _, rows in _grouped(batches, 3):
+            # a pivot may stand twice; a probe stays a member of its own chunk
+            once = {(r[0], r[3] if crossed else False): r for r in rows}
+            ordered = sorted(once.items(), key=lambda x: not x[0][1])
+            probes = sum(k[1] for k, _ in ordered)
+            if len(ordered) < 2 or crossed and not 0 < probes < len(ordered):
+                continue
+            sets = [np.frombuffer(r[1], np.uint64) for _, r in ordered]
+            known = np.array([r[2] for _, r in ordered]) if crossed else None
+            found, _ = Block.of_sets(sets, percent).links(percent, known, probes)
+            if found:
+                ids, at = np.array([r[0] for _, r in ordered]), np.array(found)
+                yield pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
     return run
 
@@ -361,42 +435,57 @@ def jaccard_components(df: DataFrame, text: str = "text", ident: str = "doc_id",
     docs = df.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
     scanned = kit.stage(map_arrow(docs, _scan("text", "doc", words), "kind int, doc long, sid long, n long"))
     members = scanned.filter("kind = 0").select("doc", "sid", "n")
-    top = scanned.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
+    top = scanned.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
     frequent = top["sid"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(frequent)
     prefixes = _prefixes("text", words, percent, frequent[order], top["n"].to_numpy(np.int64)[order])
 
-    posted = map_arrow(docs.select("text"), prefixes, "token long, n long, sid long")
-    by_token = Window.partitionBy("token")
-    place = F.struct("n", "sid")
-    blocks = posted.select("n", "sid", F.min(place).over(by_token).alias("low"), F.max(place).over(by_token).alias("high")).filter("low.sid <> high.sid")
-    blocks = kit.stage(blocks.select(F.col("low.sid").alias("block"), "sid", "n").distinct())
-
-    # whole sets, only of the classes that are in some block
-    wanted = blocks.select("sid").distinct()
-    chosen = members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("doc")).select("doc")
-    chosen = kit.sized_join(docs.filter("doc is not null"), chosen, "doc", "left_semi")
-    sets = map_arrow(chosen, _sets("text", words), "sid long, tokens binary").dropDuplicates(["sid"])
-    size = blocks.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
-    split = size.withColumn("chunks", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int")).filter("chunks > 1").select("block", "chunks")
-    placed = blocks.join(split, "block", "left").select("block", "sid", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    posted = map_arrow(docs.select("text"), prefixes, "token long, n long, most long, sid long")
+    # a token's sets by size: where all before are too small, or have it too late, no pair across can link by it
+    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    reach = F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(reach < F.col("n"), F.lit(True))
+    runs = posted.withColumn("start", start)
+    first = F.max(F.when(F.col("start"), F.struct("n", "sid"))).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumns({"first": first, "alone": F.col("start") & F.coalesce(F.col("most") < F.lead("n").over(by_size), F.lit(True))})
+    blocks = kit.stage(runs.filter("not alone").select(F.col("first.sid").alias("block"), "sid", "n").distinct())
+
+    size = blocks.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).filter("sets > 1")
+    size = size.select("block", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int").alias("chunks"))
+    placed = blocks.join(size, "block")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The text of one document of each class."""
+        chosen = members.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("doc")).select("doc")
+        return kit.sized_join(docs.filter("doc is not null"), chosen, "doc", "left_semi")
+
+    # bitmaps first; a split block goes on whole
+    small = placed.filter("chunks = 1")
+    bits = map_arrow(texts_of(small), _bitmaps("text", words), "sid long, least long, bits binary")
+    ready = kit.sized_join(bits, small, "sid", "inner").select("block", "sid", "n", "least", "bits").repartition("block").sortWithinPartitions("block", "sid")
+    near = map_arrow(ready, _candidates(percent), "block long, sub long, sid long").withColumn("chunks", F.lit(1))
+    near = kit.stage(near.unionByName(placed.filter("chunks > 1").select("block", F.col("block").alias("sub"), "sid", "chunks")))
+
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-    rows = placed.withColumn("chunk", F.explode(F.when(F.col("sid") == F.col("block"), every).otherwise(F.array(own))))
-    ready = rows.join(sets, "sid").repartition("block", "chunk").sortWithinPartitions("block", "chunk", "sid")
-    links = kit.stage(map_arrow(ready.select("block", "chunk", "sid", "tokens"), _blocks(percent, False), "a long, b long"))
+    sets = map_arrow(texts_of(near), _sets("text", words), "sid long, tokens binary")
+    rows = near.withColumn("chunk", F.explode(F.when(F.col("sid") == F.col("block"), every).otherwise(F.array(own))))
+    part = ["block", "sub", "chunk"]
+    ready = kit.sized_join(sets, rows, "sid", "inner").select(*part, "sid", "tokens").repartition(*part).sortWithinPartitions(*part, "sid")
+    links = kit.stage(map_arrow(ready, _exact(percent, False), "a long, b long"))
     labels = components(links)
 
-    if placed.filter("chunks > 1").limit(1).count():
-        named = kit.stage(placed.filter("chunks > 1").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    split = near.filter("chunks > 1")
+    if not split.isEmpty():
+        named = kit.stage(split.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
         main = named.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         rest = named.join(main, "block").withColumn("probe", F.col("label") != F.col("main"))
-        stay = rest.select("block", own.alias("chunk"), "sid", "label", F.lit(False).alias("probe"))
-        sent = rest.filter("probe").select("block", F.explode(every).alias("chunk"), "sid", "label", "probe")
+        stay = rest.select("block", "sub", own.alias("chunk"), "sid", "label", F.lit(False).alias("probe"))
+        sent = rest.filter("probe").select("block", "sub", F.explode(every).alias("chunk"), "sid", "label", "probe")
         touched = rest.filter("probe").select("block").distinct()
-        ready = stay.join(touched, "block", "left_semi").unionByName(sent).join(sets, "sid").repartition("block", "chunk").sortWithinPartitions("block", "chunk", F.desc("probe"), "sid")
-        more = kit.stage(map_arrow(ready.select("block", "chunk", "sid", "tokens", "label", "probe"), _blocks(percent, True), "a long, b long"))
-        labels = components(links.unionByName(more))
+        ready = stay.join(touched, "block", "left_semi").unionByName(sent).join(sets, "sid").select(*part, "sid", "tokens", "label", "probe")
+        ready = ready.repartition(*part).sortWithinPartitions(*part, "sid")
+        labels = components(links.unionByName(kit.stage(map_arrow(ready, _exact(percent, True), "a long, b long"))))
 
     # names: classes by their smallest id, components by the smallest of their classes' ids
     classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc").alias("class_id"))
