@@ -54,7 +54,8 @@ def diff_events(first: DataFrame, second: DataFrame, method: str = "grpc.method"
     """
     ship(first.sparkSession)
     rows = _runs(_side(first, method), _side(second, method), window_ns)
-    a, b = (rows.filter(F.col("side") == k).groupBy("src", "dst", "run") for k in (0, 1))
+    # both sides come from one plan; new names for the columns keep them apart in the cogroup
+    a, b = (rows.filter(F.col("side") == k).select(*(F.col(c).alias(c) for c in rows.columns)).groupBy("src", "dst", "run") for k in (0, 1))
     return a.cogroup(b).applyInPandas(_greedy(window_ns), "left_id long, right_id long, match string")
 
 

@@ -613,12 +613,12 @@ _on(views.packets, "stream_stats", _stats, f"SELECT count(*) AS received, count(
 def _reassembled(s: DataFrame) -> DataFrame:
     spark = s.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = s.select(F.col("flow").cast("string").alias("flow"), "dir", "rel", "payload", (F.col("arrival") < 0).alias("rst"), F.timestamp_seconds(F.lit(0)).alias("ts"), (F.col("arrival") % 4).alias("ts_us"))
+    rows = s.select(F.col("flow").cast("string").alias("flow"), "dir", "rel", "payload", (F.col("arrival") < 0).alias("rst"), F.timestamp_seconds(F.lit(86400) + F.col("arrival") % 4).alias("ts"), (F.col("arrival") % 4).alias("ts_us"))
     out = _drained(jobs.stream_reassemble(_streamed(rows)))
     return out.groupBy("flow").agg(F.sum(F.octet_length("data")).alias("size"))
 
 
-on_segments("stream_reassemble", lambda s: _reassembled(s))
+on_segments("stream_reassemble", _reassembled, "SELECT CAST(flow AS STRING) AS flow, CAST(count(*) * 100 AS BIGINT) AS size FROM j WHERE run = 0 GROUP BY flow", _ISLES)
 
 # --- registries -------------------------------------------------------------------------------
 
