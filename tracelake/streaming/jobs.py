@@ -102,9 +102,10 @@ class Reassembler(StatefulProcessor):
                 at = max(rel, at) + len(fresh)
         self.next.update((at,))
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        reset = False
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        reset, last = False, self.timer.get()[0] - self.IDLE_MS if self.timer.exists() else 0
         for part in rows:
+            last = max(last, int(pd.Timestamp(part["ts"].max()).timestamp() * 1000))
             for rel, payload, rst in zip(part["rel"], part["payload"], part["rst"], strict=True):
                 if payload is not None and len(payload) and not self.waiting.containsKey((int(rel),)):
                     self.waiting.updateValue((int(rel),), (bytes(payload),))
@@ -114,12 +115,11 @@ class Reassembler(StatefulProcessor):
             self.next.clear()
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        due = timer_values.getCurrentWatermarkInMs() + self.IDLE_MS
-        self.handle.registerTimer(due)
-        self.timer.update((due,))
+        self.handle.registerTimer(last + self.IDLE_MS)
+        self.timer.update((last + self.IDLE_MS,))
         yield self._frame(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = list(self._take(True))
         self.next.clear()
         self.timer.clear()
