@@ -23,7 +23,7 @@ from tracelake.llm import kit
 from tracelake.plans.ship import map_arrow
 
 #: Pieces kept by a worker; beyond that it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 100_000
 #: Bytes of the pieces that are merged together; longer ones are merged alone.
 SHORT = 65
 #: The byte-level pattern, a fixed value of the format; \s is Unicode white space there.
@@ -125,8 +125,9 @@ class ByteBpe:
             else:
                 groups.setdefault((n - 2).bit_length(), []).append(p)
         for same in groups.values():
-            for c in range(0, len(same), 20_000):
-                part = same[c : c + 20_000]
+            step = 320_000 >> (max(len(p.encode()) for p in same) - 1).bit_length()
+            for c in range(0, len(same), step):
+                part = same[c : c + step]
                 self.known.update((p, found.astype("<u4").tobytes()) for p, found in zip(part, self.merge_many([p.encode() for p in part]), strict=True))
 
     def merge(self, piece: bytes) -> list[int]:
@@ -201,6 +202,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
                 part = batch.slice(i, j - i)
                 done = bpe.encode([t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*batch.schema.names, ids])
+        bpe.known.clear()  # workers live on after the task
 
     return map_arrow(df, run, df.withColumn(ids, F.lit(b"")).schema)
 

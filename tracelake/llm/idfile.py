@@ -27,6 +27,8 @@ from tracelake.plans.ship import map_arrow
 MAGIC = b"TLID"
 LANES, STEPS = 2048, 512
 BLOCK_IDS = LANES * STEPS
+#: Words kept by a worker; beyond that it starts afresh.
+KEPT_WORDS = 400_000
 #: Shares are out of 2**12; order-0 counts stay below 2**19, so a total is below 2**31.
 SHARE, COUNT_LIMIT, GAIN, REFRESH = 12, 1 << 19, 24, 8
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
@@ -220,7 +222,7 @@ class LibraryEncoder:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KEPT_WORDS:
             self.known = {"": b""}
         new = sorted(set().union(*words) - self.known.keys())
         for i in range(0, len(new), 4096):

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tracelake.plans.shared import shared_dir
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Rows of a side that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 #: Bytes between words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)

@@ -173,16 +173,19 @@ def _counts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column("toxic").to_pylist(), bool)
-            for i, _, data, offsets in kit.text_slices(batch.column("text"), 4 * kit.SLICE):
+            for i, _, data, offsets in kit.text_slices(batch.column("text")):
                 _, _, doc, hashes = features(data, offsets)
-                pairs = np.unique(np.stack([np.concatenate(hashes), np.tile(doc, len(hashes)).astype(np.uint64)]), axis=1)
-                key, inverse = np.unique(pairs[0], return_inverse=True)
-                bad = np.bincount(inverse, toxic[i + pairs[1].astype(np.int64)], len(key)).astype(np.int64)
-                n = np.bincount(inverse, minlength=len(key))
-                keep = bad > 0  # others have no evidence of toxicity, whatever their count
-                rest = ~keep
-                yield pa.record_batch([pa.array(key[keep].view(np.int64)), pa.array(bad[keep]), pa.array((n - bad)[keep])], ["feature", "bad", "good"])
-                yield pa.record_batch([pa.array(key[rest].view(np.int64)), pa.array(bad[rest]), pa.array(n[rest])], ["feature", "bad", "good"])
+                feature, owner = np.concatenate(hashes), np.tile(doc, len(hashes))
+                if not len(feature):
+                    continue
+                order = np.lexsort((owner, feature))
+                feature, owner = feature[order], owner[order]
+                first = np.concatenate([[True], (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])])
+                feature, owner = feature[first], owner[first]
+                start = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+                key, n = feature[start], np.diff(np.append(start, len(feature)))
+                bad = np.add.reduceat(toxic[i + owner].astype(np.int64), start)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(bad), pa.array(n - bad)], ["feature", "bad", "good"])
 
     return run
 
