@@ -562,9 +562,20 @@ on_streams("detect_initial_bytes", lambda p: p.select("id", F.octet_length(detec
 # --- streaming: each reads the staged table as a stream, file by file ---------------------------
 
 
-def _streamed(df: DataFrame, files: int = 4) -> DataFrame:
-    path = shared_dir(df.sparkSession)
-    df.repartitionByRange(files, "ts_ns" if "ts_ns" in df.columns else "ts_us").write.parquet(path)
+def _streamed(df: DataFrame, files: int = 4, **closing: F.Column) -> DataFrame:
+    """df as a stream, file by file in the order of its times: the source takes files as they were written.
+
+    With ``closing`` values a last file holds one row of them (else nulls), an hour after all others.
+    """
+    path, key = shared_dir(df.sparkSession), "ts_ns" if "ts_ns" in df.columns else "ts_us"
+    part = F.lit(0)
+    for cut in sorted(set(df.approxQuantile(key, [k / files for k in range(1, files)], 0.01))):
+        part = part + F.coalesce((F.col(key) >= F.lit(cut)).cast("int"), F.lit(0))
+    for k in range(files):
+        df.filter(part == k).repartition(1).write.mode("append").parquet(path)
+    if closing:
+        last = df.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")).filter("ts is not null")
+        last.select(*("ts" if f.name == "ts" else closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)).write.mode("append").parquet(path)
     return jobs.stream_load(df.sparkSession, path, df.schema, 1)
 
 
@@ -611,14 +622,25 @@ _on(views.packets, "stream_stats", _stats, f"SELECT count(*) AS received, count(
 
 
 def _reassembled(s: DataFrame) -> DataFrame:
+    """(flow, run, start, data) of all bytes that come out; a closing row lets every flow's timer pass."""
     spark = s.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = s.select(F.col("flow").cast("string").alias("flow"), "dir", "rel", "payload", (F.col("arrival") < 0).alias("rst"), F.timestamp_seconds(F.lit(86400) + F.col("arrival") % 4).alias("ts"), (F.col("arrival") % 4).alias("ts_us"))
-    out = _drained(jobs.stream_reassemble(_streamed(rows)))
-    return out.groupBy("flow").agg(F.sum(F.octet_length("data")).alias("size"))
+    out = _drained(jobs.stream_reassemble(_streamed(rows, flow=F.lit("closing"), dir=F.lit(0), rel=F.lit(0), rst=F.lit(False))))
+    up_to = Window.partitionBy("flow").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("run", F.sum(F.col("gap_before").cast("long")).over(up_to))
+
+
+def _runs(s: DataFrame) -> DataFrame:
+    data = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "data"))), lambda x: F.hex(x["data"])), ""))
+    return _reassembled(s).groupBy("flow", "run").agg(F.min("start").alias("start"), F.sum(F.octet_length("data")).alias("size"), F.md5(data).alias("bytes"))
 
 
-on_segments("stream_reassemble", _reassembled, "SELECT CAST(flow AS STRING) AS flow, CAST(count(*) * 100 AS BIGINT) AS size FROM j WHERE run = 0 GROUP BY flow", _ISLES)
+on_segments("stream_reassemble", lambda s: _reassembled(s).filter("run = 0").groupBy("flow").agg(F.sum(F.octet_length("data")).alias("size")), "SELECT CAST(flow AS STRING) AS flow, CAST(count(*) * 100 AS BIGINT) AS size FROM j WHERE run = 0 GROUP BY flow", _ISLES)
+on_segments(
+    "stream_reassemble_runs", _runs,
+    "SELECT CAST(flow AS STRING) AS flow, CAST(run AS BIGINT) AS run, min(rel) AS start, CAST(count(*) * 100 AS BIGINT) AS size, md5(string_agg(repeat(chr(CAST(65 + rel // 100 AS INT)), 100), '' ORDER BY rel)) AS bytes FROM j GROUP BY flow, run", _ISLES,
+)
 
 # --- registries -------------------------------------------------------------------------------
 

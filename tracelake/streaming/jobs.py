@@ -75,10 +75,10 @@ def stream_load(spark, folder: str, schema, files_per_trigger: int = 1) -> DataF
 class Reassembler(StatefulProcessor):
     """Emits the contiguous bytes of a flow's direction as they become so; the rest after 30 idle seconds or a reset.
 
-    State: the next offset, and segments that wait for it (at most WAITING bytes, then the gap is given up).
+    State: the next offset, and segments that wait for it until then, as RocksDB entries of which one is read at a time.
     """
 
-    WAITING = 1 << 20
+    FRAME_BYTES = 1 << 20
     IDLE_MS = 30_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -89,41 +89,50 @@ class Reassembler(StatefulProcessor):
 
     def _take(self, everything: bool) -> Iterator[tuple[int, bytes, bool]]:
         at = self.next.get()[0] if self.next.exists() else 0
-        held = sorted((k[0], bytes(v[0])) for k, v in self.waiting.iterator())
-        size = sum(len(p) for _, p in held)
-        for rel, payload in held:
-            if rel > at and not (everything or size > self.WAITING):
+        for rel in sorted(k[0] for k in self.waiting.keys()):
+            if rel > at and not everything:
                 break
+            payload = bytes(self.waiting.getValue((rel,))[0])
             self.waiting.removeKey((rel,))
-            size -= len(payload)
             fresh = payload[max(at - rel, 0) :]
             if fresh:
                 yield max(rel, at), fresh, rel > at
                 at = max(rel, at) + len(fresh)
         self.next.update((at,))
 
+    def _frames(self, key, everything: bool) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for row in self._take(everything):
+            out.append(row)
+            size += len(row[1])
+            if size >= self.FRAME_BYTES:
+                yield self._frame(key, out)
+                out, size = [], 0
+        yield self._frame(key, out)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         reset, last = False, self.timer.get()[0] - self.IDLE_MS if self.timer.exists() else 0
         for part in rows:
             last = max(last, int(pd.Timestamp(part["ts"].max()).timestamp() * 1000))
             for rel, payload, rst in zip(part["rel"], part["payload"], part["rst"], strict=True):
-                if payload is not None and len(payload) and not self.waiting.containsKey((int(rel),)):
-                    self.waiting.updateValue((int(rel),), (bytes(payload),))
+                if payload is not None and len(payload):
+                    at, new = (int(rel),), bytes(payload)
+                    old = bytes(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else b""
+                    if len(new) > len(old):
+                        self.waiting.updateValue(at, (old + new[len(old) :],))
                 reset |= bool(rst)
-        out = list(self._take(reset))
+        yield from self._frames(key, reset)
         if reset:
             self.next.clear()
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
         self.handle.registerTimer(last + self.IDLE_MS)
         self.timer.update((last + self.IDLE_MS,))
-        yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = list(self._take(True))
+        yield from self._frames(key, True)
         self.next.clear()
         self.timer.clear()
-        yield self._frame(key, out)
 
     @staticmethod
     def _frame(key, out) -> pd.DataFrame:
