@@ -42,3 +42,10 @@ def test_all_runs_come_out(spark, sf_dir):
     got = {(r.flow, r.run, r.start, r.size) for r in queries.QUERIES["stream_reassemble_runs"](spark, sf_dir).collect()}
     batch = packets.tcp_reassemble(views.segments(spark, sf_dir)).collect()
     assert got == {(str(r.flow), r.run, r.start, r.size) for r in batch} and any(r.run for r in batch)
+
+
+def test_idle_counts_every_message(spark, sf_dir):
+    got = {(r.flow, r.sessions, r.packets) for r in queries.QUERIES["stream_idle"](spark, sf_dir).collect()}
+    batch = jobs.stream_idle(queries._timed(views.messages(spark, sf_dir))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets"))
+    assert got == {(r.flow, r.sessions, r.packets) for r in batch.collect()}
+    assert sum(n for _, _, n in got) == views.messages(spark, sf_dir).count()

@@ -608,7 +608,10 @@ def _recent(m: DataFrame) -> DataFrame:
 
 on_messages("stream_recent", _recent, "SELECT id FROM m ORDER BY ts_ns DESC, id DESC LIMIT 1000")
 on_messages("stream_timeline", lambda m: _drained(jobs.stream_timeline(_streamed(_timed(m)), "1 hour", "1 hour"), "complete").select("transport", F.unix_seconds("window.start").alias("start_s"), "events"), "SELECT transport, ts_ns // 3600000000000 * 3600 AS start_s, count(*) AS events FROM m GROUP BY 1, 2")
-on_messages("stream_idle", lambda m: _drained(jobs.stream_idle(_streamed(_timed(m)))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets")))
+on_messages(
+    "stream_idle", lambda m: _drained(jobs.stream_idle(_streamed(_timed(m), transport=F.lit("closing")))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets")),
+    "SELECT flow, count(CASE WHEN prev IS NULL OR us - prev >= 30000000 THEN 1 END) AS sessions, count(*) AS packets FROM (SELECT flow, us, lag(us) OVER (PARTITION BY flow ORDER BY us) AS prev FROM (SELECT coalesce(src, origin) AS flow, ts_ns // 1000 AS us FROM m) x) y GROUP BY flow",
+)
 _on(views.packets, "stream_route", lambda p: _drained(jobs.stream_route(_streamed(p))).groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1", views.M)
 
 
