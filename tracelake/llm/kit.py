@@ -20,6 +20,8 @@ from tracelake.plans.shared import shared_dir
 SLICE = 1 << 20
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 250_000
+#: The column of keyed().
+ROW = "_row_key"
 
 #: Bytes between words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
@@ -43,6 +45,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df staged with a unique ROW for every row, the same each time it is read."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """big joined with small, which is broadcast if it has at most limit rows and shuffled beyond."""
     return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)

@@ -49,16 +49,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def mix_plan(
     df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1,
-    ident: str = "doc_id", source: str = "source", size: str = "size",
+    ident: str = "doc_id", source: str = "source", size: str = "size", row: str | None = None,
 ) -> DataFrame:
-    """(ident, source, size, source_size, target, epochs, cut, taken) of every row.
+    """(ident, source, size, source_size, target, epochs, cut, taken[, row]) of every row; row names a unique key to carry along.
 
     The mix holds ``epochs`` whole copies of the row and then ``cut`` of its words; taken is the sum.
     Of a source, the taken sizes add up to its target, rounded down. Rows of size 0 take nothing.
     A null source is a source; null ids and repeated rows are ordered by key, then id and size,
     where equal rows may stand for each other. An empty table gives an empty result.
     """
-    rows = df.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), random_key(F.col(ident), seed).alias("key"))
+    own = ["row"] if row else []
+    rows = df.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), random_key(F.col(ident), seed).alias("key"), *(F.col(row).alias(c) for c in own))
     sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, share, most)
     sizes = kit.stage(sizes.withColumn("cells", F.least(F.lit(CELLS), F.greatest(F.lit(1), F.ceil(F.col("n_rows") / CELL_ROWS))).cast("int")))
     # equal parts of the key's first 32 bits: the order of the cells is the order of the keys
@@ -67,11 +68,11 @@ def mix_plan(
     few = sizes.limit(kit.BROADCAST_ROWS + 1).count() <= kit.BROADCAST_ROWS
     right = sizes.alias("s")
     joined = rows.alias("r").join(F.broadcast(right) if few else right, same)
-    celled = joined.select("r.id", "r.source", "size", "key", "source_size", "target", F.shiftright(part * F.col("cells"), 32).cast("int").alias("cell"))
+    celled = joined.select("r.id", "r.source", "size", "key", *own, "source_size", "target", F.shiftright(part * F.col("cells"), 32).cast("int").alias("cell"))
     sums = celled.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
     up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("source_"), F.col("cell").alias("cell_"), F.coalesce(F.sum("in_cell").over(up_to), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "cell").orderBy("key", "id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     ranked = celled.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("cell") == F.col("cell_")))
     budget = F.floor("target")
@@ -81,7 +82,7 @@ def mix_plan(
     out = out.withColumn("cut", F.least("size", F.greatest(F.lit(0), rest)).cast("long"))
     return out.select(
         F.col("id").alias(ident), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "epochs", "cut",
-        (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"),
+        (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), *(F.col(c).alias(row) for c in own),
     )
 
 
@@ -93,15 +94,16 @@ def words_of(text: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix holds them: each row once for every epoch, and cut ones with their first words.
 
-    docs needs distinct ids; rows that the mix takes nothing of are gone.
+    Null and repeated ids are rows like others; rows that the mix takes nothing of are gone.
     """
-    sized = kit.stage(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")))
-    plan = mix_plan(sized, **options).filter("taken > 0").select("doc_id", "size", "epochs", "cut")
+    keyed = kit.keyed(docs)
+    sized = kit.stage(keyed.select(kit.ROW, "doc_id", "source", words_of(F.col("text")).alias("size")))
+    plan = mix_plan(sized, row=kit.ROW, **options).filter("taken > 0").select(kit.ROW, "size", "epochs", "cut")
     copies = F.concat(F.expr("array_repeat(size, cast(epochs as int))"), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.expr("array()").cast("array<bigint>")))
-    plan = plan.select("doc_id", F.col("size").alias("_size"), F.explode(copies).alias("_words"))
+    plan = plan.select(kit.ROW, F.col("size").alias("_size"), F.explode(copies).alias("_words"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     short = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
-    rows = docs.join(plan, "doc_id").withColumn("text", F.when(F.col("_words") < F.col("_size"), short).otherwise(F.col("text")))
+    rows = keyed.join(plan, kit.ROW).withColumn("text", F.when(F.col("_words") < F.col("_size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
