@@ -296,6 +296,7 @@ on_messages("payload_search", lambda m: P.payload_search(m, P.search_bytes("22 3
 A = aggregates
 _W = lambda c: F.row_number().over(Window.orderBy(*c))
 on_messages("sort_messages", lambda m: A.sort_messages(m, "source", True).limit(500).select("id", "src"), "SELECT id, src FROM m ORDER BY coalesce(src, '') DESC, id LIMIT 500")
+on_messages("sort_messages_all", lambda m: A.sort_messages(m, "source", True).select("id", "src"), "SELECT id, src FROM m ORDER BY coalesce(src, '') DESC, id")
 on_messages("top_protocols", lambda m: A.top_protocols(m, 3), "SELECT transport, count(*) AS events FROM m GROUP BY transport ORDER BY count(*) DESC, CASE transport WHEN 'gRPC' THEN 0 WHEN 'ZMQ' THEN 1 WHEN 'DDS-RTPS' THEN 2 WHEN 'TCP' THEN 3 ELSE 4 END LIMIT 3")
 on_messages("recent_n", lambda m: A.recent_n(m, 1000).select("id"), "SELECT id FROM m ORDER BY ts_ns DESC, id DESC LIMIT 1000")
 on_messages("capture_limit", lambda m: A.capture_limit(m, seconds=86400.0).select("id"), "SELECT id FROM m, r WHERE ts_ns < lo + 86400000000000", _RANGE)
@@ -401,6 +402,8 @@ on_messages("conversation_for_event", lambda m: C.conversation_for_event(C.build
 on_conversations("conversations_by_protocol", lambda c: C.conversations_by_protocol(c, "dds-rtps").select("conversation_id"), "SELECT conversation_id FROM cv WHERE protocol = 'DDS-RTPS'")
 on_conversations("conversations_by_time", lambda c: C.conversations_by_time(c).limit(200).select("conversation_id", "start_ns"), "SELECT conversation_id, start_ns FROM cv ORDER BY start_ns, conversation_id LIMIT 200")
 on_messages("sort_conversations", lambda m: C.sort_conversations(C.build_conversations(m), m, "requests", True).limit(100).select("conversation_id", "request_count"), "SELECT conversation_id, request_count FROM cv ORDER BY request_count DESC, conversation_id LIMIT 100", *_CONV)
+on_conversations("conversations_by_time_all", lambda c: C.conversations_by_time(c).select("conversation_id", "start_ns"), "SELECT conversation_id, start_ns FROM cv ORDER BY start_ns, conversation_id")
+on_messages("sort_conversations_all", lambda m: C.sort_conversations(C.build_conversations(m), m, "requests", True).select("conversation_id", "request_count"), "SELECT conversation_id, request_count FROM cv ORDER BY request_count DESC, conversation_id", *_CONV)
 _BAD = lambda: P.cmp("grpc.status", "!=", "0")
 on_messages("conversations_of_filter", lambda m: C.conversations_of_filter(C.build_conversations(m), C.conversation_events(C.assign_flows(m)), m, _BAD()).select("conversation_id"), "SELECT DISTINCT cid AS conversation_id FROM g WHERE grpc_status <> '0'", *_CONV)
 on_messages(
