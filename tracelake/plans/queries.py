@@ -549,17 +549,21 @@ _MAGIC = "CASE id % 6 WHEN 0 THEN 'gRPC' WHEN 1 THEN 'ZMTP' WHEN 2 THEN 'RTPS' W
 on_streams("detect_port", lambda p: p.select("id", detect.detect_port().alias("protocol")), f"SELECT id, {_PORTS} AS protocol {_WIRED}")
 on_streams("detect_magic", lambda p: p.select("id", F.when(detect.is_preface(), "gRPC").when(detect.is_zmtp(), "ZMTP").when(detect.is_rtps(), "RTPS").alias("protocol")), f"SELECT id, CASE WHEN id % 6 < 3 THEN {_MAGIC} END AS protocol {_WIRED}")
 on_streams("detect_h2_frame", lambda p: p.filter(detect.is_h2_frame() & F.expr("id % 6 in (1, 4)")).select("id"), f"SELECT id {_WIRED} AND (id % 6 = 1 OR id % 6 = 4 AND length(payload_text) >= 4)")
+on_streams("detect_h2_frame_all", lambda p: p.filter(detect.is_h2_frame()).select("id"), None)
 on_streams("detect_common", lambda p: p.select("id", F.when(detect.is_http1(), "HTTP/1").when(detect.is_tls(), "TLS").alias("protocol")), f"SELECT id, CASE WHEN id % 6 IN (3, 4) THEN {_MAGIC} END AS protocol {_WIRED}")
 on_streams("detect_best", lambda p: detect.detect_best(p).filter("id % 6 < 5").select("id", "detected", "confidence"), f"SELECT id, {_MAGIC} AS detected, CAST(CASE id % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.99 ELSE 0.85 END AS DOUBLE) AS confidence {_WIRED} AND id % 6 < 5")
+on_streams("detect_best_all", lambda p: detect.detect_best(p).select("id", "detected", "confidence"), None)
 
 
 def _overridden(p: DataFrame) -> DataFrame:
     chosen = p.filter("dst_port = 53").select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct().withColumn("forced", F.lit("DNS"))
-    return detect.detect_override(p, chosen).filter("id % 6 < 5").select("id", "detected")
+    return detect.detect_override(p, chosen).select("id", "detected")
 
 
-on_streams("detect_override", _overridden, f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE {_MAGIC} END AS detected {_WIRED} AND id % 6 < 5")
+on_streams("detect_override_all", _overridden, None)
+on_streams("detect_override", lambda p: _overridden(p).filter("id % 6 < 5"), f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE {_MAGIC} END AS detected {_WIRED} AND id % 6 < 5")
 on_streams("detect_ordered", lambda p: p.filter("id % 6 in (0, 1, 2)").select("id", detect.detect_ordered().alias("protocol")), f"SELECT id, CASE id % 6 WHEN 0 THEN 'grpc' WHEN 1 THEN 'zmtp' ELSE 'rtps' END AS protocol {_WIRED} AND id % 6 < 3")
+on_streams("detect_ordered_all", lambda p: p.select("id", detect.detect_ordered().alias("protocol")), None)
 on_streams("detect_initial_bytes", lambda p: p.select("id", F.octet_length(detect.initial_bytes()).alias("size")), f"SELECT id, CAST(least(256, length(payload_text) + CASE id % 6 WHEN 0 THEN 24 WHEN 1 THEN 12 WHEN 2 THEN 7 WHEN 3 THEN 5 WHEN 4 THEN 5 ELSE 1 END) AS INT) AS size {_WIRED}")
 
 # --- streaming: each reads the staged table as a stream, file by file ---------------------------
