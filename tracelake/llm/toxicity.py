@@ -156,13 +156,13 @@ class Field:
             mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
             self.weights = np.clip(self.weights + 0.2 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8), -12, 12)
 
-    def fit_docs(self, x: np.ndarray, y: np.ndarray, rounds: int = 60) -> None:
-        """Logistic regression of the documents' labels by Newton steps, lightly held back."""
+    def fit_docs(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 60) -> None:
+        """Logistic regression of the documents' labels by Newton steps, lightly held back; each document stands for share of them."""
         w = np.zeros(3)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-x @ w))
-            slope = x.T @ (y - p) - 0.5 * w
-            curve = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
+            slope = x.T @ (share * (y - p)) - 0.5 * w
+            curve = (x * (share * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
             w = w + np.linalg.solve(curve, slope)
         self.doc_weights = w
 
@@ -193,13 +193,15 @@ def _counts():
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id") -> Field:
     """A field from the labelled rows whose crc32(ident) mod 3 is not 1.
 
-    At most SAMPLE_DOCS of each class are used, chosen by a hash of the id. Without rows of both classes
+    At most SAMPLE_DOCS of each class are used, chosen by a hash of the id; scores hold for the share of the
+    classes among all of these rows. Features compare shares within each class, which the sample keeps. Without rows of both classes
     the field finds nothing toxic.
     """
     known = labels.select(F.col(ident).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null").filter(~held_out("id"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     have = docs.filter(F.col(ident).isNotNull()).select(F.col(ident).alias("id"))
-    known = kit.sized_join(have, known, "id", "inner").distinct()
+    known = kit.stage(kit.sized_join(have, known, "id", "inner").distinct())
+    eligible = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ranked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for c in (0, 1)]
     sample = kit.stage(kit.sized_join(docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), ranked[0].union(ranked[1]), "id", "inner").dropDuplicates(["id"]))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -240,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     field.fit_chain(grid, tokens_toxic, np.array([len(c) for c, _ in pieces]))
     doc = np.repeat(np.arange(len(chains)), [len(c) for c in chains])
     hit, p = field.marginals(np.concatenate(chains), doc, len(chains))
-    field.fit_docs(Field.doc_features(doc[hit], p, len(chains)), toxic.astype(float))
+    field.fit_docs(Field.doc_features(doc[hit], p, len(chains)), toxic.astype(float), np.where(toxic, eligible[1] / sizes[1], eligible[0] / sizes[0]))
     return field
 
 
