@@ -60,7 +60,7 @@ def diff_events(first: DataFrame, second: DataFrame, method: str = "grpc.method"
 
 
 def diff_events_mutual(first: DataFrame, second: DataFrame, method: str = "grpc.method", window_ns: int = WINDOW_NS) -> DataFrame:
-    """Pairs that are each other's closest, by columns only: time is cut in windows and neighbours probed."""
+    """Pairs that are each other's closest, by columns only: time is cut in windows and neighbours looked up."""
     at = lambda c: F.call_function("div", F.col(c), F.lit(window_ns))
     a = _side(first, method).select("src", "dst", F.col("id").alias("left_id"), F.col("ts_ns").alias("a"), F.col("method").alias("ma"), F.explode(F.array(at("ts_ns") - 1, at("ts_ns"), at("ts_ns") + 1)).alias("slot"))
     b = _side(second, method).select("src", "dst", F.col("id").alias("right_id"), F.col("ts_ns").alias("b"), F.col("method").alias("mb"), at("ts_ns").alias("slot"))

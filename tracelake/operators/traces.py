@@ -12,13 +12,13 @@ from tracelake.functions.tracectx import trace_ctx_of_message
 def spans_to_messages(spans: DataFrame) -> DataFrame:
     """Spans with attributes as messages."""
     a = lambda k: F.try_element_at("attributes", F.lit(k))
-    plain = F.map_filter("attributes", lambda k, _: ~k.isin("net.peer.ip", "net.host.ip", "probe.transport", "probe.direction"))
-    metadata = F.transform_keys(plain, lambda k, _: F.regexp_replace(k, r"^probe\.metadata\.", ""))
+    plain = F.map_filter("attributes", lambda k, _: ~k.isin("net.peer.ip", "net.host.ip", "tracelake.transport", "tracelake.direction"))
+    metadata = F.transform_keys(plain, lambda k, _: F.regexp_replace(k, r"^tracelake\.metadata\.", ""))
     ids = F.map_filter(F.create_map(F.lit("otel.trace_id"), F.col("trace_id"), F.lit("otel.span_id"), F.col("span_id"), F.lit("otel.parent_span_id"), F.col("parent_span_id")), lambda _, v: v.isNotNull())
     both = a("net.peer.ip").isNotNull() & a("net.host.ip").isNotNull()
     return spans.select(
         F.col("start_ns").alias("ts_ns"), F.when(both, a("net.peer.ip")).alias("src"), F.when(both, a("net.host.ip")).alias("dst"),
-        F.coalesce(fields.transport_display(a("probe.transport")), F.lit("gRPC")).alias("transport"),
+        F.coalesce(fields.transport_display(a("tracelake.transport")), F.lit("gRPC")).alias("transport"),
         F.when(F.col("kind").isin(2, 5), "inbound").when(F.col("kind").isin(3, 4), "outbound").otherwise("unknown").alias("direction"),
         F.encode("name", "UTF-8").alias("payload"), F.map_concat(F.map_filter(metadata, lambda k, _: ~k.startswith("otel.")), ids).alias("metadata"),
     )

@@ -125,7 +125,7 @@ on_messages(
     "SELECT id, CASE transport WHEN 'gRPC' THEN 'grpc' WHEN 'ZMQ' THEN 'zmq' WHEN 'DDS-RTPS' THEN 'dds-rtps' WHEN 'TCP' THEN 'raw-tcp' ELSE 'raw-udp' END AS transport, dst FROM m",
 )
 on_messages(
-    "messages_to_spans", lambda m: writers.messages_to_spans(m).select("trace_id", "span_id", "name", "kind", "start_ns", "status_code", "status_message", F.try_element_at("attributes", F.lit("probe.metadata.grpc.method")).alias("method")),
+    "messages_to_spans", lambda m: writers.messages_to_spans(m).select("trace_id", "span_id", "name", "kind", "start_ns", "status_code", "status_message", F.try_element_at("attributes", F.lit("tracelake.metadata.grpc.method")).alias("method")),
     "SELECT coalesce(trace_id, md5(coalesce(concat(src, '->') || dst, origin))) AS trace_id, coalesce(span_id, substring(md5(CAST(id AS STRING)), 1, 16)) AS span_id, coalesce(grpc_method, concat(transport, ' ', direction)) AS name, "
     "CASE direction WHEN 'outbound' THEN 3 WHEN 'inbound' THEN 2 ELSE 1 END AS kind, ts_ns AS start_ns, CASE WHEN grpc_status = '0' THEN 1 WHEN grpc_status IS NOT NULL OR warning IS NOT NULL THEN 2 ELSE 0 END AS status_code, "
     "CASE WHEN grpc_status <> '0' THEN concat('gRPC status ', grpc_status) WHEN grpc_status IS NULL THEN warning END AS status_message, grpc_method AS method FROM m",

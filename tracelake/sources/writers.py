@@ -74,12 +74,12 @@ def messages_to_spans(df: DataFrame) -> DataFrame:
     attributes = F.map_concat(
         F.map_filter(
             F.create_map(
-                F.lit("probe.transport"), F.col("transport"), F.lit("probe.direction"), F.col("direction"), F.lit("net.peer.ip"), F.col("src"), F.lit("net.host.ip"), F.col("dst"),
-                F.lit("probe.sequence"), F.col("sequence").cast("string"), F.lit("probe.warning"), F.array_join("warnings", "; "),
+                F.lit("tracelake.transport"), F.col("transport"), F.lit("tracelake.direction"), F.col("direction"), F.lit("net.peer.ip"), F.col("src"), F.lit("net.host.ip"), F.col("dst"),
+                F.lit("tracelake.sequence"), F.col("sequence").cast("string"), F.lit("tracelake.warning"), F.array_join("warnings", "; "),
             ),
             lambda _, v: F.coalesce(v, F.lit("")) != "",
         ),
-        F.transform_keys(F.map_filter("metadata", lambda k, _: ~k.startswith("otel.")), lambda k, _: F.concat(F.lit("probe.metadata."), k)),
+        F.transform_keys(F.map_filter("metadata", lambda k, _: ~k.startswith("otel.")), lambda k, _: F.concat(F.lit("tracelake.metadata."), k)),
     )
     return df.select(
         F.coalesce(ctx["trace_id"], F.md5(F.coalesce(connection, pair, "origin").cast("binary"))).alias("trace_id"),
