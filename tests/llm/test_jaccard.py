@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
 from tracelake.llm import jaccard
@@ -71,6 +72,31 @@ def test_split_blocks_lose_no_link(docs, monkeypatch):
     assert ours(docs(*rows)) == twin(rows)
 
 
+def test_hot_tokens_lose_no_link(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    rows = made(5, 240)
+    assert ours(docs(*rows)) == twin(rows)
+
+
+def test_null_ids_link(docs):
+    words = [f"w{k}" for k in range(60)]
+    end = lambda k: " ".join(words[:-k] + [f"x{k}{j}" for j in range(k)])
+    # 4 and 9 link with the row without id, not with each other
+    rows = [(4, end(5)), (None, " ".join(words)), (9, " ".join([f"y{j}" for j in range(5)] + words[5:])), (1, "nothing like it at all here"), (None, "only ever here in this row")]
+    got = jaccard.jaccard_components(docs(*rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (4, 4), (9, 4)]
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["4", "None"]
+
+
+def test_copies_and_clashing_columns(spark):
+    text = "one two three four five six seven eight nine"
+    rows = [(k, text, k) for k in range(600)] + [(700 + k, f"{text} ten eleven", 0) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id long").withColumn("sid", F.lit("x")).withColumn("n_shingles", F.lit(-1))
+    got = jaccard.jaccard_components(df).collect()
+    assert len(got) == 603 and {(r.n_shingles, r.class_id, r.component_id) for r in got if r.doc_id < 700} == {(5, 0, 0)}
+    assert {(r.n_shingles, r.class_id, r.component_id) for r in got if r.doc_id >= 700} == {(7, 700, 700)}
+
+
 def test_edges(docs):
     rows = [r for r in EDGES if r[0] is not None]
     assert ours(docs(*EDGES)) == twin(rows)

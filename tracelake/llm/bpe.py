@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tracelake.llm import kit
 from tracelake.plans.ship import map_arrow
 
-#: Pieces kept by a worker; beyond that it starts afresh.
+#: Pieces kept for a task; beyond that it starts afresh.
 KEPT_PIECES = 100_000
 #: Bytes of the pieces that are merged together; longer ones are merged alone.
 SHORT = 65
@@ -187,36 +187,44 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _added(df: DataFrame, new: dict[str, pa.DataType], read: str, function) -> DataFrame:
+    """df with new columns that function(tokenizer, values of a slice) gives from the column read."""
+    df = kit.without(df, *new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in kit.byte_slices(batch.column(read)):
+                part = batch.slice(i, j - i)
+                made = function(part.column(read).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m, t) for m, t in zip(made, new.values(), strict=True))], [*batch.schema.names, *new])
+
+    return map_arrow(df, run, df.withColumns({c: F.lit("" if t == pa.string() else b"") for c, t in new.items()}).schema)
+
+
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with ids: the token ids of the text as little-endian 32-bit integers in a binary column.
 
     Null and empty texts give no ids (an empty value). A column named like ids is replaced, all others
-    and all rows are kept; an empty table stays empty. Texts of any length are taken whole.
+    and all rows are kept, repeated ones repeatedly; an empty table stays empty. Texts of any length are taken whole.
     """
-    df = kit.without(df, ids)
+    return _added(df, {ids: pa.binary()}, text, lambda texts: [tokenizer(path).encode([t or "" for t in texts])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for batch in batches:
-            for i, j, _, _ in kit.text_slices(batch.column(text)):
-                part = batch.slice(i, j - i)
-                done = bpe.encode([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*batch.schema.names, ids])
-        bpe.known.clear()  # workers live on after the task
 
-    return map_arrow(df, run, df.withColumn(ids, F.lit(b"")).schema)
+def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the text that the ids stand for; null and empty ids give an empty text.
+
+    Bytes that are no UTF-8 become replacement characters; an id outside the vocabulary is an error. A
+    column named like decoded is replaced, all others and all rows are kept; an empty table stays empty.
+    """
+    return _added(df, {decoded: pa.string()}, ids, lambda coded: [[tokenizer(path).decode(c or b"") for c in coded]])
 
 
-def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the text that the ids stand for; null ids give an empty text."""
-    df = kit.without(df, decoded)
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """bpe_encode and bpe_decode of its ids in one pass, so that a task needs one worker with one vocabulary."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def both(texts: list[str | None]) -> list[list]:
         bpe = tokenizer(path)
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                texts = [bpe.decode(x.as_py() or b"") for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, decoded])
+        coded = bpe.encode([t or "" for t in texts])
+        return [coded, [bpe.decode(c) for c in coded]]
 
-    return map_arrow(df, run, df.withColumn(decoded, F.lit("")).schema)
+    return _added(df, {ids: pa.binary(), decoded: pa.string()}, text, both)

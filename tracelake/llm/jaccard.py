@@ -16,16 +16,20 @@ Documents are sets of distinct word shingles. Two link when 100 * |A & B| >= per
    compares what arrives at the leaves exactly.
 4. A block with many tokens is split into chunks of bounded size that all hold its pivot.
    After the first components are known, only members outside the block's largest component
-   are sent on to the other chunks, so a large group of near copies costs its rows once.
+   are sent on to the other chunks, so a large group of near copies costs its rows once; a
+   chunk takes what it is sent in pieces of bounded size.
 5. Components are found by hooking and pointer jumping on tables; nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,10 @@ BLOCK_SETS = 4096
 LOOK, OFTEN = 1 << 22, 2
 #: Fixed bound of the list of frequent tokens that orders prefixes; it only affects speed.
 FREQUENT = 1 << 17
+#: Sets that post a token, from which on its blocks come from counts by size instead of a window over the token.
+HOT = 1 << 20
+#: Copies of a set seen in one task before further ones are salted, and the salts.
+COPIES, SALTS = 8, 251
 FANOUT = 8
 
 
@@ -70,46 +78,53 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return tokens, bounds, ids.view(np.int64)
 
 
-def _scan(text: str, ident: str, words: int):
-    """Per document (kind 0): id, set id, set size; (kind 1): tokens that one look saw often, with their count."""
-    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("sid", pa.int64()), ("n", pa.int64())])
+def _scan(words: int):
+    """Per document (kind 0): row key, id, set id, set size, salt; (kind 1): tokens that one look saw often, with their count.
+
+    The salt is 0 for the first copies of a set in a task, so that others can be joined by (set, salt).
+    """
+    schema = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("salt", pa.int32())])
 
     def often(looked: list[np.ndarray]) -> pa.RecordBatch | None:
         token, count = np.unique(np.concatenate(looked), return_counts=True)
         keep = count >= OFTEN
         token, count = token[keep].view(np.int64), count[keep]
-        none = pa.nulls(len(token), pa.int64())
-        return pa.record_batch([pa.array(np.ones(len(token), np.int32)), none, pa.array(token), pa.array(count)], schema=schema) if len(token) else None
+        none, zero = pa.nulls(len(token), pa.int64()), np.zeros(len(token), np.int32)
+        return pa.record_batch([pa.array(zero + 1), none, none, pa.array(token), pa.array(count), pa.array(zero)], schema=schema) if len(token) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        looked, size, seen = [], 0, set()
+        looked, size, seen = [], 0, Counter()
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            ids = batch.column(ident).cast(pa.int64())
-            for i, j, data, offsets in kit.text_slices(batch.column(text)):
+            rows, ids = batch.column("row"), batch.column("doc")
+            for i, j, data, offsets in kit.text_slices(batch.column("text")):
                 tokens, bounds, sid = shingle_sets(data, offsets, words)
                 n = np.diff(bounds)
-                yield pa.record_batch([pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array(sid), pa.array(n)], schema=schema)
-                fresh = np.zeros(j - i, bool)
+                fresh, salt = np.zeros(j - i, bool), np.zeros(j - i, np.int32)
                 for k, s in enumerate(sid.tolist()):
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[k] = True
+                    before = seen[s]
+                    seen[s] = before + 1
+                    fresh[k] = not before
+                    if before >= COPIES:
+                        salt[k] = 1 + (part + before // 256) % SALTS
+                yield pa.record_batch([pa.array(np.zeros(j - i, np.int32)), rows.slice(i, j - i), ids.slice(i, j - i), pa.array(sid), pa.array(n), pa.array(salt)], schema=schema)
                 looked.append(tokens[np.repeat(fresh, n)])
                 size += len(looked[-1])
                 if size >= LOOK:
                     if (out := often(looked)) is not None:
                         yield out
-                    looked, size, seen = [], 0, set()
+                    looked, size, seen = [], 0, Counter()
         if looked and (out := often(looked)) is not None:
             yield out
 
     return run
 
 
-def _prefixes(text: str, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """(token, n, most, sid) for the rarest n - need + 1 tokens of every set, once per set and task.
+def _prefixes(text: str, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, hot: int):
+    """(token, n, most, sid, hot) for the rarest n - need + 1 tokens of every set, once per set and task.
 
-    most is the size of the largest set that can link with this one and share none of its earlier tokens.
+    most is the size of the largest set that can link with this one and share none of its earlier tokens;
+    hot tells tokens known to stand in so many sets or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +142,19 @@ def _prefixes(text: str, words: int, percent: int, frequent: np.ndarray, rank: n
                 tokens, owner = tokens[fresh[owner]], owner[fresh[owner]]
                 if not len(tokens):
                     continue
+                often = np.zeros(len(tokens), np.int64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
                     often = np.where(frequent[at] == tokens, rank[at], 0)
                     order = np.lexsort((tokens, often, owner))
-                    tokens, owner = tokens[order], owner[order]
+                    tokens, owner, often = tokens[order], owner[order], often[order]
                 start = np.searchsorted(owner, np.arange(len(n)))
                 place = np.arange(len(tokens)) - start[owner]
                 keep = place <= n[owner] - -(-percent * n[owner] // 100)
                 size = n[owner[keep]]
                 # were this the first token shared with a set of m tokens, size - place >= need of (size + m) tokens
                 most = (100 + percent) * (size - place[keep]) // percent - size
-                yield pa.record_batch([pa.array(tokens[keep].view(np.int64)), pa.array(size), pa.array(most), pa.array(sid[owner[keep]])], ["token", "n", "most", "sid"])
+                yield pa.record_batch([pa.array(tokens[keep].view(np.int64)), pa.array(size), pa.array(most), pa.array(sid[owner[keep]]), pa.array(often[keep] >= hot)], ["token", "n", "most", "sid", "hot"])
 
     return run
 
@@ -310,10 +326,10 @@ class Block:
     def tree(self, first: int, end: int) -> SignatureTree:
         return SignatureTree(self.sizes[first:end], self.least[first:end], self.bitmaps[first:end])
 
-    def links(self, percent: int, known: np.ndarray | None = None, probes: int = 0) -> tuple[list[tuple[int, int]], np.ndarray]:
+    def links(self, percent: int, known: np.ndarray | None = None, senders: int = 0) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Links that, with the known components, connect all sets that pass the test, and the labels they give.
 
-        The first ``probes`` sets are compared with the others, and with nothing else; 0: all with all.
+        The first ``senders`` sets are compared with the others, and with nothing else; 0: all with all.
         """
         n, out = len(self.sizes), []
         forest = _Forest(n)
@@ -321,34 +337,21 @@ class Block:
             first: dict[int, int] = {}
             for k, label in enumerate(known.tolist()):
                 forest.join(first.setdefault(label, k), k)
-
-        def test(x: int, y: int) -> None:
-            if forest.root(x) != forest.root(y) and self.test(x, y):
-                forest.join(x, y)
-                out.append((x, y))
-
-        if n == 2:
-            test(0, 1)
-            return out, forest.labels()
-        if probes:
-            a, b = self.tree(0, probes), self.tree(probes, n)
-        else:
-            a = b = self.tree(0, n)
-            for x in range(1, n):
-                test(0, x)
-            for x, y in zip(a.order.tolist(), a.order[1:].tolist(), strict=False):
-                test(x, y)
+        a = self.tree(0, senders or n)
+        b = self.tree(senders, n) if senders else a
         cache: list = [-1, None]
 
         def labels():
             if cache[0] != len(out):
                 every = forest.labels()
-                cache[:] = [len(out), (a.uniform(every[:probes]), b.uniform(every[probes:])) if probes else (u := a.uniform(every), u)]
+                cache[:] = [len(out), (a.uniform(every[:senders]), b.uniform(every[senders:])) if senders else (u := a.uniform(every), u)]
             return cache[1]
 
-        for i, j in dual_pairs(a, b, labels, percent, not probes):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                test(x, y + probes)
+        for i, j in dual_pairs(a, b, labels, percent, not senders):
+            for x, y in zip(i.tolist(), (j + senders).tolist(), strict=True):
+                if forest.root(x) != forest.root(y) and self.test(x, y):
+                    forest.join(x, y)
+                    out.append((x, y))
         return out, forest.labels()
 
 
@@ -385,27 +388,56 @@ def _candidates(percent: int):
     return run
 
 
-def _exact(percent: int, crossed: bool):
-    """Links of all parts of blocks in a partition sorted by them; crossed rows also have a label and probe."""
+def _exact(percent: int):
+    """Links of all parts of blocks in a partition sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 3):
-            # a pivot may stand twice; a probe stays a member of its own chunk
-            once = {(r[0], r[3] if crossed else False): r for r in rows}
-            ordered = sorted(once.items(), key=lambda x: not x[0][1])
-            probes = sum(k[1] for k, _ in ordered)
-            if len(ordered) < 2 or crossed and not 0 < probes < len(ordered):
+            once = dict(rows)  # a pivot may stand twice
+            if len(once) < 2:
                 continue
-            sets = [np.frombuffer(r[1], np.uint64) for _, r in ordered]
-            known = np.array([r[2] for _, r in ordered]) if crossed else None
-            found, _ = Block.of_sets(sets, percent).links(percent, known, probes)
+            ids, sets = np.array(list(once)), [np.frombuffer(x, np.uint64) for x in once.values()]
+            found, _ = Block.of_sets(sets, percent).links(percent)
             if found:
-                ids, at = np.array([r[0] for _, r in ordered]), np.array(found)
+                at = np.array(found)
                 yield pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
     return run
 
 
+def _crossed(percent: int, piece: int):
+    """Links between a chunk's own sets and those it is sent, which follow them in the partition, piece by piece."""
+
+    def meet(own: dict, sent: dict) -> pa.RecordBatch | None:
+        if not own or not sent:
+            return None
+        rows = [*sent.items(), *own.items()]
+        sets = [np.frombuffer(tokens, np.uint64) for _, (tokens, _) in rows]
+        found, _ = Block.of_sets(sets, percent).links(percent, np.array([label for _, (_, label) in rows]), len(sent))
+        if not found:
+            return None
+        ids, at = np.array([sid for sid, _ in rows]), np.array(found)
+        return pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, sent, size = None, {}, {}, 0
+        for batch in batches:
+            for *key, is_sent, sid, tokens, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at or len(sent) >= piece or size >= 8 * BLOCK_TOKENS:
+                    if (made := meet(own, sent)) is not None:
+                        yield made
+                    sent, size = {}, 0
+                    if key != at:
+                        at, own = key, {}
+                if is_sent:
+                    size += len(tokens)
+                (sent if is_sent else own)[sid] = (tokens, label)
+        if (made := meet(own, sent)) is not None:
+            yield made
+
+    return run
+
+
 # --- Spark -------------------------------------------------------------------------------
 
 
@@ -424,75 +456,90 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_components(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 5, percent: int = 75) -> DataFrame:
-    """(ident, n_shingles, class_id, component_id), one row per input row.
-
-    Texts without words and null texts have no shingles and link with nothing. Repeated rows
-    are repeated in the result. A null id stays null; a text that stands only in such rows gets a
-    class and no links (class_id and component_id null). An empty table gives an empty result. Other columns are not looked at.
-    """
-    spark = df.sparkSession
-    docs = df.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
-    scanned = kit.stage(map_arrow(docs, _scan("text", "doc", words), "kind int, doc long, sid long, n long"))
-    members = scanned.filter("kind = 0").select("doc", "sid", "n")
-    top = scanned.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
-    frequent = top["sid"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    prefixes = _prefixes("text", words, percent, frequent[order], top["n"].to_numpy(np.int64)[order])
-
-    posted = map_arrow(docs.select("text"), prefixes, "token long, n long, most long, sid long")
+def _blocks(posted: DataFrame, percent: int, any_hot: bool) -> DataFrame:
+    """(block, sid, n): sets that may link by a token they post, in blocks named by one of their sets."""
     # a token's sets by size: where all before are too small, or have it too late, no pair across can link by it
     by_size = Window.partitionBy("token").orderBy("n", "sid")
     reach = F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(reach < F.col("n"), F.lit(True))
-    runs = posted.withColumn("start", start)
+    runs = posted.filter("not hot").withColumn("start", start)
     first = F.max(F.when(F.col("start"), F.struct("n", "sid"))).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
     runs = runs.withColumns({"first": first, "alone": F.col("start") & F.coalesce(F.col("most") < F.lead("n").over(by_size), F.lit(True))})
-    blocks = kit.stage(runs.filter("not alone").select(F.col("first.sid").alias("block"), "sid", "n").distinct())
+    blocks = runs.filter("not alone").select(F.col("first.sid").alias("block"), "sid", "n")
+    if any_hot:
+        # sizes that link lie in one cell or in neighbours, so a block takes a cell's sets and those of the next one
+        cell = F.floor(F.log(F.col("n").cast("double")) / (max(math.log(100 / percent), 1e-3) * 1.0001)).cast("int")
+        celled = posted.filter("hot").select("token", cell.alias("cell"), "sid", "n")
+        named = kit.stage(celled.groupBy("token", "cell").agg(F.min("sid").alias("block")))
+        both = celled.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)))
+        blocks = blocks.unionByName(both.join(kit.sized(named), ["token", "cell"]).select("block", "sid", "n"))
+    return blocks.distinct()
+
+
+def jaccard_components(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 5, percent: int = 75, row: str | None = None) -> DataFrame:
+    """(ident, n_shingles, class_id, component_id), one row per input row.
+
+    Texts without words and null texts have no shingles and link with nothing: their ids are their own.
+    Repeated rows are repeated in the result. A null id stays null and links as any other; class_id and
+    component_id are the smallest ids that aren't null, or null where there is none. An empty table gives
+    an empty result. Other columns are not looked at, but for row: a column of unique long keys of a staged
+    df, which is staged with such a key otherwise.
+    """
+    docs = df.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    docs = docs if row else kit.stage(docs)
+    scanned = kit.stage(map_arrow(docs, _scan(words), "kind int, row long, doc long, sid long, n long, salt int"))
+    members = scanned.filter("kind = 0").drop("kind")
+    classes = kit.stage(members.filter("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.min("doc").alias("class_id")))
+    top = scanned.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
+    frequent = top["sid"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    prefixes = _prefixes("text", words, percent, frequent[order], top["n"].to_numpy(np.int64)[order], HOT)
+    posted = map_arrow(docs.select("text"), prefixes, "token long, n long, most long, sid long, hot boolean")
+    blocks = kit.stage(_blocks(posted, percent, bool(len(top)) and int(top["n"].max()) >= HOT))
 
     size = blocks.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).filter("sets > 1")
     size = size.select("block", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int").alias("chunks"))
-    placed = blocks.join(size, "block")
+    placed = kit.stage(blocks.join(size, "block"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """The text of one document of each class."""
-        chosen = members.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("doc")).select("doc")
-        return kit.sized_join(docs.filter("doc is not null"), chosen, "doc", "left_semi")
+        chosen = kit.stage(classes.join(wanted.select("sid").distinct(), "sid", "left_semi").select("row"))
+        return kit.sized_join(docs, chosen, "row", "left_semi")
 
     # bitmaps first; a split block goes on whole
     small = placed.filter("chunks = 1")
-    bits = map_arrow(texts_of(small), _bitmaps("text", words), "sid long, least long, bits binary")
+    bits = map_arrow(texts_of(small).select("text"), _bitmaps("text", words), "sid long, least long, bits binary")
     ready = kit.sized_join(bits, small, "sid", "inner").select("block", "sid", "n", "least", "bits").repartition("block").sortWithinPartitions("block", "sid")
     near = map_arrow(ready, _candidates(percent), "block long, sub long, sid long").withColumn("chunks", F.lit(1))
     near = kit.stage(near.unionByName(placed.filter("chunks > 1").select("block", F.col("block").alias("sub"), "sid", "chunks")))
 
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-    sets = map_arrow(texts_of(near), _sets("text", words), "sid long, tokens binary")
+    sets = map_arrow(texts_of(near).select("text"), _sets("text", words), "sid long, tokens binary")
     rows = near.withColumn("chunk", F.explode(F.when(F.col("sid") == F.col("block"), every).otherwise(F.array(own))))
     part = ["block", "sub", "chunk"]
-    ready = kit.sized_join(sets, rows, "sid", "inner").select(*part, "sid", "tokens").repartition(*part).sortWithinPartitions(*part, "sid")
-    links = kit.stage(map_arrow(ready, _exact(percent, False), "a long, b long"))
+    ready = kit.sized_join(sets, rows.select(*part, "sid"), "sid", "inner").select(*part, "sid", "tokens").repartition(*part).sortWithinPartitions(*part, "sid")
+    links = kit.stage(map_arrow(ready, _exact(percent), "a long, b long"))
     labels = components(links)
 
     split = near.filter("chunks > 1")
     if not split.isEmpty():
         named = kit.stage(split.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
         main = named.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        rest = named.join(main, "block").withColumn("probe", F.col("label") != F.col("main"))
-        stay = rest.select("block", "sub", own.alias("chunk"), "sid", "label", F.lit(False).alias("probe"))
-        sent = rest.filter("probe").select("block", "sub", F.explode(every).alias("chunk"), "sid", "label", "probe")
-        touched = rest.filter("probe").select("block").distinct()
-        ready = stay.join(touched, "block", "left_semi").unionByName(sent).join(sets, "sid").select(*part, "sid", "tokens", "label", "probe")
-        ready = ready.repartition(*part).sortWithinPartitions(*part, "sid")
-        labels = components(links.unionByName(kit.stage(map_arrow(ready, _exact(percent, True), "a long, b long"))))
-
-    # names: classes by their smallest id, components by the smallest of their classes' ids
-    classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc").alias("class_id"))
+        rest = kit.stage(named.join(main, "block").withColumn("sent", F.col("label") != F.col("main")).drop("main"))
+        sent = rest.filter("sent").select("block", "sub", F.explode(every).alias("chunk"), "sent", "sid", "label")
+        stay = rest.select("block", "sub", own.alias("chunk"), F.lit(False).alias("sent"), "sid", "label")
+        ready = stay.join(rest.filter("sent").select("block").distinct(), "block", "left_semi").unionByName(sent).join(sets, "sid")
+        # own sets first, then those sent
+        ready = ready.select(*part, "sent", "sid", "tokens", "label").repartition(*part).sortWithinPartitions(*part, "sent", "sid")
+        labels = components(links.unionByName(kit.stage(map_arrow(ready, _crossed(percent, BLOCK_SETS), "a long, b long"))))
+
+    # components are named by the smallest of their classes' ids; copies of one set are spread by their salts
     classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     names = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(names, "label").select("sid", "class_id", "component_id")
-    full = members.filter("n > 0").join(classes, "sid", "left")
+    named = classes.join(names, "label").select("sid", "class_id", "component_id")
+    salted = members.filter("n > 0").select("sid", "salt").distinct().join(named, "sid")
+    full = members.filter("n > 0").join(salted, ["sid", "salt"], "left")
     empty = members.filter("n = 0").withColumns({"class_id": F.col("doc"), "component_id": F.col("doc")})
     return full.select("doc", "n", "class_id", "component_id").unionByName(empty.select("doc", "n", "class_id", "component_id")).select(
         F.col("doc").alias(ident), F.col("n").alias("n_shingles"), "class_id", "component_id"

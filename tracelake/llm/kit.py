@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tracelake.plans.shared import shared_dir
 
-SLICE = 1 << 20
-#: Rows of a side that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 250_000
+SLICE = 1 << 19
+#: Bytes of a side that may be broadcast (values and ROW_BYTES for each row); larger sides are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 16
 #: The column of keyed().
 ROW = "_row_key"
 
@@ -50,9 +50,20 @@ def keyed(df: DataFrame) -> DataFrame:
     return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined with small, which is broadcast if it has at most limit rows and shuffled beyond."""
-    return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
+def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a hint to broadcast it if its values have at most limit bytes, else as it is.
+
+    Its size is computed, so a costly one is to be staged before.
+    """
+    wide = {"string", "binary"}
+    fixed = ROW_BYTES + 8 * sum(t not in wide for _, t in small.dtypes)
+    size = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in small.dtypes if t in wide), F.lit(fixed))
+    return F.broadcast(small) if (small.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else small
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    """big joined with small, which is broadcast if it is small enough and shuffled else."""
+    return big.join(sized(small), on, how)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -64,6 +75,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 # --- numpy -------------------------------------------------------------------------------
 
 
+def byte_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of consecutive rows of a text or binary column with about limit bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield first, end
+        first = end
+
+
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of consecutive rows; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,26 +134,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
-        for k, base in enumerate((_R, _R_INVERSE)):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of an odd number and of its inverse, modulo 2**64; those for a slice are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_R, _R_INVERSE):
+        step = np.full(max(n, SLICE + 1), base, np.uint64)
+        step[0] = 1
+        made.append(np.cumprod(step, out=step))
+    if n <= SLICE + 1:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:end] for all pairs at once, from one prefix sum."""
     power, inverse = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:-1], dtype=np.uint64, out=sums[1:])
+    np.multiply(values, power[:-1], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return rolling(data.astype(np.uint64) + np.uint64(1), starts, ends)
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    return rolling(values, starts, ends)
 
 
 def window_hashes(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -65,9 +65,7 @@ def mix_plan(
     # equal parts of the key's first 32 bits: the order of the cells is the order of the keys
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     same = F.col("r.source").eqNullSafe(F.col("s.source"))
-    few = sizes.limit(kit.BROADCAST_ROWS + 1).count() <= kit.BROADCAST_ROWS
-    right = sizes.alias("s")
-    joined = rows.alias("r").join(F.broadcast(right) if few else right, same)
+    joined = rows.alias("r").join(kit.sized(sizes).alias("s"), same)
     celled = joined.select("r.id", "r.source", "size", "key", *own, "source_size", "target", F.shiftright(part * F.col("cells"), 32).cast("int").alias("cell"))
     sums = celled.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
     up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

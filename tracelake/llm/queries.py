@@ -25,7 +25,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Tokens and digests of every row of docs, encoded and decoded."""
     path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = bpe.bpe_round_trip(docs.select("doc_id", "text"), path).drop("text")
     return coded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
@@ -56,7 +56,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = repetition.repetition_rules(kit.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *(f"dup_chars_{n}" for n in repetition.LIMITS))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", "dup_mark_chars", *(f"dup_chars_{n}" for n in repetition.LIMITS))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

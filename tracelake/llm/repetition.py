@@ -2,7 +2,9 @@
 
 Rolling hashes of n-grams of several lengths, computed in numpy for a slice of whole documents at a
 time, mark the words inside n-grams that stand more than once in their document; the share of
-characters in them, and in repeated lines, is held against fixed limits.
+characters in them, and in repeated lines, is held against fixed limits. The same is done for the
+sequence of a document's marks alone (letters, digits and blanks left out), where boilerplate and
+noise repeat themselves between words that don't.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from tracelake.llm import kit
 from tracelake.plans.ship import map_arrow
 
 #: Largest share of characters inside repeated n-grams, by n, and in repeated lines.
-LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
+LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINE_LIMIT = 0.30
-#: Largest share of symbols among the characters in words.
-SYMBOL_LIMIT = 0.05
+#: Marks of an n-gram of them, and the largest share of characters inside repeated ones.
+MARKS, MARK_LIMIT = 6, 0.06
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+MARK = np.zeros(256, bool)
+MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 LINE_BREAK = np.zeros(256, bool)
 LINE_BREAK[10] = True
 
@@ -42,6 +46,16 @@ def _repeated(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return many, later
 
 
+def covered(tokens: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Whether each token lies in a window of so many that stands more than once in its document."""
+    first, keys = kit.window_hashes(tokens, doc, length)
+    hit = first[_repeated(keys, doc[first])[0]]
+    if not len(hit):
+        return np.zeros(len(doc), bool)
+    edge = np.bincount(hit, minlength=len(doc) + 1) - np.bincount(hit + length, minlength=len(doc) + 1)
+    return np.cumsum(edge)[: len(doc)] > 0
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = tuple(LIMITS)) -> dict[str, np.ndarray]:
     """The counts of each document of a slice."""
     n = len(offsets) - 1
@@ -53,16 +67,13 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = tu
     out = {"n_words": per_doc(doc), "word_chars": per_doc(doc, chars), "n_symbols": per_doc(np.searchsorted(offsets, symbols, "right") - 1)}
     hashes = kit.word_hashes(data, starts, ends)
 
-    def covered(length: int) -> np.ndarray:
-        first, keys = kit.window_hashes(hashes, doc, length)
-        hit = first[_repeated(keys, doc[first])[0]]
-        edge = np.bincount(hit, minlength=len(doc) + 1) - np.bincount(hit + length, minlength=len(doc) + 1)[: len(doc) + 1] if len(hit) else np.zeros(len(doc) + 1, np.int64)
-        return np.cumsum(edge)[: len(doc)] > 0
-
-    out["n_repeat_words"] = per_doc(doc[covered(WINDOW)])
+    out["n_repeat_words"] = per_doc(doc[covered(hashes, doc, WINDOW)])
     for length in lengths:
-        inside = covered(length)
+        inside = covered(hashes, doc, length)
         out[f"dup_chars_{length}"] = per_doc(doc[inside], chars[inside])
+    marks = np.flatnonzero(MARK[data])
+    mark_doc = np.searchsorted(offsets, marks, "right") - 1
+    out["dup_mark_chars"] = per_doc(mark_doc[covered(data[marks].astype(np.uint64) + np.uint64(1), mark_doc, MARKS)])
     # lines: whole bytes between line breaks; only those with a word count
     at, to, line_doc = kit.spans(data, offsets, LINE_BREAK)
     words_before = lambda x: np.searchsorted(starts, x)
@@ -79,13 +90,13 @@ def verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base failed, kept) from the counts."""
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
     chars = np.maximum(m["word_chars"], 1)
-    good = (m["dup_line_chars"] <= LINE_LIMIT * chars) & (m["n_symbols"] <= SYMBOL_LIMIT * chars)
+    good = (m["dup_line_chars"] <= LINE_LIMIT * chars) & (m["dup_mark_chars"] <= MARK_LIMIT * chars)
     for length, limit in LIMITS.items():
         good &= m[f"dup_chars_{length}"] <= limit * chars
     return failed, ~failed & good
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in LIMITS))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", "dup_mark_chars", *(f"dup_chars_{n}" for n in LIMITS))
 
 
 def repetition_rules(df: DataFrame, text: str = "text") -> DataFrame:
