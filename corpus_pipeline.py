@@ -26,7 +26,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (null last) of each group of near duplicates, repeated rows among them; those without words stay."""
     rows = kit.keyed(docs)
-    groups = jaccard.jaccard_components(rows, ident=kit.ROW).select(kit.ROW, "component_id")
+    groups = jaccard.jaccard_components(rows, ident=kit.ROW, row=kit.ROW).select(kit.ROW, "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", kit.ROW)).alias("first")
     kept = groups.join(rows.select(kit.ROW, "doc_id"), kit.ROW).groupBy("component_id").agg(first).select(f"first.{kit.ROW}")
     return rows.join(kept, kit.ROW, "left_semi").select(docs.columns)
