@@ -50,22 +50,45 @@ def test_rules_keep_clean_documents(spark):
     assert kept[1] > 0.98 and kept[0] < 0.1
 
 
-@pytest.mark.parametrize("levels", [[0, 0, 4, 0, 3, 4, 0, 0], [2], [4, 4], [0, 0, 1], [3, 0, 0, 0, 0, 2]])
-def test_marginals_twin(levels):
-    field = toxicity.Field(weights=np.array([-2.0, 0.3, 1.0, 2.0, 3.0, -1.0, 0.5, 1.2, -0.7]))
-    evidence, trans, start = field.parts()
-    total, one = 0.0, np.zeros(len(levels))
-    for y in itertools.product((0, 1), repeat=len(levels)):
-        p = start if y[0] else 1.0
-        for t, v in enumerate(levels):
-            p *= evidence[v] if y[t] else 1.0
-            p *= trans[y[t - 1], y[t]] if t else 1.0
-        total += p
-        one += p * np.array(y)
-    level = np.array([0, 0, *levels], np.int8)  # a document before it
-    hit, p = field.marginals(level, np.array([0, 0] + [1] * len(levels)), 2)
-    assert [h - 2 for h in hit.tolist()] == [k for k, v in enumerate(levels) if v]
-    assert p == pytest.approx([one[k] / total for k, v in enumerate(levels) if v])
+@pytest.mark.parametrize("seen", [[[], [], [0], [], [1, 2], [0], [], []], [[2]], [[0], [1]], [[], [], [], [2]], [[1], [], [], [], [], [], [0, 1]], [[], []]])
+def test_marginals_twin(seen):
+    """Log of the sum over all labellings and marginals, against all labellings of a document behind another one."""
+    field = toxicity.Field(np.array([11, 22, 33], np.uint64), np.array([1.3, -0.4, 2.0]))
+    field.chain = np.array([-2.0, -1.0, 0.5, 1.2, -0.7])
+    plain, w01, w10, w11, start = field.chain
+    step = {(0, 0): 0.0, (0, 1): w01, (1, 0): w10, (1, 1): w11}
+    total, one = 0.0, np.zeros(len(seen))
+    for y in itertools.product((0, 1), repeat=len(seen)):
+        z = start * y[0] + sum(y[t] * (plain + field.weights[v].sum()) for t, v in enumerate(seen)) + sum(step[a] for a in itertools.pairwise(y))
+        total += np.exp(z)
+        one += np.exp(z) * np.array(y)
+    every = [[], [0], *seen]  # a document of two tokens before it
+    hashes = [np.array([field.keys[v[k]] if k < len(v) else 0 for v in every], np.uint64) for k in range(2)]
+    doc = np.array([0, 0] + [1] * len(seen))
+    hit, p = field.marginals(hashes, doc, 2)
+    own = [k for k, v in enumerate(seen) if v]
+    assert [h - 2 for h in hit.tolist()][1:] == own and p[1:] == pytest.approx([one[k] / total for k in own])
+    token, feature = field.found(hashes)
+    hit, token = np.unique(token, return_inverse=True)
+    chains = toxicity.Chains(np.array([2, len(seen)]), doc[hit], hit - np.array([0, 2])[doc[hit]])
+    log_z, _ = field._run(chains, field.emission(token, feature, len(hit)), field.chain, False)
+    assert log_z[chains.by_hits.tolist().index(1)] == pytest.approx(np.log(total))
+
+
+def test_chain_is_fitted_to_documents(spark):
+    """On rows held out, tags differ from what a list of the same features' log odds says, and documents are told better."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = toxicity.train(docs, labels)
+    assert len(field.keys) and field.chain[3] - field.chain[1] > 0.5
+    got = queries.op8_toxicity(spark, sf).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
+    out = [r for r in got if r.held_out]
+    assert {r.held_out for r in got} == {True, False} and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert np.mean([r.predicted == r.toxic for r in out]) > 0.93
+    assert not [r for r in out if r.predicted and not r.toxic]
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
 def test_toxicity_on_held_out_rows(spark, docs):
