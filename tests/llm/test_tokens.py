@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import EDGES
 from tracelake.llm import bpe, idfile, queries
 
@@ -93,3 +95,63 @@ def test_op5_files(spark, sf_dir):
         e = np.array(lib.encode(text, add_special_tokens=False).ids + [2], "<u4").tobytes()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(e) // 4, zlib.crc32(e))
         start += len(e) // 4
+
+
+def test_mixing_beats_the_counts_of_single_ids(spark):
+    own = idfile.encoder(WORDS)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    x = np.frombuffer(b"".join(own.encode(texts, 2)), "<u4").astype(np.int64)
+    share = np.bincount(x)[np.unique(x)] / len(x)
+    plain = -(share * np.log2(share)).sum() * len(x) / 8
+    assert len(idfile.encode_block(x, own.vocabulary)) < 0.95 * plain
+
+
+def test_probability_is_the_sum_over_the_orders():
+    """Widths of a row against the weighted counts, computed one by one; rows and the rest fill the whole line."""
+    seen = np.random.default_rng(3).zipf(1.5, (60, 40)).astype(np.int64) % 50
+    m, v = idfile._Model(seen, 50), 50
+    plain = [1 + int((seen == k).sum()) * ((1 << 20) - 1) // seen.size for k in range(v)]
+    pairs = list(zip(seen[:-1].ravel().tolist(), seen[1:].ravel().tolist(), strict=True))
+    triples = list(zip(seen[:-2].ravel().tolist(), seen[1:-1].ravel().tolist(), seen[2:].ravel().tolist(), strict=True))
+
+    def two(b, x):
+        after = [y for a, y in pairs if a == b]
+        trust = len(after) / (len(after) + len(set(after)))
+        return trust * after.count(x) / len(after) + (1 - trust) * plain[x] / sum(plain)
+
+    for a, b in ((1, 1), (1, 2), (3, 1)):
+        after = [y for p, q, y in triples if (p, q) == (a, b)]
+        assert len(after) >= idfile.SEEN
+        trust = len(after) / (len(after) + 2 * len(set(after)))
+        row = m.rows_of(np.full(v, a), np.full(v, b))
+        start, width, start0, width0, total0 = m.intervals(row, np.arange(v))
+        listed = np.flatnonzero(width0 == 0)
+        want = [trust * after.count(x) / len(after) + (1 - trust) * two(b, x) for x in listed]
+        assert width[listed] / (1 << 20) == pytest.approx(want, abs=1e-4) and len(listed) == idfile.TOP
+        line = sorted((int(s), int(w)) for s, w in zip(start[listed], width[listed], strict=True))
+        assert [s for s, _ in line] == [sum(w for _, w in line[:k]) for k in range(len(line))]
+        rest = np.flatnonzero(width0)
+        line = sorted((int(s), int(w)) for s, w in zip(start0[rest], width0[rest], strict=True))
+        assert [s for s, _ in line] == [sum(w for _, w in line[:k]) for k in range(len(line))] and sum(w for _, w in line) == total0[0]
+
+
+def test_id_files_of_edges(spark, docs, tmp_path):
+    lib = Tokenizer.from_file(WORDS)
+    df = docs(*EDGES).withColumn("start", F.lit("x")).withColumn("seq", F.lit(1)).withColumn("part", F.lit("y"))
+    idfile.write_id_files(df, WORDS, str(tmp_path / "a"))
+    got = sorted(idfile.read_id_files(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+    want = sorted((str(i), lib.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in EDGES)
+    assert sorted((str(r.doc_id), ids(r.ids)) for r in got) == want
+    idfile.write_id_files(df.limit(0), WORDS, str(tmp_path / "b"))
+    assert idfile.read_id_files(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_bpe_takes_clashing_names(docs):
+    df = docs(*EDGES).withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    rows = bpe.bpe_round_trip(df, BYTES).collect()
+    assert len(rows) == len(EDGES) and all(r.decoded == (r.text or "") and r.n_tokens == 2 for r in rows)
+    assert all(r.decoded == (r.text or "") for r in bpe.bpe_decode(bpe.bpe_encode(df, BYTES), BYTES).collect())
+    assert len(queries.bpe_digests(df).collect()) == len(EDGES)

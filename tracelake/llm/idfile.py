@@ -3,9 +3,13 @@
 A file is a row of segments; a segment holds whole documents (ids, lengths) and blocks of token ids.
 Blocks are reset and checksummed on their own. A block lays its ids out in lanes, each a run of
 consecutive ids with its own range coder; all lanes share one model and advance together, which lets
-numpy code a step of every lane at once. The model mixes three predictions: the id that last followed
-the two ids before (order 2), the id that last followed the id before (order 1), each with a share
-that its confidence has earned so far, and the counts of all ids (order 0) with the rest.
+numpy code a step of every lane at once.
+
+The model counts the ids coded so far by their two last ids (order 2), by the last one (order 1) and
+alone (order 0), and is made anew when four times as many have been seen. An id's probability is the sum over the
+orders of what each gives it, weighted by how often its context was seen and how many different ids followed. The
+sums of a context's likeliest ids lie in one row of a table; an id outside that row is coded by the
+rest of the row and then by the order-0 counts of ids that aren't in it.
 """
 
 from __future__ import annotations
@@ -25,97 +29,205 @@ from tracelake.llm import kit
 from tracelake.plans.ship import map_arrow
 
 MAGIC = b"TLID"
-LANES, STEPS = 2048, 512
+LANES, STEPS = 4096, 256
 BLOCK_IDS = LANES * STEPS
 #: Words kept by a worker; beyond that it starts afresh.
-KEPT_WORDS = 400_000
-#: Shares are out of 2**12; order-0 counts stay below 2**19, so a total is below 2**31.
-SHARE, COUNT_LIMIT, GAIN, REFRESH = 12, 1 << 19, 24, 8
+KEPT_WORDS = 300_000
+#: Ids of a row, and the least number of times that an order-2 context was seen to have one.
+TOP, SEEN = 16, 4
+#: Probabilities are parts of 2**SCALE; the table of order-2 rows has 2**HASH places.
+SCALE, HASH = 20, 17
+_ONE = 1 << SCALE
+_LEAST = 1 << 10
+#: Steps whose intervals are looked up together.
+_AHEAD = 16
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
-_CONFIDENT = 3
+
+
+def _best(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether each entry is among the TOP of its row by weight, the first of equal ones; rows are consecutive."""
+    n = len(row)
+    size = np.bincount(row)
+    some = np.flatnonzero(size[row] > TOP)
+    keep = np.ones(n, bool)
+    if len(some):
+        key = np.sort(row[some] << 42 | (_ONE - weight[some]) << 21 | np.arange(len(some)))  # no two are equal
+        own = key >> 42
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        keep[some[key[place >= TOP] & (1 << 21) - 1]] = False
+    return keep
+
+
+def _counted(keys: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, their counts, the number of each one's group (key // group), and the groups' counts."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    of = keys // group
+    own = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys, n, own, np.bincount(own, n).astype(np.int64)
 
 
 class _Model:
-    """What coder and decoder both know before a step, and how a step changes it."""
-
-    def __init__(self, ids: int, lanes: int):
-        self.counts = np.ones(ids, np.int64)
-        self.sums()
-        self.guess = [np.zeros(1 << 16, np.int64), np.zeros(ids, np.int64)]
-        self.sure = [np.zeros(1 << 16, np.int64), np.zeros(ids, np.int64)]
-        self.hits = [np.ones(_CONFIDENT + 1) for _ in range(2)]
-        self.tries = [np.full(_CONFIDENT + 1, 2.0) for _ in range(2)]
-        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.step, self.seen = 0, []
-
-    def sums(self) -> None:
-        self.cum = np.concatenate([[0], np.cumsum(self.counts)])
-        self.total = int(self.cum[-1])
-
-    def predict(self) -> None:
-        """Contexts, guesses and shares of the next step."""
-        self.context = [(self.last2 * 40503 + self.last * 2654435761 >> 7) & 0xFFFF, self.last]
-        self.level = [self.sure[k][self.context[k]] for k in range(2)]
-        self.say = [self.guess[k][self.context[k]] for k in range(2)]
-        most = (1 << SHARE) - 64
-        share = [(h / t * most).astype(np.int64) for h, t in zip(self.hits, self.tries, strict=True)]
-        for s in share:
-            s[0] = 0
-        self.two = share[0][self.level[0]]
-        self.one = (((1 << SHARE) - self.two) * share[1][self.level[1]]) >> SHARE
-        self.rest = (1 << SHARE) - self.two - self.one
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k in range(2):
-            hit = self.say[k] == ids
-            self.hits[k] += np.bincount(self.level[k], hit, _CONFIDENT + 1)
-            self.tries[k] += np.bincount(self.level[k], minlength=_CONFIDENT + 1)
-            old = self.level[k]
-            self.sure[k][self.context[k]] = np.where(hit, np.minimum(old + 1, _CONFIDENT), np.maximum(old - 1, 0) + (old == 0))
-            self.guess[k][self.context[k]] = np.where(hit | (old > 1), self.say[k], ids)
-        self.last2, self.last = self.last, ids
-        self.seen.append(ids)
-        self.step += 1
-        if self.step % REFRESH == 0:
-            self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))
-            while self.counts.sum() >= COUNT_LIMIT:
-                self.counts = (self.counts + 1) >> 1
-            self.seen = []
-            self.sums()
+    """What coder and decoder both know after some steps of a block. All arithmetic is on integers."""
+
+    def __init__(self, seen: np.ndarray, vocabulary: int):
+        """seen: the ids so far, one row a step."""
+        self.vocabulary = vocabulary
+        counts = np.bincount(seen.ravel(), minlength=vocabulary)
+        self.plain = 1 + counts * (_ONE - 1) // max(1, seen.size)
+        self.below = np.concatenate([[0], np.cumsum(self.plain)])
+        self.total = int(self.below[-1])
+        # order 1
+        last = seen[:-1].ravel() * vocabulary
+        pairs, n, own, often = _counted(last + seen[1:].ravel(), vocabulary)
+        kinds = np.bincount(own, minlength=len(often))
+        context, ids = np.divmod(pairs, vocabulary)
+        trust = np.minimum(_ONE * often // (often + kinds), _ONE - _LEAST)
+        weight = np.maximum(trust[own] * n // often[own] + (_ONE - trust[own]) * self.plain[ids] // self.total, 1)
+        keep = _best(own, weight)
+        self.row = np.zeros(vocabulary, np.int64)
+        self.row[context] = 1 + own
+        rows, row_ids, row_weights = [1 + own[keep]], [ids[keep]], [weight[keep]]
+        n_rows = 1 + len(often)
+        # order 2: contexts seen often enough, mixed with the row of their last id
+        self.place = np.zeros(1 << HASH, np.int64)
+        self.key = np.full(n_rows, -1, np.int64)
+        if len(seen) > 2:
+            triples, m, own2, often2 = _counted((seen[:-2].ravel() * vocabulary + seen[1:-1].ravel()) * vocabulary + seen[2:].ravel(), vocabulary)
+            use = often2[own2] >= SEEN
+            triples, m, own2 = triples[use], m[use], (np.cumsum(often2 >= SEEN) - 1)[own2[use]]
+            often2 = often2[often2 >= SEEN]
+            known = np.zeros(len(often2), np.int64)
+            known[own2] = triples // vocabulary
+            trust2 = np.minimum(_ONE * often2 // (often2 + 2 * np.bincount(own2, minlength=len(often2))), _ONE - _LEAST)
+            lower = known % vocabulary
+            one = weight[np.searchsorted(pairs, triples % (vocabulary * vocabulary))]
+            mine = trust2[own2] * m // often2[own2] + ((_ONE - trust2[own2]) * one >> SCALE)
+            # the rows of the last ids, less the ids that have an entry already
+            size1 = np.bincount(rows[0], minlength=n_rows)
+            start1 = np.cumsum(size1) - size1
+            size, start = size1[self.row[lower]], start1[self.row[lower]]
+            base = np.repeat(np.arange(len(known)), size)
+            at = np.arange(len(base)) - np.repeat(np.cumsum(size) - size - start, size)
+            mine_keys, more_keys = own2 * vocabulary + triples % vocabulary, base * vocabulary + row_ids[0][at]
+            spot = np.minimum(np.searchsorted(mine_keys, more_keys), max(len(mine_keys) - 1, 0))
+            new = mine_keys[spot] != more_keys if len(mine_keys) else np.ones(len(more_keys), bool)
+            more = ((_ONE - trust2[base[new]]) * row_weights[0][at[new]]) >> SCALE
+            mixed = np.sort(np.concatenate([mine_keys << SCALE | np.clip(mine, 1, _ONE - 1), more_keys[new] << SCALE | np.maximum(more, 1)]))
+            own2, after = np.divmod(mixed >> SCALE, vocabulary)
+            mixed &= _ONE - 1
+            best = _best(own2, mixed)
+            rows.append(n_rows + own2[best])
+            row_ids.append(after[best])
+            row_weights.append(mixed[best])
+            self.place[self.slot(known)] = n_rows + np.arange(len(known))
+            self.key = np.concatenate([self.key, known])
+            n_rows += len(known)
+        rows, row_ids, row_weights = np.concatenate(rows), np.concatenate(row_ids), np.concatenate(row_weights)
+        size = np.bincount(rows, minlength=n_rows)
+        place = rows * TOP + np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+
+        def table(values: np.ndarray, none: int) -> np.ndarray:
+            out = np.full(n_rows * TOP, none, np.int32)
+            out[place] = values
+            return out
+
+        summed = lambda x: np.concatenate([np.zeros((n_rows, 1), np.int32), np.cumsum(x.reshape(n_rows, TOP), 1, dtype=np.int32)], 1).ravel()
+        #: Of each row: ids in ascending order (vocabulary: none), edges of their intervals, and the same ids' edges on the order-0
+        #: line: counts taken out before each, and where each would begin on the line without those before it.
+        self.ids = table(row_ids, vocabulary)
+        self.edges = summed(table(row_weights, 0))
+        self.taken = summed(table(self.plain[row_ids], 0))
+        self.begin = (self.below[self.ids] - self.taken.reshape(n_rows, TOP + 1)[:, :-1].ravel()).astype(np.int32)
+
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return (key * 0x2545F4914F6CDD1D & 0x7FFFFFFFFFFFFFFF) >> (63 - HASH)
+
+    @staticmethod
+    def rank(table: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """How many of the TOP ascending entries from base on are at most value."""
+        at = base.copy()
+        half = TOP >> 1
+        while half:
+            at += half * (table.take(at + (half - 1)) <= value)
+            half >>= 1
+        at += table.take(at) <= value
+        return at - base
+
+    def rows_of(self, last2: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The row of each context: order 2 if it has one, else order 1, else the empty row 0."""
+        key = last2 * self.vocabulary + last
+        row = self.place.take(self.slot(key))
+        return np.where(self.key.take(row) == key, row, self.row.take(last))
+
+    def intervals(self, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each id: start and width in its row, and in the order-0 line (width 0 if it is in the row) with its total."""
+        slot = self.rank(self.ids, row * TOP, ids)  # ids up to this one
+        at = row * (TOP + 1) + slot
+        inside = (slot > 0) & (self.ids.take(row * TOP + np.maximum(slot - 1, 0)) == ids)
+        edge, used = self.edges.take(at).astype(np.int64), self.edges.take(row * (TOP + 1) + TOP).astype(np.int64)
+        start = np.where(inside, self.edges.take(at - inside), used)
+        width = np.where(inside, edge, _ONE) - start
+        start0 = self.below.take(ids) - self.taken.take(at)
+        width0 = np.where(inside, 0, self.plain.take(ids))
+        return start, width, start0, width0, self.total - self.taken.take(row * (TOP + 1) + TOP).astype(np.int64)
+
+
+def _spread(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose top 16 bits are settled or that are out of range, which are made to settle."""
+    settled = (low ^ (low + span)) < _TOP
+    small = ~settled & (span < _BOTTOM)
+    if small.any():
+        span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+        settled |= small
+    return np.flatnonzero(settled)
+
+
+def _epochs(steps: int) -> list[tuple[int, int]]:
+    edges = [0, 1]
+    while edges[-1] < steps:
+        edges.append(4 * edges[-1])
+    return [(a, min(b, steps)) for a, b in zip(edges, edges[1:], strict=False) if a < steps]
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     n = len(ids)
-    lanes = max(1, min(LANES, -(-n // 64)))
+    lanes = max(1, min(LANES, -(-n // STEPS)))
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    flat = np.zeros(lanes * steps, np.int64)
+    flat[:n] = ids
+    grid = np.ascontiguousarray(flat.reshape(lanes, steps).T)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, at = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    model = _Model(vocabulary, lanes)
-    for now in grid:
-        model.predict()
-        total = model.total
-        by_two = (model.say[0] == now) & (model.two > 0)
-        by_one = (model.say[1] == now) & (model.one > 0) & ~by_two
-        start = np.where(by_two, 0, np.where(by_one, model.two * total, (model.two + model.one) * total + model.rest * model.cum[now]))
-        width = np.where(by_two, model.two * total, np.where(by_one, model.one * total, model.rest * model.counts[now]))
-        unit = span // np.uint64(total << SHARE)
-        low = low + unit * start.astype(np.uint64)
-        span = unit * width.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            small = ~settled & (span < _BOTTOM)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+    out, at = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+
+    def settle() -> None:
+        while len(go := _spread(low, span)):
             out[go, at[go]] = low[go] >> np.uint64(48)
             at[go] += 1
             low[go] <<= _WORD
             span[go] <<= _WORD
-        model.learn(now)
+
+    before = np.concatenate([np.zeros((2, lanes), np.int64), grid])
+    for a, b in _epochs(steps):
+        model = _Model(grid[:a], vocabulary)
+        for c in range(a, b, _AHEAD):
+            d = min(c + _AHEAD, b)
+            row = model.rows_of(before[c:d].ravel(), before[c + 1 : d + 1].ravel())
+            parts = [x.reshape(d - c, lanes) for x in model.intervals(row, grid[c:d].ravel())]
+            for start, width, start0, width0, total0 in zip(*parts, strict=True):
+                unit = span >> np.uint64(SCALE)
+                low += unit * start.view(np.uint64)
+                np.multiply(unit, width.view(np.uint64), out=span)
+                settle()
+                if len(rest := np.flatnonzero(width0)):
+                    unit = span[rest] // total0[rest].view(np.uint64)
+                    low[rest] += unit * start0[rest].view(np.uint64)
+                    span[rest] = unit * width0[rest].view(np.uint64)
+                    settle()
     for shift in (48, 32, 16, 0):
         out[np.arange(lanes), at] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         at += 1
@@ -138,37 +250,46 @@ def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = code << _WORD | words[at]
-        at = at + 1
+        at += 1
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    steps = -(-n // lanes) if lanes else 0
-    grid = np.zeros((steps, lanes), np.int64)
-    model = _Model(vocabulary, lanes)
-    for k in range(steps):
-        model.predict()
-        total = model.total
-        unit = span // np.uint64(total << SHARE)
-        place = np.minimum((code - low) // unit, np.uint64((total << SHARE) - 1)).astype(np.int64)
-        edge_two, edge_one = model.two * total, (model.two + model.one) * total
-        by_two, by_one = place < edge_two, (place >= edge_two) & (place < edge_one)
-        plain = np.searchsorted(model.cum, np.maximum(place - edge_one, 0) // model.rest, "right") - 1
-        now = np.where(by_two, model.say[0], np.where(by_one, model.say[1], plain))
-        start = np.where(by_two, 0, np.where(by_one, edge_two, edge_one + model.rest * model.cum[now]))
-        width = np.where(by_two, edge_two, np.where(by_one, edge_one - edge_two, model.rest * model.counts[now]))
-        low = low + unit * start.astype(np.uint64)
-        span = unit * width.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            small = ~settled & (span < _BOTTOM)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            span[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
+
+    def settle() -> None:
+        while len(go := _spread(low, span)):
             code[go] = code[go] << _WORD | words[at[go]]
             at[go] += 1
             low[go] <<= _WORD
             span[go] <<= _WORD
-        model.learn(now)
-        grid[k] = now
+
+    steps = -(-n // lanes)
+    grid = np.zeros((steps, lanes), np.int64)
+    last2 = last = np.zeros(lanes, np.int64)
+    for a, b in _epochs(steps):
+        model = _Model(grid[:a], vocabulary)
+        for k in range(a, b):
+            row = model.rows_of(last2, last)
+            unit = span >> np.uint64(SCALE)
+            spot = np.minimum((code - low) // unit, np.uint64(_ONE - 1)).view(np.int64)
+            base = row * (TOP + 1)
+            slot = model.rank(model.edges, base + 1, spot)
+            out = slot == TOP
+            first = model.edges.take(base + slot).astype(np.int64)
+            until = np.where(out, _ONE, model.edges.take(base + slot + ~out))
+            now = model.ids.take(row * TOP + slot - out).astype(np.int64)
+            low += unit * first.view(np.uint64)
+            np.multiply(unit, (until - first).view(np.uint64), out=span)
+            settle()
+            if len(rest := np.flatnonzero(out)):
+                own = row[rest]
+                total0 = model.total - model.taken.take(own * (TOP + 1) + TOP).astype(np.int64)
+                unit = span[rest] // total0.view(np.uint64)
+                spot = np.minimum((code[rest] - low[rest]) // unit, (total0 - 1).view(np.uint64)).view(np.int64)
+                skipped = model.taken.take(own * (TOP + 1) + model.rank(model.begin, own * TOP, spot))
+                now[rest] = found = np.searchsorted(model.below, spot + skipped, "right") - 1
+                low[rest] += unit * (model.below.take(found) - skipped).view(np.uint64)
+                span[rest] = unit * model.plain.take(found).view(np.uint64)
+                settle()
+            grid[k] = now
+            last2, last = last, now
     ids = np.ascontiguousarray(grid.T).ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("ids don't match their checksum")
@@ -218,6 +339,8 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {"": b""}
+        #: A special token that stands between strings encoded together, and its id.
+        self.mark = next(((t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip)), None)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
@@ -226,10 +349,19 @@ class LibraryEncoder:
             self.known = {"": b""}
         new = sorted(set().union(*words) - self.known.keys())
         for i in range(0, len(new), 4096):
-            found = self.library.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new[i : i + 4096], found, strict=True))
+            self.learn(new[i : i + 4096])
         last = np.array([end], "<u4").tobytes()
-        return [b"".join([self.known[w] for w in ws]) + last for ws in words]
+        known = self.known.__getitem__
+        return [b"".join(list(map(known, ws))) + last for ws in words]
+
+    def learn(self, words: list[str]) -> None:
+        together = [w for w in words if self.mark[0] not in w] if self.mark else []
+        if together:
+            ids = np.array(self.library.encode_batch_fast([self.mark[0].join(together)], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = 4 * np.flatnonzero(ids == self.mark[1]), ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(together, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True))
+        rest = [w for w in words if w not in self.known]
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
 
 
 @lru_cache(4)
@@ -240,8 +372,9 @@ def encoder(path: str) -> LibraryEncoder:
 def write_id_files(df: DataFrame, path: str, folder: str, end: int = 2, text: str = "text", ident: str = "doc_id") -> None:
     """Writes the token ids of all rows, in ascending order of ident, as segments in Parquet part files.
 
-    Null ids come first; rows with one id follow each other by text. A null or empty text has the end
-    id alone. Columns of the result: part, seq, before (ids of the part before the segment), n_ids, segment.
+    Null ids come first; rows with one id follow each other by a hash of the text, repeated ones repeatedly. A null or empty text has the end
+    id alone. An empty table gives files without segments. Other columns are not looked at. Columns of the
+    files: part, seq, before (ids of the part before the segment), n_ids, segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +388,8 @@ def write_id_files(df: DataFrame, path: str, folder: str, end: int = 2, text: st
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(ids)]), pa.array([segment], pa.binary())], ["part", "seq", "before", "n_ids", "segment"])
 
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                rows = batch.slice(i, 512)
+            for i, j in kit.byte_slices(batch.column("text")):
+                rows = batch.slice(i, j - i)
                 for d, ids in zip(rows.column("id").to_pylist(), enc.encode([t or "" for t in rows.column("text").to_pylist()], end), strict=True):
                     docs.append(d)
                     coded.append(ids)
@@ -269,7 +402,8 @@ def write_id_files(df: DataFrame, path: str, folder: str, end: int = 2, text: st
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    # rows of one id (or none) are told apart by their texts' hashes, so that many of them can be cut
+    ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     map_arrow(ordered, run, "part int, seq int, before long, n_ids long, segment binary").write.parquet(folder)
 
 
