@@ -1,7 +1,12 @@
+import base64
 import hashlib
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
 from tracelake.llm import media, queries, warc
@@ -30,12 +35,35 @@ def test_files_have_index_and_time():
     frames = media.encode_frames(rows, [16, 16, 8])
     us, back = media.read_avi(media.write_avi(frames, 16))
     assert us == 40_000 and back == frames
+    whole = media.write_avi(frames, 16)
+    assert media.read_avi(whole[: whole.index(b"idx1")]) == (40_000, frames)
+
+
+def test_op6_over_a_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op6_media(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        want = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert r.media_bytes > r.payload_bytes and len(r.media_sha256) == 64 and r.feature
+
+
+def test_clashing_media_columns(docs):
+    df = docs(*EDGES).withColumn("media", F.lit("x")).withColumn("frames", F.lit("y")).withColumn("feature", F.lit(1))
+    rows = media.read_media(media.pack_media(df)).collect()
+    assert len(rows) == len(EDGES) and all(r.frames >= 1 and r.feature.startswith("frames=") for r in rows)
 
 
 def test_shots_follow_the_histograms():
     a, b = np.eye(16)[0] * 100, np.eye(16)[9] * 100
     assert media.shots(np.array([a, a, a, b, b, b, a, a])) == [0, 3, 6]
     assert media.shots(np.array([a])) == [0]
+    # cuts after the first frame, after shots of one frame, and in succession
+    c = np.eye(16)[4] * 100
+    assert media.shots(np.array([a, b])) == [0, 1] and media.shots(np.array([a, b, c, c, a])) == [0, 1, 2, 4]
+    assert media.shots(np.array([a, a + b / 50, a, a + b / 50])) == [0]
 
 
 def test_clips_are_rows(docs):
@@ -60,6 +88,79 @@ def test_derivatives_are_linked():
     assert b"title: A & B" in facts and b"outlink: /z" in facts and b"sourceDigestChecked: true" in facts and b"language: fr" in facts
 
 
+class Reader(HTMLParser):
+    """Text and links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts, self.links, self.titles, self.lang = 0, [], [], [], None
+        self.in_title = False
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "a" and attrs.get("href"):
+            self.links.append(attrs["href"])
+        if tag == "html" and self.lang is None:
+            self.lang = attrs.get("lang") or ""
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden += 1
+        if tag == "title":
+            self.in_title = True
+        if tag in warc.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden -= 1
+        if tag == "title":
+            self.in_title = False
+        if tag in warc.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.titles.append(data)
+        elif not self.hidden:
+            self.parts.append(data.replace("\n", " "))
+
+
+def test_op10_against_the_standard_parser(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).collect()
+    assert len(rows) == 2 * len(pages) and len({r.record_id for r in rows}) == len(rows)
+    for r in rows:
+        page = pages[r.page_id]
+        twin = Reader()
+        twin.feed(page.html)
+        twin.close()
+        head, block = warc.parse(bytes(r.record))
+        assert (r.refers_to, r.target_uri, r.content_length) == (head["warc-refers-to"], page.url, len(block))
+        assert r.refers_to == warc.parse(warc.response(page.page_id, page.url, page.html, "1970-01-01T00:00:00Z"))[0]["warc-record-id"]
+        assert r.source_digest == "sha1:" + base64.b32encode(hashlib.sha1(page.html.encode()).digest()).decode()
+        if r.record_type == "conversion":
+            lines = [" ".join(x.split()) for x in "".join(twin.parts).split("\n")]
+            assert block.decode() == "\n".join(x for x in lines if x)
+        else:
+            facts = [x.split(": ", 1) for x in block.decode().split("\r\n") if x]
+            assert [v for k, v in facts if k == "outlink"] == twin.links
+            assert dict(facts).get("title") == " ".join("".join(twin.titles).split()) and dict(facts)["language"] == (twin.lang or "")
+
+
+@pytest.mark.parametrize("part", ["<a ", "<html ", "<title>", "<p ", "<!--", "<script ", "</script", "&#1", "<a href='", " \n", "<![", "<"])
+def test_hostile_pages_take_linear_time(part):
+    for tail in ("", ">", "-->"):
+        began = time.process_time()
+        warc.derive(warc.response(1, "u", part * (5_000_000 // len(part)) + tail, "1970-01-01T00:00:00Z"))
+        assert time.process_time() - began < 30
+    assert "\ufffd" in warc.read_page(f"<p>&#{'9' * 9000};").text
+
+
+def test_record_ids_tell_pages_apart(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a", "x"), (1, "u", "<p>b", "x"), (1, "u", "<p>a", "x")], "page_id long, url string, html string, record string")
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len(rows) == 6 and len({r.record_id for r in rows}) == 4
+
+
 def test_pages_of_all_kinds(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "a\r\nb: c", "<p>x"), (2, "a\r\nb: c", "<p>x")], "page_id long, url string, html string")
     rows = warc.derivatives(warc.responses(pages)).collect()

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import re
 from collections import Counter
@@ -27,7 +28,8 @@ def rules_twin(text):
     for x in lines:
         again += sum(map(len, WORD.findall(x))) if x in seen else 0
         seen.add(x)
-    return out | {"dup_line_chars": again}
+    marks = [c for c in text or "" if "!" <= c <= "~" and not c.isalnum()]
+    return out | {"dup_line_chars": again, "dup_mark_chars": len(covered(marks, repetition.MARKS))}
 
 
 def test_rules_twin(spark, docs, sf_dir):
@@ -137,6 +139,51 @@ def test_resampling_prefers_the_target(spark, docs):
     assert resample.resample(docs(*EDGES).limit(0), targets).count() == 0
 
 
+def grams_twin(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    marks = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+    words = re.findall(rf"[{re.escape(marks)}]+|[^{re.escape(marks)}\x20\x09-\x0D]+", low)
+    return words + [f"{a} {b}" for a, b in itertools.pairwise(words)]
+
+
+def test_op9_twin(spark, sf_dir):
+    """Models, log weights and kept rows over a whole table, with dictionaries in place of buckets looked up by hash."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    bucket = {}
+    for text in docs.values():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        names, (at, _) = grams_twin(text), resample.grams(raw, np.array([0, len(raw)]))
+        assert len(names) == len(at)
+        for g, b in zip(names, at.tolist(), strict=True):
+            assert bucket.setdefault(g, b) == b
+    every, aimed = Counter(), Counter()
+    for i, text in docs.items():
+        found = Counter(bucket[g] for g in grams_twin(text))
+        every += found
+        if labels.get(i) == 1:
+            aimed += found
+    n, m, size = sum(every.values()), sum(aimed.values()), resample.BUCKETS
+    ratio = {b: np.log((aimed[b] + 1) / (m + size)) - np.log((every[b] + 1) / (n + size)) for b in every}
+    got = {r.doc_id: r for r in queries.op9_resampling(spark, sf_dir).collect()}
+    key = {}
+    for i, text in docs.items():
+        names = grams_twin(text)
+        weight = sum(ratio[bucket[g]] for g in names)
+        uniform = (int(hashlib.md5(f"{i}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        key[i] = weight - np.log(-np.log(uniform))
+        assert (got[i].n_grams, got[i].log_weight, got[i].sample_key) == (len(names), pytest.approx(weight, abs=1e-6), pytest.approx(key[i], abs=1e-6))
+    k = round(len(docs) * sum(q == 1 for q in labels.values()) / len(labels))
+    assert {i for i, r in got.items() if r.kept} == set(sorted(key, key=key.get, reverse=True)[:k])
+
+
+def test_resampling_takes_clashing_names(spark, docs):
+    targets = spark.createDataFrame([(1, True), (2, False)], "doc_id long, target boolean")
+    df = docs(*EDGES).withColumn("target", F.lit("x")).withColumn("log_weight", F.lit("y")).withColumn("kept", F.lit(1)).withColumn("_id", F.lit("z"))
+    rows = resample.resample(df, targets).collect()
+    assert len(rows) == len(EDGES) and {type(r.kept) for r in rows} == {bool}
+
+
 def test_slices_hold_whole_documents():
     import pyarrow as pa
 

@@ -23,8 +23,8 @@ from tracelake.plans.ship import map_arrow
 WIDTH, HEIGHT, FRAME_US = 192, 16, 40_000
 BINS = 16
 #: A shot ends where the histograms differ by more than the shot's mean difference plus SPREAD times
-#: its deviation, and by FLOOR at least.
-SPREAD, FLOOR = 3.0, 0.05
+#: its deviation, and by FLOOR at least; before any frames were alike, by START.
+SPREAD, FLOOR, START = 3.0, 0.05, 0.3
 _SAMPLE_BITS = 9
 
 
@@ -162,40 +162,55 @@ def write_avi(frames: list[bytes], height: int) -> bytes:
 
 
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
-    """Microseconds a frame, and the frames that the index names."""
+    """Microseconds a frame, and the frames that the index names, or that stand in the file if it has none."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     frame_us, movi, index, at = FRAME_US, None, [], 12
-    end = 8 + struct.unpack_from("<I", data, 4)[0]
+    end = min(8 + struct.unpack_from("<I", data, 4)[0], len(data))
     while at + 8 <= end:
         name, size = struct.unpack_from("<4sI", data, at)
         if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
             frame_us = struct.unpack_from("<I", data, at + 20)[0]
         elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+            movi, movi_end = at + 8, min(at + 8 + size, end)
         elif name == b"idx1":
             index = [struct.unpack_from("<4sIII", data, k) for k in range(at + 8, at + 8 + size, 16)]
         at += 8 + size + size % 2
     if movi is None:
         raise ValueError("no frames")
+    if not index:
+        frames, at = [], movi + 4
+        while at + 8 <= movi_end:
+            name, size = struct.unpack_from("<4sI", data, at)
+            if name == b"LIST":  # a record list: its chunks follow
+                at += 12
+                continue
+            if name[2:] in (b"dc", b"db"):
+                frames.append(data[at + 8 : at + 8 + size])
+            at += 8 + size + size % 2
+        return frame_us, frames
     # offsets count from the list's type, or from the file in some writers
-    base = movi if not index or data[movi + index[0][2] : movi + index[0][2] + 4] == index[0][0] else 0
+    base = movi if data[movi + index[0][2] : movi + index[0][2] + 4] == index[0][0] else 0
     return frame_us, [data[base + o + 8 : base + o + 8 + n] for name, _, o, n in index if name[2:] in (b"dc", b"db")]
 
 
 def shots(histograms: np.ndarray) -> list[int]:
-    """First frame of each shot."""
-    first, sums, squares, n = [0], 0.0, 0.0, 0
+    """First frame of each shot.
+
+    A shot of one frame has no differences of its own: those of earlier shots stand in for them, then START.
+    """
+    first = [0]
+    own, earlier = np.zeros(3), np.zeros(3)  # differences, their sum, sum of squares
     step = np.abs(np.diff(histograms / np.maximum(histograms.sum(1, keepdims=True), 1), axis=0)).sum(1) / 2
     for k, d in enumerate(step.tolist(), 1):
-        mean = sums / n if n else 0.0
-        spread = max(squares / n - mean * mean, 0.0) ** 0.5 if n else 0.0
-        if n and d > max(FLOOR, mean + SPREAD * spread):
+        n, total, squares = own if own[0] else earlier
+        limit = max(FLOOR, total / n + SPREAD * max(squares / n - (total / n) ** 2, 0.0) ** 0.5) if n else START
+        if d > limit:
             first.append(k)
-            sums = squares = 0.0
-            n = 0
+            earlier += own
+            own = np.zeros(3)
         else:
-            sums, squares, n = sums + d, squares + d * d, n + 1
+            own += (1, d, d * d)
     return first
 
 
@@ -203,6 +218,7 @@ def pack_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
     """df with media: the text's UTF-8 bytes, filled with blanks to a positive multiple of WIDTH, as an AVI.
 
     Null texts count as empty. A column named like media is replaced, all others and all rows are kept.
+    An empty table stays empty.
     """
     df = kit.without(df, media)
 
@@ -231,7 +247,9 @@ _READ = "frames long, clips array<struct<first:int,start_ms:double,end_ms:double
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df less media, with what its AVI holds: frames, timed clips, and digests of the samples and of the file.
 
-    A null media gives nulls. Columns named like the new ones are replaced; others and all rows are kept.
+    Frames are 8-bit grey lossless JPEG; other coding (baseline among it, which doesn't give bytes back) is an error, as is
+    a damaged file. A null media gives nulls. Columns named like the new ones are replaced; others and all
+    rows are kept, repeated ones repeatedly. An empty table stays empty.
     """
     new = [f.split(" ")[0] for f in ("frames", "clips", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")]
     df = kit.without(df, *new)
@@ -277,5 +295,5 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def clip_rows(read: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """One row for each clip of read_media's result."""
+    """One row for each clip of read_media's result; rows without media have none, repeated rows repeat, an empty table stays empty."""
     return read.select(ident, F.posexplode("clips").alias("clip", "c")).select(ident, "clip", "c.first", "c.start_ms", "c.end_ms")
