@@ -123,10 +123,11 @@ def grpc_status_name(code: Column) -> Column:
 
 
 def grpc_to_http(code: Column) -> tuple[Column, Column]:
-    """HTTP status and text of a gRPC status; none counts as 0."""
+    """HTTP status and text of a gRPC status; none counts as 0, and codes without an HTTP form show their number."""
     status = F.when(code.isNull(), F.lit(200)).otherwise(F.coalesce(lookup({str(k): v for k, v in GRPC_HTTP.items()}, code), F.lit(500)))
-    text = F.when(code.isNull(), F.lit("OK")).otherwise(F.initcap(F.translate(F.coalesce(grpc_status_name(code), F.lit("UNKNOWN")), "_", " ")))
-    return status, F.when(F.coalesce(code, F.lit("0")) == "0", F.lit("OK")).otherwise(text)
+    titled = {str(k): GRPC_STATUS[k].replace("_", " ").title() for k in (2, 13, *GRPC_HTTP) if k}
+    text = F.when(F.coalesce(code, F.lit("0")) == "0", "OK").otherwise(F.coalesce(lookup(titled, code), F.concat(F.lit("gRPC status "), code)))
+    return status, text
 
 
 def codes(spark):

@@ -166,7 +166,7 @@ def payload_text() -> Column:
     return F.col("payload").cast("string")
 
 
-#: Named filters.
+#: Named filters. Their ports, sizes and openings are fixed values: saved filters refer to them by what they select.
 TEMPLATES: dict[str, Callable[[], Column]] = {
     "dns": lambda: either(port_either("udp", "==", 53), port_either("tcp", "==", 53)),
     "tls_handshakes": lambda: both(port_either("tcp", "==", 443), F.hex(F.substring("payload", 1, 2)) == "1603"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import fields, predicates
 from tracelake.functions.wire import wire_fields
+from tracelake.operators import detect
+from tracelake.plans.shared import staged
 
 MS = 1_000_000
 _SORTS = {"id": "id", "time": "ts_ns", "source": "src", "dest": "dst", "protocol": "transport", "direction": "direction"}
@@ -119,8 +121,19 @@ def session_summary(df: DataFrame) -> DataFrame:
 
 
 def channel_sequence(df: DataFrame) -> DataFrame:
-    """0-based number of each message in its channel."""
-    return df.withColumn("channel_seq", F.row_number().over(Window.partitionBy("adapter", "origin").orderBy("ts_ns", "id")) - 1)
+    """0-based number of each message in its channel.
+
+    Messages are range-sorted by channel and time; a number is the count of the channel's rows in earlier
+    parts and the place in the own one, so a channel with most of the messages is spread over many tasks.
+    """
+    channel = ["adapter", "origin"]
+    parts = staged(df.select("*").repartitionByRange(*channel, "ts_ns", "id").withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*channel, "_part").agg(F.count("*").alias("_n"))  # one row for a part and channel in it
+    earlier = Window.partitionBy(*channel).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(c).alias(f"_{c}") for c in channel), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*channel, "_part").orderBy("ts_ns", "id")) - 1
+    same = (F.col("_part") == F.col("_p")) & F.col("adapter").eqNullSafe(F.col("_adapter")) & F.col("origin").eqNullSafe(F.col("_origin"))
+    return parts.withColumn("_place", place).join(starts, same).withColumn("channel_seq", (F.col("_start") + F.col("_place")).cast("int")).select(*df.columns, "channel_seq")
 
 
 def conversation_stats(conversations: DataFrame) -> DataFrame:
@@ -132,14 +145,15 @@ def conversation_stats(conversations: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, percents: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Elements at round(p * (n - 1)), half away from zero, of the sorted values; 0 without rows.
 
-    Values are counted first and ranks are running sums of counts, so repeated values cost one row. Without
-    ``by`` those sums run over equal parts of the value's range first, then inside each.
+    Values are counted first and ranks are running sums of counts, so repeated values cost one row. The sums
+    run over parts first, then inside each; parts are cut at approximate quantiles of the group's
+    different values, so that neither far outliers nor a large group fill one part.
     """
     by = by or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ends = counts.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    part = F.floor((F.col(value) - F.col("_low")) / F.greatest((F.col("_high") - F.col("_low")) / F.lit(4096.0), F.lit(1e-9)))
-    parts = counts.join(F.broadcast(ends)).withColumn("_part", part).drop("_low", "_high")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 1000).alias("_cuts"))
+    cut = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))
+    parts = cut.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sums = parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -152,11 +166,14 @@ def nearest_rank(df: DataFrame, value: str, percents: dict[str, float], by: list
     return out.na.fill(0, list(percents)) if not by else out
 
 
+#: Parts of the values of a group, for running sums.
+CUTS = 64
 PERCENTS = {"p50_ns": 0.50, "p95_ns": 0.95, "p99_ns": 0.99}
 
 
 def aggregate_metrics(conversations: DataFrame) -> DataFrame:
-    """One row: conversations, error share, bytes, rate, and duration percentiles."""
+    """One row: conversations, error share, bytes, rate, and duration percentiles. The conversations are computed once."""
+    conversations = staged(conversations.select("state", "start_ns", "end_ns", "duration_ns", "total_bytes"))
     seconds = (F.max("end_ns") - F.min("start_ns")) / 1e9
     n = F.count("*")
     sums = conversations.agg(
@@ -167,10 +184,11 @@ def aggregate_metrics(conversations: DataFrame) -> DataFrame:
 
 
 def capture_context(df: DataFrame, n: int = 100, samples: int = 5) -> DataFrame:
-    """(key, values): sorted distinct metadata keys of the first n messages with their first sorted values."""
+    """(key, values): sorted distinct metadata keys of the first n messages with their first sorted values; key null: their transports."""
     first = df.orderBy("ts_ns", "id").limit(n)
-    pairs = first.select("transport", F.explode("metadata").alias("key", "value"))
-    return pairs.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("values"))
+    pairs = first.select(F.explode(F.concat(F.map_entries("metadata"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("transport").alias("value"))))).alias("e"))
+    listed = F.array_sort(F.collect_set("e.value"))
+    return pairs.groupBy("e.key").agg(F.when(F.col("key").isNull(), listed).otherwise(F.slice(listed, 1, samples)).alias("values"))
 
 
 def anomaly_summary(df: DataFrame) -> DataFrame:
@@ -191,13 +209,25 @@ def capture_rates(stats: DataFrame) -> DataFrame:
     )
 
 
+#: Protocols that streams and datagrams have decoders for.
+DECODED = ("gRPC", "ZMTP", "RTPS")
+
+
 def pipeline_stats(headers: DataFrame) -> DataFrame:
-    """Counts over parsed packets (operators.packets.packet_headers)."""
-    return headers.agg(
+    """Counts over parsed packets (operators.packets.packet_headers) and over their flows by operators.detect.
+
+    A flow is decoded if its first packet's opening names a protocol with a decoder, else it falls back to raw
+    messages; decrypted is 0, as no keys are taken.
+    """
+    named = detect.detect_best(headers.filter("flow is not null and error is null")).select("flow", "ts_us", "detected")
+    flows = named.groupBy("flow").agg(F.min_by("detected", "ts_us").alias("detected"))
+    decoded = flows.agg(F.count_if(F.col("detected").isin(*DECODED)).alias("decoded"), F.count_if(~F.col("detected").isin(*DECODED)).alias("fallback"))
+    counted = headers.agg(
         F.count("*").alias("packets_read"), F.count_if(F.col("error").isNotNull()).alias("packets_failed"), F.count_if(F.col("protocol") == "tcp").alias("tcp_segments"),
         F.count_if(F.col("protocol") == "udp").alias("udp_datagrams"), F.count_distinct(F.when(F.col("protocol") == "tcp", F.col("flow"))).alias("tcp_streams"),
-        F.count_if(F.hex(F.substring("payload", 1, 2)) == "1603").alias("encrypted"),
+        F.count_if(F.hex(F.substring("payload", 1, 2)) == "1603").alias("encrypted"), F.lit(0).cast("long").alias("decrypted"),
     )
+    return counted.join(F.broadcast(decoded))  # one row each
 
 
 def sequence_gaps(df: DataFrame, by: list[str], sequence: str = "sequence") -> DataFrame:

@@ -40,6 +40,10 @@ def detect_port() -> Column:
     return F.coalesce(_port_protocol(F.col("dst_port")), _port_protocol(F.col("src_port")))
 
 
+def over(transport: str) -> Column:
+    return F.coalesce(F.col("protocol") == transport, F.lit(False))
+
+
 def is_preface() -> Column:
     return _starts(PREFACE)
 
@@ -53,9 +57,24 @@ def is_rtps() -> Column:
 
 
 def is_h2_frame() -> Column:
+    """A nine-byte frame header of a known type; the three bytes of its length can't exceed what is allowed."""
     return (F.octet_length("payload") >= 9) & (_byte(3) <= 9)
 
 
+def detect_magic() -> Column:
+    """Protocol by an opening that is bound to its transport: preface and ZMTP greeting over TCP, RTPS over UDP."""
+    return F.when(over("tcp") & is_preface(), "gRPC").when(over("tcp") & is_zmtp(), "ZMTP").when(over("udp") & is_rtps(), "RTPS")
+
+
+def detect_h2_frame() -> Column:
+    return over("tcp") & is_h2_frame()
+
+
+def detect_common() -> Column:
+    """HTTP/1 and TLS over TCP."""
+    return F.when(over("tcp") & is_http1(), "HTTP/1").when(over("tcp") & is_tls(), "TLS")
+
+
 def is_http1() -> Column:
     words = (b"GET ", b"POST ", b"PUT ", b"DELETE ", b"HEAD ", b"OPTIONS ", b"PATCH ", b"CONNECT ", b"TRACE ", b"HTTP/1.")
     out = F.lit(False)
@@ -73,12 +92,13 @@ def _port_rule(protocol: str):
     return lambda: detect_port() == protocol
 
 
-register_detector(Detector("preface", is_preface, "gRPC", 0.95))
-register_detector(Detector("zmtp", is_zmtp, "ZMTP", 0.95, lambda: F.concat_ws(".", _byte(10).cast("string"), _byte(11).cast("string"))))
-register_detector(Detector("rtps", is_rtps, "RTPS", 0.99, lambda: F.concat_ws(".", _byte(4).cast("string"), _byte(5).cast("string"))))
-register_detector(Detector("h2-frame", is_h2_frame, "HTTP/2", 0.6))
-register_detector(Detector("http1", is_http1, "HTTP/1", 0.85))
-register_detector(Detector("tls", is_tls, "TLS", 0.85))
+_text = lambda at: _byte(at).cast("string")
+register_detector(Detector("preface", is_preface, "gRPC", 0.95, lambda: F.lit("h2"), "tcp"))
+register_detector(Detector("zmtp", is_zmtp, "ZMTP", 0.95, lambda: F.concat(F.lit("3."), F.coalesce(_text(10), F.lit("x"))), "tcp"))
+register_detector(Detector("rtps", is_rtps, "RTPS", 0.99, lambda: F.concat(_text(4), F.lit("."), _text(5)), "udp"))
+register_detector(Detector("h2-frame", is_h2_frame, "HTTP/2", 0.6, lambda: F.lit("h2"), "tcp"))
+register_detector(Detector("http1", is_http1, "HTTP/1", 0.85, transport="tcp"))
+register_detector(Detector("tls", is_tls, "TLS", 0.85, transport="tcp"))
 for _name in ("gRPC", "HTTP/2", "ZMTP", "RTPS"):
     register_detector(Detector(f"port-{_name}", _port_rule(_name), _name, 0.5))
 
@@ -91,7 +111,7 @@ def detect_best(df: DataFrame) -> DataFrame:
     looked = df.withColumns({"_payload": F.col("payload"), "payload": initial_bytes()})
     none = F.lit(None).cast("string")
     rules = [
-        F.when(d.condition(), F.struct(F.lit(float(d.confidence)).alias("confidence"), F.lit(-k).alias("order"), F.lit(d.protocol).alias("protocol"), (d.version() if d.version else none).alias("version")))
+        F.when(d.condition() & (over(d.transport) if d.transport else F.lit(True)), F.struct(F.lit(float(d.confidence)).alias("confidence"), F.lit(-k).alias("order"), F.lit(d.protocol).alias("protocol"), (d.version() if d.version else none).alias("version")))
         for k, d in enumerate(DETECTORS.values())
     ]
     best = F.array_max(F.filter(F.array(*rules), lambda r: r.isNotNull() & (r["confidence"] >= LEAST)))
@@ -112,7 +132,7 @@ def detect_override(df: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def detect_ordered() -> Column:
-    """The first that holds: ZMTP, RTPS, preface, frame with a zero reserved bit, ports; null if none."""
+    """The first that holds, whatever the transport: ZMTP, RTPS, preface, frame with a zero reserved bit, ports; null if none."""
     ports = F.col("dst_port").isin(50051, 443, 8443, 9090) | F.col("src_port").isin(50051, 443, 8443, 9090)
     frame = is_h2_frame() & (_byte(5).bitwiseAND(F.lit(0x80)) == 0)
     some = F.octet_length("payload") > 0

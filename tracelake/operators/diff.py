@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +34,21 @@ def _runs(left: DataFrame, right: DataFrame, window_ns: int) -> DataFrame:
 
 def _greedy(window_ns: int):
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda side: sorted(zip(side["id"], side["ts_ns"], side["method"], strict=True), key=lambda r: r[0]) if "id" in side else []
-        free, out = rows(right), []
-        for one, ts, method in rows(left):
-            near = [(abs(t - ts), k) for k, (_, t, m) in enumerate(free) if abs(t - ts) <= window_ns and (pd.isna(m) or pd.isna(method) or m == method)]
+        rows = lambda side, key: sorted(zip(side["id"], side["ts_ns"], side["method"], strict=True), key=key) if "id" in side else []
+        second, out = rows(right, lambda r: (r[1], r[0])), []
+        times, free = [r[1] for r in second], [True] * len(second)
+        for one, ts, method in rows(left, lambda r: r[0]):
+            near = [
+                (abs(times[k] - ts), second[k][0], k) for k in range(bisect_left(times, ts - window_ns), bisect_right(times, ts + window_ns))
+                if free[k] and (pd.isna(second[k][2]) or pd.isna(method) or second[k][2] == method)
+            ]
             if near:
-                out.append((one, free.pop(min(near)[1])[0], "both"))
+                _, other, k = min(near)
+                free[k] = False
+                out.append((one, other, "both"))
             else:
                 out.append((one, None, "first"))
-        out += [(None, k, "second") for k, _, _ in free]
+        out += [(None, r[0], "second") for r, unused in zip(second, free, strict=True) if unused]
         return pd.DataFrame(out, columns=["left_id", "right_id", "match"]).astype({"left_id": "Int64", "right_id": "Int64"})
 
     return match

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDLE_NS = 30_000_000_000
+FRAGMENT_US = 5_000_000
 WRAP = 1 << 32
 
 
@@ -94,16 +95,23 @@ def tcp_flags(df: DataFrame) -> DataFrame:
 def ip_defragment(df: DataFrame) -> DataFrame:
     """Datagrams joined from fragments (packet_headers' rows): only gap-free ones with their last fragment.
 
-    Of repeated fragments one is kept. A datagram has at most 64 KiB, so a group's list is bounded.
+    Fragments of one id that are FRAGMENT_US or more apart belong to different datagrams, as ids are used again.
+    Of repeated fragments the longest counts, of equally long ones the first. A datagram has at most 64 KiB, so a
+    group's list is bounded.
     """
-    parts = df.filter("error is null and (frag_offset > 0 or more_fragments)").dropDuplicates(["src_ip", "dst_ip", "ip_id", "ip_protocol", "frag_offset"])
-    row = F.struct("frag_offset", "more_fragments", "payload")
-    grouped = parts.groupBy("src_ip", "dst_ip", "ip_id", "ip_protocol").agg(
-        F.sort_array(F.collect_list(row)).alias("parts"), F.min("ts_us").alias("ts_us"), F.max(F.when(~F.col("more_fragments"), F.col("frag_offset") + F.octet_length("payload"))).alias("size"),
+    key = ["src_ip", "dst_ip", "ip_id", "ip_protocol"]
+    parts = df.filter("error is null and (frag_offset > 0 or more_fragments)")
+    w = Window.partitionBy(*key).orderBy("ts_us", "frag_offset")
+    parts = parts.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) >= FRAGMENT_US).cast("int"), F.lit(0))).withColumn("_datagram", F.sum("_new").over(w))
+    best = F.max_by(F.struct("more_fragments", "payload"), F.struct(F.octet_length("payload"), -F.col("ts_us"), F.hex("payload")))
+    once = parts.groupBy(*key, "_datagram", "frag_offset").agg(best.alias("b"), F.min("ts_us").alias("ts_us"))
+    grouped = once.groupBy(*key, "_datagram").agg(
+        F.sort_array(F.collect_list(F.struct("frag_offset", "b.more_fragments", "b.payload"))).alias("parts"), F.min("ts_us").alias("ts_us"),
+        F.max(F.when(~F.col("b.more_fragments"), F.col("frag_offset") + F.octet_length("b.payload"))).alias("size"),
     )
     reach = F.aggregate("parts", F.lit(0), lambda at, p: F.when(p["frag_offset"] == at, at + F.octet_length(p["payload"])).otherwise(F.lit(-1 << 30)))
     data = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
-    return grouped.filter(F.col("size").isNotNull() & (reach == F.col("size"))).select("src_ip", "dst_ip", "ip_id", "ip_protocol", "ts_us", data.alias("payload"))
+    return grouped.filter(F.col("size").isNotNull() & (reach == F.col("size"))).select(*key, "ts_us", data.alias("payload"))
 
 
 def flow_key() -> Column:
@@ -119,11 +127,14 @@ def partition_by_flow(df: DataFrame, partitions: int | None = None) -> DataFrame
 
 
 def tcp_orient(df: DataFrame) -> DataFrame:
-    """dir: 0 from the lower port's side (the client's), 1 from the other; of equal ports the first sender is the server."""
-    first = F.first(F.concat("src_ip", F.lit(":"), F.col("src_port").cast("string"))).over(Window.partitionBy("flow").orderBy("ts_us"))
-    from_first = F.concat("src_ip", F.lit(":"), F.col("src_port").cast("string")) == first
-    way = F.when(F.col("src_port") < F.col("dst_port"), 0).when(F.col("src_port") > F.col("dst_port"), 1).when(from_first, 1).otherwise(0)
-    return df.withColumn("dir", way)
+    """dir: 0 from the lower port's side (the client's), 1 from the other; of equal ports the first sender is the server.
+
+    First senders are an aggregate over flows of equal ports, which a long connection doesn't hold up.
+    """
+    sender = F.concat("src_ip", F.lit(":"), F.col("src_port").cast("string"))
+    first = df.filter("src_port = dst_port").groupBy("flow").agg(F.min_by(sender, F.struct("ts_us", sender)).alias("_first"))
+    way = F.when(F.col("src_port") < F.col("dst_port"), 0).when(F.col("src_port") > F.col("dst_port"), 1).when(sender == F.col("_first"), 1).otherwise(0)
+    return df.join(first, "flow", "left").select(*df.columns, way.alias("dir"))
 
 
 def tcp_epochs(df: DataFrame) -> DataFrame:
@@ -134,9 +145,10 @@ def tcp_epochs(df: DataFrame) -> DataFrame:
 
 def tcp_relative_seq(df: DataFrame) -> DataFrame:
     """rel: offset from the first sequence number seen (one more if it is a SYN), modulo 2**32."""
-    w = Window.partitionBy("flow", "dir", "epoch").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    isn = F.first(F.col("seq") + F.col("syn").cast("int")).over(w)
-    return df.withColumn("rel", F.pmod(F.col("seq") + F.col("syn").cast("int") - isn, F.lit(WRAP)))
+    at = F.col("seq") + F.col("syn").cast("int")
+    key = ["flow", "dir", "epoch"]
+    first = df.groupBy(*key).agg(F.min_by(at, F.struct("ts_us", at)).alias("_isn"))
+    return df.join(first, key).select(*df.columns, F.pmod(at - F.col("_isn"), F.lit(WRAP)).alias("rel"))
 
 
 _KEYS = ("flow", "dir", "epoch")
@@ -184,21 +196,41 @@ def tcp_idle(df: DataFrame, now_us: int) -> DataFrame:
 
 
 def tcp_segments(headers: DataFrame) -> DataFrame:
-    """packet_headers' TCP rows with direction, epoch, relative offset and arrival."""
+    """packet_headers' TCP rows with direction, epoch, relative offset and arrival; resets end an epoch and carry no data."""
     tcp = tcp_flags(headers.filter("protocol = 'tcp' and error is null"))
-    return tcp_relative_seq(tcp_epochs(tcp_orient(tcp))).withColumn("arrival", F.col("ts_us"))
-
-
-def streams_to_messages(streams: DataFrame, missing: DataFrame) -> DataFrame:
-    """Parts of reassembled streams as raw messages; those of a direction with gaps carry a warning."""
-    gaps = missing.select(*_KEYS).distinct().withColumn("_gaps", F.lit(True))
-    rows = streams.join(gaps, list(_KEYS), "left")
-    complete = F.col("_gaps").isNull()
-    side = F.when(F.col("dir") == 0, "outbound").otherwise("inbound")
-    return rows.select(
-        "flow", "epoch", "run", "part", F.lit("TCP").alias("transport"), side.alias("direction"), F.col("data").alias("payload"),
-        F.create_map(F.lit("tcp.complete"), complete.cast("string")).alias("metadata"), F.when(complete, F.array().cast("array<string>")).otherwise(F.array(F.lit("incomplete TCP stream"))).alias("warnings"),
-    )
+    return tcp_relative_seq(tcp_epochs(tcp_orient(tcp)).filter("not rst")).withColumn("arrival", F.col("ts_us"))
+
+
+def stream_ends(segments: DataFrame) -> DataFrame:
+    """Per direction of tcp_segments' rows: sender, receiver, first time, and whether it was closed by a FIN."""
+    end = lambda side: F.concat(f"{side}_ip", F.lit(":"), F.col(f"{side}_port").cast("string"))
+    return segments.groupBy(*_KEYS).agg(F.min(end("src")).alias("src"), F.min(end("dst")).alias("dst"), F.min("ts_us").alias("ts_us"), F.bool_or("fin").alias("closed"))
+
+
+def _raw_message(transport: str, direction: Column, payload: Column, metadata: Column, warnings: Column, origin: str) -> list[Column]:
+    return [
+        (F.col("ts_us") * 1000).alias("ts_ns"), F.lit("pcap").alias("adapter"), F.lit(origin).alias("origin"), F.col("src"), F.col("dst"), F.lit(transport).alias("transport"),
+        direction.alias("direction"), F.lit("raw").alias("payload_type"), payload.alias("payload"), metadata.alias("metadata"), warnings.alias("warnings"),
+    ]
+
+
+def streams_to_messages(streams: DataFrame, ends: DataFrame, origin: str = "capture") -> DataFrame:
+    """Parts of reassembled streams as raw messages (flow, epoch, run, part and the message's columns).
+
+    ends: stream_ends of the same segments. A direction without FIN is incomplete and carries a warning.
+    """
+    rows = streams.join(ends, list(_KEYS))
+    side, closed = F.when(F.col("dir") == 0, "outbound").otherwise("inbound"), F.col("closed")
+    none = F.array().cast("array<string>")
+    made = _raw_message("TCP", side, F.col("data"), F.create_map(F.lit("tcp.complete"), closed.cast("string")), F.when(closed, none).otherwise(F.array(F.lit("TCP stream incomplete"))), origin)
+    return rows.select("flow", "epoch", "run", "part", *made)
+
+
+def datagrams_to_messages(headers: DataFrame, origin: str = "capture") -> DataFrame:
+    """UDP packets as raw messages, one each, of unknown direction."""
+    end = lambda side: F.concat(f"{side}_ip", F.lit(":"), F.col(f"{side}_port").cast("string")).alias(side)
+    rows = headers.filter("protocol = 'udp' and error is null").select("flow", "ts_us", "payload", end("src"), end("dst"))
+    return rows.select("flow", *_raw_message("UDP", F.lit("unknown"), F.col("payload"), F.create_map().cast("map<string,string>"), F.array().cast("array<string>"), origin))
 
 
 def normalize_errors(headers: DataFrame) -> DataFrame:

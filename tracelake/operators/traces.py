@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import fields
 from tracelake.functions.tracectx import trace_ctx_of_message
+from tracelake.plans.shared import staged
 
 
 def spans_to_messages(spans: DataFrame) -> DataFrame:
@@ -48,10 +49,8 @@ def merge_traces(messages: DataFrame, spans: DataFrame) -> DataFrame:
     """Messages with the summary of their span, and spans without any message; by time."""
     summary = span_summary(last_spans(spans))
     left = with_trace(messages).select(F.col("id").alias("event_id"), "ts_ns", "transport", "trace_id", "span_id")
-    merged = left.join(summary.drop("start_ns"), ["trace_id", "span_id"], "left")
-    alone = summary.join(left.filter("trace_id is not null").select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti")
-    alone = alone.withColumnRenamed("start_ns", "ts_ns").withColumns({"event_id": F.lit(None).cast("long"), "transport": F.lit(None).cast("string")})
-    return merged.unionByName(alone).orderBy("ts_ns", F.col("event_id").asc_nulls_last(), "span_id")
+    merged = left.join(summary, ["trace_id", "span_id"], "full_outer").withColumn("ts_ns", F.coalesce("ts_ns", "start_ns")).drop("start_ns")
+    return merged.orderBy("ts_ns", F.col("event_id").asc_nulls_last(), "span_id")
 
 
 def trace_tree(spans: DataFrame) -> DataFrame:
@@ -65,24 +64,23 @@ def trace_children(spans: DataFrame, trace_id: str, span_id: str) -> DataFrame:
     return spans.filter((F.col("trace_id") == trace_id) & (F.col("parent_span_id") == span_id))
 
 
-def trace_levels(spans: DataFrame, deepest: int = 64) -> DataFrame:
-    """(trace_id, span_id, level, path): paths of span ids order a depth-first listing and stop cycles.
+def trace_levels(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, level, path): paths of span ids order a depth-first listing.
 
-    One join a level, until no span is left; traces deeper than ``deepest`` are an error.
+    Every span points to an ancestor, first its parent, and knows the path from there; each round doubles
+    the distance, so the rounds are the logarithm of the longest trace. Spans of a cycle reach no root and are left out.
     """
-    tree = trace_tree(spans).select("trace_id", "span_id", "parent_span_id", "start_ns", "is_root").persist()
+    tree = trace_tree(spans)
     key = F.concat(F.lpad(F.col("start_ns").cast("string"), 19, "0"), F.lit(":"), "span_id")
-    front = tree.filter("is_root").select("trace_id", "span_id", F.lit(0).alias("level"), F.array(key).alias("path"))
-    found = front
-    for level in range(1, deepest + 1):
-        child = tree.filter("not is_root").select("trace_id", F.col("parent_span_id").alias("_parent"), F.col("span_id").alias("_child"), key.alias("_key"))
-        same = (F.col("p.trace_id") == F.col("c.trace_id")) & (F.col("p.span_id") == F.col("c._parent"))
-        nxt = front.alias("p").join(child.alias("c"), same).filter(~F.array_contains("path", F.col("_key")))
-        front = nxt.select("p.trace_id", F.col("_child").alias("span_id"), F.lit(level).alias("level"), F.array_append("path", F.col("_key")).alias("path")).persist()
-        if front.isEmpty():
-            return found
-        found = found.unionByName(front)
-    raise RuntimeError(f"a trace is deeper than {deepest}")
+    front = staged(tree.select("trace_id", "span_id", F.when(~F.col("is_root"), F.col("parent_span_id")).alias("up"), F.array(key).alias("path")))
+    longest = front.groupBy("trace_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(int(longest).bit_length()):
+        above = front.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        moved = front.filter("up is not null").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
+        front = staged(front.filter("up is null").unionByName(moved))
+        if front.filter("up is not null").isEmpty():
+            break
+    return front.filter("up is null").select("trace_id", "span_id", (F.size("path") - 1).alias("level"), "path")
 
 
 def trace_summary(messages: DataFrame) -> DataFrame:

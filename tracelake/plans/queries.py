@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def _json_arrays(m: DataFrame) -> str:
 
 def _fixture_events(m: DataFrame) -> DataFrame:
     """(version, origin, n, event) with every kind of broken rule among them."""
-    k = F.call_function("crc32", F.col("id").cast("string").cast("binary")) % 29
+    k = F.col("id") % 29
     text = F.col("payload").cast("string")
     event = F.struct(
         F.when(k != 3, F.col("ts_ns")).alias("timestamp_ns"), F.when(k == 5, "carrier-pigeon").otherwise(F.col("transport")).alias("transport"), F.when(k != 7, F.col("direction")).alias("direction"),
@@ -92,8 +94,14 @@ def _fixture_docs(m: DataFrame) -> str:
 
 on_messages("read_messages_ndjson", lambda m: readers.read_messages_ndjson(m.sparkSession, _written(writers.write_messages_ndjson, m)).selectExpr(*_BACK), _BACK_SQL)
 on_messages("read_messages_json", lambda m: readers.read_messages_json(m.sparkSession, _json_arrays(m)).selectExpr(*_BACK), _BACK_SQL)
-on_messages("read_fixture_docs", lambda m: readers.read_fixture_docs(m.sparkSession, _fixture_docs(m))[0].groupBy("transport", "direction").agg(F.count("*").alias("events"), F.max("ts_ns").alias("last_ns"), F.count("src").alias("wired")))
-on_messages("validate_messages", lambda m: readers.validate_messages(_fixture_events(m))[1].groupBy("reason").agg(F.count("*").alias("events")))
+on_messages(
+    "read_fixture_docs", lambda m: readers.read_fixture_docs(m.sparkSession, _fixture_docs(m))[0].groupBy("transport", "direction").agg(F.count("*").alias("events"), F.max("ts_ns").alias("last_ns"), F.count("src").alias("wired")),
+    "SELECT transport, CASE WHEN id % 29 = 7 THEN 'unknown' ELSE direction END AS direction, count(*) AS events, max(ts_ns) AS last_ns, count(src) AS wired FROM m WHERE id % 29 NOT IN (3, 5, 11, 17) GROUP BY 1, 2",
+)
+on_messages(
+    "validate_messages", lambda m: readers.validate_messages(_fixture_events(m))[1].select(F.col("n").cast("long").alias("id"), "reason"),
+    "SELECT id, CASE id % 29 WHEN 3 THEN 'missing timestamp' WHEN 5 THEN 'unknown transport' WHEN 11 THEN 'two payloads' WHEN 17 THEN 'no payload' ELSE 'unsupported version' END AS reason FROM m WHERE id % 29 IN (3, 5, 11, 17, 19)",
+)
 on_messages(
     "read_otlp_spans", lambda m: readers.read_otlp_spans(m.sparkSession, _written(lambda d, p: writers.write_otlp(writers.messages_to_spans(d), p), m), True).select("service", "trace_id", "span_id", "name", "kind", "start_ns", "status_code"),
     "SELECT concat(adapter, '/', origin) AS service, coalesce(trace_id, md5(coalesce(concat(src, '->') || dst, origin))) AS trace_id, coalesce(span_id, substring(md5(CAST(id AS STRING)), 1, 16)) AS span_id, "
@@ -116,8 +124,8 @@ _FLAT_SQL = f"""SELECT id, ts_ns AS timestamp_nanos, {ISO} AS timestamp_iso, ada
   schema_name, grpc_method, grpc_status, zmq_topic, dds_topic AS dds_topic_name, sequence FROM m"""
 on_messages("flatten_messages", lambda m: writers.flatten_messages(m).select(*_FLAT), _FLAT_SQL)
 on_messages(
-    "write_csv", lambda m: m.sparkSession.read.option("header", True).option("escape", '"').csv(_written(writers.write_csv, m)).groupBy("transport").agg(F.count("*").alias("events"), F.count("src_addr").alias("wired"), F.sum(F.col("payload_size").cast("long")).alias("bytes")),
-    "SELECT transport, count(*) AS events, count(src) AS wired, CAST(sum(length(payload_text)) AS BIGINT) AS bytes FROM m GROUP BY transport",
+    "write_csv", lambda m: m.sparkSession.read.option("header", True).option("escape", '"').csv(_written(writers.write_csv, m)).selectExpr("cast(id as bigint) id", "transport", "direction", "src_addr", "dst_addr", "cast(payload_size as bigint) payload_size", "grpc_method", "zmq_topic", "cast(sequence as bigint) sequence"),
+    "SELECT id, transport, direction, src AS src_addr, dst AS dst_addr, CAST(length(payload_text) AS BIGINT) AS payload_size, grpc_method, zmq_topic, sequence FROM m",
 )
 on_messages("write_parquet", lambda m: m.sparkSession.read.parquet(_written(lambda d, p: writers.write_parquet(d, p, True), m)).select(*_FLAT), _FLAT_SQL)
 on_messages(
@@ -125,19 +133,23 @@ on_messages(
     "SELECT id, CASE transport WHEN 'gRPC' THEN 'grpc' WHEN 'ZMQ' THEN 'zmq' WHEN 'DDS-RTPS' THEN 'dds-rtps' WHEN 'TCP' THEN 'raw-tcp' ELSE 'raw-udp' END AS transport, dst FROM m",
 )
 on_messages(
-    "messages_to_spans", lambda m: writers.messages_to_spans(m).select("trace_id", "span_id", "name", "kind", "start_ns", "status_code", "status_message", F.try_element_at("attributes", F.lit("tracelake.metadata.grpc.method")).alias("method")),
+    "messages_to_spans", lambda m: writers.messages_to_spans(m).select("trace_id", "span_id", "name", "kind", "start_ns", "status_code", "status_message", *(F.try_element_at("attributes", F.lit(f"tracelake.{k}")).alias(n) for k, n in (("metadata.grpc.method", "method"), ("adapter", "adapter"), ("origin", "origin"), ("event_id", "event_id"), ("transport", "transport"), ("sequence", "sequence"), ("warning", "warning"))), F.try_element_at("attributes", F.lit("net.peer.ip")).alias("peer")),
     "SELECT coalesce(trace_id, md5(coalesce(concat(src, '->') || dst, origin))) AS trace_id, coalesce(span_id, substring(md5(CAST(id AS STRING)), 1, 16)) AS span_id, coalesce(grpc_method, concat(transport, ' ', direction)) AS name, "
     "CASE direction WHEN 'outbound' THEN 3 WHEN 'inbound' THEN 2 ELSE 1 END AS kind, ts_ns AS start_ns, CASE WHEN grpc_status = '0' THEN 1 WHEN grpc_status IS NOT NULL OR warning IS NOT NULL THEN 2 ELSE 0 END AS status_code, "
-    "CASE WHEN grpc_status <> '0' THEN concat('gRPC status ', grpc_status) WHEN grpc_status IS NULL THEN warning END AS status_message, grpc_method AS method FROM m",
+    "CASE WHEN grpc_status <> '0' THEN concat('gRPC status ', grpc_status) WHEN grpc_status IS NULL THEN warning END AS status_message, grpc_method AS method, adapter, origin, CAST(id AS STRING) AS event_id, transport, CAST(sequence AS STRING) AS sequence, warning, src AS peer FROM m",
 )
 on_messages(
-    "write_otlp", lambda m: writers.otlp_documents(writers.messages_to_spans(m)).select("adapter", "origin", F.size(F.col("resourceSpans")[0]["scopeSpans"][0]["spans"]).alias("n")).groupBy("adapter", "origin").agg(F.sum("n").alias("spans")),
-    "SELECT adapter, origin, count(*) AS spans FROM m GROUP BY adapter, origin",
+    "write_otlp", lambda m: writers.otlp_documents(writers.messages_to_spans(m)).select("adapter", "origin", F.explode(F.col("resourceSpans")[0]["scopeSpans"][0]["spans"]).alias("x")).select(
+        "adapter", "origin", F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.col("x.name").alias("name"), F.col("x.startTimeUnixNano").alias("start"), F.col("x.status.code").alias("code"),
+        F.element_at(F.filter("x.attributes", lambda a: a["key"] == "tracelake.event_id"), 1)["value"]["intValue"].alias("event_id"), F.element_at(F.filter("x.attributes", lambda a: a["key"] == "tracelake.origin"), 1)["value"]["stringValue"].alias("from")),
+    "SELECT adapter, origin, coalesce(trace_id, md5(coalesce(concat(src, '->') || dst, origin))) AS trace_id, coalesce(span_id, substring(md5(CAST(id AS STRING)), 1, 16)) AS span_id, coalesce(grpc_method, concat(transport, ' ', direction)) AS name, CAST(ts_ns AS STRING) AS start, "
+    "CASE WHEN grpc_status = '0' THEN 1 WHEN grpc_status IS NOT NULL OR warning IS NOT NULL THEN 2 ELSE 0 END AS code, CAST(id AS STRING) AS event_id, origin AS \"from\" FROM m",
 )
+_HTTP_TEXT = "CASE coalesce(grpc_status, '0') WHEN '0' THEN 'OK' WHEN '1' THEN 'Cancelled' WHEN '2' THEN 'Unknown' WHEN '3' THEN 'Invalid Argument' WHEN '4' THEN 'Deadline Exceeded' WHEN '5' THEN 'Not Found' WHEN '7' THEN 'Permission Denied' WHEN '12' THEN 'Unimplemented' WHEN '13' THEN 'Internal' WHEN '14' THEN 'Unavailable' WHEN '16' THEN 'Unauthenticated' ELSE 'gRPC status ' || grpc_status END"
 on_messages(
-    "har_entries", lambda m: writers.har_entries(m).select("id", "url", "status", "body_size", "server_ip", F.size("request_headers").alias("request_headers"), F.size("response_headers").alias("response_headers")),
+    "har_entries", lambda m: writers.har_entries(m).select("id", "url", "status", "status_text", "body_size", "server_ip", F.size("request_headers").alias("request_headers"), F.size("response_headers").alias("response_headers")),
     "SELECT id, concat('https://', coalesce(grpc_authority, dst, ''), coalesce(grpc_method, 'POST')) AS url, CASE coalesce(grpc_status, '0') WHEN '0' THEN 200 WHEN '1' THEN 499 WHEN '3' THEN 400 WHEN '4' THEN 504 WHEN '5' THEN 404 WHEN '7' THEN 403 "
-    "WHEN '12' THEN 501 WHEN '14' THEN 503 WHEN '16' THEN 401 ELSE 500 END AS status, CAST(length(payload_text) AS BIGINT) AS body_size, split_part(dst, ':', 1) AS server_ip, 1 AS request_headers, "
+    "WHEN '12' THEN 501 WHEN '14' THEN 503 WHEN '16' THEN 401 ELSE 500 END AS status, " + _HTTP_TEXT + " AS status_text, CAST(length(payload_text) AS BIGINT) AS body_size, split_part(dst, ':', 1) AS server_ip, 1 AS request_headers, "
     "1 + CASE WHEN grpc_status IS NULL THEN 0 ELSE 1 END + CASE WHEN grpc_message IS NULL THEN 0 ELSE 1 END AS response_headers FROM m WHERE transport = 'gRPC'",
 )
 on_messages("har_omitted", writers.har_omitted, "SELECT count(*) AS omitted FROM m WHERE transport <> 'gRPC'")
@@ -205,10 +217,15 @@ _on(
     "FROM m JOIN (SELECT id AS hid, h, t, s FROM h) hh ON m.id = hh.hid", views.M, _H,
 )
 on_messages("trace_ctx_of_message", lambda m: m.withColumn("c", tracectx.trace_ctx_of_message()).select("id", "c.trace_id", "c.span_id"), "SELECT id, trace_id, span_id FROM m")
-_SHOW = "concat('[Event ', CAST(id AS STRING), ']', chr(10), 'Transport: ', transport, chr(10), 'Direction: ', direction, coalesce(concat(chr(10), 'From: ') || src || ' → To: ' || dst, ''), "
+_LINES = (
+    ("'gRPC'", ("gRPC method: ", "grpc_method"), ("HTTP/2 stream ID: ", "h2_stream"), ("gRPC status: ", "grpc_status"), ("gRPC message: ", "grpc_message")),
+    ("'ZMQ'", ("ZMQ topic: ", "zmq_topic"), ("ZMQ socket: ", "zmq_socket")), ("'DDS-RTPS'", ("DDS domain: ", "dds_domain"), ("DDS topic: ", "dds_topic")),
+)
+_OWN_LINES = ", ".join(f"CASE WHEN transport = {t} THEN '{label}' || {c} END" for t, *parts in _LINES for label, c in parts)
 on_messages(
-    "event_summary", lambda m: m.filter("transport = 'UDP'").select("id", fields.event_summary().alias("text")),
-    f"SELECT id, {_SHOW} chr(10), 'Payload size: ', CAST(length(payload_text) AS STRING), ' bytes', chr(10), 'Payload (UTF-8): ', payload_text, CASE WHEN warning IS NULL THEN '' ELSE concat(chr(10), '[!] Warnings: ', warning) END) AS text FROM m WHERE transport = 'UDP'",
+    "event_summary", lambda m: m.select("id", fields.event_summary().alias("text")),
+    f"SELECT id, concat_ws(chr(10), '[Event ' || CAST(id AS STRING) || ']', 'Transport: ' || transport, 'Direction: ' || direction, 'From: ' || src || ' → To: ' || dst, {_OWN_LINES}, CASE WHEN payload_type = 'decoded' THEN 'Schema: ' || schema_name END, "
+    "CASE WHEN payload_type = 'decoded' THEN 'Decoded fields: ' || payload_text END, CASE WHEN payload_type <> 'decoded' THEN 'Payload size: ' || CAST(length(payload_text) AS STRING) || ' bytes' END, CASE WHEN payload_type <> 'decoded' THEN 'Payload (UTF-8): ' || payload_text END, '[!] Warnings: ' || warning) AS text FROM m",
 )
 on_messages(
     "message_error_flags", lambda m: m.select("id", *(c.alias(n) for c, n in zip(fields.message_error_flags(), ("has_errors", "has_warnings"), strict=True))),
@@ -217,15 +234,19 @@ on_messages(
 on_messages("dds_domain_id", lambda m: m.select("id", fields.dds_domain_id(fields.addr_port(F.col("dst"))).alias("domain")), f"SELECT id, CAST(CASE WHEN {_PORT.format('dst')} >= 7400 THEN ({_PORT.format('dst')} - 7400) // 250 END AS INT) AS domain FROM m")
 on_messages("rtps_time_to_ns", lambda m: m.select("id", fields.rtps_time_to_ns(F.expr("id % 4000000000"), F.expr("ts_ns % 4294967296")).alias("ns")), "SELECT id, (id % 4000000000) * 1000000000 + (ts_ns % 4294967296) * 1000000000 // 4294967296 AS ns FROM m")
 on_messages(
-    "infer_direction", lambda m: m.filter("dst is not null").select("id", fields.infer_direction(fields.addr_port(F.col("dst"))).alias("way")),
-    f"SELECT id, CASE WHEN {_PORT.format('dst')} IN (80, 443, 50051, 5555, 8080, 8443, 9090) OR {_PORT.format('dst')} BETWEEN 7400 AND 7500 THEN 'outbound' ELSE 'inbound' END AS way FROM m WHERE dst IS NOT NULL",
+    "infer_direction", lambda m: m.select("id", *(fields.infer_direction(fields.addr_port(F.col(c))).alias(n) for c, n in (("src", "way"), ("dst", "reply_way")))),
+    "SELECT id, " + ", ".join(f"CASE WHEN {_PORT.format(c)} IN (80, 443, 50051, 5555, 8080, 8443, 9090) OR {_PORT.format(c)} BETWEEN 7400 AND 7500 THEN 'outbound' ELSE 'inbound' END AS {n}" for c, n in (("src", "way"), ("dst", "reply_way"))) + " FROM m",
 )
 _NAMES = "CASE grpc_status " + " ".join(f"WHEN '{i}' THEN '{n}'" for i, n in enumerate(fields.GRPC_STATUS)) + " END"
 on_messages("grpc_status_name", lambda m: m.select("id", fields.grpc_status_name(meta("grpc.status")).alias("name")), f"SELECT id, {_NAMES} AS name FROM m")
-on_messages("explain_code", lambda m: fields.explain_code(m.select("id", meta("grpc.status").alias("code")), "grpc", "code"), f"SELECT id, grpc_status AS code, replace(lower({_NAMES}), '_', ' ') AS code_name FROM m")
+_DOMAINS = {"grpc": dict(enumerate(fields.GRPC_STATUS)), "tcp": fields.TCP_FLAGS, "tls": fields.TLS_ALERTS, "http": fields.HTTP_STATUS}
+on_messages(
+    "explain_code", lambda m: reduce(DataFrame.unionByName, (fields.explain_code(m.select("id", F.lit(d).alias("domain"), (F.col("id") % 600).cast("int").alias("code")), d, "code") for d in _DOMAINS)),
+    " UNION ALL ".join(f"SELECT id, '{d}' AS domain, CAST(id % 600 AS INT) AS code, CASE id % 600 " + " ".join(f"WHEN {c} THEN '{n.lower().replace('_', ' ')}'" for c, n in names.items()) + " END AS code_name FROM m" for d, names in _DOMAINS.items()),
+)
 on_messages(
-    "grpc_to_http_status", lambda m: m.select("id", fields.grpc_to_http(meta("grpc.status"))[0].alias("status")),
-    "SELECT id, CASE coalesce(grpc_status, '0') WHEN '0' THEN 200 WHEN '1' THEN 499 WHEN '3' THEN 400 WHEN '4' THEN 504 WHEN '5' THEN 404 WHEN '7' THEN 403 WHEN '12' THEN 501 WHEN '14' THEN 503 WHEN '16' THEN 401 ELSE 500 END AS status FROM m",
+    "grpc_to_http_status", lambda m: m.select("id", *(c.alias(n) for c, n in zip(fields.grpc_to_http(meta("grpc.status")), ("status", "status_text"), strict=True))),
+    "SELECT id, CASE coalesce(grpc_status, '0') WHEN '0' THEN 200 WHEN '1' THEN 499 WHEN '3' THEN 400 WHEN '4' THEN 504 WHEN '5' THEN 404 WHEN '7' THEN 403 WHEN '12' THEN 501 WHEN '14' THEN 503 WHEN '16' THEN 401 ELSE 500 END AS status, " + _HTTP_TEXT + " AS status_text FROM m",
 )
 on_messages("method_label", lambda m: m.select("id", fields.method_label().alias("label")), "SELECT id, coalesce(grpc_method, zmq_topic, dds_topic) AS label FROM m")
 
@@ -281,11 +302,17 @@ _RANGE = "r AS (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM m)"
 
 
 def _one_bucket(m: DataFrame) -> DataFrame:
-    return aggregates.bucketed(m.select("id", "ts_ns"), 60).filter("bucket = 7").select("id")
+    """The eighth of 60 parts of the whole range, its ends from one row."""
+    low, high = m.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    width = (high - low) // 60
+    return P.filter_time_bucket(m, low + 7 * width, low + 8 * width)
 
 
 _BUCKET = "least((ts_ns - lo) // ((hi - lo) // {n}), {n} - 1)"
-on_messages("filter_time_bucket", _one_bucket, f"SELECT id FROM m, r WHERE {_BUCKET.format(n=60)} = 7", _RANGE)
+on_messages("filter_time_bucket", lambda m: _one_bucket(m).select("id"), f"SELECT id FROM m, r WHERE {_BUCKET.format(n=60)} = 7", _RANGE)
+on_messages("first_in_bucket", lambda m: (lambda r: P.first_in_bucket(m, r[0], (r[0] + r[1]) // 2))(m.agg(F.min("ts_ns"), F.max("ts_ns")).first()), "SELECT arg_min(id, (ts_ns, id)) AS id, min(ts_ns) AS ts_ns FROM m, r WHERE ts_ns < (lo + hi) // 2", _RANGE)
+for _what in ("src", "dst", "transport"):
+    on_messages(f"filter_like_event_{_what}", lambda m, w=_what: P.filter_like_event(m, 7, w).select("id"), f"SELECT id FROM m WHERE {_what} = (SELECT {_what} FROM m WHERE id = 7)")
 _where("anomaly_events", P.anomaly, "transport = 'gRPC' AND grpc_status <> '0'")
 _where("protocol_error_events", P.protocol_error, "coalesce(grpc_status <> '0', false) OR coalesce(CAST(http_status AS INT) >= 400, false)")
 _where("search_text", lambda: P.search_text("SVC.S1/m2"), "lower(grpc_method) LIKE '%svc.s1/m2%'")
@@ -295,10 +322,11 @@ on_messages("payload_search", lambda m: P.payload_search(m, P.search_bytes("22 3
 
 A = aggregates
 _W = lambda c: F.row_number().over(Window.orderBy(*c))
-on_messages("sort_messages", lambda m: A.sort_messages(m, "source", True).limit(500).select("id", "src"), "SELECT id, src FROM m ORDER BY coalesce(src, '') DESC, id LIMIT 500")
-on_messages("sort_messages_all", lambda m: A.sort_messages(m, "source", True).select("id", "src"), "SELECT id, src FROM m ORDER BY coalesce(src, '') DESC, id")
+on_messages("sort_messages", lambda m: A.sort_messages(m, "source", True).select("id", "src"), "SELECT id, src FROM m ORDER BY coalesce(src, '') DESC, id")
 on_messages("top_protocols", lambda m: A.top_protocols(m, 3), "SELECT transport, count(*) AS events FROM m GROUP BY transport ORDER BY count(*) DESC, CASE transport WHEN 'gRPC' THEN 0 WHEN 'ZMQ' THEN 1 WHEN 'DDS-RTPS' THEN 2 WHEN 'TCP' THEN 3 ELSE 4 END LIMIT 3")
 on_messages("recent_n", lambda m: A.recent_n(m, 1000).select("id"), "SELECT id FROM m ORDER BY ts_ns DESC, id DESC LIMIT 1000")
+on_messages("recent_counts", lambda m: A.recent_counts(m, 1000), "SELECT count(*) AS pushed, greatest(count(*) - 1000, 0) AS evicted FROM m")
+on_messages("capture_limit_events", lambda m: A.capture_limit(m, events=300).select("id"), "SELECT id FROM m ORDER BY ts_ns, id LIMIT 300")
 on_messages("capture_limit", lambda m: A.capture_limit(m, seconds=86400.0).select("id"), "SELECT id FROM m, r WHERE ts_ns < lo + 86400000000000", _RANGE)
 on_messages("capture_sample", lambda m: A.capture_sample(m).select("id"), "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY ts_ns, id) AS a, row_number() OVER (ORDER BY ts_ns DESC, id DESC) AS b FROM m) x WHERE a <= 50 OR b <= 50")
 on_messages("event_context", lambda m: A.event_context(m, 500, 10).select("id"), "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY id > 500 ORDER BY CASE WHEN id > 500 THEN id ELSE -id END) AS n FROM m WHERE id <> 500 AND origin IN (SELECT origin FROM m WHERE id = 500)) x WHERE n <= 10")
@@ -317,7 +345,7 @@ on_messages("session_summary", A.session_summary, "SELECT concat('events/', adap
 on_messages("channel_counts", A.channel_counts, "SELECT concat('events/', adapter, '/', origin) AS channel, count(*) AS events FROM m GROUP BY 1")
 on_messages("channel_sequence", lambda m: A.channel_sequence(m).select("id", "channel_seq"), "SELECT id, CAST(row_number() OVER (PARTITION BY adapter, origin ORDER BY ts_ns, id) - 1 AS INT) AS channel_seq FROM m")
 _WAYS = " UNION ALL ".join(f"SELECT transport, '{k}' AS key, {c} AS v, ts_ns, id FROM m WHERE {c} IS NOT NULL" for k, c in views.METADATA.items())
-on_messages("capture_context", lambda m: A.capture_context(m).select("key", F.array_join("values", ",").alias("values")), f"SELECT key, string_agg(v, ',' ORDER BY v) AS \"values\" FROM (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY v) AS n FROM (SELECT DISTINCT key, v FROM ({_WAYS}) w WHERE id IN (SELECT id FROM m ORDER BY ts_ns, id LIMIT 100)) d) x WHERE n <= 5 GROUP BY key")
+on_messages("capture_context", lambda m: A.capture_context(m).select("key", F.array_join("values", ",").alias("values")), f"SELECT key, string_agg(v, ',' ORDER BY v) AS \"values\" FROM (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY v) AS n FROM (SELECT DISTINCT key, v FROM ({_WAYS}) w WHERE id IN (SELECT id FROM m ORDER BY ts_ns, id LIMIT 100)) d) x WHERE n <= 5 GROUP BY key UNION ALL SELECT NULL, string_agg(DISTINCT transport, ',' ORDER BY transport) FROM (SELECT transport FROM m ORDER BY ts_ns, id LIMIT 100) t")
 on_messages("anomaly_summary", lambda m: A.anomaly_summary(m).withColumn("error_percent", F.round("error_percent", 6)), "SELECT count(*) AS events, count(DISTINCT transport) AS transports, sum(e) AS errors, round(100.0 * sum(e) / count(*), 6) AS error_percent FROM (SELECT *, CAST(CASE WHEN grpc_status <> '0' OR CAST(http_status AS INT) >= 400 THEN 1 ELSE 0 END AS BIGINT) AS e FROM m) x")
 _STATS = "SELECT user_id AS channel, count(*) AS received, sum(k) AS bytes, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) AS drops_kernel, sum(CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) AS drops_channel, 10.0 AS seconds FROM {m} GROUP BY user_id"
 _on(
@@ -326,7 +354,7 @@ _on(
 )
 _on(
     lambda s, d: packets.packet_headers(views.packets(s, d)), "pipeline_stats", A.pipeline_stats,
-    "SELECT count(*) AS packets_read, CAST(0 AS BIGINT) AS packets_failed, count(*) FILTER (WHERE t) AS tcp_segments, count(*) FILTER (WHERE NOT t) AS udp_datagrams, count(DISTINCT CASE WHEN t THEN concat(src, dst) END) AS tcp_streams, CAST(0 AS BIGINT) AS encrypted FROM (SELECT *, transport IN ('gRPC', 'ZMQ', 'TCP') AS t FROM m WHERE src IS NOT NULL) x", views.M,
+    "SELECT count(*) AS packets_read, CAST(0 AS BIGINT) AS packets_failed, count(*) FILTER (WHERE t) AS tcp_segments, count(*) FILTER (WHERE NOT t) AS udp_datagrams, count(DISTINCT CASE WHEN t THEN concat(src, dst) END) AS tcp_streams, CAST(0 AS BIGINT) AS encrypted, CAST(0 AS BIGINT) AS decrypted, count(DISTINCT CASE WHEN transport IN ('gRPC', 'ZMQ', 'DDS-RTPS') THEN concat(src, dst) END) AS decoded, count(DISTINCT CASE WHEN transport IN ('TCP', 'UDP') THEN concat(src, dst) END) AS fallback FROM (SELECT *, transport IN ('gRPC', 'ZMQ', 'TCP') AS t FROM m WHERE src IS NOT NULL) x", views.M,
 )
 _GAP = "SELECT {by}, min(sequence) AS first_seq, max(sequence) AS last_seq, greatest(max(sequence) - min(sequence) + 1 - count(DISTINCT sequence), 0) AS gaps FROM m WHERE sequence IS NOT NULL GROUP BY {by}"
 on_messages("sequence_gaps", lambda m: A.sequence_gaps(m, ["src"]), _GAP.format(by="src"))
@@ -394,16 +422,14 @@ on_conversations("conversation_error", lambda c: c.select("conversation_id", F.c
 on_conversations("conversation_state", lambda c: c.select("conversation_id", "state"), "SELECT conversation_id, state FROM cv")
 on_conversations("conversation_kind", lambda c: c.select("conversation_id", "kind"), "SELECT conversation_id, kind FROM cv")
 on_conversations(
-    "conversation_summary", lambda c: c.filter("protocol <> 'ZMQ'").select("conversation_id", "summary"),
-    f"SELECT conversation_id, CASE WHEN NOT claimed THEN 'Fallback ' || protocol || ' conversation' ELSE coalesce(method || ' → ' || coalesce({_NAMES.replace('grpc_status', 'status')}, state) || ' (' || CAST(duration_ns // 1000000 AS STRING) || 'ms)', "
-    "'Topic=' || dtopic || ' domain=' || coalesce(domain, '?') || ' — ' || CAST(request_count + response_count AS STRING) || ' samples', kind || ' conversation — ' || state || ' state') END AS summary FROM cv WHERE protocol <> 'ZMQ'",
+    "conversation_summary", lambda c: c.select("conversation_id", "summary"),
+    f"SELECT conversation_id, CASE WHEN NOT claimed THEN 'Fallback ' || protocol || ' conversation' ELSE coalesce(method || ' → ' || coalesce({_NAMES.replace('grpc_status', 'status')}, state) || ' (' || CAST(duration_ns // 1000000 AS STRING) || 'ms)', 'PUB topic=' || ztopic || ' — ' || CAST(request_count + response_count AS STRING) || ' messages (' || printf('%.1f', duration_ns / 1e9) || 's)', "
+    "'Topic=' || dtopic || ' domain=' || coalesce(domain, '?') || ' — ' || CAST(request_count + response_count AS STRING) || ' samples', kind || ' conversation — ' || state || ' state') END AS summary FROM cv",
 )
 on_messages("conversation_for_event", lambda m: C.conversation_for_event(C.build_conversations(m), C.conversation_events(C.assign_flows(m)), 42).select("conversation_id", "events"), "SELECT cid AS conversation_id, events FROM cv WHERE cid IN (SELECT cid FROM g WHERE id = 42)", *_CONV)
 on_conversations("conversations_by_protocol", lambda c: C.conversations_by_protocol(c, "dds-rtps").select("conversation_id"), "SELECT conversation_id FROM cv WHERE protocol = 'DDS-RTPS'")
-on_conversations("conversations_by_time", lambda c: C.conversations_by_time(c).limit(200).select("conversation_id", "start_ns"), "SELECT conversation_id, start_ns FROM cv ORDER BY start_ns, conversation_id LIMIT 200")
-on_messages("sort_conversations", lambda m: C.sort_conversations(C.build_conversations(m), m, "requests", True).limit(100).select("conversation_id", "request_count"), "SELECT conversation_id, request_count FROM cv ORDER BY request_count DESC, conversation_id LIMIT 100", *_CONV)
-on_conversations("conversations_by_time_all", lambda c: C.conversations_by_time(c).select("conversation_id", "start_ns"), "SELECT conversation_id, start_ns FROM cv ORDER BY start_ns, conversation_id")
-on_messages("sort_conversations_all", lambda m: C.sort_conversations(C.build_conversations(m), m, "requests", True).select("conversation_id", "request_count"), "SELECT conversation_id, request_count FROM cv ORDER BY request_count DESC, conversation_id", *_CONV)
+on_conversations("conversations_by_time", lambda c: C.conversations_by_time(c).select("conversation_id", "start_ns"), "SELECT conversation_id, start_ns FROM cv ORDER BY start_ns, conversation_id")
+on_messages("sort_conversations", lambda m: C.sort_conversations(C.build_conversations(m), m, "requests", True).select("conversation_id", "request_count"), "SELECT conversation_id, request_count FROM cv ORDER BY request_count DESC, conversation_id", *_CONV)
 _BAD = lambda: P.cmp("grpc.status", "!=", "0")
 on_messages("conversations_of_filter", lambda m: C.conversations_of_filter(C.build_conversations(m), C.conversation_events(C.assign_flows(m)), m, _BAD()).select("conversation_id"), "SELECT DISTINCT cid AS conversation_id FROM g WHERE grpc_status <> '0'", *_CONV)
 on_messages(
@@ -444,7 +470,16 @@ _on(
 )
 on_spans("trace_tree", lambda s: T.trace_tree(s.filter("id % 7 <> 0")).select("span_id", "is_root"), "SELECT a.span_id, b.span_id IS NULL AS is_root FROM sp a LEFT JOIN (SELECT trace_id, span_id FROM sp WHERE id % 7 <> 0) b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id WHERE a.id % 7 <> 0")
 on_spans("trace_levels", lambda s: T.trace_levels(s).select("span_id", "level"), "SELECT span_id, CAST(floor(log2(n)) AS INT) AS level FROM sn")
-on_spans("trace_children", lambda s: s.join(F.broadcast(s.select(F.max_by("parent_span_id", F.when(F.col("parent_span_id").isNotNull(), F.col("start_ns"))).alias("parent_span_id"))), "parent_span_id", "left_semi").select("span_id"), "SELECT span_id FROM sp WHERE parent_span_id = (SELECT arg_max(parent_span_id, start_ns) FROM sp WHERE parent_span_id IS NOT NULL)")
+
+
+def _children(s: DataFrame) -> DataFrame:
+    """Children of one span: the parent that was named last."""
+    one = s.filter("parent_span_id is not null").agg(F.max_by(F.struct("trace_id", "parent_span_id"), F.struct("start_ns", "span_id")).alias("x")).select("x.*").first()
+    return T.trace_children(s, *(one or ("", "")))
+
+
+on_spans("trace_children", lambda s: _children(s).select("span_id"), "SELECT span_id FROM sp WHERE (trace_id, parent_span_id) = (SELECT arg_max((trace_id, parent_span_id), (start_ns, span_id)) FROM sp WHERE parent_span_id IS NOT NULL)")
+on_messages("untraced", T.untraced, "SELECT count(*) AS untraced FROM m WHERE trace_id IS NULL")
 on_messages("trace_summary", T.trace_summary, "SELECT trace_id, count(*) AS events, (max(ts_ns) - min(ts_ns)) // 1000000 AS duration_ms FROM m WHERE trace_id IS NOT NULL GROUP BY trace_id")
 on_messages("trace_listing", lambda m: T.trace_listing(m).select("id", "n", "label", "size"), "SELECT id, CAST(n AS INT) AS n, coalesce(grpc_method, zmq_topic, dds_topic) AS label, CAST(length(payload_text) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, id) AS n FROM m WHERE trace_id IS NOT NULL) x")
 _on(lambda s, d: T.spans_for_service(views.messages(s, d), views.spans(s, d), "svc1"), "spans_for_service", lambda d: d.select("id"), "SELECT id FROM m WHERE trace_id IN (SELECT trace_id FROM sp WHERE service = 'svc1')", views.M, views.SP_DUCK)
@@ -464,10 +499,30 @@ def _two_sets(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 D = diff
 on_messages("diff_events", lambda m: D.diff_events(*_two(m)).groupBy("match").agg(F.count("*").alias("events")))
-on_messages("diff_events_mutual", lambda m: D.diff_events_mutual(*_two(m)).select("left_id", "right_id"))
-on_messages("diff_conversations", lambda m: D.diff_conversations(*_two_sets(m)).groupBy("change").agg(F.count("*").alias("conversations")))
-on_messages("error_difference", lambda m: D.error_difference(*_two_sets(m)))
-on_messages("regression_report", lambda m: D.regression_report(*_two_sets(m)))
+on_messages(
+    "diff_events_mutual", lambda m: D.diff_events_mutual(*_two(m)).select("left_id", "right_id"),
+    "SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY gap, right_id) AS x, row_number() OVER (PARTITION BY right_id ORDER BY gap, left_id) AS y FROM (SELECT a.id AS left_id, b.id AS right_id, abs(a.ts_ns - b.ts_ns - 30000000) AS gap "
+    "FROM m a JOIN m b ON a.src = b.src AND a.dst = b.dst AND abs(a.ts_ns - b.ts_ns - 30000000) <= 100000000 AND (a.grpc_method IS NULL OR b.grpc_method IS NULL OR a.grpc_method = b.grpc_method) WHERE a.id % 7 <> 0 AND b.id % 5 <> 0) n) r WHERE x = 1 AND y = 1",
+)
+
+
+def _apart(side: str) -> tuple[str, ...]:
+    """The conversations' steps over the table m_a or m_b instead of m."""
+    return tuple(re.sub(r"\b(m|pr|f|g|go|c0|c1|cv)\b", rf"\1_{side}", t) for t in _CONV)
+
+
+_SIDES = ("m_a AS (SELECT * FROM m WHERE id % 7 <> 0)", *_apart("a"), "m_b AS (SELECT * REPLACE (ts_ns + 30000000 AS ts_ns) FROM m WHERE id % 5 <> 0)", *_apart("b"))
+on_messages(
+    "diff_conversations", lambda m: D.diff_conversations(*_two_sets(m)).select("conversation_id", "change"),
+    "SELECT coalesce(a.cid, b.cid) AS conversation_id, CASE WHEN a.cid IS NULL THEN 'second' WHEN b.cid IS NULL THEN 'first' WHEN a.state <> b.state OR abs(a.duration_ns - b.duration_ns) > a.duration_ns // 10 THEN 'changed' ELSE 'same' END AS change FROM cv_a a FULL JOIN cv_b b ON a.cid = b.cid", *_SIDES,
+)
+_LOST = "SELECT cid AS conversation_id FROM cv_{} WHERE state = 'error' AND cid NOT IN (SELECT cid FROM cv_{} WHERE state = 'error')"
+on_messages("error_difference", lambda m: D.error_difference(*_two_sets(m)), _LOST.format("a", "b"), *_SIDES)
+on_messages(
+    "regression_report", lambda m: D.regression_report(*_two_sets(m)).select(*(F.round(c, 6).alias(c) for c in ("p50_change", "p95_change", "error_points")), "new_errors", "fixed_errors"),
+    f"SELECT round(coalesce(100.0 * (b.p50_ns - a.p50_ns) / nullif(a.p50_ns, 0), 0), 6) AS p50_change, round(coalesce(100.0 * (b.p95_ns - a.p95_ns) / nullif(a.p95_ns, 0), 0), 6) AS p95_change, round(100.0 * (b.error_rate - a.error_rate), 6) AS error_points, "
+    f"(SELECT count(*) FROM ({_LOST.format('b', 'a')}) x) AS new_errors, (SELECT count(*) FROM ({_LOST.format('a', 'b')}) x) AS fixed_errors FROM ({_AGG.format(c='cv_a').replace('round(avg', '(avg').replace(', 9) AS error_rate', ') AS error_rate')}) a, ({_AGG.format(c='cv_b').replace('round(avg', '(avg').replace(', 9) AS error_rate', ') AS error_rate')}) b", *_SIDES,
+)
 
 
 def _asof(m: DataFrame) -> DataFrame:
@@ -476,13 +531,15 @@ def _asof(m: DataFrame) -> DataFrame:
 
 
 on_messages(
-    "dds_topic_asof", lambda m: _asof(m).select("id", "topic"),
-    "SELECT a.id, arg_max(b.dds_topic, b.ts_ns) AS topic FROM (SELECT * FROM m WHERE transport = 'DDS-RTPS' AND id % 4 <> 0) a LEFT JOIN (SELECT * FROM m WHERE transport = 'DDS-RTPS' AND id % 4 = 0 AND dds_topic IS NOT NULL) b ON a.dds_writer = b.dds_writer AND b.ts_ns <= a.ts_ns GROUP BY a.id",
+    "dds_topic_asof", lambda m: _asof(m).select("id", "topic", "warning"),
+    "SELECT a.id, arg_max(b.dds_topic, b.ts_ns) AS topic, CASE WHEN arg_max(b.dds_topic, b.ts_ns) IS NULL THEN 'no discovery for writer' END AS warning FROM (SELECT * FROM m WHERE transport = 'DDS-RTPS' AND id % 4 <> 0) a LEFT JOIN (SELECT * FROM m WHERE transport = 'DDS-RTPS' AND id % 4 = 0 AND dds_topic IS NOT NULL) b ON a.dds_writer = b.dds_writer AND b.ts_ns <= a.ts_ns GROUP BY a.id",
 )
+_COMPARED = [("direction", "{0}.direction"), ("transport", "{0}.transport"), ("time", "substring(" + ISO.replace("ts_ns", "{0}.ts_ns") + ", 12, 12)"), ("payload_type", "{0}.payload_type"), ("size", "CAST(length({0}.payload_text) AS STRING)"), ("schema", "{0}.schema_name")]
+_COMPARED += [(f"metadata.{k}", "{0}." + c) for k, c in views.METADATA.items()]
 on_messages(
-    "diff_fields", lambda m: D.diff_fields(m.select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id")).join(m.select(F.col("id").alias("right_id")), "right_id", "left_semi"), m, m).filter("field in ('direction', 'transport', 'size', 'schema')").select("left_id", "field", "change"),
-    "SELECT a.id AS left_id, f.field, CASE WHEN y IS NULL THEN 'only left' WHEN x IS NULL THEN 'only right' WHEN x = y THEN 'same' ELSE 'changed' END AS change FROM m a JOIN m b ON b.id = a.id + 1, "
-    "LATERAL (SELECT 'direction' AS field, a.direction AS x, b.direction AS y UNION ALL SELECT 'transport', a.transport, b.transport UNION ALL SELECT 'size', CAST(length(a.payload_text) AS STRING), CAST(length(b.payload_text) AS STRING) UNION ALL SELECT 'schema', a.schema_name, b.schema_name) f WHERE x IS NOT NULL OR y IS NOT NULL",
+    "diff_fields", lambda m: D.diff_fields(m.select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id")).join(m.select(F.col("id").alias("right_id")), "right_id", "left_semi"), m, m).select("left_id", "field", "left_value", "right_value", "change"),
+    "SELECT a.id AS left_id, f.field, x AS left_value, y AS right_value, CASE WHEN y IS NULL THEN 'only left' WHEN x IS NULL THEN 'only right' WHEN x = y THEN 'same' ELSE 'changed' END AS change FROM m a JOIN m b ON b.id = a.id + 1, "
+    "LATERAL (" + " UNION ALL ".join(f"SELECT '{n}' AS field, {c.format('a')} AS x, {c.format('b')} AS y" for n, c in _COMPARED) + ") f WHERE x IS NOT NULL OR y IS NOT NULL",
 )
 
 # --- packets ----------------------------------------------------------------------------------
@@ -507,7 +564,7 @@ on_packets(
     f"SELECT id, CAST(epoch AS BIGINT) AS epoch, (q - first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns)) AS rel FROM (SELECT *, id * 100 + k // 2 % 2 AS q, coalesce(sum(k // 4 % 2) OVER (PARTITION BY src, dst ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch {_WIRED} AND {_TCP}) x",
 )
 on_packets("tcp_idle", lambda p: packets.tcp_idle(p.filter("protocol = 'tcp'"), 4_102_444_800_000_000).select("flow"), f"SELECT DISTINCT concat(src, '|', dst, '|tcp') AS flow {_WIRED} AND {_TCP}")
-on_packets("normalize_errors", lambda p: packets.normalize_errors(packets.packet_headers(p.select("linktype", "ts_us", F.expr("substring(data, 1, cast(id % 40 as int))").alias("data"), "id"))))
+on_packets("normalize_errors", lambda p: packets.normalize_errors(packets.packet_headers(p.select("linktype", "ts_us", F.expr("substring(data, 1, cast(id % 40 as int))").alias("data"), "id"))), f"SELECT CASE WHEN id % 40 < 15 THEN 'no ip header' ELSE 'cut packet' END AS error, count(*) AS packets {_WIRED} AND id % 40 < 38 GROUP BY 1")
 
 
 def _fragments(p: DataFrame) -> DataFrame:
@@ -526,12 +583,22 @@ on_segments(
     "SELECT flow, CAST(run AS BIGINT) AS run, min(rel) AS start, CAST(count(*) * 100 AS BIGINT) AS size, md5(string_agg(repeat(chr(CAST(65 + rel // 100 AS INT)), 100), '' ORDER BY rel)) AS bytes FROM j GROUP BY flow, run", _ISLES,
 )
 on_segments("tcp_missing_ranges", lambda s: packets.tcp_missing_ranges(s).select("flow", "missing_start", "missing_end"), "SELECT flow, CASE WHEN prev IS NULL THEN 0 ELSE prev + 100 END AS missing_start, rel AS missing_end FROM j WHERE prev IS NULL AND rel > 0 OR rel > prev + 100", _ISLES)
-on_segments(
-    "streams_to_messages", lambda s: packets.streams_to_messages(packets.tcp_reassemble(s), packets.tcp_missing_ranges(s)).select("flow", "run", "direction", F.octet_length("payload").alias("size"), meta("tcp.complete").alias("complete")),
-    "SELECT flow, CAST(run AS BIGINT) AS run, 'outbound' AS direction, CAST(count(*) * 100 AS INT) AS size, CASE WHEN max(max(CASE WHEN prev IS NULL AND rel > 0 OR rel > prev + 100 THEN 1 ELSE 0 END)) OVER (PARTITION BY flow) = 1 THEN 'false' ELSE 'true' END AS complete FROM j GROUP BY flow, run", _ISLES,
-)
 
-# --- detection --------------------------------------------------------------------------------
+
+def _raw_messages(p: DataFrame) -> DataFrame:
+    segments = packets.tcp_segments(p)
+    streams = packets.streams_to_messages(packets.tcp_reassemble(segments), packets.stream_ends(segments))
+    every = streams.unionByName(packets.datagrams_to_messages(p), allowMissingColumns=True)
+    return every.select("flow", "epoch", "run", "ts_ns", "src", "dst", "transport", "direction", F.octet_length("payload").alias("size"), meta("tcp.complete").alias("complete"), F.size("warnings").alias("warnings"))
+
+
+on_packets(
+    "streams_to_messages", _raw_messages,
+    f"SELECT concat(src, '|', dst, '|tcp') AS flow, CAST(epoch AS BIGINT) AS epoch, row_number() OVER (PARTITION BY src, dst, epoch ORDER BY ((q - isn) % 4294967296 + 4294967296) % 4294967296) - 1 AS run, min(ts_ns) OVER side AS ts_ns, src, dst, 'TCP' AS transport, CASE WHEN {_PORT.format('src')} < {_PORT.format('dst')} THEN 'outbound' ELSE 'inbound' END AS direction, "
+    "length(payload_text) AS size, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 'true' ELSE 'false' END AS complete, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 0 ELSE 1 END AS warnings FROM (SELECT *, first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns) AS isn FROM ("
+    f"SELECT *, id * 100 + k // 2 % 2 AS q, coalesce(sum(k // 4 % 2) OVER (PARTITION BY src, dst ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch {_WIRED} AND {_TCP}) e WHERE k // 4 % 2 = 0) y WINDOW side AS (PARTITION BY src, dst, epoch) "
+    f"UNION ALL SELECT concat(src, '|', dst, '|udp'), NULL, NULL, ts_ns, src, dst, 'UDP', 'unknown', length(payload_text), NULL, 0 {_WIRED} AND NOT {_TCP}",
+)
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,25 +612,25 @@ def on_streams(name: str, rows: Rows, sql: str | None) -> None:
 
 
 _PORTS = f"CASE WHEN {_TCP} THEN CASE {_PORT.format('dst')} WHEN 50051 THEN 'gRPC' WHEN 443 THEN 'HTTP/2' WHEN 5555 THEN 'ZMTP' END WHEN {_PORT.format('dst')} BETWEEN 7400 AND 7500 THEN 'RTPS' END"
-_MAGIC = "CASE id % 6 WHEN 0 THEN 'gRPC' WHEN 1 THEN 'ZMTP' WHEN 2 THEN 'RTPS' WHEN 3 THEN 'HTTP/1' WHEN 4 THEN 'TLS' END"
+_OPENED = f"CASE WHEN {_TCP} THEN CASE id % 6 WHEN 0 THEN 'gRPC' WHEN 1 THEN 'ZMTP' WHEN 3 THEN 'HTTP/1' WHEN 4 THEN 'TLS' END WHEN id % 6 = 2 THEN 'RTPS' END"
+_FOUND = f"SELECT id, coalesce({_OPENED}, {_PORTS}, 'UNKNOWN') AS detected, CAST(CASE {_OPENED} WHEN 'gRPC' THEN 0.95 WHEN 'ZMTP' THEN 0.95 WHEN 'RTPS' THEN 0.99 WHEN 'HTTP/1' THEN 0.85 WHEN 'TLS' THEN 0.85 ELSE CASE WHEN {_PORTS} IS NOT NULL THEN 0.5 ELSE 0 END END AS DOUBLE) AS confidence, CASE {_OPENED} WHEN 'gRPC' THEN 'h2' WHEN 'ZMTP' THEN '3.3' WHEN 'RTPS' THEN '2.3' END AS version {_WIRED}"
 on_streams("detect_port", lambda p: p.select("id", detect.detect_port().alias("protocol")), f"SELECT id, {_PORTS} AS protocol {_WIRED}")
-on_streams("detect_magic", lambda p: p.select("id", F.when(detect.is_preface(), "gRPC").when(detect.is_zmtp(), "ZMTP").when(detect.is_rtps(), "RTPS").alias("protocol")), f"SELECT id, CASE WHEN id % 6 < 3 THEN {_MAGIC} END AS protocol {_WIRED}")
-on_streams("detect_h2_frame", lambda p: p.filter(detect.is_h2_frame() & F.expr("id % 6 in (1, 4)")).select("id"), f"SELECT id {_WIRED} AND (id % 6 = 1 OR id % 6 = 4 AND length(payload_text) >= 4)")
-on_streams("detect_h2_frame_all", lambda p: p.filter(detect.is_h2_frame()).select("id"), None)
-on_streams("detect_common", lambda p: p.select("id", F.when(detect.is_http1(), "HTTP/1").when(detect.is_tls(), "TLS").alias("protocol")), f"SELECT id, CASE WHEN id % 6 IN (3, 4) THEN {_MAGIC} END AS protocol {_WIRED}")
-on_streams("detect_best", lambda p: detect.detect_best(p).filter("id % 6 < 5").select("id", "detected", "confidence"), f"SELECT id, {_MAGIC} AS detected, CAST(CASE id % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.99 ELSE 0.85 END AS DOUBLE) AS confidence {_WIRED} AND id % 6 < 5")
-on_streams("detect_best_all", lambda p: detect.detect_best(p).select("id", "detected", "confidence"), None)
+on_streams("detect_magic", lambda p: p.select("id", detect.detect_magic().alias("protocol")), f"SELECT id, CASE WHEN id % 6 < 3 THEN {_OPENED} END AS protocol {_WIRED}")
+on_streams("detect_h2_frame", lambda p: p.filter(detect.detect_h2_frame()).select("id"), f"SELECT id {_WIRED} AND {_TCP} AND (id % 6 = 1 OR id % 6 = 4 AND length(payload_text) >= 4)")
+on_streams("detect_common", lambda p: p.select("id", detect.detect_common().alias("protocol")), f"SELECT id, CASE WHEN id % 6 IN (3, 4) THEN {_OPENED} END AS protocol {_WIRED}")
+on_streams("detect_best", lambda p: detect.detect_best(p).select("id", "detected", "confidence", "version"), _FOUND)
 
 
 def _overridden(p: DataFrame) -> DataFrame:
     chosen = p.filter("dst_port = 53").select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct().withColumn("forced", F.lit("DNS"))
-    return detect.detect_override(p, chosen).select("id", "detected")
+    return detect.detect_override(p, chosen).select("id", "detected", "confidence")
 
 
-on_streams("detect_override_all", _overridden, None)
-on_streams("detect_override", lambda p: _overridden(p).filter("id % 6 < 5"), f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE {_MAGIC} END AS detected {_WIRED} AND id % 6 < 5")
-on_streams("detect_ordered", lambda p: p.filter("id % 6 in (0, 1, 2)").select("id", detect.detect_ordered().alias("protocol")), f"SELECT id, CASE id % 6 WHEN 0 THEN 'grpc' WHEN 1 THEN 'zmtp' ELSE 'rtps' END AS protocol {_WIRED} AND id % 6 < 3")
-on_streams("detect_ordered_all", lambda p: p.select("id", detect.detect_ordered().alias("protocol")), None)
+on_streams("detect_override", _overridden, f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE detected END AS detected, CASE WHEN {_PORT.format('dst')} = 53 THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence FROM ({_FOUND}) f JOIN m USING (id)")
+on_streams(
+    "detect_ordered", lambda p: p.select("id", detect.detect_ordered().alias("protocol")),
+    f"SELECT id, CASE WHEN id % 6 = 0 OR id % 6 = 4 AND length(payload_text) >= 4 THEN 'grpc' WHEN id % 6 = 1 THEN 'zmtp' WHEN id % 6 = 2 THEN 'rtps' WHEN {_PORT.format('dst')} IN (50051, 443, 8443, 9090) OR {_PORT.format('src')} IN (50051, 443, 8443, 9090) THEN 'grpc' END AS protocol {_WIRED}",
+)
 on_streams("detect_initial_bytes", lambda p: p.select("id", F.octet_length(detect.initial_bytes()).alias("size")), f"SELECT id, CAST(least(256, length(payload_text) + CASE id % 6 WHEN 0 THEN 24 WHEN 1 THEN 12 WHEN 2 THEN 7 WHEN 3 THEN 5 WHEN 4 THEN 5 ELSE 1 END) AS INT) AS size {_WIRED}")
 
 # --- streaming: each reads the staged table as a stream, file by file ---------------------------
@@ -610,25 +677,32 @@ def _recent(m: DataFrame) -> DataFrame:
     spark, folder = m.sparkSession, shared_dir(m.sparkSession)
     run = jobs.stream_recent(_streamed(_timed(m)), folder, 1000).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/{run.lastProgress['batchId']}").select("id")
+    return spark.read.parquet(f"{folder}/{run.lastProgress['batchId'] % 2}").select("id")
 
 
 on_messages("stream_recent", _recent, "SELECT id FROM m ORDER BY ts_ns DESC, id DESC LIMIT 1000")
 on_messages("stream_timeline", lambda m: _drained(jobs.stream_timeline(_streamed(_timed(m)), "1 hour", "1 hour"), "complete").select("transport", F.unix_seconds("window.start").alias("start_s"), "events"), "SELECT transport, ts_ns // 3600000000000 * 3600 AS start_s, count(*) AS events FROM m GROUP BY 1, 2")
 on_messages(
-    "stream_idle", lambda m: _drained(jobs.stream_idle(_streamed(_timed(m), transport=F.lit("closing")))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets")),
-    "SELECT flow, count(CASE WHEN prev IS NULL OR us - prev >= 30000000 THEN 1 END) AS sessions, count(*) AS packets FROM (SELECT flow, us, lag(us) OVER (PARTITION BY flow ORDER BY us) AS prev FROM (SELECT coalesce(src, origin) AS flow, ts_ns // 1000 AS us FROM m) x) y GROUP BY flow",
+    "stream_idle", lambda m: _drained(jobs.stream_idle(_streamed(_timed(m), transport=F.lit("closing")))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets"), F.unix_micros(F.max("last_out")).alias("last_out"), F.unix_micros(F.max("last_in")).alias("last_in")),
+    "SELECT flow, count(CASE WHEN prev IS NULL OR us - prev >= 30000000 THEN 1 END) AS sessions, count(*) AS packets, max(CASE WHEN direction = 'outbound' THEN us END) AS last_out, max(CASE WHEN direction = 'inbound' THEN us END) AS last_in FROM (SELECT flow, us, direction, lag(us) OVER (PARTITION BY flow ORDER BY us) AS prev FROM (SELECT coalesce(src, origin) AS flow, direction, ts_ns // 1000 AS us FROM m) x) y GROUP BY flow",
 )
 _on(views.packets, "stream_route", lambda p: _drained(jobs.stream_route(_streamed(p))).groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1", views.M)
 
 
 def _stats(p: DataFrame) -> DataFrame:
-    rows, seen = jobs.stream_stats(packets.packet_headers(p))
-    rows.write.format("noop").mode("overwrite").save()
-    return p.sparkSession.createDataFrame([tuple(seen.get.values())], ", ".join(f"{c} long" for c in seen.get))
+    """Totals of a stream's counters over all its micro-batches."""
+    spark, listener = p.sparkSession, jobs.StatsListener()
+    spark.streams.addListener(listener)
+    try:
+        rows = jobs.stream_stats(packets.packet_headers(_streamed(p))).filter("flow is not null and error is null").observe("emitted", F.count("*").alias("emitted"))
+        rows.writeStream.format("noop").option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start().awaitTermination()
+        listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([tuple(listener.totals.values())], ", ".join(f"{c} long" for c in listener.totals))
 
 
-_on(views.packets, "stream_stats", _stats, f"SELECT count(*) AS received, count(*) AS normalised, count(*) AS routed, CAST(0 AS BIGINT) AS fragments, CAST(0 AS BIGINT) AS errors {_WIRED}", views.M)
+_on(views.packets, "stream_stats", _stats, f"SELECT count(*) AS received, count(*) AS normalised, count(*) AS routed, CAST(0 AS BIGINT) AS fragments, CAST(0 AS BIGINT) AS errors, count(*) AS emitted {_WIRED}", views.M)
 
 
 def _reassembled(s: DataFrame) -> DataFrame:
@@ -712,3 +786,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and error share per transport of a filtered set."""
     m = P.keep(views.messages(spark, sf_dir), P.either(P.cmp("direction", "==", "inbound"), P.cmp("direction", "==", "outbound")))
     return m.groupBy("transport").agg(F.count("*").alias("events"), F.avg(P.protocol_error().cast("double")).alias("error_share"))
+
+#: Earlier names of queries that have since come to give whole results themselves.
+for _name in ("sort_messages", "conversations_by_time", "sort_conversations", "detect_best", "detect_override", "detect_ordered", "detect_h2_frame"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
+
+#: Decoded rows that go to Spark together.
+DECODED_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -21,13 +26,17 @@ class Correlator:
 
 @dataclass(frozen=True)
 class Detector:
-    """A condition over (payload, protocol, src_port, dst_port) that names a protocol with a confidence."""
+    """A condition over (payload, protocol, src_port, dst_port) that names a protocol with a confidence.
+
+    With a transport ("tcp" or "udp") the rule is tried on packets of that transport only.
+    """
 
     name: str
     condition: Callable[[], Column]
     protocol: str
     confidence: float
     version: Callable[[], Column] | None = None
+    transport: str | None = None
 
 
 @dataclass(frozen=True)
@@ -55,7 +64,7 @@ def register_detector(rule: Detector) -> None:
 
 
 def register_decoder(protocol: str, function: Callable, schema: str) -> None:
-    """function(pandas rows of one flow) -> pandas rows of schema; its result holds one flow, see decode()."""
+    """function(flow, parts) yields rows of schema; see decode()."""
     DECODERS[protocol] = (function, schema)
 
 
@@ -67,17 +76,43 @@ def register_normalizer(function: Callable[[DataFrame], DataFrame]) -> None:
     NORMALIZERS.append(function)
 
 
-def stream_bytes(rows: pd.DataFrame) -> pd.DataFrame:
+def stream_bytes(flow, parts: Iterator[bytes]) -> Iterator[tuple]:
     """The least decoder: the number of bytes of a flow."""
-    return pd.DataFrame({"flow": [rows["flow"].iloc[0]], "bytes": [int(rows["data"].map(len).sum())]})
+    yield flow, sum(map(len, parts))
+
+
+def length_prefixed(flow, parts: Iterator[bytes]) -> Iterator[tuple]:
+    """Messages that follow four bytes of their length each, and what is left at the end (complete false)."""
+    held, n = b"", 0
+    for part in parts:
+        held, at = held + part, 0
+        while len(held) - at >= 4 and len(held) - at - 4 >= (size := int.from_bytes(held[at : at + 4])):
+            yield flow, n, size, True
+            at, n = at + 4 + size, n + 1
+        held = held[at:]
+    if held:
+        yield flow, n, len(held), False
 
 
 def decode(streams: DataFrame, protocol: str) -> DataFrame:
-    """The registered decoder over every flow of a table of reassembled streams."""
+    """The registered decoder over every flow of a table of reassembled streams (flow, dir, epoch, run, part, data).
+
+    A decoder gets a flow's parts one after the other, in order, and holds no more of them than it wants.
+    """
     if protocol not in DECODERS:
         raise KeyError(f"no decoder for {protocol}")
     function, schema = DECODERS[protocol]
-    return streams.groupBy("flow").applyInPandas(function, schema)
+    order = ["flow", *(c for c in ("dir", "epoch", "run", "part") if c in streams.columns)]
+    rows = streams.select(*order, "data").repartition("flow").sortWithinPartitions(*order).select("flow", "data")
+    names = T._parse_datatype_string(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (row for batch in batches for row in zip(batch["flow"], batch["data"], strict=True))
+        decoded = (made for flow, group in groupby(each, key=lambda r: r[0]) for made in function(flow, (bytes(r[1]) for r in group)))
+        while some := list(islice(decoded, DECODED_ROWS)):
+            yield pd.DataFrame(some, columns=names)
+
+    return rows.mapInPandas(run, schema)
 
 
 def exporter(name: str) -> Exporter:

@@ -75,6 +75,7 @@ def messages_to_spans(df: DataFrame) -> DataFrame:
         F.map_filter(
             F.create_map(
                 F.lit("tracelake.transport"), F.col("transport"), F.lit("tracelake.direction"), F.col("direction"), F.lit("net.peer.ip"), F.col("src"), F.lit("net.host.ip"), F.col("dst"),
+                F.lit("tracelake.adapter"), F.col("adapter"), F.lit("tracelake.origin"), F.col("origin"), F.lit("tracelake.event_id"), F.col("id").cast("string"),
                 F.lit("tracelake.sequence"), F.col("sequence").cast("string"), F.lit("tracelake.warning"), F.array_join("warnings", "; "),
             ),
             lambda _, v: F.coalesce(v, F.lit("")) != "",
@@ -102,7 +103,9 @@ def otlp_documents(spans: DataFrame, per_document: int = SPANS_PER_DOCUMENT) ->
     sharded = spans.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, ["adapter", "origin"])
     sharded = sharded.withColumn("shard", F.pmod(F.xxhash64("span_id"), F.col("shards")))
     text = lambda v: F.struct(F.lit(None).cast("string").alias("intValue"), v.alias("stringValue"))
-    pairs = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("value")))
+    whole = lambda e: e["key"] == "tracelake.event_id"
+    value = lambda e: F.struct(F.when(whole(e), e["value"]).alias("intValue"), F.when(~whole(e), e["value"]).alias("stringValue"))
+    pairs = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value")))
     span = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", "kind",
         F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), pairs.alias("attributes"),

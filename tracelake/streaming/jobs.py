@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from threading import Event
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from tracelake.operators import packets
 
@@ -22,26 +23,32 @@ def stream_filter(stream: DataFrame, condition: Column) -> DataFrame:
 
 
 def stream_recent(stream: DataFrame, folder: str, n: int):
-    """A writer that keeps the newest n rows in a table of two alternating folders, with counts pushed and evicted.
+    """A writer that keeps the newest n rows in two alternating folders, ``folder/0`` and ``folder/1``.
 
-    Every micro-batch reads the newest table (at most n rows) and writes the next one under its batch number,
-    so a repeated batch overwrites its own result.
+    Every micro-batch reads the table of the one before (at most n rows) and writes its own over the one before that,
+    so a repeated batch overwrites its own result and the disk holds two tables. Batch k is in folder k % 2.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("_batch", F.lit(number))
         if number:
-            new = new.unionByName(spark.read.parquet(f"{folder}/{number - 1}"))
-        new.orderBy(F.desc("ts_ns"), F.desc("id")).limit(n).write.mode("overwrite").parquet(f"{folder}/{number}")
+            new = new.unionByName(spark.read.parquet(f"{folder}/{(number - 1) % 2}"))
+        new.orderBy(F.desc("ts_ns"), F.desc("id")).limit(n).write.mode("overwrite").parquet(f"{folder}/{number % 2}")
 
     return stream.writeStream.foreachBatch(step)
 
 
 def stream_idle(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """(flow, first, last, packets) of flows, closed once 30 s pass without a packet; stream has flow and ts."""
+    """(flow, first, last, packets, last_out, last_in) of flows, closed once 30 s pass without a packet either way.
+
+    stream has flow, ts and direction (outbound or inbound); the last two are the last times of each direction.
+    """
     w = stream.withWatermark("ts", delay)
-    return w.groupBy("flow", F.session_window("ts", IDLE)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("packets"))
+    last = lambda way: F.max(F.when(F.col("direction") == way, F.col("ts")))
+    return w.groupBy("flow", F.session_window("ts", IDLE)).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("packets"), last("outbound").alias("last_out"), last("inbound").alias("last_in")
+    )
 
 
 def stream_timeline(stream: DataFrame, width: str, delay: str) -> DataFrame:
@@ -55,16 +62,37 @@ def stream_route(stream: DataFrame) -> DataFrame:
     return parsed.filter("flow is not null and error is null").repartition("flow")
 
 
-def stream_stats(parsed: DataFrame, name: str = "packets") -> tuple[DataFrame, Observation | None]:
-    """parsed with running counters of each micro-batch: received, normalised, routed, fragments, errors."""
-    counters = (
-        F.count(F.lit(1)).alias("received"), F.count_if(F.col("error").isNull()).alias("normalised"), F.count_if(F.col("flow").isNotNull()).alias("routed"),
-        F.count_if((F.col("frag_offset") > 0) | F.col("more_fragments")).alias("fragments"), F.count_if(F.col("error").isNotNull()).alias("errors"),
-    )
-    if parsed.isStreaming:
-        return parsed.observe(name, *counters), None
-    seen = Observation(name)
-    return parsed.observe(seen, *counters), seen
+COUNTERS = ("received", "normalised", "routed", "fragments", "errors")
+
+
+def stream_stats(parsed: DataFrame, name: str = "packets") -> DataFrame:
+    """parsed with counters of each micro-batch, observed under name: received, normalised, routed, fragments, errors."""
+    conditions = (F.lit(True), F.col("error").isNull(), F.col("flow").isNotNull(), (F.col("frag_offset") > 0) | F.col("more_fragments"), F.col("error").isNotNull())
+    return parsed.observe(name, *(F.count_if(c).alias(n) for n, c in zip(COUNTERS, conditions, strict=True)))
+
+
+class StatsListener(StreamingQueryListener):
+    """Sums over a query's micro-batches of what stream_stats observed, and of the rows observed as emitted under ``emitted``."""
+
+    def __init__(self, name: str = "packets", emitted: str = "emitted"):
+        self.name, self.emitted = name, emitted
+        self.totals = dict.fromkeys((*COUNTERS, "emitted"), 0)
+        self.ended = Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics
+        for key, row in ((self.name, seen.get(self.name)), (self.emitted, seen.get(self.emitted))):
+            for column, n in (row.asDict() if row else {}).items():
+                self.totals["emitted" if key == self.emitted else column] += n or 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
 
 
 def stream_load(spark, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
