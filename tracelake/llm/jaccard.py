@@ -498,8 +498,10 @@ def jaccard_components(df: DataFrame, text: str = "text", ident: str = "doc_id",
     blocks = kit.stage(_blocks(posted, percent, bool(len(top)) and int(top["n"].max()) >= HOT))
 
     size = blocks.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).filter("sets > 1")
-    size = size.select("block", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int").alias("chunks"))
-    placed = kit.stage(blocks.join(size, "block"))
+    size = kit.stage(size.select("block", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int").alias("chunks")))
+    # a large block is spread by a salt: first its few (block, salt) pairs get its size, then its rows
+    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
+    placed = kit.stage(blocks.join(blocks.select("block", "salt").distinct().join(kit.sized(size), "block"), ["block", "salt"]).drop("salt"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """The text of one document of each class."""
@@ -526,10 +528,10 @@ def jaccard_components(df: DataFrame, text: str = "text", ident: str = "doc_id",
     if not split.isEmpty():
         named = kit.stage(split.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
         main = named.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        rest = kit.stage(named.join(main, "block").withColumn("sent", F.col("label") != F.col("main")).drop("main"))
+        rest = kit.stage(named.join(kit.sized(kit.stage(main)), "block").withColumn("sent", F.col("label") != F.col("main")).drop("main"))
         sent = rest.filter("sent").select("block", "sub", F.explode(every).alias("chunk"), "sent", "sid", "label")
         stay = rest.select("block", "sub", own.alias("chunk"), F.lit(False).alias("sent"), "sid", "label")
-        ready = stay.join(rest.filter("sent").select("block").distinct(), "block", "left_semi").unionByName(sent).join(sets, "sid")
+        ready = stay.join(kit.sized(kit.stage(rest.filter("sent").select("block").distinct())), "block", "left_semi").unionByName(sent).join(sets, "sid")
         # own sets first, then those sent
         ready = ready.select(*part, "sent", "sid", "tokens", "label").repartition(*part).sortWithinPartitions(*part, "sent", "sid")
         labels = components(links.unionByName(kit.stage(map_arrow(ready, _crossed(percent, BLOCK_SETS), "a long, b long"))))
