@@ -2,32 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracelake.plans.ship import map_arrow
 
 IDLE_NS = 30_000_000_000
 FRAGMENT_US = 5_000_000
 WRAP = 1 << 32
 
 
-def _int(data: Column, at: Column | int, size: int) -> Column:
-    """Unsigned big-endian integer of size bytes at a 0-based place; null past the end."""
-    place = (F.lit(at) if isinstance(at, int) else at) + 1
-    part = F.substring(data, place, F.lit(size))
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
-
-
-def _ip4(data: Column, at: Column) -> Column:
-    return F.concat_ws(".", *(_int(data, at + k, 1).cast("string") for k in range(4)))
-
-
-def _ip6(data: Column, at: Column) -> Column:
-    return F.concat_ws(":", *(F.lower(F.hex(F.substring(data, at + 2 * k + 1, F.lit(2)))) for k in range(8)))
-
-
-def _let(value: Column, body) -> Column:
-    """body of value, with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+class _Bytes:
+    """The packets of a batch as one array; reads give values and whether the packet is long enough for them."""
+
+    def __init__(self, column: pa.Array):
+        raw = pc.fill_null(column, b"").cast(pa.large_binary())
+        n, buffers = len(raw), raw.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64, n + 1, raw.offset * 8)
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
+        self.start, self.size = offsets[:-1], np.diff(offsets)
+        self.data = np.append(data, np.zeros(1, np.uint8))
+
+    def read(self, at: np.ndarray, size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned big-endian integers of size bytes at 0-based places."""
+        ok = known & (at >= 0) & (at + size <= self.size)
+        first = np.where(ok, self.start + at, len(self.data) - size)
+        value = np.zeros(len(at), np.int64)
+        for k in range(size):
+            value = value << 8 | self.data[first + k]
+        return np.where(ok, value, 0), ok
+
+
+_DIGITS = pa.array([str(k) for k in range(256)])
+_GROUPS = pa.array([f"{k:04x}" for k in range(1 << 16)])
+_HEADERS = (
+    "vlan_id int, ip_protocol int, src_ip string, dst_ip string, ip_id long, frag_offset int, more_fragments boolean, protocol string, src_port int, dst_port int, "
+    "seq long, ack long, flags int, payload binary, error string"
+)
+
+
+def _parse(raw: pa.Array, link_types: np.ndarray) -> list[pa.Array]:
+    """The columns of _HEADERS for the packets of a batch."""
+    d, link = _Bytes(raw), link_types
+    n = len(link)
+    every, fixed = np.ones(n, bool), lambda k: np.full(n, k, np.int64)
+    is_in = lambda x, *values: np.isin(x[0], values) & x[1]
+    column = lambda x, ok, kind: pa.array(x, kind, mask=~ok)
+    tag = (link == 1) & is_in(d.read(fixed(12), 2, every), 0x8100, 0x88A8)
+    twice = tag & is_in(d.read(fixed(16), 2, every), 0x8100, 0x88A8)
+    vlan = d.read(fixed(14), 2, tag)
+    at = np.select([link == 0, link == 1, link == 101, link == 113, link == 276], [4, np.where(twice, 22, np.where(tag, 18, 14)), 0, 16, 20], -1)
+    known = at >= 0
+    kind = d.read(np.select([link == 1, link == 113], [at - 2, 14], 0), 2, np.isin(link, (1, 113, 276)))
+    first = d.read(at, 1, known)
+    version = first[0] >> 4
+    six = first[1] & (version == 6)
+    head, head_ok = np.where(six, 40, (first[0] & 15) * 4), first[1]
+    frag = d.read(at + 6, 2, known & ~six)
+    frag_known = six | frag[1]
+    length = d.read(np.where(six, at + 4, at + 2), 2, known)
+    end = np.where(length[1], np.minimum(at + np.where(six, 40, 0) + length[0], d.size), d.size)
+    error = np.select(
+        [~known, is_in(kind, 0x0806), kind[1] & ~np.isin(kind[0], (0x0800, 0x86DD)), ~(first[1] & np.isin(version, (4, 6))), ~head_ok | (d.size < at + head)],
+        ["unknown link type", "arp", "unknown protocol type", "no ip header", "cut packet"], "",
+    )
+    good = error == ""
+    protocol = d.read(np.where(six, at + 6, at + 9), 1, known & head_ok)
+    offset, more = np.where(six, 0, (frag[0] & 0x1FFF) * 8), (frag[0] & 0x2000) != 0
+    whole = frag_known & (offset == 0) & ~more
+    tcp, udp = good & whole & is_in(protocol, 6), good & whole & is_in(protocol, 17)
+    ported, l4 = tcp | udp, at + head
+    words = d.read(l4 + 12, 1, tcp)
+    start, start_ok = np.where(tcp, l4 + (words[0] >> 4) * 4, np.where(udp, l4 + 8, l4)), good & (words[1] | ~tcp)
+    ports = d.read(l4, 2, ported), d.read(l4 + 2, 2, ported)
+    error = np.where(ported & ~ports[1][1], "cut packet", error)
+
+    def address(place4: int, place6: int) -> pa.Array:
+        four = [d.read(at + place4 + k, 1, known & ~six) for k in range(4)]
+        short = pc.binary_join_element_wise(*(_DIGITS.take(pa.array(v)) for v, _ in four), ".")
+        out = pc.if_else(pa.array(four[3][1]), short, None)
+        if six.any():
+            parts = [d.read(at + place6 + 2 * k, 2, six) for k in range(8)]
+            out = pc.if_else(pa.array(parts[7][1]), pc.binary_join_element_wise(*(_GROUPS.take(pa.array(v)) for v, _ in parts), ":"), out)
+        return out
+
+    data, low = d.data.tobytes(), d.start + np.minimum(start, d.size)
+    high = np.maximum(d.start + end, low)
+    payload = [data[x:y] if ok else None for x, y, ok in zip(low.tolist(), high.tolist(), start_ok.tolist(), strict=True)]
+    ip_id, seq, ack, flags = d.read(at + 4, 2, known & ~six), d.read(l4 + 4, 4, tcp), d.read(l4 + 8, 4, tcp), d.read(l4 + 13, 1, tcp)
+    return [
+        column(vlan[0] & 0xFFF, vlan[1], pa.int32()), column(protocol[0], protocol[1], pa.int32()), address(12, 8), address(16, 24), column(ip_id[0], ip_id[1], pa.int64()),
+        column(offset, frag_known, pa.int32()), column(more, frag_known, pa.bool_()), column(np.select([tcp, udp], ["tcp", "udp"], "other"), good, pa.string()),
+        column(ports[0][0], ports[0][1], pa.int32()), column(ports[1][0], ports[1][1], pa.int32()), column(seq[0], seq[1], pa.int64()), column(ack[0], ack[1], pa.int64()),
+        column(flags[0], flags[1], pa.int32()), pa.array(payload, pa.binary()), column(error, error != "", pa.string()),
+    ]
 
 
 def packet_headers(df: DataFrame) -> DataFrame:
@@ -35,55 +109,17 @@ def packet_headers(df: DataFrame) -> DataFrame:
 
     Link types 0 (loopback), 1 (Ethernet), 101 (raw), 113 and 276 (cooked); one VLAN tag or two, the first
     is kept. IPv6 addresses are eight groups of four digits. ARP, unknown types and cut packets get an error.
+    Headers are read for a batch of packets at a time, in numpy: Catalyst has no byte access but by text.
     """
-    d, link = F.col("data"), F.col("linktype")
-    tag = F.coalesce((link == 1) & _int(d, 12, 2).isin(0x8100, 0x88A8), F.lit(False))
-    ether = F.when(tag & _int(d, 16, 2).isin(0x8100, 0x88A8), 22).when(tag, 18).otherwise(14)
-    frame = F.struct(
-        F.when(tag, _int(d, 14, 2).bitwiseAND(F.lit(0xFFF)).cast("int")).alias("vlan_id"),
-        F.when(link == 0, 4).when(link == 1, ether).when(link == 101, 0).when(link == 113, 16).when(link == 276, 20).alias("at"),
-    )
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(_HEADERS).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = pc.fill_null(batch.column("linktype").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_parse(batch.column("data"), links)], names)
 
-    def network(f: Column) -> Column:
-        at = f["at"]
-        kind = F.when(link == 1, _int(d, at - 2, 2)).when(link == 113, _int(d, 14, 2)).when(link == 276, _int(d, 0, 2))
-        return _let(F.struct(kind.alias("kind"), F.shiftright(_int(d, at, 1), 4).alias("version")), lambda v: addresses(f, v))
-
-    def addresses(f: Column, v: Column) -> Column:
-        at, six = f["at"], v["version"] == 6
-        head = F.when(six, 40).otherwise(_int(d, at, 1).bitwiseAND(F.lit(15)) * 4).cast("int")
-        frag = F.when(six, F.lit(0)).otherwise(_int(d, at + 6, 2))
-        end = F.when(six, at + 40 + _int(d, at + 4, 2)).otherwise(at + _int(d, at + 2, 2)).cast("int")
-        error = (
-            F.when(at.isNull(), "unknown link type").when(v["kind"] == 0x0806, "arp").when(v["kind"].isNotNull() & ~v["kind"].isin(0x0800, 0x86DD), "unknown protocol type")
-            .when(~F.coalesce(v["version"].isin(4, 6), F.lit(False)), "no ip header").when(F.coalesce(F.octet_length(d) < at + head, F.lit(True)), "cut packet")
-        )
-        ip = F.struct(
-            F.when(six, _int(d, at + 6, 1)).otherwise(_int(d, at + 9, 1)).cast("int").alias("ip_protocol"), (at + head).alias("l4"), F.least(end, F.octet_length(d)).alias("end"),
-            F.when(six, _ip6(d, at + 8)).otherwise(_ip4(d, at + 12)).alias("src_ip"), F.when(six, _ip6(d, at + 24)).otherwise(_ip4(d, at + 16)).alias("dst_ip"),
-            F.when(~six, _int(d, at + 4, 2)).alias("ip_id"), (frag.bitwiseAND(F.lit(0x1FFF)) * 8).cast("int").alias("frag_offset"),
-            (frag.bitwiseAND(F.lit(0x2000)) != 0).alias("more_fragments"), error.alias("error"),
-        )
-        return _let(ip, lambda i: _let(transport(i), lambda t: ports(f, i, t)))
-
-    def transport(i: Column) -> Column:
-        whole = (i["frag_offset"] == 0) & ~i["more_fragments"]
-        tcp, udp = (i["ip_protocol"] == 6) & whole, (i["ip_protocol"] == 17) & whole
-        return F.when(i["error"].isNull(), F.when(tcp, "tcp").when(udp, "udp").otherwise("other"))
-
-    def ports(f: Column, i: Column, t: Column) -> Column:
-        l4, tcp, ported = i["l4"], t == "tcp", t.isin("tcp", "udp")
-        start = F.when(tcp, l4 + F.shiftright(_int(d, l4 + 12, 1), 4).cast("int") * 4).when(t == "udp", l4 + 8).otherwise(l4)
-        cut = F.when(i["error"].isNull() & ported & _int(d, l4 + 2, 2).isNull(), "cut packet").otherwise(i["error"])
-        return F.struct(
-            f["vlan_id"].alias("vlan_id"), *(i[c].alias(c) for c in ("ip_protocol", "src_ip", "dst_ip", "ip_id", "frag_offset", "more_fragments")), t.alias("protocol"),
-            F.when(ported, _int(d, l4, 2).cast("int")).alias("src_port"), F.when(ported, _int(d, l4 + 2, 2).cast("int")).alias("dst_port"),
-            F.when(tcp, _int(d, l4 + 4, 4)).alias("seq"), F.when(tcp, _int(d, l4 + 8, 4)).alias("ack"), F.when(tcp, _int(d, l4 + 13, 1).cast("int")).alias("flags"),
-            F.when(i["error"].isNull(), F.substring(d, start + 1, F.greatest(i["end"] - start, F.lit(0)))).alias("payload"), cut.alias("error"),
-        )
-
-    parsed = df.withColumn("_h", _let(frame, network)).select("*", "_h.*").drop("_h")
-    return parsed.withColumn("flow", flow_key())
+    return map_arrow(df, run, schema).withColumn("flow", flow_key())
 
 
 def tcp_flags(df: DataFrame) -> DataFrame:
