@@ -32,7 +32,7 @@ MAGIC = b"TLID"
 LANES, STEPS = 4096, 256
 BLOCK_IDS = LANES * STEPS
 #: Words kept by a worker; beyond that it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Ids of a row, and the least number of times that an order-2 context was seen to have one.
 TOP, SEEN = 16, 4
 #: Probabilities are parts of 2**SCALE; the table of order-2 rows has 2**HASH places.
