@@ -84,3 +84,13 @@ def test_cut_rows_keep_their_first_words(docs):
     per = Counter(r.doc_id for r in rows)
     assert sum(len(r.text.split()) for r in rows) == 1.5 * 4 * 30
     assert set(per.values()) <= {1, 2} and all(f"w{r.doc_id} x\ty  z".startswith(r.text) for r in rows)
+
+
+def test_equal_rows_are_cut(spark):
+    df = spark.createDataFrame([(None, "same text")] * 400 + [(k, f"other {k}") for k in range(400)], "doc_id long, text string").repartition(5)
+    rows = shard.shard_documents(df, 8).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    assert len(rows) == 800 and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 12
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in rows))]

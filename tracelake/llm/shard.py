@@ -1,7 +1,7 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a uniform key of 32 hexadecimal digits (hash of the text, then hash of the
-id, so equal texts lie side by side and a large group of them can still be cut). Splitters are
+Rows are ordered by a uniform key of hexadecimal digits (hash of the text, hash of the id, number of
+the row, so equal texts lie side by side and a large group of them can still be cut). Splitters are
 found by counting, exactly and in all partitions at once, the bytes and rows in cells between
 candidate boundaries; each pass probes only the cells that hold an unsettled splitter, until its
 cell is within tolerance or holds one key. Then one exchange puts the rows where they belong.
@@ -114,11 +114,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", ident
     """ident, size, text_crc32, law, shard, slot, grown_shard of every row; sizes are near equal.
 
     size is the UTF-8 bytes of the text plus 1; a null text has none (size 1, checksum 0). A null id
-    is an id like any other. Equal texts follow each other and are cut only where a shard is full.
+    is an id like any other. Equal texts follow each other and are cut only where a shard is full. Rows equal in text
+    and id stand for each other, so a number of the staged row ends their key and many of them can be cut.
+    The driver holds the splitters, and of a pass at most 256 cells for each that is still open.
     """
     narrow = docs.select(
         F.col(ident), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), sort_key(F.col(text), F.col(ident)).alias("key"),
+        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.concat(sort_key(F.col(text), F.col(ident)), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("key"),
     )
     out = histogram_shards(kit.stage(narrow), "key", "size", shards)
     return out.select(ident, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
