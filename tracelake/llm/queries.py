@@ -106,5 +106,56 @@ FROM ranked
 """
 
 
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _covered_sql(name: str, table: str, n: int, value: str) -> str:
+    """Of each row r of documents: the sum of value over tokens x that lie in a window of n that stands twice or more."""
+    window = ", ".join(["x", *(f"lead(x, {k}) OVER w" for k in range(1, n))])
+    grams = f"SELECT r, i, x, CASE WHEN lead(x, {n - 1}) OVER w IS NOT NULL THEN concat_ws(' ', {window}) END AS g FROM {table} WINDOW w AS (PARTITION BY r ORDER BY i)"
+    hits = f"SELECT r, i, x, g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 AS h FROM ({grams}) a"
+    inside = f"SELECT r, x, bool_or(h) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c FROM ({hits}) b"
+    return f"{name} AS (SELECT r, sum(CASE WHEN c THEN {value} ELSE 0 END) AS v FROM ({inside}) d GROUP BY r)"
+
+
+def op7_sql() -> str:
+    limits, names = repetition.LIMITS, [f"dup_chars_{n}" for n in repetition.LIMITS]
+    steps = [
+        "docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)",
+        f"word AS (SELECT r, i, x FROM (SELECT r, unnest({_WORDS}) AS x, generate_subscripts({_WORDS}, 1) AS i FROM docs) u)",
+        "line AS (SELECT r, row_number() OVER (PARTITION BY r, x ORDER BY i) > 1 AS later, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars FROM (SELECT r, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) u "
+        "WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]'))",
+        "mark AS (SELECT r, i, x FROM (SELECT r, unnest(regexp_extract_all(text, '[!-/:-@\\[-`{-~]')) AS x, generate_subscripts(regexp_extract_all(text, '[!-/:-@\\[-`{-~]'), 1) AS i FROM docs) u)",
+        "words AS (SELECT r, count(*) AS n_words, sum(length(x)) AS word_chars FROM word GROUP BY r)",
+        "lines AS (SELECT r, count(*) FILTER (WHERE later) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE later), 0) AS dup_line_chars FROM line GROUP BY r)",
+        _covered_sql("again", "word", repetition.WINDOW, "1"), _covered_sql("marks", "mark", repetition.MARKS, "1"), *(_covered_sql(c, "word", n, "length(x)") for c, n in zip(names, limits, strict=True)),
+    ]
+    long = lambda c, name: f"CAST(coalesce({c}, 0) AS BIGINT) AS {name}"
+    columns = [
+        long("n_words", "n_words"), long("word_chars", "word_chars"), "CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols", long("n_dup_lines", "n_dup_lines"), long("again.v", "n_repeat_words"),
+        long("dup_line_chars", "dup_line_chars"), long("marks.v", "dup_mark_chars"), *(long(f"{c}.v", c) for c in names),
+    ]
+    joins = " ".join(f"LEFT JOIN {t} USING (r)" for t in ("words", "lines", "again", "marks", *names))
+    failed = f"n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words"
+    parts = {"dup_line_chars": repetition.LINE_LIMIT, "dup_mark_chars": repetition.MARK_LIMIT, **dict(zip(names, limits.values(), strict=True))}
+    good = " AND ".join(f"{c} <= CAST({x} AS DOUBLE) * greatest(word_chars, 1)" for c, x in parts.items())
+    return f"WITH {', '.join(steps)} SELECT *, {failed} AS base_failed, NOT ({failed}) AND {good} AS kept FROM (SELECT doc_id, {', '.join(columns)} FROM docs {joins}) x"
+
+
+OP2_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT p.a, p.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS common FROM sh l JOIN sh r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2) p
+  JOIN sizes sa ON sa.doc_id = p.a JOIN sizes sb ON sb.doc_id = p.b WHERE 100 * common >= 75 * (sa.n + sb.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM (SELECT doc_id, list(x ORDER BY x) AS k FROM sh GROUP BY doc_id) s)
+SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(classes.class_id, w.doc_id) AS class_id, components.component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (doc_id) JOIN components ON components.a = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL.strip()}
+    return {"op2_jaccard_join": OP2_SQL.strip(), "op4_mixing": OP4_SQL.strip(), "op7_quality_rules": op7_sql()}
