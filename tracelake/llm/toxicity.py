@@ -27,7 +27,7 @@ from tracelake.plans.ship import map_arrow
 #: Training is bounded: most documents of each class (in order of a hash of the id), and bytes of text from which on no more are taken.
 SAMPLE_DOCS, SAMPLE_BYTES = 8000, 64 << 20
 #: A feature needs so many toxic documents, and a lower bound of its log odds.
-LEAST_DOCS, LEAST_ODDS = 5, 1.0
+LEAST_DOCS, LEAST_ODDS = 5, 0.7
 BEGINNINGS, END = (4, 5, 6), 4
 CUT = 0.7
 
