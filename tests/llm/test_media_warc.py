@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import struct
 import time
 import zlib
 from html.parser import HTMLParser
@@ -30,6 +31,73 @@ def test_any_huffman_table_is_read():
     assert (media.decode_frames([frame])[0] == fast).all() and (fast == rows).all()
 
 
+def baseline(planes, scales, width, height, across, restart=0):
+    """A baseline frame of quantised blocks (rows of 64 in zigzag order) with codes of 9 bits, the first plane of across x across blocks a unit."""
+    table = lambda kind: bytes([kind]) + bytes([0] * 8 + [255] + [0] * 7) + bytes(range(255))
+    bits, out, last = "", b"", [0] * len(planes)
+
+    def signed(n):
+        size = abs(n).bit_length()
+        return size, f"{n if n >= 0 else n + (1 << size) - 1:0{size}b}" if size else ""
+
+    def flush():
+        padded = bits + "1" * (-len(bits) % 8)
+        return bytes(int(padded[i : i + 8], 2) for i in range(0, len(padded), 8)).replace(b"\xff", b"\xff\x00")
+
+    units = len(planes[-1]) if len(planes) > 1 else len(planes[0])
+    for unit in range(units):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, last = "", [0] * len(planes)
+        for p, blocks in enumerate(planes):
+            n = across * across if len(planes) > 1 and p == 0 else 1
+            for block in blocks[unit * n : unit * n + n]:
+                size, text = signed(int(block[0]) - last[p])
+                last[p] = int(block[0])
+                bits += f"{size:09b}{text}"
+                run = 0
+                for value in block[1:].tolist():
+                    if not value:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + f"{0xF0:09b}", run - 16
+                    size, text = signed(value)
+                    bits, run = bits + f"{run * 16 + size:09b}{text}", 0
+                bits += f"{0:09b}" if run else ""
+    out += flush()
+    parts = b"".join(bytes([p + 1, (across * 16 + across) if len(planes) > 1 and p == 0 else 0x11, 0]) for p in range(len(planes)))
+    head = b"\xff\xd8" + media._segment(0xDB, b"\0" + bytes(scales.tolist())) + media._segment(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + parts) + media._segment(0xC4, table(0) + table(0x10))
+    head += media._segment(0xDD, struct.pack(">H", restart)) if restart else b""
+    return head + media._segment(0xDA, bytes([len(planes), *(x for p in range(len(planes)) for x in (p + 1, 0)), 0, 63, 0])) + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("across", "restart", "colours"), [(1, 0, 1), (1, 2, 1), (2, 0, 3), (2, 3, 3)])
+def test_baseline_frames_are_read(across, restart, colours):
+    rng = np.random.default_rng(across + restart)
+    width, height = 50, 37
+    units = -(-width // (8 * across)), -(-height // (8 * across))
+    wide, tall = units[0] * across, units[1] * across
+    coded = np.where(rng.random((tall, wide, 64)) < 0.1, rng.integers(-20, 20, (tall, wide, 64)), 0)
+    coded[..., 0] = rng.integers(-60, 60, (tall, wide))
+    scales = rng.integers(1, 9, 64)
+    # blocks of a unit follow each other, row by row
+    order = [(y * across + dy, x * across + dx) for y in range(units[1]) for x in range(units[0]) for dy in range(across) for dx in range(across)]
+    planes = [np.array([coded[p] for p in order])] + [np.where(rng.random((units[0] * units[1], 64)) < 0.05, 3, 0) for _ in range(colours - 1)]
+    got = media.decode_frames([media.Frame(baseline(planes, scales, width, height, across, restart))])[0]
+    zigzag = [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2), (0, 3), (1, 2), (2, 1), (3, 0)]
+    assert [divmod(int(k), 8) for k in media._ZIGZAG[:10]] == zigzag
+    want = np.zeros((8 * tall, 8 * wide))
+    u = np.arange(8)
+    basis = np.where(u == 0, np.sqrt(0.5), 1.0)[:, None] * np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16)
+    for y in range(tall):
+        for x in range(wide):
+            f = np.zeros(64)
+            f[media._ZIGZAG] = coded[y, x] * scales
+            want[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis.T @ f.reshape(8, 8) @ basis / 4 + 128
+    assert got.shape == (height, width) and np.abs(got.astype(int) - np.clip(np.rint(want[:height, :width]), 0, 255)).max() <= 1
+
+
 def test_files_have_index_and_time():
     rows = np.zeros((40, 192), np.uint8)
     frames = media.encode_frames(rows, [16, 16, 8])

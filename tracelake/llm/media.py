@@ -1,6 +1,7 @@
 """AVI motion-JPEG columns: bytes stored as frames, frames read back, shots as timed clips.
 
-Frames are 8-bit grey lossless JPEG (predictor 1). The writer's Huffman table gives a difference of
+Frames are written as 8-bit grey lossless JPEG (predictor 1), as nothing else gives bytes back; baseline frames
+are read as well, their light alone. The writer's Huffman table gives a difference of
 k bits a code of 9 - k bits, so every sample takes 9 bits and whole batches are coded by array
 shifts; the reader takes such frames the same way and any other table code by code.
 """
@@ -8,6 +9,7 @@ shifts; the reader takes such frames the same way and any other table code by co
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,57 +76,134 @@ def encode_frames(rows: np.ndarray, heights: list[int]) -> list[bytes]:
     return [_frame_header(h, WIDTH) + data[f * per_row : (f + h) * per_row].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for f, h in zip(first.tolist(), heights, strict=True)]
 
 
+#: Places of the 64 coefficients of a block, from low to high frequencies along the diagonals.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+#: Cosines by frequency and place, and the transform's scale.
+_COSINES = np.cos(np.outer(np.arange(8), 2 * np.arange(8) + 1) * np.pi / 16) * np.where(np.arange(8) == 0, 0.125**0.5, 0.5)[:, None]
+
+
+class _Bits:
+    """Codes and integers of a scan, one after the other."""
+
+    def __init__(self, scan: bytes):
+        self.bits, self.at = "".join(f"{b:08b}" for b in scan), 0
+
+    def code(self, codes: dict[str, int]) -> int:
+        for length in range(1, 17):
+            if (found := codes.get(self.bits[self.at : self.at + length])) is not None:
+                self.at += length
+                return found
+        raise ValueError("damaged frame")
+
+    def signed(self, size: int) -> int:
+        """size bits, of which a leading 0 stands for a negative number."""
+        value = int(self.bits[self.at : self.at + size] or "0", 2)
+        self.at += size
+        return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
+
+
 class Frame:
-    """A parsed lossless JPEG frame: its size, and the bits of its scan."""
+    """A parsed intra frame: lossless grey, or baseline of which the first component (light) is taken."""
 
     def __init__(self, data: bytes):
         if data[:2] != b"\xff\xd8":
             raise ValueError("no JPEG frame")
-        at, self.tables = 2, {}
+        at, self.tables, self.scales, self.restart, kind = 2, {}, {}, 0, None
         while True:
             marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
-            if marker == 0xC3:
+            if marker in (0xC0, 0xC3):
+                kind = marker
                 bits, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
-                if (bits, parts) != (8, 1):
-                    raise ValueError("only 8-bit grey frames are read")
+                if bits != 8 or marker == 0xC3 and parts != 1:
+                    raise ValueError("only frames of 8 bits are read, lossless ones only in grey")
+                #: Of each component: blocks across and down in a unit, and its scale table.
+                self.parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(parts)}
             elif marker == 0xC4:
-                self.tables[body[0]] = (body[1:17], body[17:])
+                while body:
+                    n = sum(body[1:17])
+                    self.tables[body[0]] = (body[1:17], body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    self.scales[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int64)
+                    body = body[129 if wide else 65 :]
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
-                self.table, self.predictor = self.tables[body[2]], body[3]
+                self.order = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+                self.predictor = body[1 + 2 * body[0]]
                 break
-            elif marker in range(0xC0, 0xD0):
-                raise ValueError("only lossless frames are read")
-        if self.predictor != 1:
-            raise ValueError("only predictor 1 is read")
-        self.scan = data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-        self.even = self.table == (_COUNTS, _VALUES) and self.width % 8 == 0
+            elif marker in range(0xC1, 0xD0):
+                raise ValueError("only lossless and baseline frames are read")
+        raw = data[at : data.rindex(b"\xff\xd9")]
+        self.lossless, self.even = kind == 0xC3, False
+        if self.lossless:
+            if self.predictor != 1:
+                raise ValueError("only predictor 1 is read")
+            self.table = self.tables[self.order[0][1]]
+            self.even = self.table == (_COUNTS, _VALUES) and self.width % 8 == 0
+            self.scan = raw.replace(b"\xff\x00", b"\xff")
+        else:
+            self.scans = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", raw)]
 
-    def differences(self) -> np.ndarray:
-        """Differences of any Huffman table, code by code."""
-        codes, code, k = {}, 0, 0
-        for length, count in enumerate(self.table[0], 1):
+    @staticmethod
+    def codes(table: tuple[bytes, bytes]) -> dict[str, int]:
+        out, code, k = {}, 0, 0
+        for length, count in enumerate(table[0], 1):
             for _ in range(count):
-                codes[length, code] = self.table[1][k]
+                out[f"{code:0{length}b}"] = table[1][k]
                 code, k = code + 1, k + 1
             code <<= 1
-        bits, at, out = "".join(f"{b:08b}" for b in self.scan), 0, []
-        for _ in range(self.height * self.width):
-            length = 1
-            while (size := codes.get((length, int(bits[at : at + length], 2)))) is None:
-                length += 1
-            at += length
-            extra = int(bits[at : at + size] or "0", 2)
-            at += size
-            out.append(extra if size == 0 or extra >> (size - 1) else extra - (1 << size) + 1)
-        return np.array(out, np.int16).reshape(self.height, self.width)
+        return out
+
+    def differences(self) -> np.ndarray:
+        """Differences of a lossless frame with any Huffman table, code by code."""
+        codes, bits = self.codes(self.table), _Bits(self.scan)
+        return np.array([bits.signed(bits.code(codes)) for _ in range(self.height * self.width)], np.int16).reshape(self.height, self.width)
+
+    def light(self) -> np.ndarray:
+        """Samples of the first component of a baseline frame."""
+        first = next(iter(self.parts))
+        many = len(self.order) > 1
+        across, down = (max(p[k] for p in self.parts.values()) if many else 1 for k in (0, 1))
+        units = [-(-self.width // (8 * across)), -(-self.height // (8 * down))]
+        own = self.parts[first][:2] if many else (1, 1)
+        blocks = np.zeros((units[1] * own[1], units[0] * own[0], 64), np.int64)
+        tables = {t: self.codes(v) for t, v in self.tables.items()}
+        per_scan = self.restart or units[0] * units[1]
+        for unit in range(units[0] * units[1]):
+            if unit % per_scan == 0:
+                bits, last = _Bits(self.scans[unit // per_scan]), dict.fromkeys(self.parts, 0)
+            for part, dc, ac in self.order:
+                h, v = self.parts[part][:2] if many else (1, 1)
+                for k in range(h * v):
+                    block = np.zeros(64, np.int64)
+                    last[part] += bits.signed(bits.code(tables[dc]))
+                    block[0], at = last[part], 1
+                    while at < 64:
+                        run, size = divmod(bits.code(tables[16 + ac]), 16)
+                        if not size and run < 15:
+                            break
+                        at += run
+                        if size:
+                            block[at] = bits.signed(size)
+                        at += 1
+                    if part == first:
+                        blocks[unit // units[0] * v + k // h, unit % units[0] * h + k % h] = block
+        placed = np.zeros_like(blocks)
+        placed[..., _ZIGZAG] = blocks * self.scales[self.parts[first][2]]
+        samples = np.einsum("ux,abuv,vy->abxy", _COSINES, placed.reshape(*blocks.shape[:2], 8, 8), _COSINES) + 128
+        whole = np.clip(np.rint(samples), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * blocks.shape[0], 8 * blocks.shape[1])
+        return whole[: self.height, : self.width]
 
 
 def decode_frames(frames: list[Frame]) -> list[np.ndarray]:
     """Samples of each frame, as rows."""
     even = [f for f in frames if f.even]
-    found: dict[int, np.ndarray] = {id(f): f.differences() for f in frames if not f.even}
+    found: dict[int, np.ndarray] = {id(f): f.differences() for f in frames if f.lossless and not f.even}
     if even:
         b = np.frombuffer(b"".join(f.scan for f in even), np.uint8).reshape(-1, _SAMPLE_BITS).astype(np.uint16)
         v = np.empty((len(b), 8), np.uint16)
@@ -136,8 +215,10 @@ def decode_frames(frames: list[Frame]) -> list[np.ndarray]:
             at += f.height * f.width
     out = []
     for f in frames:
-        d = found[id(f)]
-        d = d.copy()
+        if not f.lossless:
+            out.append(f.light())
+            continue
+        d = found[id(f)].copy()
         d[:, 0] = np.cumsum(d[:, 0]) + 128
         out.append(np.cumsum(d, axis=1, dtype=np.int16).astype(np.uint8))
     return out
@@ -247,7 +328,7 @@ _READ = "frames long, clips array<struct<first:int,start_ms:double,end_ms:double
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df less media, with what its AVI holds: frames, timed clips, and digests of the samples and of the file.
 
-    Frames are 8-bit grey lossless JPEG; other coding (baseline among it, which doesn't give bytes back) is an error, as is
+    Frames are lossless (8-bit grey) or baseline JPEG, of which the light is taken; other coding (progressive) is an error, as is
     a damaged file. A null media gives nulls. Columns named like the new ones are replaced; others and all
     rows are kept, repeated ones repeatedly. An empty table stays empty.
     """
