@@ -3,7 +3,7 @@
 Rows are ordered by a uniform key of hexadecimal digits (hash of the text, hash of the id, number of
 the row, so equal texts lie side by side and a large group of them can still be cut). Splitters are
 found by counting, exactly and in all partitions at once, the bytes and rows in cells between
-candidate boundaries; each pass probes only the cells that hold an unsettled splitter, until its
+candidate boundaries; each pass looks only into the cells that hold an unsettled splitter, until its
 cell is within tolerance or holds one key. Then one exchange puts the rows where they belong.
 """
 
