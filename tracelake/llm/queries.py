@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over whole tables, and the SQL of those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, idfile, jaccard, kit, media, mixing, repetition, resample, shard, toxicity, warc
+from tracelake.llm import bpe, idfile, jaccard, kit, media, mixing, repetition, resample, secrets, shard, spelling, target, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -76,6 +76,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "payload_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.secret_spans(kit.table(spark, sf_dir, "documents")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(kit.table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target.draw_towards(kit.table(spark, sf_dir, "documents").select("doc_id", "text"), kit.table(spark, sf_dir, "benchmark").select("text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_sharding, op2_jaccard_join, op3_bpe, op4_mixing, op5_id_files, op6_media, op7_quality_rules, op8_toxicity, op9_resampling, op10_warc, pipeline)
+    own = (op1_sharding, op2_jaccard_join, op3_bpe, op4_mixing, op5_id_files, op6_media, op7_quality_rules, op8_toxicity, op9_resampling, op10_warc, op11_secrets, op12_spelling, op13_target_resampling, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -157,5 +169,72 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (doc_id) JOIN comp
 """
 
 
+#: ``tab``: the 256 values of CRC-32's table in one list; _crc gives the CRC of a text beside it.
+_TAB = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(text: str) -> str:
+    byte = f"CAST('0x' || substr(hex({text}), 2 * k + 1, 2) AS BIGINT)"
+    step = "xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen({text})), lambda k: {byte})), lambda c, b: {step}), 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_sql() -> str:
+    quoted = {k: "'" + p.replace("'", "''") + "'" for k, p in secrets.PATTERNS.items()}
+    docs = "docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS owner, concat(coalesce(source, ''), chr(0), coalesce(lang, '')) AS repo, coalesce(text, '') AS text FROM documents)"
+    part = "SELECT r, {k} AS kind, unnest(m) AS m, unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(p[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))) AS s FROM (SELECT r, regexp_extract_all(text, {q}) AS m, string_split_regex(text, {q}) AS p FROM docs) d"
+    found = "found AS (" + " UNION ALL ".join(part.format(k=k, q=q) for k, q in enumerate(quoted.values())) + ")"
+    value = f"CASE kind WHEN 0 THEN regexp_extract(m, {quoted['assign']}, 2) ELSE m END"
+    mixed = f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_full_match(v, '{secrets.PATTERNS['hex']}|{secrets.PATTERNS['access']}')"
+    good = f"good AS (SELECT r, owner, repo, kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, v FROM (SELECT *, {value} AS v FROM found) x JOIN docs USING (r) WHERE CASE kind WHEN 0 THEN length(v) >= {secrets.ASSIGNED} WHEN 3 THEN {mixed} ELSE true END)"
+    owned = f"owned AS (SELECT v, count(DISTINCT owner) > {secrets.OWNERS} OR count(DISTINCT (owner, repo)) > {secrets.REPOSITORIES} AS shared, bool_or(kind < 3) AS based FROM good GROUP BY v)"
+    live = f"NOT shared AND len(list_distinct(string_split(v, ''))) >= {secrets.DISTINCT} AND NOT regexp_matches(v, '{secrets.PLACEHOLDER}')"
+    clear = "NOT EXISTS (SELECT 1 FROM good b WHERE b.r = g.r AND b.kind < 3 AND b.s < g.e AND g.s < b.e)"
+    strong = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') OR based"
+    spans = f"spans AS (SELECT r, kind, s, ['assign', 'access', 'hex', 'loose'][kind + 1] || ':' || s || ':' || e AS x, shared, {live} AS live FROM good g JOIN owned USING (v) WHERE kind < 3 OR {live} AND ({strong}) AND {clear})"
+    counts = ", ".join(f"count(kind) FILTER (WHERE kind = {k}) AS n_{n}" for k, n in enumerate(secrets.BASE))
+    text = lambda test: f"coalesce(string_agg(x, ',' ORDER BY s, kind){test}, '')"
+    return (
+        f"WITH {docs}, {found}, {good}, {owned}, {spans} SELECT doc_id, {counts}, sha256({text(' FILTER (WHERE kind < 3)')}) AS base_sha256, {text('')} AS spans, "
+        "count(kind) FILTER (WHERE kind = 3) AS n_added, count(kind) FILTER (WHERE shared) AS n_shared, count(kind) FILTER (WHERE live) AS n_live FROM docs LEFT JOIN spans USING (r) GROUP BY r, doc_id"
+    )
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_TAB},
+runs AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS x FROM documents) u GROUP BY doc_id, x),
+checked AS (SELECT x, k, {_crc("y")} AS h FROM (SELECT x, k, concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', x) AS y FROM runs) r, tab),
+changed AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(x, 1, CAST(h % length(x) AS BIGINT)) || substr(x, CAST(h % length(x) AS BIGINT) + 2) ELSE x END AS word FROM checked),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+shorter AS (SELECT word, n, 0 AS i, word AS x FROM words UNION ALL SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) w),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.x = b.x AND a.word <> b.word WHERE a.i = b.i OR a.i = 0 OR b.i = 0),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS here, 0 AS k FROM words UNION ALL SELECT s.word, f.form, s.k + 1 FROM steps s JOIN formed f ON f.word = s.here WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(here, k) AS root FROM steps GROUP BY word) r USING (word)
+"""
+
+
+OP13_SQL = rf"""
+WITH {_TAB},
+texts AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+feature AS (SELECT kind, r, x, count(*) AS k FROM (SELECT kind, r, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM texts) u GROUP BY kind, r, x),
+hashed AS (SELECT x, CAST({_crc("x")} % 10000 AS INT) AS bucket FROM (SELECT DISTINCT x FROM feature) d, tab),
+bucketed AS (SELECT kind, r, bucket, sum(k) AS k FROM feature JOIN hashed USING (x) GROUP BY kind, r, bucket),
+counted AS (SELECT bucket, CAST(coalesce(sum(k) FILTER (WHERE kind = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(k) FILTER (WHERE kind = 1), 0) AS DOUBLE) AS t FROM bucketed GROUP BY bucket),
+gained AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counted),
+weighed AS (SELECT r, CAST(sum(k) AS BIGINT) AS n, CAST(sum(k * gain) AS BIGINT) AS w FROM bucketed JOIN gained USING (bucket) WHERE kind = 0 GROUP BY r),
+scored AS (SELECT b.r, b.doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+  coalesce(w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(b.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM texts b LEFT JOIN weighed USING (r) WHERE kind = 0),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL.strip(), "op4_mixing": OP4_SQL.strip(), "op7_quality_rules": op7_sql()}
+    return {
+        "op2_jaccard_join": OP2_SQL.strip(), "op4_mixing": OP4_SQL.strip(), "op7_quality_rules": op7_sql(), "op11_secrets": op11_sql(), "op12_spelling": OP12_SQL.strip(), "op13_target_resampling": OP13_SQL.strip(),
+    }
