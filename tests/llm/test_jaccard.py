@@ -114,3 +114,28 @@ def test_tree_rules_out_no_link():
             if jaccard.linked(sets[a], sets[b], 75):
                 assert labels[a] == labels[b]
                 assert jaccard.may_link(block.bitmaps[a], len(sets[a]), block.bitmaps[b], len(sets[b]), 75)
+
+
+def orders(n):
+    """Paths over n nodes: in order, at random, from both ends to the middle and back."""
+    mixed = list(range(n))
+    random.Random(1).shuffle(mixed)
+    return {"sorted": list(range(n)), "random": mixed, "two-sided": [*range(0, n, 2), *reversed(range(1, n, 2))]}
+
+
+@pytest.mark.parametrize("order", ["sorted", "random", "two-sided"])
+def test_long_paths_settle(spark, monkeypatch, order):
+    path, turns = orders(10_000)[order], []
+    hooked = jaccard._hooked
+    monkeypatch.setattr(jaccard, "_hooked", lambda edges, turn: turns.append(turn) or hooked(edges, turn))
+    links = spark.createDataFrame([*zip(path, path[1:], strict=False), (20_001, 20_000), (20_001, 20_002)], "a long, b long")
+    got = {r.node: r.label for r in jaccard.components(links).collect()}
+    assert got == {**dict.fromkeys(range(10_000), 0), 20_000: 20_000, 20_001: 20_000, 20_002: 20_000}
+    assert len(turns) <= 14
+
+
+def test_chain_of_drifting_copies_is_one_component(docs):
+    words = [f"w{k}" for k in range(44 + 5 * 250)]
+    got = jaccard.jaccard_components(docs(*[(k, " ".join(words[5 * k : 5 * k + 44])) for k in range(250)])).collect()
+    assert len(got) == 250 and {r.component_id for r in got} == {0} and len({r.class_id for r in got}) == 250
+    assert jaccard.components(docs(*EDGES).limit(0).selectExpr("doc_id a", "doc_id b")).count() == 0

@@ -94,3 +94,11 @@ def test_equal_rows_are_cut(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     assert len(rows) == 800 and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 12
     assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(8) for k in range(sum(r.shard == s for r in rows))]
+
+
+def test_null_ids_are_spread_over_cells(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 9 + 1).alias("size"))
+    keyed = mixing.keyed_rows(df.unionByName(df.withColumn("doc_id", F.lit(5))), 1, "doc_id", "source", "size", None)
+    assert keyed.select("key").distinct().count() == keyed.count() == 40_000
+    taken, again = (sorted(r.taken for r in mixing.mix_plan(df).collect()) for _ in range(2))
+    assert taken == again and sum(taken) == int(1.5 * df.agg(F.sum("size")).first()[0])

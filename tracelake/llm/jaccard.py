@@ -441,19 +441,43 @@ def _crossed(percent: int, piece: int):
 # --- Spark -------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label): label is the smallest node of the component; nodes without a link are absent."""
-    both = kit.stage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = kit.stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = kit.stage(hooked.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if not new.filter("moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def _hooked(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, root) of a contraction: every node goes to its neighbour of the lowest priority below its own, then on to where that leads.
+
+    Priorities are hashes of node and turn, so at most half of the nodes are roots in the mean, whatever their ids,
+    and ways to a root are short; each round doubles the steps that have been gone.
+    """
+    priority = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("at"))
+    least = edges.groupBy("a").agg(F.min(priority("b")).alias("near")).select(F.col("a").alias("node"), "near")
+    up = kit.stage(least.select("node", F.when(F.col("near") < priority("node"), F.col("near.at")).otherwise(F.col("node")).alias("root")))
+    while True:
+        ahead = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        jumped = kit.stage(up.join(ahead, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        up = jumped.select("node", "root")
+        if jumped.filter("moved").isEmpty():
+            return up
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): label is the smallest node of the component; nodes without a link are absent.
+
+    Each turn contracts the graph to its roots and goes on with the links between different ones until none is left:
+    about the logarithm of the largest component in turns, and what is settled is not looked at again.
+    """
+    edges = kit.stage(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    turns: list[DataFrame] = []
+    while not edges.isEmpty():
+        turns.append(_hooked(edges, len(turns)))
+        left, right = (turns[-1].select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        edges = kit.stage(edges.join(left, "a").join(right, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    if not turns:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    found = turns.pop()
+    while turns:
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        found = kit.stage(turns.pop().join(later, "root", "left").select("node", F.coalesce("far", "root").alias("root")))
+    labels = found.groupBy("root").agg(F.min("node").alias("label"))
+    return kit.stage(found.join(kit.sized(kit.stage(labels)), "root").select("node", "label"))
 
 
 def _blocks(posted: DataFrame, percent: int, any_hot: bool) -> DataFrame:

@@ -47,19 +47,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
+def keyed_rows(df: DataFrame, seed: int, ident: str, source: str, size: str, row: str | None) -> DataFrame:
+    """(id, source, size, row, key) of every row: the key is random, one for an id unless the id has many rows."""
+    rows = df.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), *([F.col(row).alias("row")] if row else []))
+    rows = rows if row else kit.keyed(rows).withColumnRenamed(kit.ROW, "row")
+    # an id of many rows, a null one among them, would have one key: those rows take their number into it
+    often = kit.stage(rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select(F.col("id").alias("often"), F.lit(True).alias("again")))
+    marked = rows.join(kit.sized(often), F.col("id").eqNullSafe(F.col("often")), "left")
+    numbered = F.concat_ws(":", F.col("id").cast("string"), F.col("row").cast("string"))
+    return marked.select("id", "source", "size", "row", random_key(F.when(F.col("again"), numbered).otherwise(F.col("id").cast("string")), seed).alias("key"))
+
+
 def mix_plan(
     df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1,
     ident: str = "doc_id", source: str = "source", size: str = "size", row: str | None = None,
 ) -> DataFrame:
-    """(ident, source, size, source_size, target, epochs, cut, taken[, row]) of every row; row names a unique key to carry along.
+    """(ident, source, size, source_size, target, epochs, cut, taken[, row]) of every row; row names a unique long key of a staged df.
 
     The mix holds ``epochs`` whole copies of the row and then ``cut`` of its words; taken is the sum.
     Of a source, the taken sizes add up to its target, rounded down. Rows of size 0 take nothing.
-    A null source is a source; null ids and repeated rows are ordered by key, then id and size,
-    where equal rows may stand for each other. An empty table gives an empty result.
+    A null source is a source. Rows are ordered by key, then id, size and row; of an id with over CELL_ROWS rows (null is
+    an id) they have keys of their own. Without row, df's rows are numbered as they are staged. An empty table gives an empty result.
     """
-    own = ["row"] if row else []
-    rows = df.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), random_key(F.col(ident), seed).alias("key"), *(F.col(row).alias(c) for c in own))
+    rows = keyed_rows(df, seed, ident, source, size, row)
+    own = ["row"]
     sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, share, most)
     sizes = kit.stage(sizes.withColumn("cells", F.least(F.lit(CELLS), F.greatest(F.lit(1), F.ceil(F.col("n_rows") / CELL_ROWS))).cast("int")))
     # equal parts of the key's first 32 bits: the order of the cells is the order of the keys
@@ -80,7 +91,7 @@ def mix_plan(
     out = out.withColumn("cut", F.least("size", F.greatest(F.lit(0), rest)).cast("long"))
     return out.select(
         F.col("id").alias(ident), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "epochs", "cut",
-        (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), *(F.col(c).alias(row) for c in own),
+        (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), *([F.col("row").alias(row)] if row else []),
     )
 
 

@@ -37,7 +37,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents")
-    sized = kit.stage(docs.select("doc_id", "source", mixing.words_of(F.col("text")).alias("size")))
+    sized = docs.select("doc_id", "source", mixing.words_of(F.col("text")).alias("size"))
     return mixing.mix_plan(sized, weights=(5, 2, 1), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
