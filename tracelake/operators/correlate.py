@@ -1,7 +1,7 @@
 """Messages grouped into conversations with timing, error, state, kind and summary.
 
 Every row gets its flow by one CASE expression, so all strategies share one shuffle by flow id; only
-request-reply pairing needs a window by connection first.
+request-reply pairing goes along each connection first (see scan).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import fields
 from tracelake.functions.fields import meta
+from tracelake.operators import scan
 from tracelake.plans.registry import CORRELATORS, Correlator, register_correlator
 
 PAIRED = ("REQ", "REP", "DEALER", "ROUTER")
@@ -75,17 +76,15 @@ def pair_req_rep(df: DataFrame) -> DataFrame:
     """
     known = F.col("direction").isin("inbound", "outbound")
     out, inn = F.col("direction") == "outbound", F.col("direction") == "inbound"
-    w = Window.partitionBy("_conn").orderBy("ts_ns", "id")
+    by, order = ["_conn"], ["ts_ns", "id"]
     df = df.withColumn("_conn", connection())
-    ordered = df.filter(known)
-    before = F.lag("direction").over(w)
-    later_in = F.max(inn.cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    start = out & (~before.eqNullSafe(F.lit("outbound")) | (F.coalesce(later_in, F.lit(0)) == 0))
-    close = inn & before.eqNullSafe(F.lit("outbound"))
-    marked = ordered.withColumns({"_start": start.cast("int"), "_close": close.cast("int")})
-    number = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    paired = marked.withColumn("pair_index", F.when((F.col("_start") == 1) | (F.col("_close") == 1), number))
-    named = paired.withColumn("_pair", F.when(F.col("pair_index").isNotNull(), F.concat("_conn", F.lit(":rr"), F.col("pair_index").cast("string")))).drop("_start", "_close")
+    seen = scan.running(scan.dealt(df.filter(known), by, order), by, order, _before=("last", F.col("direction")), _later=("-max", inn.cast("int")))
+    after_out = F.col("_before").eqNullSafe(F.lit("outbound"))
+    start = out & (~after_out | (F.coalesce("_later", F.lit(0)) == 0))
+    marked = seen.withColumns({"_start": start.cast("int"), "_close": (inn & after_out).cast("int")})
+    numbered = scan.running(marked, by, order, _started=("sum", F.col("_start"))).withColumn("_number", F.col("_started") + F.col("_start") - 1)
+    paired = numbered.select(*df.columns, F.when((F.col("_start") == 1) | (F.col("_close") == 1), F.col("_number")).alias("pair_index"))
+    named = paired.withColumn("_pair", F.when(F.col("pair_index").isNotNull(), F.concat("_conn", F.lit(":rr"), F.col("pair_index").cast("string"))))
     rest = df.filter(~F.coalesce(known, F.lit(False))).withColumns({"pair_index": F.lit(None).cast("long"), "_pair": F.lit(None).cast("string")})
     return named.unionByName(rest)
 

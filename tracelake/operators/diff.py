@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import fields
 from tracelake.functions.fields import meta
+from tracelake.operators import scan
 from tracelake.operators.aggregates import PERCENTS, aggregate_metrics
 from tracelake.plans.ship import ship
 
@@ -114,8 +115,8 @@ def dds_topic_asof(rows: DataFrame, announced: DataFrame) -> DataFrame:
     both = rows.select("writer", "ts_ns", F.lit(None).cast("string").alias("topic"), "id", F.lit(1).alias("_side")).unionByName(
         announced.select("writer", "ts_ns", "topic", F.lit(None).cast("long").alias("id"), F.lit(0).alias("_side"))
     )
-    w = Window.partitionBy("writer").orderBy("ts_ns", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("topic", F.last("topic", ignorenulls=True).over(w)).filter("_side = 1")
+    by, order = ["writer"], ["ts_ns", "_side", "topic"]
+    found = scan.running(scan.dealt(both, by, order), by, order, _topic=("last", F.col("topic"))).filter("_side = 1").drop("topic").withColumnRenamed("_topic", "topic")
     return found.select("id", "writer", "ts_ns", "topic", F.when(F.col("topic").isNull(), "no discovery for writer").alias("warning"))
 
 

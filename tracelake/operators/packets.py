@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.operators import scan
 from tracelake.plans.ship import map_arrow
 
 IDLE_NS = 30_000_000_000
@@ -47,6 +49,67 @@ _HEADERS = (
 )
 
 
+#: Extension headers that are walked: hop-by-hop, routing, authentication (its length counts words), destination options, mobility; and fragments.
+_EXTENSIONS, _AUTHENTICATION, _FRAGMENT = (0, 43, 51, 60, 135), 51, 44
+
+
+@dataclass
+class _Chain:
+    """What follows the extension headers of a batch's packets: place and protocol; fragment fields; whether the chain is cut off."""
+
+    at: np.ndarray
+    protocol: np.ndarray
+    offset: np.ndarray
+    more: np.ndarray
+    id: np.ndarray
+    has_id: np.ndarray
+    cut: np.ndarray
+
+
+def _walk(d: _Bytes, at: np.ndarray, protocol: np.ndarray, rows: np.ndarray, six: np.ndarray) -> _Chain:
+    """Goes over the extension headers of all packets at once, one header a turn, until every packet has settled.
+
+    Version 4 has authentication headers only. A fragment's data is not looked into; a fragment header of a whole datagram is passed.
+    """
+    n = len(at)
+    out = _Chain(at.astype(np.int64), protocol.copy(), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool))
+    going = rows.copy()
+    while True:
+        going &= np.isin(out.protocol, (*_EXTENSIONS, _FRAGMENT)) & (six | (out.protocol == _AUTHENTICATION))
+        if not going.any():
+            return out
+        step = d.read(out.at, 2, going)
+        kind, following, units = out.protocol, step[0] >> 8, step[0] & 255
+        size = np.select([kind == _FRAGMENT, kind == _AUTHENTICATION], [8, (units + 2) * 4], (units + 1) * 8)
+        out.cut |= going & (~step[1] | (out.at + size > d.size))
+        going &= ~out.cut
+        part = going & (kind == _FRAGMENT)
+        place, ident = d.read(out.at + 2, 2, part), d.read(out.at + 4, 4, part)
+        out.offset, out.more = np.where(part, place[0] & 0xFFF8, out.offset), np.where(part, (place[0] & 1) == 1, out.more)
+        out.id, out.has_id = np.where(part, ident[0], out.id), out.has_id | part
+        out.at, out.protocol = np.where(going, out.at + size, out.at), np.where(going, following, out.protocol)
+        going &= ~(part & (out.more | (out.offset > 0)))
+
+
+def _transport(d: _Bytes, l4: np.ndarray, end: np.ndarray, protocol: np.ndarray, good: np.ndarray, whole: np.ndarray, error: np.ndarray) -> list[pa.Array]:
+    """protocol, src_port, dst_port, seq, ack, flags, payload and error of what begins at l4; ports are read from whole datagrams only."""
+    column = lambda x, kind: pa.array(x[0], kind, mask=~x[1])
+    tcp, udp = good & whole & (protocol == 6), good & whole & (protocol == 17)
+    ported = tcp | udp
+    words = d.read(l4 + 12, 1, tcp)
+    start, start_ok = np.where(tcp, l4 + (words[0] >> 4) * 4, np.where(udp, l4 + 8, l4)), good & (words[1] | ~tcp)
+    ports = d.read(l4, 2, ported), d.read(l4 + 2, 2, ported)
+    error = np.where(ported & ~ports[1][1], "cut packet", error)
+    data, low = d.data.tobytes(), d.start + np.minimum(start, d.size)
+    high = np.maximum(d.start + end, low)
+    payload = [data[x:y] if ok else None for x, y, ok in zip(low.tolist(), high.tolist(), start_ok.tolist(), strict=True)]
+    seq, ack, flags = d.read(l4 + 4, 4, tcp), d.read(l4 + 8, 4, tcp), d.read(l4 + 13, 1, tcp)
+    return [
+        pa.array(np.select([tcp, udp], ["tcp", "udp"], "other"), pa.string(), mask=~good), column(ports[0], pa.int32()), column(ports[1], pa.int32()), column(seq, pa.int64()),
+        column(ack, pa.int64()), column(flags, pa.int32()), pa.array(payload, pa.binary()), pa.array(error, pa.string(), mask=error == ""),
+    ]
+
+
 def _parse(raw: pa.Array, link_types: np.ndarray) -> list[pa.Array]:
     """The columns of _HEADERS for the packets of a batch."""
     d, link = _Bytes(raw), link_types
@@ -65,7 +128,6 @@ def _parse(raw: pa.Array, link_types: np.ndarray) -> list[pa.Array]:
     six = first[1] & (version == 6)
     head, head_ok = np.where(six, 40, (first[0] & 15) * 4), first[1]
     frag = d.read(at + 6, 2, known & ~six)
-    frag_known = six | frag[1]
     length = d.read(np.where(six, at + 4, at + 2), 2, known)
     end = np.where(length[1], np.minimum(at + np.where(six, 40, 0) + length[0], d.size), d.size)
     error = np.select(
@@ -74,14 +136,12 @@ def _parse(raw: pa.Array, link_types: np.ndarray) -> list[pa.Array]:
     )
     good = error == ""
     protocol = d.read(np.where(six, at + 6, at + 9), 1, known & head_ok)
-    offset, more = np.where(six, 0, (frag[0] & 0x1FFF) * 8), (frag[0] & 0x2000) != 0
-    whole = frag_known & (offset == 0) & ~more
-    tcp, udp = good & whole & is_in(protocol, 6), good & whole & is_in(protocol, 17)
-    ported, l4 = tcp | udp, at + head
-    words = d.read(l4 + 12, 1, tcp)
-    start, start_ok = np.where(tcp, l4 + (words[0] >> 4) * 4, np.where(udp, l4 + 8, l4)), good & (words[1] | ~tcp)
-    ports = d.read(l4, 2, ported), d.read(l4 + 2, 2, ported)
-    error = np.where(ported & ~ports[1][1], "cut packet", error)
+    chain = _walk(d, at + head, protocol[0], good & protocol[1], six)
+    protocol = chain.protocol, protocol[1]
+    frag_known = frag[1] | six & ~chain.cut
+    offset, more = np.where(six, chain.offset, (frag[0] & 0x1FFF) * 8), np.where(six, chain.more, (frag[0] & 0x2000) != 0)
+    error = np.where(good & chain.cut, "cut packet", error)
+    t = _transport(d, chain.at, end, protocol[0], error == "", frag_known & (offset == 0) & ~more, error)
 
     def address(place4: int, place6: int) -> pa.Array:
         four = [d.read(at + place4 + k, 1, known & ~six) for k in range(4)]
@@ -92,21 +152,17 @@ def _parse(raw: pa.Array, link_types: np.ndarray) -> list[pa.Array]:
             out = pc.if_else(pa.array(parts[7][1]), pc.binary_join_element_wise(*(_GROUPS.take(pa.array(v)) for v, _ in parts), ":"), out)
         return out
 
-    data, low = d.data.tobytes(), d.start + np.minimum(start, d.size)
-    high = np.maximum(d.start + end, low)
-    payload = [data[x:y] if ok else None for x, y, ok in zip(low.tolist(), high.tolist(), start_ok.tolist(), strict=True)]
-    ip_id, seq, ack, flags = d.read(at + 4, 2, known & ~six), d.read(l4 + 4, 4, tcp), d.read(l4 + 8, 4, tcp), d.read(l4 + 13, 1, tcp)
+    ip_id = d.read(at + 4, 2, known & ~six)
     return [
-        column(vlan[0] & 0xFFF, vlan[1], pa.int32()), column(protocol[0], protocol[1], pa.int32()), address(12, 8), address(16, 24), column(ip_id[0], ip_id[1], pa.int64()),
-        column(offset, frag_known, pa.int32()), column(more, frag_known, pa.bool_()), column(np.select([tcp, udp], ["tcp", "udp"], "other"), good, pa.string()),
-        column(ports[0][0], ports[0][1], pa.int32()), column(ports[1][0], ports[1][1], pa.int32()), column(seq[0], seq[1], pa.int64()), column(ack[0], ack[1], pa.int64()),
-        column(flags[0], flags[1], pa.int32()), pa.array(payload, pa.binary()), column(error, error != "", pa.string()),
+        column(vlan[0] & 0xFFF, vlan[1], pa.int32()), column(protocol[0], protocol[1], pa.int32()), address(12, 8), address(16, 24),
+        column(np.where(chain.has_id, chain.id, ip_id[0]), ip_id[1] | chain.has_id, pa.int64()), column(offset, frag_known, pa.int32()), column(more, frag_known, pa.bool_()), *t,
     ]
 
 
 def packet_headers(df: DataFrame) -> DataFrame:
     """df (linktype, ts_us, data, ...) with addresses, ports, TCP fields, fragment fields, payload and error.
 
+    Chains of IPv6 extension headers are walked (of IPv4 the authentication header), and give id and offset of fragments.
     Link types 0 (loopback), 1 (Ethernet), 101 (raw), 113 and 276 (cooked); one VLAN tag or two, the first
     is kept. IPv6 addresses are eight groups of four digits. ARP, unknown types and cut packets get an error.
     Headers are read for a batch of packets at a time, in numpy: Catalyst has no byte access but by text.
@@ -128,26 +184,102 @@ def tcp_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"fin": bit(1), "syn": bit(2), "rst": bit(4), "psh": bit(8), "ack_flag": bit(16)})
 
 
+_DATAGRAM = ("src_ip", "dst_ip", "ip_id", "ip_protocol")
+
+
+@dataclass
+class Datagram:
+    """Fragments of one datagram as they come: its bytes so far and the gap-free ranges of them."""
+
+    MOST = 65_535
+    data: bytearray = field(default_factory=bytearray)
+    ranges: list[tuple[int, int]] = field(default_factory=list)
+    end: int | None = None
+    started: int = 0
+    last: int = 0
+
+    def add(self, offset: int, more: bool, payload: bytes) -> bytes | None:
+        """Takes a fragment; gives the whole datagram if it is the last that was missing.
+
+        Later bytes replace earlier ones. A fragment is left out that ends past the datagram's end or MOST, names another
+        end, or has others to follow and isn't a multiple of eight bytes long.
+        """
+        stop = offset + len(payload)
+        wrong = stop > self.MOST or more and len(payload) % 8 or self.end is not None and (stop > self.end or not more and stop != self.end)
+        if wrong or not more and self.ranges and self.ranges[-1][1] > stop:
+            return None
+        if not more:
+            self.end = stop
+        self.data.extend(bytes(max(0, stop - len(self.data))))
+        self.data[offset:stop] = payload
+        apart = [r for r in self.ranges if r[1] < offset or r[0] > stop]
+        joined = [r for r in self.ranges if r[1] >= offset and r[0] <= stop]
+        self.ranges = sorted([*apart, (min([offset, *(r[0] for r in joined)]), max([stop, *(r[1] for r in joined)]))])
+        return bytes(self.data) if self.ranges == [(0, self.end)] else None
+
+
+def _join_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One datagram is open at a time: it ends when it is whole, with its key, or after FRAGMENT_US without a fragment."""
+    names = [*_DATAGRAM, "started_us", "ts_us", "payload"]
+    key, open_ = None, Datagram()
+    for batch in batches:
+        out = []
+        for *own, ts, offset, more, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != key or ts - open_.last >= FRAGMENT_US or not open_.ranges:
+                key, open_ = own, Datagram(started=ts)
+            open_.last = ts
+            if (whole := open_.add(offset, more, payload)) is not None:
+                out.append((*own[:-1], open_.started, ts, whole))
+                open_ = Datagram()
+        if out:
+            kinds = [batch.schema.field(k).type for k in range(len(_DATAGRAM))] + [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
 def ip_defragment(df: DataFrame) -> DataFrame:
-    """Datagrams joined from fragments (packet_headers' rows): only gap-free ones with their last fragment.
+    """(src_ip, dst_ip, ip_id, ip_protocol, started_us, ts_us, payload) of whole datagrams, from fragments among packet_headers' rows.
+
+    Fragments of an id are taken in order of time (of offset at one time). A datagram is closed the moment it has no gaps, and the next
+    fragment of the id begins another; one that is incomplete goes after FRAGMENT_US without a fragment. started_us
+    and ts_us are the times of its first fragment and of the one that made it whole. See Datagram for overlaps.
 
-    Fragments of one id that are FRAGMENT_US or more apart belong to different datagrams, as ids are used again.
-    Of repeated fragments the longest counts, of equally long ones the first. A datagram has at most 64 KiB, so a
-    group's list is bounded.
+    An id's fragments are cut where they pause for FRAGMENT_US, and such runs are dealt to tasks; a task holds one
+    open datagram, at most 64 KiB.
     """
-    key = ["src_ip", "dst_ip", "ip_id", "ip_protocol"]
-    parts = df.filter("error is null and (frag_offset > 0 or more_fragments)")
-    w = Window.partitionBy(*key).orderBy("ts_us", "frag_offset")
-    parts = parts.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) >= FRAGMENT_US).cast("int"), F.lit(0))).withColumn("_datagram", F.sum("_new").over(w))
-    best = F.max_by(F.struct("more_fragments", "payload"), F.struct(F.octet_length("payload"), -F.col("ts_us"), F.hex("payload")))
-    once = parts.groupBy(*key, "_datagram", "frag_offset").agg(best.alias("b"), F.min("ts_us").alias("ts_us"))
-    grouped = once.groupBy(*key, "_datagram").agg(
-        F.sort_array(F.collect_list(F.struct("frag_offset", "b.more_fragments", "b.payload"))).alias("parts"), F.min("ts_us").alias("ts_us"),
-        F.max(F.when(~F.col("b.more_fragments"), F.col("frag_offset") + F.octet_length("b.payload"))).alias("size"),
-    )
-    reach = F.aggregate("parts", F.lit(0), lambda at, p: F.when(p["frag_offset"] == at, at + F.octet_length(p["payload"])).otherwise(F.lit(-1 << 30)))
-    data = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
-    return grouped.filter(F.col("size").isNotNull() & (reach == F.col("size"))).select(*key, "ts_us", data.alias("payload"))
+    parts = df.filter("error is null and payload is not null and (frag_offset > 0 or more_fragments)").select(*_DATAGRAM, "ts_us", "frag_offset", "more_fragments", "payload")
+    order = ["ts_us", "frag_offset"]
+    timed = scan.running(scan.dealt(parts, list(_DATAGRAM), order), list(_DATAGRAM), order, before=("last", F.col("ts_us")))
+    paused = F.coalesce((F.col("ts_us") - F.col("before") >= FRAGMENT_US).cast("int"), F.lit(0))
+    runs = scan.running(timed, list(_DATAGRAM), order, _earlier=("sum", paused)).withColumn("_run", F.col("_earlier") + paused)
+    own = [*_DATAGRAM, "_run"]
+    ready = runs.repartition(*own).sortWithinPartitions(*own, *order, "more_fragments", "payload").select(*own, *order, "more_fragments", "payload")
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    return map_arrow(ready, _join_fragments, ", ".join(f"{c} {kinds[c]}" for c in _DATAGRAM) + ", started_us long, ts_us long, payload binary")
+
+
+def datagram_headers(datagrams: DataFrame) -> DataFrame:
+    """ip_defragment's rows as packet_headers' ones: ports, TCP fields and payload are read from the joined bytes."""
+    schema = T.StructType([*datagrams.drop("payload", "ip_protocol").schema.fields, *T._parse_datatype_string("ip_protocol int, frag_offset int, more_fragments boolean, " + _HEADERS[_HEADERS.index("protocol string") :]).fields])
+    kept = [f.name for f in datagrams.drop("payload", "ip_protocol").schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d = len(batch), _Bytes(batch.column("payload"))
+            protocol = pc.fill_null(batch.column("ip_protocol").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            six = pc.match_substring(pc.fill_null(batch.column("src_ip"), ""), ":").to_numpy(zero_copy_only=False)
+            chain = _walk(d, np.zeros(n, np.int64), protocol, np.ones(n, bool), six)
+            t = _transport(d, chain.at, d.size, chain.protocol, ~chain.cut, np.ones(n, bool), np.where(chain.cut, "cut packet", ""))
+            made = [pa.array(chain.protocol, pa.int32()), pa.array(np.zeros(n), pa.int32()), pa.array(np.zeros(n, bool)), *t]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], schema.names)
+
+    return map_arrow(datagrams, run, schema).withColumn("flow", flow_key())
+
+
+def whole_packets(headers: DataFrame) -> DataFrame:
+    """packet_headers' rows with fragments replaced by the datagrams that they make up."""
+    fragment = F.col("error").isNull() & ((F.col("frag_offset") > 0) | F.col("more_fragments"))
+    joined = datagram_headers(ip_defragment(headers)).drop("started_us")
+    return headers.filter(~F.coalesce(fragment, F.lit(False))).unionByName(joined, allowMissingColumns=True)
 
 
 def flow_key() -> Column:
@@ -174,32 +306,35 @@ def tcp_orient(df: DataFrame) -> DataFrame:
 
 
 def tcp_epochs(df: DataFrame) -> DataFrame:
-    """epoch: resets seen in the flow before this row."""
-    w = Window.partitionBy("flow").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("epoch", F.coalesce(F.sum(F.col("rst").cast("int")).over(w), F.lit(0)))
+    """epoch: connections of the flow before this row's: one ends with a reset, or when both sides have been silent for over 30 s."""
+    by, order = ["flow"], ["ts_us", "dir", "seq"]
+    seen = scan.running(scan.dealt(df, by, order), by, order, _resets=("sum", F.col("rst").cast("int")), _before=("last", F.col("ts_us")))
+    idle = F.coalesce((F.col("ts_us") - F.col("_before") > IDLE_NS // 1000).cast("int"), F.lit(0))
+    silent = scan.running(seen, by, order, _pauses=("sum", idle))
+    return silent.select(*df.columns, (F.col("_resets") + F.col("_pauses") + idle).alias("epoch"))
 
 
 def tcp_relative_seq(df: DataFrame) -> DataFrame:
     """rel: offset from the first sequence number seen (one more if it is a SYN), modulo 2**32."""
-    at = F.col("seq") + F.col("syn").cast("int")
-    key = ["flow", "dir", "epoch"]
-    first = df.groupBy(*key).agg(F.min_by(at, F.struct("ts_us", at)).alias("_isn"))
-    return df.join(first, key).select(*df.columns, F.pmod(at - F.col("_isn"), F.lit(WRAP)).alias("rel"))
+    at, order = F.col("seq") + F.col("syn").cast("int"), ["ts_us", "seq", "syn"]
+    first = scan.running(scan.dealt(df, list(_KEYS), order), list(_KEYS), order, _isn=("first", at))
+    return first.select(*df.columns, F.pmod(at - F.coalesce("_isn", at), F.lit(WRAP)).alias("rel"))
 
 
 _KEYS = ("flow", "dir", "epoch")
 
 
 def tcp_chunks(df: DataFrame) -> DataFrame:
-    """Chunks of each direction: one of equal offsets (the first to arrive, then the longest), overlaps cut from the later."""
-    once = Window.partitionBy(*_KEYS, "rel").orderBy("arrival", F.desc(F.octet_length("payload")))
-    chunks = df.filter(F.octet_length("payload") > 0).withColumn("_rn", F.row_number().over(once)).filter("_rn = 1").drop("_rn")
-    ahead = Window.partitionBy(*_KEYS).orderBy("rel").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_end", F.col("rel") + F.octet_length("payload"))
-    chunks = chunks.withColumn("_reach", F.max("_end").over(ahead))
+    """(flow, dir, epoch, rel, payload, gap) of each direction: one chunk of equal offsets (the first to arrive, then the longest), overlaps cut from the later.
+
+    gap: bytes missing before the chunk. Rows keep the number of their part (see scan).
+    """
+    size = F.octet_length("payload")
+    once = df.filter(size > 0).groupBy(*_KEYS, "rel").agg(F.min_by("payload", F.struct("arrival", -size, F.col("payload"))).alias("payload"))
+    chunks = scan.running(scan.dealt(once, list(_KEYS), ["rel"]), list(_KEYS), ["rel"], _reach=("max", F.col("rel") + size))
     over = F.greatest(F.coalesce(F.col("_reach") - F.col("rel"), F.lit(0)), F.lit(0)).cast("int")
-    cut = chunks.withColumn("payload", F.substring("payload", over + 1, F.octet_length("payload"))).withColumn("rel", F.col("rel") + over)
-    return cut.filter(F.octet_length("payload") > 0).withColumn("gap", F.col("rel") - F.coalesce("_reach", F.lit(0))).drop("_end", "_reach")
+    cut = chunks.withColumn("payload", F.substring("payload", over + 1, size)).withColumn("rel", F.col("rel") + over)
+    return cut.filter(size > 0).withColumn("gap", F.col("rel") - F.coalesce("_reach", F.lit(0))).drop("_reach")
 
 
 def tcp_missing_ranges(df: DataFrame) -> DataFrame:
@@ -212,11 +347,10 @@ def tcp_reassemble(df: DataFrame, with_bytes: bool = True, run_bytes: int = 1 <<
 
     A run is cut in parts of about run_bytes, so no value grows with a connection. part counts from 0.
     """
-    chunks = tcp_chunks(df)
-    w = Window.partitionBy(*_KEYS).orderBy("rel").rowsBetween(Window.unboundedPreceding, 0)
-    islands = chunks.withColumn("run", F.sum((F.col("gap") > 0).cast("int")).over(w))
-    within = Window.partitionBy(*_KEYS, "run").orderBy("rel").rowsBetween(Window.unboundedPreceding, 0)
-    parts = islands.withColumn("part", F.floor((F.col("rel") - F.first("rel").over(within)) / run_bytes))
+    chunks, opens = tcp_chunks(df), F.col("gap") > 0
+    isles = scan.running(chunks, list(_KEYS), ["rel"], _runs=("sum", opens.cast("int")), _start=("last", F.when(opens, F.col("rel"))))
+    islands = isles.withColumn("run", F.col("_runs") + opens.cast("int"))
+    parts = islands.withColumn("part", F.floor((F.col("rel") - F.when(opens, F.col("rel")).otherwise(F.coalesce("_start", F.lit(0)))) / run_bytes))
     listed = F.sort_array(F.collect_list(F.struct("rel", "payload")))
     sums = [F.min("rel").alias("start"), F.sum(F.octet_length("payload")).alias("size")]
     if not with_bytes:

@@ -559,24 +559,30 @@ on_packets("tcp_flags", lambda p: packets.tcp_flags(p.filter("protocol = 'tcp'")
 on_packets("flow_key", lambda p: p.groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1")
 on_packets("partition_by_flow", lambda p: packets.partition_by_flow(p).withColumn("part", F.spark_partition_id()).groupBy("flow").agg(F.count_distinct("part").alias("parts")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, CAST(1 AS BIGINT) AS parts {_WIRED} GROUP BY 1")
 on_packets("tcp_orient", lambda p: packets.tcp_orient(p.filter("flow is not null")).select("id", "dir"), f"SELECT id, CASE WHEN {_PORT.format('src')} < {_PORT.format('dst')} THEN 0 ELSE 1 END AS dir {_WIRED}")
+#: TCP rows of the packets with q (number behind a SYN) and epoch: resets before them and pauses of over 30 s up to them.
+_EPOCHS = f"""(SELECT *, coalesce(sum(k // 4 % 2) OVER (side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(idle) OVER side AS epoch FROM (
+  SELECT *, id * 100 + k // 2 % 2 AS q, CASE WHEN ts_ns // 1000 - lag(ts_ns // 1000) OVER (PARTITION BY src, dst ORDER BY ts_ns, id) > 30000000 THEN 1 ELSE 0 END AS idle {_WIRED} AND {_TCP}) i WINDOW side AS (PARTITION BY src, dst ORDER BY ts_ns, id))"""
 on_packets(
     "tcp_relative_seq", lambda p: packets.tcp_relative_seq(packets.tcp_epochs(packets.tcp_orient(packets.tcp_flags(p.filter("protocol = 'tcp'"))))).select("id", "epoch", "rel"),
-    f"SELECT id, CAST(epoch AS BIGINT) AS epoch, (q - first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns)) AS rel FROM (SELECT *, id * 100 + k // 2 % 2 AS q, coalesce(sum(k // 4 % 2) OVER (PARTITION BY src, dst ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch {_WIRED} AND {_TCP}) x",
+    f"SELECT id, CAST(epoch AS BIGINT) AS epoch, (q - first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns, q)) AS rel FROM {_EPOCHS} x",
 )
 on_packets("tcp_idle", lambda p: packets.tcp_idle(p.filter("protocol = 'tcp'"), 4_102_444_800_000_000).select("flow"), f"SELECT DISTINCT concat(src, '|', dst, '|tcp') AS flow {_WIRED} AND {_TCP}")
 on_packets("normalize_errors", lambda p: packets.normalize_errors(packets.packet_headers(p.select("linktype", "ts_us", F.expr("substring(data, 1, cast(id % 40 as int))").alias("data"), "id"))), f"SELECT CASE WHEN id % 40 < 15 THEN 'no ip header' ELSE 'cut packet' END AS error, count(*) AS packets {_WIRED} AND id % 40 < 38 GROUP BY 1")
 
 
 def _fragments(p: DataFrame) -> DataFrame:
-    """Datagrams from fragments of 8 bytes made of the UDP payloads; every fifth lacks its first."""
+    """Fragments of 8 bytes of the UDP payloads, a datagram every millisecond: four ids that come back all the time, and datagrams without their first fragment under ids of their own."""
     parts = p.filter("protocol = 'udp' and octet_length(payload) > 0").withColumn("at", F.explode(F.expr("sequence(0, (octet_length(payload) - 1) div 8)")))
     return parts.select(
-        "src_ip", "dst_ip", F.col("id").alias("ip_id"), "ip_protocol", "ts_us", F.lit(None).cast("string").alias("error"), (F.col("at") * 8).cast("int").alias("frag_offset"),
-        (F.col("at") < F.expr("(octet_length(payload) - 1) div 8")).alias("more_fragments"), F.substring("payload", F.col("at") * 8 + 1, F.lit(8)).alias("payload"),
-    ).filter("not (ip_id % 5 = 0 and frag_offset = 0)")
+        "src_ip", "dst_ip", F.expr("case when id % 5 = 0 then 1000 + id else id % 4 end").alias("ip_id"), "ip_protocol", (F.col("id") * 1000 + F.pmod(F.col("at") * 7, F.lit(10))).alias("ts_us"), F.lit(None).cast("string").alias("error"),
+        (F.col("at") * 8).cast("int").alias("frag_offset"), (F.col("at") < F.expr("(octet_length(payload) - 1) div 8")).alias("more_fragments"), F.substring("payload", F.col("at") * 8 + 1, F.lit(8)).alias("payload"),
+    ).filter("not (ip_id >= 1000 and frag_offset = 0)")
 
 
-on_packets("ip_defragment", lambda p: packets.ip_defragment(_fragments(p)).select("ip_id", F.col("payload").cast("string").alias("payload")), f"SELECT id AS ip_id, payload_text AS payload {_WIRED} AND NOT {_TCP} AND id % 5 <> 0 AND length(payload_text) > 8")
+on_packets(
+    "ip_defragment", lambda p: packets.ip_defragment(_fragments(p)).select("src_ip", "dst_ip", "ip_id", F.call_function("div", F.col("started_us"), F.lit(1000)).alias("started_ms"), F.col("payload").cast("string").alias("payload")),
+    f"SELECT {_IP.format('src')} AS src_ip, {_IP.format('dst')} AS dst_ip, id % 4 AS ip_id, id AS started_ms, payload_text AS payload {_WIRED} AND NOT {_TCP} AND id % 5 <> 0 AND length(payload_text) > 8",
+)
 _ISLES = """d AS (SELECT DISTINCT flow, rel FROM s), j AS (SELECT *, sum(CASE WHEN prev IS NULL AND rel > 0 OR rel > prev + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY rel) AS run FROM (SELECT *, lag(rel) OVER (PARTITION BY flow ORDER BY rel) AS prev FROM d) x)"""
 on_segments(
     "tcp_reassemble", lambda s: packets.tcp_reassemble(s).select("flow", "run", "start", "size", F.md5("data").alias("bytes")),
@@ -585,6 +591,15 @@ on_segments(
 on_segments("tcp_missing_ranges", lambda s: packets.tcp_missing_ranges(s).select("flow", "missing_start", "missing_end"), "SELECT flow, CASE WHEN prev IS NULL THEN 0 ELSE prev + 100 END AS missing_start, rel AS missing_end FROM j WHERE prev IS NULL AND rel > 0 OR rel > prev + 100", _ISLES)
 
 
+def _cut_frames(frames: DataFrame) -> DataFrame:
+    """Ethernet frames of IPv4 packets as frames of fragments with 16 bytes of the packet each, a datagram's at one time; an id comes back every eight packets."""
+    body = frames.withColumn("body", F.expr("substring(data, 35)")).withColumn("at", F.explode(F.expr("sequence(0, (octet_length(body) - 1) div 16)")))
+    piece, hexed = F.expr("substring(body, cast(at * 16 + 1 as int), 16)"), lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    more = F.when(F.col("at") < F.expr("(octet_length(body) - 1) div 16"), 0x2000).otherwise(0)
+    header = F.unhex(F.concat(F.lit("4500"), hexed(F.octet_length(piece) + 20), hexed(F.col("id") % 8), hexed(more + F.col("at") * 2)))
+    return body.select("linktype", "ts_us", F.concat(F.expr("substring(data, 1, 14)"), header, F.expr("substring(data, 23, 12)"), piece).alias("data"), "id")
+
+
 def _raw_messages(p: DataFrame) -> DataFrame:
     segments = packets.tcp_segments(p)
     streams = packets.streams_to_messages(packets.tcp_reassemble(segments), packets.stream_ends(segments))
@@ -592,12 +607,11 @@ def _raw_messages(p: DataFrame) -> DataFrame:
     return every.select("flow", "epoch", "run", "ts_ns", "src", "dst", "transport", "direction", F.octet_length("payload").alias("size"), meta("tcp.complete").alias("complete"), F.size("warnings").alias("warnings"))
 
 
-on_packets(
-    "streams_to_messages", _raw_messages,
+_on(
+    lambda s, d: packets.whole_packets(packets.packet_headers(_cut_frames(views.packets(s, d)))), "streams_to_messages", _raw_messages,
     f"SELECT concat(src, '|', dst, '|tcp') AS flow, CAST(epoch AS BIGINT) AS epoch, row_number() OVER (PARTITION BY src, dst, epoch ORDER BY ((q - isn) % 4294967296 + 4294967296) % 4294967296) - 1 AS run, min(ts_ns) OVER side AS ts_ns, src, dst, 'TCP' AS transport, CASE WHEN {_PORT.format('src')} < {_PORT.format('dst')} THEN 'outbound' ELSE 'inbound' END AS direction, "
-    "length(payload_text) AS size, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 'true' ELSE 'false' END AS complete, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 0 ELSE 1 END AS warnings FROM (SELECT *, first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns) AS isn FROM ("
-    f"SELECT *, id * 100 + k // 2 % 2 AS q, coalesce(sum(k // 4 % 2) OVER (PARTITION BY src, dst ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch {_WIRED} AND {_TCP}) e WHERE k // 4 % 2 = 0) y WINDOW side AS (PARTITION BY src, dst, epoch) "
-    f"UNION ALL SELECT concat(src, '|', dst, '|udp'), NULL, NULL, ts_ns, src, dst, 'UDP', 'unknown', length(payload_text), NULL, 0 {_WIRED} AND NOT {_TCP}",
+    f"length(payload_text) AS size, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 'true' ELSE 'false' END AS complete, CASE WHEN bool_or(k % 2 = 1) OVER side THEN 0 ELSE 1 END AS warnings FROM (SELECT *, first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns, q) AS isn FROM {_EPOCHS} e WHERE k // 4 % 2 = 0) y WINDOW side AS (PARTITION BY src, dst, epoch) "
+    f"UNION ALL SELECT concat(src, '|', dst, '|udp'), NULL, NULL, ts_ns, src, dst, 'UDP', 'unknown', length(payload_text), NULL, 0 {_WIRED} AND NOT {_TCP}", views.M,
 )
 
 
