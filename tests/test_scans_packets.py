@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_scale_forms import ethernet, ip4
-from tracelake.operators import correlate, diff, packets, scan
+from tracelake.operators import aggregates, correlate, detect, diff, packets, scan
+from tracelake.streaming import jobs
 
 
 @pytest.fixture()
@@ -218,3 +219,38 @@ def test_topics_of_a_busy_writer(spark, parts):
     got = diff.dds_topic_asof(spark.createDataFrame(rows, "id long, writer string, ts_ns long"), spark.createDataFrame(told, "writer string, ts_ns long, topic string")).collect()
     topic = lambda w, t: max(((at, x) for a, at, x in told if a == w and at <= t), default=(0, None))[1]
     assert {r.id: r.topic for r in got} == {i: topic(w, t) for i, w, t in rows} and all((r.warning is None) == (r.topic is not None) for r in got)
+
+
+def test_heads_of_streams(spark):
+    row = lambda flow, rel, arrival, data, back=0: (flow, back, 0, rel, arrival, data, "a", 1, "b", 2, arrival)
+    rows = [row("f", 4, 0, b"efgh"), row("f", 0, 3, b"abcd"), row("f", 2, 1, b"cdXX"), row("f", 0, 9, b"other"), row("f", 12, 2, b"far"), row("g", 1, 0, b"late"), row("h", 0, 0, bytes(300)), row("h", 300, 1, b"x"), row("f", 0, 5, b"back", 1), row("i", 0, 0, b"")]
+    rows += [row("j", k, 100 - k, bytes([k])) for k in range(100)]
+    df = spark.createDataFrame(rows, "flow string, dir int, epoch long, rel long, arrival long, payload binary, src_ip string, src_port int, dst_ip string, dst_port int, ts_us long").repartition(3)
+    got = {(r.flow, r.dir): bytes(r.payload) for r in packets.stream_heads(df).collect()}
+    assert got == {("f", 0): b"abcdXXgh", ("f", 1): b"back", ("g", 0): b"", ("h", 0): bytes(256), ("j", 0): bytes(range(100))}
+
+
+def test_one_verdict_for_a_stream(spark):
+    hello = b"\x16\x03\x01" + bytes(600)
+    rows = [segment(k, 100 + at, hello[at : at + 2]) for k, at in enumerate([0, 8, 2, 6, 4])] + [segment(9, 500, b"\x16\x03\x01", back=True), segment(10, 400, b"\x16\x03\x01")]
+    rows += [(1, 20, ethernet(ip4(struct.pack(">HHHH", 53, 9, 12, 0) + b"RTPS", 17))), (1, 21, b"x")]
+    headers = packets.packet_headers(spark.createDataFrame(rows, "linktype int, ts_us long, data binary"))
+    one = aggregates.pipeline_stats(headers).first().asDict()
+    assert one == {"packets_read": 9, "packets_failed": 1, "fragments": 0, "tcp_streams": 2, "udp_datagrams": 1, "encrypted": 2, "decrypted": 0, "decoded": 1, "fallback": 2}
+    heads = packets.stream_heads(packets.tcp_segments(headers))
+    mine = spark.createDataFrame([("10.0.0.1", 40000, "10.0.0.2", 443, "tcp", "MINE")], "src_ip string, src_port int, dst_ip string, dst_port int, protocol string, forced string")
+    assert sorted((r.dir, r.detected) for r in detect.detect_override(heads, mine).collect()) == [(0, "TLS"), (1, "MINE")]
+
+
+def test_counters_survive_a_restart(spark, tmp_path):
+    where = {k: str(tmp_path / k) for k in ("in", "log", "out")}
+    body = struct.pack(">HHHH", 53, 9, 12, 0) + b"data"
+    for k in range(4):
+        rows = [(1, k, ethernet(ip4(body, 17))), (1, k, ethernet(ip4(body, 17, frag=0x2000))), (1, k, b"short")]
+        spark.createDataFrame(rows, "linktype int, ts_us long, data binary").coalesce(1).write.mode("append").parquet(where["in"])
+        stream = packets.packet_headers(jobs.stream_load(spark, where["in"], "linktype int, ts_us long, data binary"))
+        jobs.stream_stats(stream, where["out"]).option("checkpointLocation", where["log"]).trigger(availableNow=True).start().awaitTermination()
+    assert jobs.stats_totals(spark, where["out"]).first().asDict() == {"received": 12, "normalised": 8, "routed": 4, "fragments": 4, "errors": 4}
+    # a batch that runs again writes over its own counts
+    jobs.stream_stats(stream, where["out"]).option("checkpointLocation", str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
+    assert jobs.stats_totals(spark, where["out"]).first().received == 12

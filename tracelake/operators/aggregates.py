@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import fields, predicates
 from tracelake.functions.wire import wire_fields
-from tracelake.operators import detect
+from tracelake.operators import detect, packets
 from tracelake.plans.shared import staged
 
 MS = 1_000_000
@@ -214,20 +214,21 @@ DECODED = ("gRPC", "ZMTP", "RTPS")
 
 
 def pipeline_stats(headers: DataFrame) -> DataFrame:
-    """Counts over parsed packets (operators.packets.packet_headers) and over their flows by operators.detect.
+    """Counts over parsed packets (operators.packets.packet_headers), their whole datagrams and their TCP streams; one row.
 
-    A flow is decoded if its first packet's opening names a protocol with a decoder, else it falls back to raw
-    messages; decrypted is 0, as no keys are taken.
+    A stream is a direction of a connection with data. Its first bytes decide once: it is encrypted if they begin a TLS handshake, decoded if they name
+    a protocol with a decoder, else it falls back to raw messages; datagrams are decoded or not one by one. decrypted is 0, as no keys are taken.
     """
-    named = detect.detect_best(headers.filter("flow is not null and error is null")).select("flow", "ts_us", "detected")
-    flows = named.groupBy("flow").agg(F.min_by("detected", "ts_us").alias("detected"))
-    decoded = flows.agg(F.count_if(F.col("detected").isin(*DECODED)).alias("decoded"), F.count_if(~F.col("detected").isin(*DECODED)).alias("fallback"))
-    counted = headers.agg(
-        F.count("*").alias("packets_read"), F.count_if(F.col("error").isNotNull()).alias("packets_failed"), F.count_if(F.col("protocol") == "tcp").alias("tcp_segments"),
-        F.count_if(F.col("protocol") == "udp").alias("udp_datagrams"), F.count_distinct(F.when(F.col("protocol") == "tcp", F.col("flow"))).alias("tcp_streams"),
-        F.count_if(F.hex(F.substring("payload", 1, 2)) == "1603").alias("encrypted"), F.lit(0).cast("long").alias("decrypted"),
+    whole = packets.whole_packets(headers)
+    heads = detect.detect_best(packets.stream_heads(packets.tcp_segments(whole))).select("detected", "protocol")
+    datagrams = detect.detect_best(whole.filter("protocol = 'udp' and error is null")).select("detected", "protocol")
+    tcp, decoded = F.col("protocol") == "tcp", F.col("detected").isin(*DECODED)
+    named = heads.unionByName(datagrams).agg(
+        F.count_if(tcp).alias("tcp_streams"), F.count_if(~tcp).alias("udp_datagrams"), F.count_if(tcp & (F.col("detected") == "TLS")).alias("encrypted"), F.lit(0).cast("long").alias("decrypted"),
+        F.count_if(decoded).alias("decoded"), F.count_if(~decoded).alias("fallback"),
     )
-    return counted.join(F.broadcast(decoded))  # one row each
+    counted = headers.agg(F.count("*").alias("packets_read"), F.count_if(F.col("error").isNotNull()).alias("packets_failed"), F.count_if((F.col("frag_offset") > 0) | F.col("more_fragments")).alias("fragments"))
+    return counted.join(F.broadcast(named))  # one row each
 
 
 def sequence_gaps(df: DataFrame, by: list[str], sequence: str = "sequence") -> DataFrame:

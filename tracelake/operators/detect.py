@@ -106,7 +106,7 @@ for _name in ("gRPC", "HTTP/2", "ZMTP", "RTPS"):
 def detect_best(df: DataFrame) -> DataFrame:
     """df with detected, confidence, version: the surest detector, the first registered among equals; UNKNOWN below one half.
 
-    Only the first FIRST_BYTES of the payload are looked at.
+    df holds datagrams, or the heads of streams (packets.stream_heads) for one verdict a stream. Only the first FIRST_BYTES of the payload are looked at.
     """
     looked = df.withColumns({"_payload": F.col("payload"), "payload": initial_bytes()})
     none = F.lit(None).cast("string")
@@ -123,7 +123,7 @@ def detect_best(df: DataFrame) -> DataFrame:
 
 
 def detect_override(df: DataFrame, overrides: DataFrame) -> DataFrame:
-    """detect_best, with a user's choices (src_ip, src_port, dst_ip, dst_port, protocol, forced) first."""
+    """detect_best, with a user's choices for streams (src_ip, src_port, dst_ip, dst_port, protocol, forced) first."""
     keys = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
     found = detect_best(df).join(overrides.dropDuplicates(keys), keys, "left")
     return found.withColumns({

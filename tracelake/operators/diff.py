@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +13,9 @@ from tracelake.functions import fields
 from tracelake.functions.fields import meta
 from tracelake.operators import scan
 from tracelake.operators.aggregates import PERCENTS, aggregate_metrics
-from tracelake.plans.ship import ship
+from tracelake.plans.ship import map_arrow
 
 WINDOW_NS = 100_000_000
-_SIDE = "src string, dst string, id long, ts_ns long, method string"
 
 
 def _side(df: DataFrame, method: str) -> DataFrame:
@@ -28,44 +28,66 @@ def _runs(left: DataFrame, right: DataFrame, window_ns: int) -> DataFrame:
     A match never leaves a run, so runs and not address pairs are the groups of the greedy step.
     """
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    w = Window.partitionBy("src", "dst").orderBy("ts_ns", "side", "id")
-    apart = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(w) > window_ns).cast("int"), F.lit(0))
-    return both.withColumn("_apart", apart).withColumn("run", F.sum("_apart").over(w)).drop("_apart")
-
-
-def _greedy(window_ns: int):
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda side, key: sorted(zip(side["id"], side["ts_ns"], side["method"], strict=True), key=key) if "id" in side else []
-        second, out = rows(right, lambda r: (r[1], r[0])), []
-        times, free = [r[1] for r in second], [True] * len(second)
-        for one, ts, method in rows(left, lambda r: r[0]):
-            near = [
-                (abs(times[k] - ts), second[k][0], k) for k in range(bisect_left(times, ts - window_ns), bisect_right(times, ts + window_ns))
-                if free[k] and (pd.isna(second[k][2]) or pd.isna(method) or second[k][2] == method)
-            ]
-            if near:
-                _, other, k = min(near)
-                free[k] = False
-                out.append((one, other, "both"))
-            else:
-                out.append((one, None, "first"))
-        out += [(None, r[0], "second") for r, unused in zip(second, free, strict=True) if unused]
-        return pd.DataFrame(out, columns=["left_id", "right_id", "match"]).astype({"left_id": "Int64", "right_id": "Int64"})
-
-    return match
+    by, order = ["src", "dst"], ["ts_ns", "side", "id"]
+    timed = scan.running(scan.dealt(both, by, order), by, order, _before=("last", F.col("ts_ns")))
+    apart = F.coalesce((F.col("ts_ns") - F.col("_before") > window_ns).cast("int"), F.lit(0))
+    runs = scan.running(timed, by, order, _earlier=("sum", apart))
+    return runs.select(*both.columns, (F.col("_earlier") + apart).alias("run"))
+
+
+def _greedy(left: list[tuple], right: list[tuple], window_ns: int) -> Iterator[tuple]:
+    """(left id, right id, match) of one run; rows are (id, time, method)."""
+    second = sorted(right, key=lambda r: (r[1], r[0]))
+    times, free = [r[1] for r in second], [True] * len(second)
+    for one, ts, method in sorted(left):
+        near = [
+            (abs(times[k] - ts), second[k][0], k) for k in range(bisect_left(times, ts - window_ns), bisect_right(times, ts + window_ns))
+            if free[k] and (second[k][2] is None or method is None or second[k][2] == method)
+        ]
+        if near:
+            _, other, k = min(near)
+            free[k] = False
+            yield one, other, "both"
+        else:
+            yield one, None, "first"
+    yield from ((None, r[0], "second") for r, unused in zip(second, free, strict=True) if unused)
+
+
+def _matched(window_ns: int):
+    """Rows come sorted by run; one run is held at a time."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["left_id", "right_id", "match"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides, out = None, ([], []), []
+        for batch in batches:
+            for *key, side, ident, ts, method in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    out += _greedy(*sides, window_ns)
+                    at, sides = key, ([], [])
+                sides[side].append((ident, ts, method))
+            if out:
+                yield packed(out)
+                out = []
+        out += _greedy(*sides, window_ns)
+        if out:
+            yield packed(out)
+
+    return run
 
 
 def diff_events(first: DataFrame, second: DataFrame, method: str = "grpc.method", window_ns: int = WINDOW_NS) -> DataFrame:
-    """(left_id, right_id, match): each event of the first capture, in order of id, takes the closest free event of the second.
+    """(left_id, right_id, match): each event of the first capture, in order of id, takes the closest free event of the second (of equally close ones the smaller id).
 
     Equal src and dst, a method that is equal or absent on a side, and at most the window apart. Events
-    without addresses match nothing and are left out.
+    without addresses match nothing and are left out. Ids are unique on each side. A task holds one run: events of an address pair without
+    a silence of the window among them.
     """
-    ship(first.sparkSession)
-    rows = _runs(_side(first, method), _side(second, method), window_ns)
-    # both sides come from one plan; new names for the columns keep them apart in the cogroup
-    a, b = (rows.filter(F.col("side") == k).select(*(F.col(c).alias(c) for c in rows.columns)).groupBy("src", "dst", "run") for k in (0, 1))
-    return a.cogroup(b).applyInPandas(_greedy(window_ns), "left_id long, right_id long, match string")
+    own = ["src", "dst", "run"]
+    rows = _runs(_side(first, method), _side(second, method), window_ns).repartition(*own).sortWithinPartitions(*own)
+    return map_arrow(rows.select(*own, "side", "id", "ts_ns", "method"), _matched(window_ns), "left_id long, right_id long, match string")
 
 
 def diff_events_mutual(first: DataFrame, second: DataFrame, method: str = "grpc.method", window_ns: int = WINDOW_NS) -> DataFrame:

@@ -337,6 +337,24 @@ def tcp_chunks(df: DataFrame) -> DataFrame:
     return cut.filter(size > 0).withColumn("gap", F.col("rel") - F.coalesce("_reach", F.lit(0))).drop("_reach")
 
 
+def stream_heads(segments: DataFrame, size: int = 256) -> DataFrame:
+    """(flow, dir, epoch, src_ip, src_port, dst_ip, dst_port, protocol, ts_us, payload): the first contiguous bytes of every direction with data.
+
+    segments: tcp_segments' rows, in any order of arrival. Only chunks that begin before size count, one for each offset
+    (the first to arrive, then the longest) and no more than size bytes of it, so a stream's buffer is bounded. A direction whose
+    first byte is missing has an empty head.
+    """
+    end = ("src_ip", "src_port", "dst_ip", "dst_port")
+    data = segments.filter(F.octet_length("payload") > 0)
+    near = data.filter(F.col("rel") < size).withColumn("payload", F.substring("payload", 1, size))
+    once = near.groupBy(*_KEYS, "rel").agg(F.min_by("payload", F.struct("arrival", -F.octet_length("payload"), F.col("payload"))).alias("payload"))
+    grown = lambda have, p: F.when(p["rel"] <= F.octet_length(have), F.concat(have, F.substring(p["payload"], F.octet_length(have) - p["rel"].cast("int") + 1, F.lit(size)))).otherwise(have)
+    head = F.aggregate(F.sort_array(F.collect_list(F.struct("rel", "payload"))), F.lit(b""), grown)
+    heads = once.groupBy(*_KEYS).agg(F.substring(head, 1, size).alias("payload"))
+    streams = data.groupBy(*_KEYS).agg(*(F.min(c).alias(c) for c in end), F.min("ts_us").alias("ts_us"))
+    return streams.join(heads, list(_KEYS), "left").select(*_KEYS, *end, F.lit("tcp").alias("protocol"), "ts_us", F.coalesce("payload", F.lit(b"")).alias("payload"))
+
+
 def tcp_missing_ranges(df: DataFrame) -> DataFrame:
     """(flow, dir, epoch, missing_start, missing_end): bytes between chunks, and before the first from offset 0."""
     return tcp_chunks(df).filter("gap > 0").select(*_KEYS, (F.col("rel") - F.col("gap")).alias("missing_start"), F.col("rel").alias("missing_end"))

@@ -26,7 +26,7 @@ Rows = Callable[[DataFrame], DataFrame]
 def _on(view: Callable[[SparkSession, str], DataFrame], name: str, rows: Rows, sql: str | None, *ctes: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: rows(view(spark, sf_dir))
     if sql:
-        SQL[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        SQL[name] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
 
 
 def on_messages(name: str, rows: Rows, sql: str | None = None, *ctes: str) -> None:
@@ -275,7 +275,9 @@ on_messages("zigzag", lambda m: m.select("id", fields.zigzag(F.col("id")).alias(
 P = predicates
 _where("cmp_string", lambda: P.cmp("direction", ">", "inbound"), "direction > 'inbound'")
 _where("cmp_number", lambda: P.cmp("grpc.status", ">=", 5), "CAST(grpc_status AS DOUBLE) >= 5")
-_where("cmp_bool", lambda: P.negate(P.cmp("grpc.status", "==", True)), "true")
+_FLAGGED = lambda m: m.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("flag"), F.expr("element_at(array('true', 'false', 'True', '1'), cast(id % 4 as int) + 1)"))))
+_IS = lambda op, value: F.coalesce(P.cmp("flag", op, value), F.lit(False))
+on_messages("cmp_bool", lambda m: _FLAGGED(m).select("id", _IS("==", True).alias("yes"), _IS("!=", True).alias("other"), _IS("==", False).alias("no"), _IS("<", True).alias("less")), "SELECT id, id % 4 = 0 AS yes, id % 4 = 1 AS other, id % 4 = 1 AS no, false AS less FROM m")
 _where("contains_ci", lambda: P.contains_ci("grpc.method", "/SVC.s1"), "lower(grpc_method) LIKE '%/svc.s1%'")
 _where("matches", lambda: P.matches("grpc.method", "M[13]$"), "regexp_matches(grpc_method, 'M[13]$')")
 _where("in_set", lambda: P.in_set("http.status", ["404", 503]), "http_status IN ('404', '503')")
@@ -292,10 +294,29 @@ _LEAST = lambda m, key: m.agg(F.min(meta(key))).first()[0] or ""
 on_messages("filter_trace", lambda m: P.filter_trace(m, _LEAST(m, "otel.trace_id")).select("id"), "SELECT id FROM m WHERE trace_id = (SELECT min(trace_id) FROM m)")
 on_messages("filter_span", lambda m: P.filter_span(m, _LEAST(m, "otel.span_id")).select("id"), "SELECT id FROM m WHERE span_id = (SELECT min(span_id) FROM m)")
 _where("filter_simple_export", lambda: P.filter_simple_export("grpc.status", "!=", "0"), "NOT coalesce(grpc_status = '0', false)")
+
+
+def _varied(m: DataFrame) -> DataFrame:
+    """Messages with ports, local addresses, openings and sizes of every template."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % n + 1).cast("int"))
+    port = F.when(F.col("transport") == "TCP", pick((443, 8443, 80, 8080, 21, 53, 23, 9), 8)).when(F.col("transport") == "UDP", pick((53, 69, 1000), 3))
+    text = F.concat(pick(("GET /", "\x16\x03", "", "PUTX"), 4), F.repeat(F.col("payload").cast("string"), F.when(F.col("id") % 6 == 0, 200).otherwise(1)))
+    return m.withColumns({
+        "src": F.when(F.col("src").isNotNull() & (F.col("id") % 5 == 0), F.lit("127.0.0.1:5")).otherwise(F.col("src")),
+        "dst": F.when(F.col("dst").isNotNull() & port.isNotNull(), F.concat(F.lit("10.0.1.1:"), port.cast("string"))).otherwise(F.col("dst")), "payload": F.encode(text, "UTF-8"),
+    })
+
+
+_VARIED = """v AS (SELECT *, CASE WHEN src IS NULL THEN NULL WHEN transport = 'TCP' THEN [443, 8443, 80, 8080, 21, 53, 23, 9][id % 8 + 1] WHEN transport = 'UDP' THEN [53, 69, 1000][id % 3 + 1] END AS port,
+  CASE id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 4 END + length(payload_text) * CASE WHEN id % 6 = 0 THEN 200 ELSE 1 END AS size FROM m)"""
+_SELECTED = {
+    "dns": "port = 53", "tls_handshakes": "transport = 'TCP' AND port = 443 AND id % 4 = 1", "https": "transport = 'TCP' AND port IN (443, 8443)", "grpc": "transport = 'gRPC'", "zeromq": "transport = 'ZMQ'",
+    "http_requests": "transport = 'TCP' AND port IN (80, 8080) AND id % 4 IN (0, 3)", "large_frames": "size > 1500", "small_frames": "size < 64", "cleartext": "transport = 'TCP' AND port IN (80, 21, 23) OR transport = 'UDP' AND port = 69",
+    "localhost": "src IS NOT NULL AND id % 5 = 0",
+}
 on_messages(
-    "filter_templates", lambda m: m.select(F.explode(F.array(*(F.when(F.coalesce(c(), F.lit(False)), F.lit(n)) for n, c in P.TEMPLATES.items()))).alias("template")).filter("template is not null").groupBy("template").agg(F.count("*").alias("events")),
-    f"SELECT template, count(*) AS events FROM (SELECT 'dns' AS template FROM m WHERE transport = 'UDP' AND src IS NOT NULL UNION ALL SELECT 'https' FROM m WHERE transport = 'TCP' AND src IS NOT NULL UNION ALL SELECT 'grpc' FROM m WHERE transport = 'gRPC' UNION ALL SELECT 'zeromq' FROM m WHERE transport = 'ZMQ' "
-    "UNION ALL SELECT 'small_frames' FROM m WHERE length(payload_text) < 64 UNION ALL SELECT 'large_frames' FROM m WHERE length(payload_text) > 1500) x GROUP BY template",
+    "filter_templates", lambda m: _varied(m).select(F.explode(F.array(*(F.when(F.coalesce(c(), F.lit(False)), F.lit(n)) for n, c in P.TEMPLATES.items()))).alias("template"), "id").filter("template is not null"),
+    " UNION ALL ".join(f"SELECT '{n}' AS template, id FROM v WHERE {c}" for n, c in _SELECTED.items()), _VARIED,
 )
 on_messages("filter_like_event", lambda m: P.filter_like_event(m, 7, "conversation").select("id"), "SELECT m.id FROM m JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM m WHERE id = 7) o ON least(src, dst) = a AND greatest(src, dst) = b")
 _RANGE = "r AS (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM m)"
@@ -316,7 +337,10 @@ for _what in ("src", "dst", "transport"):
 _where("anomaly_events", P.anomaly, "transport = 'gRPC' AND grpc_status <> '0'")
 _where("protocol_error_events", P.protocol_error, "coalesce(grpc_status <> '0', false) OR coalesce(CAST(http_status AS INT) >= 400, false)")
 _where("search_text", lambda: P.search_text("SVC.S1/m2"), "lower(grpc_method) LIKE '%svc.s1/m2%'")
-on_messages("payload_search", lambda m: P.payload_search(m, P.search_bytes("22 3a")).select("id", F.element_at("offsets", 1).alias("first"), F.size("offsets").alias("matches")), "SELECT id, CAST(instr(payload_text, '\":') - 1 AS INT) AS first, 1 AS matches FROM m WHERE payload_text LIKE '%\":%'")
+on_messages(
+    "payload_search", lambda m: P.payload_search(m.withColumn("payload", F.expr("concat(repeat(cast('ab' as binary), cast(id % 5 as int)), payload, cast('aba' as binary))")), P.search_bytes("61 62 61")).select("id", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets")),
+    "SELECT id, array_to_string(list_filter(range(length(x)), lambda i: substr(x, i + 1, 3) = 'aba'), ',') AS offsets FROM (SELECT id, concat(repeat('ab', CAST(id % 5 AS BIGINT)), payload_text, 'aba') AS x FROM m) t",
+)
 
 # --- sorts, limits, samples ------------------------------------------------------------------
 
@@ -352,10 +376,6 @@ _on(
     views.scalars, "capture_rates", lambda s: A.capture_rates(s.sparkSession.sql(_STATS.replace("10.0", "cast(10.0 as double)"), m=s)).select("received", "drops", F.round("drop_rate", 9).alias("drop_rate"), F.round("pps", 6).alias("pps")),
     f"SELECT CAST(sum(received) AS BIGINT) AS received, CAST(sum(drops_kernel) + sum(drops_channel) AS BIGINT) AS drops, round((sum(drops_kernel) + sum(drops_channel)) / CAST(sum(received) + sum(drops_kernel) + sum(drops_channel) AS DOUBLE), 9) AS drop_rate, round(sum(received) / CAST(sum(seconds) AS DOUBLE), 6) AS pps FROM ({_STATS.format(m='m')}) x", views.M,
 )
-_on(
-    lambda s, d: packets.packet_headers(views.packets(s, d)), "pipeline_stats", A.pipeline_stats,
-    "SELECT count(*) AS packets_read, CAST(0 AS BIGINT) AS packets_failed, count(*) FILTER (WHERE t) AS tcp_segments, count(*) FILTER (WHERE NOT t) AS udp_datagrams, count(DISTINCT CASE WHEN t THEN concat(src, dst) END) AS tcp_streams, CAST(0 AS BIGINT) AS encrypted, CAST(0 AS BIGINT) AS decrypted, count(DISTINCT CASE WHEN transport IN ('gRPC', 'ZMQ', 'DDS-RTPS') THEN concat(src, dst) END) AS decoded, count(DISTINCT CASE WHEN transport IN ('TCP', 'UDP') THEN concat(src, dst) END) AS fallback FROM (SELECT *, transport IN ('gRPC', 'ZMQ', 'TCP') AS t FROM m WHERE src IS NOT NULL) x", views.M,
-)
 _GAP = "SELECT {by}, min(sequence) AS first_seq, max(sequence) AS last_seq, greatest(max(sequence) - min(sequence) + 1 - count(DISTINCT sequence), 0) AS gaps FROM m WHERE sequence IS NOT NULL GROUP BY {by}"
 on_messages("sequence_gaps", lambda m: A.sequence_gaps(m, ["src"]), _GAP.format(by="src"))
 on_messages("sequence_range", lambda m: A.sequence_range(m, ["origin"]), f"SELECT origin, concat(CAST(first_seq AS STRING), '..', CAST(last_seq AS STRING)) AS sequence_range, CASE WHEN gaps > 0 THEN gaps END AS gap_count FROM ({_GAP.format(by='origin')}) x")
@@ -498,7 +518,15 @@ def _two_sets(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 D = diff
-on_messages("diff_events", lambda m: D.diff_events(*_two(m)).groupBy("match").agg(F.count("*").alias("events")))
+_NEAR = "a.src = b.src AND a.dst = b.dst AND abs(a.ts_ns - b.ts_ns) <= 100000000 AND (a.grpc_method IS NULL OR b.grpc_method IS NULL OR a.grpc_method = b.grpc_method)"
+_TWO = ("a AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY id) AS i FROM m WHERE id % 7 <> 0 AND src IS NOT NULL)", "b AS (SELECT * REPLACE (ts_ns + 30000000 AS ts_ns) FROM m WHERE id % 5 <> 0 AND src IS NOT NULL)")
+on_messages(
+    "diff_events", lambda m: D.diff_events(*_two(m)).select("left_id", "right_id", "match"),
+    "SELECT coalesce(x.left_id, a.id) AS left_id, b.id AS right_id, CASE WHEN b.id IS NULL THEN 'first' WHEN x.left_id IS NULL THEN 'second' ELSE 'both' END AS match FROM a LEFT JOIN (SELECT left_id, right_id FROM step WHERE right_id IS NOT NULL) x ON x.left_id = a.id FULL JOIN b ON b.id = x.right_id",
+    *_TWO, f"wanted AS (SELECT a.src, a.dst, a.i, a.id, list(b.id ORDER BY abs(a.ts_ns - b.ts_ns), b.id) FILTER (WHERE b.id IS NOT NULL) AS ids FROM a LEFT JOIN b ON {_NEAR} GROUP BY ALL)",
+    "step AS (SELECT DISTINCT src, dst, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS BIGINT) AS right_id FROM a UNION ALL "
+    "SELECT src, dst, i, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, id, pick FROM (SELECT w.src, w.dst, w.i, w.id, s.taken, list_filter(w.ids, lambda x: NOT list_contains(s.taken, x))[1] AS pick FROM step s JOIN wanted w ON w.src = s.src AND w.dst = s.dst AND w.i = s.i + 1) n)",
+)
 on_messages(
     "diff_events_mutual", lambda m: D.diff_events_mutual(*_two(m)).select("left_id", "right_id"),
     "SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY gap, right_id) AS x, row_number() OVER (PARTITION BY right_id ORDER BY gap, left_id) AS y FROM (SELECT a.id AS left_id, b.id AS right_id, abs(a.ts_ns - b.ts_ns - 30000000) AS gap "
@@ -559,14 +587,26 @@ on_packets("tcp_flags", lambda p: packets.tcp_flags(p.filter("protocol = 'tcp'")
 on_packets("flow_key", lambda p: p.groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1")
 on_packets("partition_by_flow", lambda p: packets.partition_by_flow(p).withColumn("part", F.spark_partition_id()).groupBy("flow").agg(F.count_distinct("part").alias("parts")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, CAST(1 AS BIGINT) AS parts {_WIRED} GROUP BY 1")
 on_packets("tcp_orient", lambda p: packets.tcp_orient(p.filter("flow is not null")).select("id", "dir"), f"SELECT id, CASE WHEN {_PORT.format('src')} < {_PORT.format('dst')} THEN 0 ELSE 1 END AS dir {_WIRED}")
-#: TCP rows of the packets with q (number behind a SYN) and epoch: resets before them and pauses of over 30 s up to them.
-_EPOCHS = f"""(SELECT *, coalesce(sum(k // 4 % 2) OVER (side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(idle) OVER side AS epoch FROM (
-  SELECT *, id * 100 + k // 2 % 2 AS q, CASE WHEN ts_ns // 1000 - lag(ts_ns // 1000) OVER (PARTITION BY src, dst ORDER BY ts_ns, id) > 30000000 THEN 1 ELSE 0 END AS idle {_WIRED} AND {_TCP}) i WINDOW side AS (PARTITION BY src, dst ORDER BY ts_ns, id))"""
+def _epochs(left: str = "") -> str:
+    """TCP rows of the packets with q (number behind a SYN) and epoch: resets before them and pauses of over 30 s up to them."""
+    return f"""(SELECT *, coalesce(sum(k // 4 % 2) OVER (side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(idle) OVER side AS epoch FROM (
+  SELECT *, id * 100 + k // 2 % 2 AS q, CASE WHEN ts_ns // 1000 - lag(ts_ns // 1000) OVER (PARTITION BY src, dst ORDER BY ts_ns, id) > 30000000 THEN 1 ELSE 0 END AS idle {_WIRED} AND {_TCP} {left}) i WINDOW side AS (PARTITION BY src, dst ORDER BY ts_ns, id))"""
+
+
+_EPOCHS = _epochs()
 on_packets(
     "tcp_relative_seq", lambda p: packets.tcp_relative_seq(packets.tcp_epochs(packets.tcp_orient(packets.tcp_flags(p.filter("protocol = 'tcp'"))))).select("id", "epoch", "rel"),
     f"SELECT id, CAST(epoch AS BIGINT) AS epoch, (q - first_value(q) OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns, q)) AS rel FROM {_EPOCHS} x",
 )
-on_packets("tcp_idle", lambda p: packets.tcp_idle(p.filter("protocol = 'tcp'"), 4_102_444_800_000_000).select("flow"), f"SELECT DISTINCT concat(src, '|', dst, '|tcp') AS flow {_WIRED} AND {_TCP}")
+
+
+def _idle(p: DataFrame) -> DataFrame:
+    """Connections silent for over 30 s at the end of the capture, its time made a thousand times as fast."""
+    fast = p.filter("protocol = 'tcp'").withColumn("ts_us", F.expr("ts_us div 1000"))
+    return packets.tcp_idle(fast, fast.agg(F.coalesce(F.max("ts_us"), F.lit(0))).first()[0])
+
+
+on_packets("tcp_idle", _idle, f"SELECT concat(src, '|', dst, '|tcp') AS flow, max(ts_ns // 1000000) AS last_us {_WIRED} AND {_TCP} GROUP BY src, dst HAVING (SELECT max(ts_ns // 1000000) {_WIRED} AND {_TCP}) - max(ts_ns // 1000000) > 30000000")
 on_packets("normalize_errors", lambda p: packets.normalize_errors(packets.packet_headers(p.select("linktype", "ts_us", F.expr("substring(data, 1, cast(id % 40 as int))").alias("data"), "id"))), f"SELECT CASE WHEN id % 40 < 15 THEN 'no ip header' ELSE 'cut packet' END AS error, count(*) AS packets {_WIRED} AND id % 40 < 38 GROUP BY 1")
 
 
@@ -632,15 +672,73 @@ on_streams("detect_port", lambda p: p.select("id", detect.detect_port().alias("p
 on_streams("detect_magic", lambda p: p.select("id", detect.detect_magic().alias("protocol")), f"SELECT id, CASE WHEN id % 6 < 3 THEN {_OPENED} END AS protocol {_WIRED}")
 on_streams("detect_h2_frame", lambda p: p.filter(detect.detect_h2_frame()).select("id"), f"SELECT id {_WIRED} AND {_TCP} AND (id % 6 = 1 OR id % 6 = 4 AND length(payload_text) >= 4)")
 on_streams("detect_common", lambda p: p.select("id", detect.detect_common().alias("protocol")), f"SELECT id, CASE WHEN id % 6 IN (3, 4) THEN {_OPENED} END AS protocol {_WIRED}")
-on_streams("detect_best", lambda p: detect.detect_best(p).select("id", "detected", "confidence", "version"), _FOUND)
 
 
-def _overridden(p: DataFrame) -> DataFrame:
-    chosen = p.filter("dst_port = 53").select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct().withColumn("forced", F.lit("DNS"))
-    return detect.detect_override(p, chosen).select("id", "detected", "confidence")
+def _pieces(p: DataFrame) -> DataFrame:
+    """TCP packets cut in pieces of 7 bytes, of which the first comes first and the others from the last on; resets and UDP stay whole."""
+    cut = (F.col("protocol") == "tcp") & (F.col("flags").bitwiseAND(F.lit(4)) == 0) & (F.octet_length("payload") > 0)
+    last = F.expr("(octet_length(payload) - 1) div 7")
+    rows = p.withColumn("_last", F.when(cut, last).otherwise(0)).withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    late = F.when(F.col("_at") == 0, 0).otherwise(F.col("_last") - F.col("_at") + 1)
+    piece = F.when(cut, F.substring("payload", (F.col("_at") * 7 + 1).cast("int"), F.lit(7))).otherwise(F.col("payload"))
+    return rows.withColumns({"payload": piece, "seq": F.col("seq") + F.col("_at") * 7, "ts_us": F.col("ts_us") + late}).drop("_last", "_at")
+
+
+def _headed(p: DataFrame) -> DataFrame:
+    """One row for every direction of a connection, and the datagrams."""
+    heads = packets.stream_heads(packets.tcp_segments(_pieces(p.filter("protocol = 'tcp'"))))
+    return heads.unionByName(p.filter("protocol = 'udp'"), allowMissingColumns=True)
+
 
+def _opening(left: str = "") -> str:
+    """opening: the packet that opens each direction of a connection (resets carry no data), and the datagrams; found: what each packet's opening says."""
+    return f"""opening AS (SELECT id, concat(src, '|', dst, '|tcp') AS flow, CASE WHEN {_PORT.format('src')} < {_PORT.format('dst')} THEN 0 ELSE 1 END AS dir, CAST(epoch AS BIGINT) AS epoch FROM (
+  SELECT *, row_number() OVER (PARTITION BY src, dst, epoch ORDER BY ts_ns, id) AS nth FROM {_epochs(left)} e WHERE k // 4 % 2 = 0) x WHERE nth = 1
+  UNION ALL SELECT id, concat(src, '|', dst, '|udp'), NULL, NULL {_WIRED} AND NOT {_TCP} {left}), found AS ({_FOUND})"""
 
-on_streams("detect_override", _overridden, f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE detected END AS detected, CASE WHEN {_PORT.format('dst')} = 53 THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence FROM ({_FOUND}) f JOIN m USING (id)")
+
+def on_heads(name: str, rows: Rows, sql: str) -> None:
+    _on(lambda s, d: _headed(_streams(s, d)), name, rows, sql, views.M, _opening())
+
+
+on_heads("detect_best", lambda h: detect.detect_best(h).select("flow", "dir", "epoch", "detected", "confidence", "version"), "SELECT flow, dir, epoch, detected, confidence, version FROM opening JOIN found USING (id)")
+
+
+def _overridden(h: DataFrame) -> DataFrame:
+    """A user's choice for every seventh stream and for the port of name servers."""
+    ends = h.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct()
+    chosen = ends.filter("dst_port = 53 or src_port % 7 = 0").withColumn("forced", F.when(F.col("dst_port") == 53, "DNS").otherwise("MINE"))
+    return detect.detect_override(h, chosen).select("flow", "dir", "epoch", "detected", "confidence")
+
+
+on_heads(
+    "detect_override", _overridden,
+    f"SELECT flow, dir, epoch, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' WHEN {_PORT.format('src')} % 7 = 0 THEN 'MINE' ELSE detected END AS detected, CASE WHEN {_PORT.format('dst')} = 53 OR {_PORT.format('src')} % 7 = 0 THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence FROM opening JOIN found USING (id) JOIN m USING (id)",
+)
+
+
+def _worn(p: DataFrame) -> DataFrame:
+    """Every tenth packet cut off, and every fifth datagram in fragments of 16 bytes."""
+    lost = F.col("id") % 10 == 3
+    broken = p.filter(lost).withColumns({"error": F.lit("cut packet"), "protocol": F.lit(None).cast("string"), "flow": F.lit(None).cast("string")})
+    split = ~lost & (F.col("protocol") == "udp") & (F.col("id") % 5 == 0)
+    hexed = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    datagram = F.concat(F.unhex(F.concat(hexed(F.col("src_port")), hexed(F.col("dst_port")), hexed(F.octet_length("payload") + 8), F.lit("0000"))), "payload")
+    rows = p.filter(split).withColumn("payload", datagram).withColumn("_at", F.explode(F.expr("sequence(0, (octet_length(payload) - 1) div 16)")))
+    parts = rows.withColumns({
+        "payload": F.expr("substring(payload, cast(_at * 16 + 1 as int), 16)"), "frag_offset": (F.col("_at") * 16).cast("int"), "more_fragments": F.col("_at") < F.expr("(octet_length(payload) - 1) div 16"),
+        "ip_id": F.col("id") % 64, "protocol": F.lit("other"), "flow": F.lit(None).cast("string"), "src_port": F.lit(None).cast("int"), "dst_port": F.lit(None).cast("int"),
+    }).drop("_at")
+    return p.filter(~lost & ~split).unionByName(broken).unionByName(parts)
+
+
+_CUT = f"CASE WHEN NOT ({_TCP}) AND id % 5 = 0 AND id % 10 <> 3 THEN (7 + length(payload_text) + CASE id % 6 WHEN 0 THEN 24 WHEN 1 THEN 12 WHEN 2 THEN 7 WHEN 3 THEN 5 WHEN 4 THEN 5 ELSE 1 END) // 16 + 1 END"
+_on(
+    lambda s, d: _worn(_streams(s, d)), "pipeline_stats", A.pipeline_stats,
+    f"SELECT * FROM (SELECT CAST(sum(coalesce({_CUT}, 1)) AS BIGINT) AS packets_read, count(*) FILTER (WHERE id % 10 = 3) AS packets_failed, CAST(sum({_CUT}) AS BIGINT) AS fragments {_WIRED}) p, "
+    "(SELECT count(epoch) AS tcp_streams, count(*) FILTER (WHERE epoch IS NULL) AS udp_datagrams, count(*) FILTER (WHERE epoch IS NOT NULL AND detected = 'TLS') AS encrypted, CAST(0 AS BIGINT) AS decrypted, "
+    "count(*) FILTER (WHERE detected IN ('gRPC', 'ZMTP', 'RTPS')) AS decoded, count(*) FILTER (WHERE detected NOT IN ('gRPC', 'ZMTP', 'RTPS')) AS fallback FROM opening JOIN found USING (id)) f", views.M, _opening("AND id % 10 <> 3"),
+)
 on_streams(
     "detect_ordered", lambda p: p.select("id", detect.detect_ordered().alias("protocol")),
     f"SELECT id, CASE WHEN id % 6 = 0 OR id % 6 = 4 AND length(payload_text) >= 4 THEN 'grpc' WHEN id % 6 = 1 THEN 'zmtp' WHEN id % 6 = 2 THEN 'rtps' WHEN {_PORT.format('dst')} IN (50051, 443, 8443, 9090) OR {_PORT.format('src')} IN (50051, 443, 8443, 9090) THEN 'grpc' END AS protocol {_WIRED}",
@@ -704,19 +802,24 @@ _on(views.packets, "stream_route", lambda p: _drained(jobs.stream_route(_streame
 
 
 def _stats(p: DataFrame) -> DataFrame:
-    """Totals of a stream's counters over all its micro-batches."""
-    spark, listener = p.sparkSession, jobs.StatsListener()
-    spark.streams.addListener(listener)
-    try:
-        rows = jobs.stream_stats(packets.packet_headers(_streamed(p))).filter("flow is not null and error is null").observe("emitted", F.count("*").alias("emitted"))
-        rows.writeStream.format("noop").option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start().awaitTermination()
-        listener.ended.wait(60)
-    finally:
-        spark.streams.removeListener(listener)
-    return spark.createDataFrame([tuple(listener.totals.values())], ", ".join(f"{c} long" for c in listener.totals))
+    """Totals of a stream's counters, run in two parts with a restart between them; packets are cut in fragments, and every tenth is cut off."""
+    spark, log, table = p.sparkSession, shared_dir(p.sparkSession), shared_dir(p.sparkSession)
+    worn = _cut_frames(p).withColumn("data", F.when(F.col("id") % 10 == 3, F.expr("substring(data, 1, 20)")).otherwise(F.col("data")))
+    stream = _streamed(worn)
+    start = lambda: jobs.stream_stats(packets.packet_headers(stream), table).option("checkpointLocation", log).trigger(availableNow=True).start()
+    first = start()
+    while first.isActive and not first.recentProgress:
+        first.awaitTermination(0.2)
+    first.stop()
+    start().awaitTermination()
+    return jobs.stats_totals(spark, table)
 
 
-_on(views.packets, "stream_stats", _stats, f"SELECT count(*) AS received, count(*) AS normalised, count(*) AS routed, CAST(0 AS BIGINT) AS fragments, CAST(0 AS BIGINT) AS errors, count(*) AS emitted {_WIRED}", views.M)
+_on(
+    views.packets, "stream_stats", _stats,
+    f"SELECT CAST(sum(n) AS BIGINT) AS received, CAST(sum(n) FILTER (WHERE id % 10 <> 3) AS BIGINT) AS normalised, count(*) FILTER (WHERE n = 1 AND id % 10 <> 3) AS routed, CAST(coalesce(sum(n) FILTER (WHERE n > 1 AND id % 10 <> 3), 0) AS BIGINT) AS fragments, "
+    f"CAST(sum(n) FILTER (WHERE id % 10 = 3) AS BIGINT) AS errors FROM (SELECT id, (length(payload_text) + CASE WHEN {_TCP} THEN 20 ELSE 8 END - 1) // 16 + 1 AS n {_WIRED}) x", views.M,
+)
 
 
 def _reassembled(s: DataFrame) -> DataFrame:
@@ -734,7 +837,7 @@ def _runs(s: DataFrame) -> DataFrame:
     return _reassembled(s).groupBy("flow", "run").agg(F.min("start").alias("start"), F.sum(F.octet_length("data")).alias("size"), F.md5(data).alias("bytes"))
 
 
-on_segments("stream_reassemble", lambda s: _reassembled(s).filter("run = 0").groupBy("flow").agg(F.sum(F.octet_length("data")).alias("size")), "SELECT CAST(flow AS STRING) AS flow, CAST(count(*) * 100 AS BIGINT) AS size FROM j WHERE run = 0 GROUP BY flow", _ISLES)
+on_segments("stream_reassemble", lambda s: _reassembled(s).groupBy("flow").agg(F.sum(F.octet_length("data")).alias("size")), "SELECT CAST(flow AS STRING) AS flow, CAST(count(*) * 100 AS BIGINT) AS size FROM j GROUP BY flow", _ISLES)
 on_segments(
     "stream_reassemble_runs", _runs,
     "SELECT CAST(flow AS STRING) AS flow, CAST(run AS BIGINT) AS run, min(rel) AS start, CAST(count(*) * 100 AS BIGINT) AS size, md5(string_agg(repeat(chr(CAST(65 + rel // 100 AS INT)), 100), '' ORDER BY rel)) AS bytes FROM j GROUP BY flow, run", _ISLES,
@@ -759,12 +862,12 @@ on_messages("register_correlator", _custom_correlator, "SELECT concat('udp:', or
 def _custom_detector(p: DataFrame) -> DataFrame:
     registry.register_detector(registry.Detector("dns-port", lambda: F.col("dst_port") == 53, "DNS", 1.0))
     try:
-        return detect.detect_best(p).filter("dst_port = 53").groupBy("detected").agg(F.count("*").alias("packets"))
+        return detect.detect_best(p).groupBy("detected").agg(F.count("*").alias("packets"))
     finally:
         registry.DETECTORS.pop("dns-port")
 
 
-on_streams("register_detector", _custom_detector, f"SELECT 'DNS' AS detected, count(*) AS packets {_WIRED} AND {_PORT.format('dst')} = 53")
+on_streams("register_detector", _custom_detector, f"SELECT CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE detected END AS detected, count(*) AS packets FROM ({_FOUND}) f JOIN m USING (id) GROUP BY 1")
 
 
 def _decoded(s: DataFrame) -> DataFrame:
@@ -800,7 +903,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and error share per transport of a filtered set."""
     m = P.keep(views.messages(spark, sf_dir), P.either(P.cmp("direction", "==", "inbound"), P.cmp("direction", "==", "outbound")))
     return m.groupBy("transport").agg(F.count("*").alias("events"), F.avg(P.protocol_error().cast("double")).alias("error_share"))
-
-#: Earlier names of queries that have since come to give whole results themselves.
-for _name in ("sort_messages", "conversations_by_time", "sort_conversations", "detect_best", "detect_override", "detect_ordered", "detect_h2_frame"):
-    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from threading import Event
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelake.operators import packets
 
@@ -65,34 +64,25 @@ def stream_route(stream: DataFrame) -> DataFrame:
 COUNTERS = ("received", "normalised", "routed", "fragments", "errors")
 
 
-def stream_stats(parsed: DataFrame, name: str = "packets") -> DataFrame:
-    """parsed with counters of each micro-batch, observed under name: received, normalised, routed, fragments, errors."""
-    conditions = (F.lit(True), F.col("error").isNull(), F.col("flow").isNotNull(), (F.col("frag_offset") > 0) | F.col("more_fragments"), F.col("error").isNotNull())
-    return parsed.observe(name, *(F.count_if(c).alias(n) for n, c in zip(COUNTERS, conditions, strict=True)))
+def stream_stats(parsed: DataFrame, folder: str):
+    """A writer that counts every micro-batch of parsed packets into folder: received, normalised, routed, fragments, errors.
 
+    A batch has a folder of its own, which a repeated batch writes over, so totals (stats_totals) count every packet once, whatever
+    restarts lie between; nothing is kept by the driver.
+    """
+    conditions = (F.lit(True), F.col("error").isNull(), F.col("flow").isNotNull() & F.col("error").isNull(), (F.col("frag_offset") > 0) | F.col("more_fragments"), F.col("error").isNotNull())
+    counted = [F.count_if(c).alias(n) for n, c in zip(COUNTERS, conditions, strict=True)]
 
-class StatsListener(StreamingQueryListener):
-    """Sums over a query's micro-batches of what stream_stats observed, and of the rows observed as emitted under ``emitted``."""
-
-    def __init__(self, name: str = "packets", emitted: str = "emitted"):
-        self.name, self.emitted = name, emitted
-        self.totals = dict.fromkeys((*COUNTERS, "emitted"), 0)
-        self.ended = Event()
-
-    def onQueryStarted(self, event) -> None:
-        pass
+    def step(batch: DataFrame, number: int) -> None:
+        batch.agg(*counted).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    def onQueryProgress(self, event) -> None:
-        seen = event.progress.observedMetrics
-        for key, row in ((self.name, seen.get(self.name)), (self.emitted, seen.get(self.emitted))):
-            for column, n in (row.asDict() if row else {}).items():
-                self.totals["emitted" if key == self.emitted else column] += n or 0
+    return parsed.writeStream.foreachBatch(step)
 
-    def onQueryIdle(self, event) -> None:
-        pass
 
-    def onQueryTerminated(self, event) -> None:
-        self.ended.set()
+def stats_totals(spark, folder: str) -> DataFrame:
+    """One row with the sums of all batches that stream_stats has counted into folder."""
+    table = spark.read.schema(", ".join(f"{c} long" for c in (*COUNTERS, "batch"))).parquet(folder)
+    return table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
 
 
 def stream_load(spark, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
