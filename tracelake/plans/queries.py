@@ -674,6 +674,15 @@ on_streams("detect_h2_frame", lambda p: p.filter(detect.detect_h2_frame()).selec
 on_streams("detect_common", lambda p: p.select("id", detect.detect_common().alias("protocol")), f"SELECT id, CASE WHEN id % 6 IN (3, 4) THEN {_OPENED} END AS protocol {_WIRED}")
 
 
+def _named_ports(p: DataFrame) -> DataFrame:
+    chosen = p.filter("dst_port = 53").select("src_ip", "src_port", "dst_ip", "dst_port", "protocol").distinct().withColumn("forced", F.lit("DNS"))
+    return detect.detect_override(p, chosen).select("id", "detected", "confidence")
+
+
+on_streams("detect_best_packets", lambda p: detect.detect_best(p).select("id", "detected", "confidence", "version"), _FOUND)
+on_streams("detect_override_packets", _named_ports, f"SELECT id, CASE WHEN {_PORT.format('dst')} = 53 THEN 'DNS' ELSE detected END AS detected, CASE WHEN {_PORT.format('dst')} = 53 THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence FROM ({_FOUND}) f JOIN m USING (id)")
+
+
 def _pieces(p: DataFrame) -> DataFrame:
     """TCP packets cut in pieces of 7 bytes, of which the first comes first and the others from the last on; resets and UDP stay whole."""
     cut = (F.col("protocol") == "tcp") & (F.col("flags").bitwiseAND(F.lit(4)) == 0) & (F.octet_length("payload") > 0)
