@@ -26,7 +26,9 @@ from tracelake.plans.ship import map_arrow
 MIN_LETTERS, MIN_COUNT = 5, 3
 #: One run in TYPO of a document loses a letter, by its checksum.
 TYPO = 97
-#: A bigram of rank GRAMS or more is a pad.
+#: A side of a bigram with at most so many letters, the bigram's included, is shared by many words.
+SHORT = 4
+#: The rank of places without a bigram.
 PAD = np.iinfo(np.int64).max
 
 _LETTER = np.zeros(256, bool)
@@ -137,11 +139,29 @@ def pivots_of(ranks: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return pair
 
 
-def _entries(rank: np.ndarray):
-    """Rows of the index (kind 0: prefix bigrams) and of the search (kind 1: pivots) for a batch of words.
+def _keys(word: str, place: int, size: int, short: int) -> Iterator[str]:
+    """What a word of that many letters shares with this one if the bigram at place is whole in both: one of these.
 
-    part is the side of the bigram that no edit touched, with the bigram; size is the length of the indexed word;
-    last is the rank at which the prefix ends.
+    The edit is behind the bigram or before it, so one side is the same, bigram included. Where that is at most short
+    letters, the other side is cut in two halves, of which the edit leaves one the same as well.
+    """
+    for side, part, rest in (("<", word[: place + 2], word[place + 2 :]), (">", word[place:], word[:place])):
+        if len(part) > short:
+            yield side + part
+            continue
+        far = size - len(part)
+        near = far // 2
+        first, last = rest[: far - near], rest[len(rest) - near :] if near else ""
+        if side == "<":
+            first, last = rest[:near], rest[len(rest) - (far - near) :]
+        yield f"{side}{part}|{first}"
+        yield f"{side}{part}||{last}"
+
+
+def _entries(rank: np.ndarray, sizes: tuple[int, ...] | None, short: int):
+    """Rows of the index (a word's prefix bigrams), or of the search (its pivots) in words that are longer by one of sizes.
+
+    last is the rank at which the word's prefix ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +172,25 @@ def _entries(rank: np.ndarray):
             grams = _grams(letters, size)
             ranks = np.where(grams == PAD, PAD, rank[np.minimum(grams, (1 << 16) - 1)])
             last = np.sort(ranks, axis=1)[:, 2]
-            inside = ranks <= last[:, None]
-            chosen = np.zeros_like(inside)
-            np.put_along_axis(chosen, pivots_of(ranks, inside), True, axis=1)
-            rows, words = [], batch.column(0).to_pylist()
-            for kind, which, sizes in ((0, inside, (0,)), (1, chosen, (-1, 0, 1))):
-                for w, p in zip(*(x.tolist() for x in np.nonzero(which)), strict=True):
-                    word, end = words[w], int(last[w])
-                    for side, part in (("<", word[: p + 2]), (">", word[p:])):
-                        for more in sizes:
-                            rows.append((kind, side + part, len(part), len(word) + more, word, end))
-            kind, part, long, total, word, end = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(part), pa.array(long, pa.int32()), pa.array(total, pa.int32()), pa.array(word), pa.array(end, pa.int64())], ["kind", "part", "part_size", "size", "word", "last"])
+            chosen = ranks <= last[:, None]
+            if sizes:
+                pivots = pivots_of(ranks, chosen)
+                chosen = np.zeros_like(chosen)
+                np.put_along_axis(chosen, pivots, True, axis=1)
+            words, at, keys, totals = batch.column(0).to_pylist(), [], [], []
+            for w, p in zip(*(x.tolist() for x in np.nonzero(chosen)), strict=True):
+                word = words[w]
+                for more in sizes or (0,):
+                    for key in _keys(word, p, len(word) + more, short):
+                        at.append(w)
+                        keys.append(key)
+                        totals.append(len(word) + more)
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(totals, pa.int32()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(last[at])], ["key", "size", "word", "last"])
 
     return run
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, short: int = SHORT) -> DataFrame:
     """(word, near): pairs of words one insertion, deletion or replacement of a letter apart, both ways round.
 
     words is a staged column of distinct words of at least 4 letters, all below U+0100. The driver holds a
@@ -181,13 +203,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     order = np.lexsort((np.arange(1 << 16), counts))
     rank = np.empty(1 << 16, np.int64)
     rank[order] = np.arange(1 << 16)
-    entries = kit.stage(map_arrow(words, _entries(rank), "kind int, part string, part_size int, size int, word string, last long"))
-    index, search = entries.filter("kind = 0").alias("i"), entries.filter("kind = 1").alias("s")
-    # the rest of both words, on the side where the edit is
-    rest = lambda a: F.when(F.col(f"{a}.part").startswith("<"), F.expr(f"substring({a}.word, {a}.part_size + 1)")).otherwise(F.expr(f"left({a}.word, char_length({a}.word) - {a}.part_size)"))
-    same = (F.col("i.part") == F.col("s.part")) & (F.col("i.size") == F.col("s.size"))
-    near = (F.col("s.last") <= F.col("i.last")) & (F.col("i.word") != F.col("s.word")) & (F.levenshtein(rest("i"), rest("s"), 1) == 1)
-    found = index.join(search, same & near).select(F.col("s.word").alias("word"), F.col("i.word").alias("near"))
+    entries = lambda sizes: map_arrow(words, _entries(rank, sizes, short), "key string, size int, word string, last long").select(F.xxhash64("key", "size").alias("key"), "word", F.col("last").cast("int").alias("last"))
+    index, search = entries(None).alias("i"), entries((-1, 0, 1)).alias("s")
+    near = (F.col("s.last") <= F.col("i.last")) & (F.col("i.word") != F.col("s.word")) & (F.levenshtein(F.col("i.word"), F.col("s.word"), 1) == 1)
+    found = index.join(search, (F.col("i.key") == F.col("s.key")) & near).select(F.col("s.word").alias("word"), F.col("i.word").alias("near"))
     return found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
