@@ -26,11 +26,38 @@ def test_deep_traces_and_cycles(spark):
     deep = [("t", f"s{k}", f"s{k - 1}" if k else None, k) for k in range(150)]
     odd = [("u", "a", "b", 1), ("u", "b", "a", 2), ("u", "c", None, 3), ("u", "d", "c", 4), ("v", "x", "gone", 5)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(deep + odd)], "trace_id string, span_id string, parent_span_id string, start_ns long, id long")
-    got = {(r.trace_id, r.span_id): (r.level, len(r.path)) for r in traces.trace_levels(df).collect()}
-    want = {("t", f"s{k}"): (k, k + 1) for k in range(150)} | {("u", "c"): (0, 1), ("u", "d"): (1, 2), ("v", "x"): (0, 1)}
+    got = {(r.trace_id, r.span_id): (r.level, r.ordinal) for r in traces.trace_levels(df).collect()}
+    want = {("t", f"s{k}"): (k, k) for k in range(150)} | {("u", "c"): (0, 0), ("u", "d"): (1, 1), ("v", "x"): (0, 0)}
     assert got == want
 
 
+def test_listing_of_random_traces(spark):
+    """A loop over a stack lists the same; one trace and one parent hold most spans, starts are equal often, some parents are gone."""
+    rng = random.Random(3)
+    rows, below = [], defaultdict(list)
+    for i in range(1200):
+        trace = "big" if i % 3 else f"t{rng.randrange(80)}"
+        mine = [r[1] for r in rows if r[0] == trace]
+        parent = None if not mine or rng.random() < 0.05 else "gone" if rng.random() < 0.03 else mine[0] if rng.random() < 0.5 else rng.choice(mine)
+        rows.append((trace, f"s{rng.randrange(1 << 40):x}", parent, rng.randrange(9), i))
+    known = {r[:2] for r in rows}
+    for trace, span, parent, start, _ in rows:
+        below[trace, parent if (trace, parent) in known else None].append((start, span))
+    want = {}
+    for trace in {r[0] for r in rows}:
+        stack = [(0, *c) for c in sorted(below[trace, None], reverse=True)]
+        for n in range(len(rows)):
+            if not stack:
+                break
+            level, _, span = stack.pop()
+            want[trace, span] = (level, n)
+            stack += [(level + 1, *c) for c in sorted(below[trace, span], reverse=True)]
+    odd = [(None, "a", None, 1, -1), ("t0", None, None, 1, -2)]
+    df = spark.createDataFrame(rows + odd, "trace_id string, span_id string, parent_span_id string, start_ns long, id long")
+    assert {(r.trace_id, r.span_id): (r.level, r.ordinal) for r in traces.trace_levels(df).collect()} == want
+    assert traces.trace_levels(df.limit(0)).collect() == []
+
+
 def test_fragment_ids_are_used_again(spark):
     part = lambda ts, at, more, data: ("a", "b", 7, 17, ts, at, more, data, None)
     rows = [part(0, 0, True, b"12345678"), part(10, 8, False, b"ab"), part(9_000_000, 8, False, b"zz"), part(9_000_001, 0, True, b"87654321"), part(9_000_002, 8, False, b"zzz")]

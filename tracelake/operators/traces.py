@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import fields
 from tracelake.functions.tracectx import trace_ctx_of_message
+from tracelake.operators import scan
 from tracelake.plans.shared import staged
 
 
@@ -64,23 +67,47 @@ def trace_children(spans: DataFrame, trace_id: str, span_id: str) -> DataFrame:
     return spans.filter((F.col("trace_id") == trace_id) & (F.col("parent_span_id") == span_id))
 
 
+def tour(spans: DataFrame) -> DataFrame:
+    """The Euler tour of every trace: each span is entered and left (side 0 and 1), and knows the step before, to and to_side (null: none).
+
+    Roots and children follow each other by start and id. nodes is the length of the trace's tour.
+    """
+    tree = trace_tree(spans.filter("trace_id is not null and span_id is not null"))
+    of, order = ["trace_id", "up"], ["start_ns", "span_id"]
+    parts = scan.dealt(tree.select("trace_id", "span_id", "start_ns", F.when(~F.col("is_root"), F.col("parent_span_id")).alias("up")), of, order)
+    placed = scan.running(parts, of, order, elder=("last", F.col("span_id")))
+    youngest = parts.filter("up is not null").groupBy("trace_id", F.col("up").alias("span_id")).agg(F.max(F.struct(*order))["span_id"].alias("child"))
+    entered = placed.select("trace_id", "span_id", F.lit(0).alias("side"), F.coalesce("elder", "up").alias("to"), F.col("elder").isNotNull().cast("int").alias("to_side"))
+    left = parts.join(youngest, ["trace_id", "span_id"], "left").select(
+        "trace_id", "span_id", F.lit(1).alias("side"), F.coalesce("child", "span_id").alias("to"), F.col("child").isNotNull().cast("int").alias("to_side")
+    )
+    lengths = parts.groupBy("trace_id").agg((2 * F.count("*")).alias("nodes"))
+    return entered.unionByName(left).join(lengths, "trace_id")
+
+
 def trace_levels(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id, level, path): paths of span ids order a depth-first listing.
+    """(trace_id, span_id, level, ordinal): the depth of a span and its place, from 0, in the depth-first listing of its trace.
 
-    Every span points to an ancestor, first its parent, and knows the path from there; each round doubles
-    the distance, so the rounds are the logarithm of the longest trace. Spans of a cycle reach no root and are left out.
+    Roots and children are listed by start, then id. Steps of the tour are ranked by pointer doubling: each knows the sums of what lies
+    between it and an earlier step, and each round doubles that distance. A step takes the same space however deep its span
+    is, no two steps point to the same one, so no key is hot, and a trace takes part in as many rounds as its length has bits.
+    Spans of a cycle and those below it reach no root and are left out, as are spans without a trace or an id.
     """
-    tree = trace_tree(spans)
-    key = F.concat(F.lpad(F.col("start_ns").cast("string"), 19, "0"), F.lit(":"), "span_id")
-    front = staged(tree.select("trace_id", "span_id", F.when(~F.col("is_root"), F.col("parent_span_id")).alias("up"), F.array(key).alias("path")))
-    longest = front.groupBy("trace_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    for _ in range(int(longest).bit_length()):
-        above = front.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        moved = front.filter("up is not null").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
-        front = staged(front.filter("up is null").unionByName(moved))
-        if front.filter("up is not null").isEmpty():
+    down = F.col("side") == 0
+    front = staged(tour(spans).withColumns({"depth": F.when(down, 1).otherwise(-1).cast("long"), "entered": F.when(down, 1).otherwise(0).cast("long")}))
+    ranked, reach = [], 1
+    while True:
+        earlier = front.select("trace_id", F.col("span_id").alias("to"), F.col("side").alias("to_side"), *(F.col(c).alias(f"_{c}") for c in ("to", "to_side", "depth", "entered")))
+        moved = front.filter("to is not null").join(earlier, ["trace_id", "to", "to_side"]).select(
+            "trace_id", "span_id", "side", F.col("_to").alias("to"), F.col("_to_side").alias("to_side"), "nodes", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "entered"))
+        )
+        reach *= 2
+        turned = staged(front.filter("to is null").unionByName(moved))
+        ranked.append(turned.filter((F.col("nodes") <= reach) & F.col("to").isNull() & down))
+        front = turned.filter(F.col("nodes") > reach)
+        if front.isEmpty():
             break
-    return front.filter("up is null").select("trace_id", "span_id", (F.size("path") - 1).alias("level"), "path")
+    return reduce(DataFrame.unionByName, ranked).select("trace_id", "span_id", (F.col("depth") - 1).cast("int").alias("level"), (F.col("entered") - 1).alias("ordinal"))
 
 
 def trace_summary(messages: DataFrame) -> DataFrame:

@@ -489,7 +489,11 @@ _on(
     "UNION ALL SELECT NULL, start_ns, concat('x', span_id), service, CASE status_code WHEN 1 THEN 'OK' WHEN 2 THEN 'ERROR (2)' ELSE 'UNKNOWN' END FROM sp WHERE id % 3 = 2", views.M, views.SP_DUCK,
 )
 on_spans("trace_tree", lambda s: T.trace_tree(s.filter("id % 7 <> 0")).select("span_id", "is_root"), "SELECT a.span_id, b.span_id IS NULL AS is_root FROM sp a LEFT JOIN (SELECT trace_id, span_id FROM sp WHERE id % 7 <> 0) b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id WHERE a.id % 7 <> 0")
-on_spans("trace_levels", lambda s: T.trace_levels(s).select("span_id", "level"), "SELECT span_id, CAST(floor(log2(n)) AS INT) AS level FROM sn")
+on_spans(
+    "trace_levels", lambda s: T.trace_levels(s).select("span_id", "level", "ordinal"),
+    "SELECT span_id, level, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS ordinal FROM (WITH RECURSIVE t AS (SELECT trace_id, span_id, 0 AS level, [{'at': start_ns, 'id': span_id}] AS path FROM sp WHERE parent_span_id IS NULL "
+    "UNION ALL SELECT sp.trace_id, sp.span_id, t.level + 1, list_append(t.path, {'at': sp.start_ns, 'id': sp.span_id}) FROM t JOIN sp ON sp.trace_id = t.trace_id AND sp.parent_span_id = t.span_id) SELECT * FROM t) x",
+)
 
 
 def _children(s: DataFrame) -> DataFrame:
