@@ -17,7 +17,7 @@ def streamed(spark):
     def run(*rows):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         df = spark.createDataFrame([(f, 0, rel, data, rst, (86400 + s) * 1_000_000) for f, rel, data, rst, s in rows], SEGMENTS).withColumn("ts", F.timestamp_micros("ts_us"))
-        out = queries._drained(jobs.stream_reassemble(queries._streamed(df, flow=F.lit("closing"), dir=F.lit(0), rel=F.lit(0), rst=F.lit(False)))).orderBy("flow", "start").collect()
+        out = queries._drained(df, jobs.stream_reassemble, flow=F.lit("closing"), dir=F.lit(0), rel=F.lit(0), rst=F.lit(False)).orderBy("flow", "start").collect()
         runs, at = {}, None
         for r in out:
             at = (r.flow, r.start) if r.gap_before or at is None or at[0] != r.flow else at

@@ -8,13 +8,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions import fields, predicates, tracectx
 from tracelake.functions.fields import meta
 from tracelake.functions.wire import wire_fields
 from tracelake.operators import aggregates, correlate, detect, diff, packets, traces
 from tracelake.plans import registry, views
-from tracelake.plans.shared import shared_dir
+from tracelake.plans.shared import shared_dir, staged
 from tracelake.sources import readers, writers
 from tracelake.streaming import jobs
 
@@ -761,70 +762,96 @@ on_streams("detect_initial_bytes", lambda p: p.select("id", F.octet_length(detec
 # --- streaming: each reads the staged table as a stream, file by file ---------------------------
 
 
-def _streamed(df: DataFrame, files: int = 4, **closing: F.Column) -> DataFrame:
-    """df as a stream, file by file in the order of its times: the source takes files as they were written.
+SLICES = 4
 
-    With ``closing`` values a last file holds one row of them (else nulls), an hour after all others.
+
+def _fed(df: DataFrame, start: Callable[[DataFrame], StreamingQuery], arrival: F.Column | None = None, after: str = "1 hour", **closing: F.Column) -> StreamingQuery:
+    """df as a stream that start runs, one slice of df's times (or arrival, 0 to SLICES - 1) after another; the last run comes back.
+
+    A slice is written by many tasks and is one trigger of one run, so every slice but the first is read after a restart.
+    With ``closing`` values a last file holds one row of them (else nulls), long after all others.
     """
-    path, key = shared_dir(df.sparkSession), "ts_ns" if "ts_ns" in df.columns else "ts_us"
-    part = F.lit(0)
-    for cut in sorted(set(df.approxQuantile(key, [k / files for k in range(1, files)], 0.01))):
-        part = part + F.coalesce((F.col(key) >= F.lit(cut)).cast("int"), F.lit(0))
-    for k in range(files):
-        df.filter(part == k).repartition(1).write.mode("append").parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    if arrival is None:
+        key = "ts_ns" if "ts_ns" in df.columns else "ts_us"
+        cuts = sorted(set(df.approxQuantile(key, [k / SLICES for k in range(1, SLICES)], 0.01)))
+        arrival = sum((F.coalesce((F.col(key) >= F.lit(cut)).cast("int"), F.lit(0)) for cut in cuts), F.lit(0))
+    rows = staged(df.withColumn("_slice", arrival))
+    slices = [rows.filter(F.col("_slice") == k).drop("_slice") for k in range(SLICES)]
     if closing:
-        last = df.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")).filter("ts is not null")
-        last.select(*("ts" if f.name == "ts" else closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)).write.mode("append").parquet(path)
-    return jobs.stream_load(df.sparkSession, path, df.schema, 1)
+        last = df.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).filter("ts is not null")
+        slices.append(last.select(*("ts" if f.name == "ts" else closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)))
+    for part in slices:
+        part.write.mode("append").parquet(path)
+        run = start(jobs.stream_load(spark, path, df.schema, 1 << 30))
+        run.awaitTermination()
+    return run
+
+
+def _drained(df: DataFrame, form: Callable[[DataFrame], DataFrame] = lambda stream: stream, mode: str = "append", **feed) -> DataFrame:
+    """What form makes of df as a stream, run to the end of its input, from its file sink."""
+    spark = df.sparkSession
+    out, log = shared_dir(spark), shared_dir(spark)
+    schema = []
 
+    def start(source: DataFrame) -> StreamingQuery:
+        stream = form(source)
+        schema[:] = [stream.schema]
+        if mode == "append":
+            writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
+        else:
+            writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
+        return writer.option("checkpointLocation", log).trigger(availableNow=True).start()
 
-def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The result of a streaming query run to the end of its input, from its file sink."""
-    spark = stream.sparkSession
-    out, log = shared_dir(spark), shared_dir(spark)
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
-    else:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
-    writer.option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    _fed(df, start, **feed)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 def _timed(m: DataFrame) -> DataFrame:
     return m.select("id", "ts_ns", "transport", "direction", F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000))).alias("ts"), F.coalesce("src", "origin").alias("flow"))
 
 
-on_messages("stream_filter", lambda m: _drained(jobs.stream_filter(_streamed(_timed(m)), F.col("direction") == "inbound")).select("id"), "SELECT id FROM m WHERE direction = 'inbound'")
-on_messages("stream_load", lambda m: _drained(_streamed(_timed(m))).groupBy("transport").agg(F.count("*").alias("events")), "SELECT transport, count(*) AS events FROM m GROUP BY transport")
+on_messages("stream_filter", lambda m: _drained(_timed(m), lambda s: jobs.stream_filter(s, F.col("direction") == "inbound")).select("id"), "SELECT id FROM m WHERE direction = 'inbound'")
+on_messages("stream_load", lambda m: _drained(_timed(m)).groupBy("transport").agg(F.count("*").alias("events")), "SELECT transport, count(*) AS events FROM m GROUP BY transport")
 
 
 def _recent(m: DataFrame) -> DataFrame:
     spark, folder = m.sparkSession, shared_dir(m.sparkSession)
-    run = jobs.stream_recent(_streamed(_timed(m)), folder, 1000).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
+    log = shared_dir(spark)
+    run = _fed(_timed(m), lambda s: jobs.stream_recent(s, folder, 1000).option("checkpointLocation", log).trigger(availableNow=True).start())
     return spark.read.parquet(f"{folder}/{run.lastProgress['batchId'] % 2}").select("id")
 
 
 on_messages("stream_recent", _recent, "SELECT id FROM m ORDER BY ts_ns DESC, id DESC LIMIT 1000")
-on_messages("stream_timeline", lambda m: _drained(jobs.stream_timeline(_streamed(_timed(m)), "1 hour", "1 hour"), "complete").select("transport", F.unix_seconds("window.start").alias("start_s"), "events"), "SELECT transport, ts_ns // 3600000000000 * 3600 AS start_s, count(*) AS events FROM m GROUP BY 1, 2")
+on_messages("stream_timeline", lambda m: _drained(_timed(m), lambda s: jobs.stream_timeline(s, "1 hour", "1 hour"), "complete").select("transport", F.unix_seconds("window.start").alias("start_s"), "events"), "SELECT transport, ts_ns // 3600000000000 * 3600 AS start_s, count(*) AS events FROM m GROUP BY 1, 2")
+def _late(m: DataFrame) -> DataFrame:
+    """Events by transport and hour where every seventh of ten comes a slice late, and of those only the ones within the delay count."""
+    rows = _timed(m)
+    low, high = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    quarter = F.expr(f"(ts_ns - {low or 0}) div {((high or 0) - (low or 0)) // SLICES + 1}")
+    arrival = F.least(quarter + (F.col("id") % 10 == 7).cast("long"), F.lit(SLICES - 1))
+    counted = _drained(rows, lambda s: jobs.stream_timeline(s, "1 hour", "2 days"), arrival=arrival, after="3 days", transport=F.lit("closing"))
+    return counted.filter("transport <> 'closing'").select("transport", F.unix_seconds("window.start").alias("start_s"), "events")
+
+
+on_messages(
+    "stream_late", _late,
+    "SELECT transport, hour * 3600 AS start_s, count(*) AS events FROM (SELECT *, ts_ns // 3600000000000 AS hour, least((ts_ns - lo) // ((hi - lo) // 4 + 1) + CASE WHEN id % 10 = 7 THEN 1 ELSE 0 END, 3) AS part FROM m, (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM m) b) x "
+    "LEFT JOIN (SELECT part AS upto, max(max(ts_ns)) OVER (ORDER BY part) // 1000000 - 172800000 AS mark FROM (SELECT ts_ns, least((ts_ns - lo) // ((hi - lo) // 4 + 1) + CASE WHEN id % 10 = 7 THEN 1 ELSE 0 END, 3) AS part FROM m, (SELECT min(ts_ns) AS lo, max(ts_ns) AS hi FROM m) b) y GROUP BY part) w ON w.upto = x.part - 1 "
+    "WHERE mark IS NULL OR (hour + 1) * 3600000 > mark GROUP BY 1, 2",
+)
 on_messages(
-    "stream_idle", lambda m: _drained(jobs.stream_idle(_streamed(_timed(m), transport=F.lit("closing")))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets"), F.unix_micros(F.max("last_out")).alias("last_out"), F.unix_micros(F.max("last_in")).alias("last_in")),
+    "stream_idle", lambda m: _drained(_timed(m), jobs.stream_idle, transport=F.lit("closing")).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets"), F.unix_micros(F.max("last_out")).alias("last_out"), F.unix_micros(F.max("last_in")).alias("last_in")),
     "SELECT flow, count(CASE WHEN prev IS NULL OR us - prev >= 30000000 THEN 1 END) AS sessions, count(*) AS packets, max(CASE WHEN direction = 'outbound' THEN us END) AS last_out, max(CASE WHEN direction = 'inbound' THEN us END) AS last_in FROM (SELECT flow, us, direction, lag(us) OVER (PARTITION BY flow ORDER BY us) AS prev FROM (SELECT coalesce(src, origin) AS flow, direction, ts_ns // 1000 AS us FROM m) x) y GROUP BY flow",
 )
-_on(views.packets, "stream_route", lambda p: _drained(jobs.stream_route(_streamed(p))).groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1", views.M)
+_on(views.packets, "stream_route", lambda p: _drained(p, jobs.stream_route).groupBy("flow").agg(F.count("*").alias("packets")), f"SELECT concat(src, '|', dst, '|', CASE WHEN {_TCP} THEN 'tcp' ELSE 'udp' END) AS flow, count(*) AS packets {_WIRED} GROUP BY 1", views.M)
 
 
 def _stats(p: DataFrame) -> DataFrame:
-    """Totals of a stream's counters, run in two parts with a restart between them; packets are cut in fragments, and every tenth is cut off."""
+    """Totals of a stream's counters, with restarts between its slices; packets are cut in fragments, and every tenth is cut off."""
     spark, log, table = p.sparkSession, shared_dir(p.sparkSession), shared_dir(p.sparkSession)
     worn = _cut_frames(p).withColumn("data", F.when(F.col("id") % 10 == 3, F.expr("substring(data, 1, 20)")).otherwise(F.col("data")))
-    stream = _streamed(worn)
-    start = lambda: jobs.stream_stats(packets.packet_headers(stream), table).option("checkpointLocation", log).trigger(availableNow=True).start()
-    first = start()
-    while first.isActive and not first.recentProgress:
-        first.awaitTermination(0.2)
-    first.stop()
-    start().awaitTermination()
+    _fed(worn, lambda stream: jobs.stream_stats(packets.packet_headers(stream), table).option("checkpointLocation", log).trigger(availableNow=True).start())
     return jobs.stats_totals(spark, table)
 
 
@@ -840,7 +867,7 @@ def _reassembled(s: DataFrame) -> DataFrame:
     spark = s.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = s.select(F.col("flow").cast("string").alias("flow"), "dir", "rel", "payload", (F.col("arrival") < 0).alias("rst"), F.timestamp_seconds(F.lit(86400) + F.col("arrival") % 4).alias("ts"), (F.col("arrival") % 4).alias("ts_us"))
-    out = _drained(jobs.stream_reassemble(_streamed(rows, flow=F.lit("closing"), dir=F.lit(0), rel=F.lit(0), rst=F.lit(False))))
+    out = _drained(rows, jobs.stream_reassemble, flow=F.lit("closing"), dir=F.lit(0), rel=F.lit(0), rst=F.lit(False))
     up_to = Window.partitionBy("flow").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("run", F.sum(F.col("gap_before").cast("long")).over(up_to))
 
