@@ -34,6 +34,36 @@ HTTP_STATUS = {
     200: "OK", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 408: "Request Timeout", 429: "Too Many Requests",
     499: "Cancelled", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout",
 }
+#: What a code means for whoever reads the capture, in our own words.
+EXPLANATIONS = {
+    "grpc": {
+        1: "the caller gave the call up", 2: "the server failed without a status of its own", 3: "the request can never be right as it stands",
+        4: "no answer came in the time the caller allowed", 5: "what was asked for isn't there", 6: "what was to be made is there already",
+        7: "the caller is known but may not do this", 8: "a quota, memory or another supply is used up", 9: "the system isn't in the state the call needs",
+        10: "another call got in the way; try the whole step again", 11: "the request reaches past the end", 12: "the server has no such method",
+        13: "the server broke; see its log", 14: "the server can't be reached or is too busy; try again", 15: "data is lost or damaged beyond repair", 16: "the caller didn't show who it is",
+    },
+    "tcp": {
+        1: "this side has sent all it has", 2: "a connection is asked for", 4: "the connection is broken off: no listener, a crash or a firewall",
+        8: "hand the data on at once", 16: "data up to here has come",
+    },
+    "tls": {
+        0: "the sender closes in good order", 10: "a message came that doesn't belong here", 20: "a record doesn't match its checksum", 21: "a record couldn't be decrypted",
+        22: "a record is too long", 30: "a record couldn't be unpacked", 40: "the sides share no cipher or settings", 41: "no certificate was sent", 42: "the certificate is damaged",
+        43: "the certificate is of a kind that isn't handled", 44: "the certificate was withdrawn by its issuer", 45: "the certificate is out of date", 46: "the certificate has some other fault",
+        47: "a value of the handshake is out of bounds", 48: "the issuer of the certificate isn't trusted", 49: "the certificate is good, but access is refused", 50: "a message can't be read",
+        51: "a signature or key check failed", 60: "the key breaks an export rule", 70: "the version of the protocol isn't spoken here", 71: "the ciphers on offer are too weak",
+        80: "the sender failed for reasons of its own", 86: "a retry with an older version was caught", 90: "someone stopped the handshake", 100: "a second handshake is refused",
+        109: "an extension that has to be there isn't", 110: "an extension came that wasn't asked for", 111: "the certificate couldn't be fetched", 112: "no host of that name lives here",
+        113: "the proof of the certificate's status is bad", 114: "the hash of the certificate is another one", 115: "the shared key's name isn't known", 116: "a client certificate is wanted",
+        120: "the sides share no protocol above TLS",
+    },
+    "http": {
+        200: "all went well", 400: "the request isn't well formed", 401: "the client has to show who it is", 403: "the client may not have this", 404: "nothing is found under this address",
+        408: "the client was too slow with its request", 429: "the client asks too often", 499: "the client went away before the answer", 500: "the server broke",
+        501: "the server can't do this", 502: "the server behind the gateway gave a bad answer", 503: "the server is too busy or down", 504: "the server behind the gateway gave no answer in time",
+    },
+}
 CLIENT_PORTS = (80, 443, 50051, 5555, 8080, 8443, 9090)
 
 
@@ -131,15 +161,15 @@ def grpc_to_http(code: Column) -> tuple[Column, Column]:
 
 
 def codes(spark):
-    """(domain, code, name): the dimension that explains status codes."""
-    rows = [("grpc", i, n) for i, n in enumerate(GRPC_STATUS)]
-    rows += [(d, c, n) for d, t in (("tcp", TCP_FLAGS), ("tls", TLS_ALERTS), ("http", HTTP_STATUS)) for c, n in t.items()]
-    return spark.createDataFrame(rows, "domain string, code int, name string")
+    """(domain, code, name, explanation): the dimension that explains status codes; code 0 of gRPC needs no explanation."""
+    named = {"grpc": dict(enumerate(GRPC_STATUS)), "tcp": TCP_FLAGS, "tls": TLS_ALERTS, "http": HTTP_STATUS}
+    return spark.createDataFrame([(d, c, n, EXPLANATIONS[d].get(c)) for d, t in named.items() for c, n in t.items()], "domain string, code int, name string, explanation string")
 
 
 def explain_code(df, domain: str, code: str):
-    """df with code_name: the meaning of a code, null if there is none. The dimension has under 100 rows."""
-    named = codes(df.sparkSession).filter(F.col("domain") == domain).select(F.col("code").cast("string").alias("_code"), F.lower(F.translate("name", "_", " ")).alias("code_name"))
+    """df with code_name and explanation: name and meaning of a code, null if there are none. The dimension has under 100 rows."""
+    known = codes(df.sparkSession).filter(F.col("domain") == domain)
+    named = known.select(F.col("code").cast("string").alias("_code"), F.lower(F.translate("name", "_", " ")).alias("code_name"), "explanation")
     return df.join(F.broadcast(named), F.col(code).cast("string") == F.col("_code"), "left").drop("_code")
 
 

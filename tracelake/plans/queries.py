@@ -243,7 +243,10 @@ on_messages("grpc_status_name", lambda m: m.select("id", fields.grpc_status_name
 _DOMAINS = {"grpc": dict(enumerate(fields.GRPC_STATUS)), "tcp": fields.TCP_FLAGS, "tls": fields.TLS_ALERTS, "http": fields.HTTP_STATUS}
 on_messages(
     "explain_code", lambda m: reduce(DataFrame.unionByName, (fields.explain_code(m.select("id", F.lit(d).alias("domain"), (F.col("id") % 600).cast("int").alias("code")), d, "code") for d in _DOMAINS)),
-    " UNION ALL ".join(f"SELECT id, '{d}' AS domain, CAST(id % 600 AS INT) AS code, CASE id % 600 " + " ".join(f"WHEN {c} THEN '{n.lower().replace('_', ' ')}'" for c, n in names.items()) + " END AS code_name FROM m" for d, names in _DOMAINS.items()),
+    " UNION ALL ".join(
+        f"SELECT id, '{d}' AS domain, CAST(id % 600 AS INT) AS code, CASE id % 600 " + " ".join(f"WHEN {c} THEN '{n.lower().replace('_', ' ')}'" for c, n in names.items()) + " END AS code_name, "
+        "CASE id % 600 " + " ".join(f"WHEN {c} THEN '{t.replace(chr(39), chr(39) * 2)}'" for c, t in fields.EXPLANATIONS[d].items()) + " END AS explanation FROM m" for d, names in _DOMAINS.items()
+    ),
 )
 on_messages(
     "grpc_to_http_status", lambda m: m.select("id", *(c.alias(n) for c, n in zip(fields.grpc_to_http(meta("grpc.status")), ("status", "status_text"), strict=True))),
