@@ -62,6 +62,14 @@ def test_words_one_by_one_are_the_whole_text():
     assert [ids(r) for r in own.encode(ODD, 2)] == [lib.encode(t, add_special_tokens=False).ids + [2] for t in ODD]
 
 
+def test_library_encoder_of_pieces_with_blanks():
+    """A tokenizer whose pieces hold blanks gets whole texts; the dealt one gets words."""
+    own, lib = idfile.LibraryEncoder(BYTES), Tokenizer.from_file(BYTES)
+    texts = ["hello big world", "", " a  b\n\nc ", "x" * 5000, "\u00e9t\u00e9 \u4e2d\u6587\n", idfile.PROBE]
+    assert not own.by_words and idfile.LibraryEncoder(WORDS).by_words
+    assert own.encode(texts, 2) == [np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 299), max_size=700), st.integers(1, 4))
 def test_blocks_round_trip(values, repeat):
