@@ -49,3 +49,21 @@ def test_idle_counts_every_message(spark, sf_dir):
     batch = jobs.stream_idle(queries._timed(views.messages(spark, sf_dir))).groupBy("flow").agg(F.count("*").alias("sessions"), F.sum("packets").alias("packets"))
     assert got == {(r.flow, r.sessions, r.packets) for r in batch.collect()}
     assert sum(n for _, _, n in got) == views.messages(spark, sf_dir).count()
+
+
+def test_many_flows_go_on_from_tables(spark, tmp_path):
+    """A micro-batch is one join of tables, no calls for each flow: batches go on from each other, a repeated one writes the same, late rows go."""
+    form = jobs.stream_reassemble(None)
+
+    def step(number, *rows):
+        df = spark.createDataFrame([(f, 0, rel, data, False, (86400 + s) * 1_000_000) for f, rel, data, s in rows], SEGMENTS).withColumn("ts", F.timestamp_micros("ts_us"))
+        form._step(df, number, f"{tmp_path}/out", f"{tmp_path}/table")
+        made = spark.read.parquet(f"{tmp_path}/out/batch={number}").collect()
+        return {(r.flow, r.start, bytes(r.data), r.gap_before) for r in made}
+
+    many = [(f"n{k}", 0, b"z", 0) for k in range(2000)]
+    assert step(0, ("f", 0, b"ab", 0), ("f", 5, b"fg", 0), *many) == {("f", 0, b"ab", False)} | {(f, 0, b"z", False) for f, *_ in many}
+    for _ in range(2):
+        assert step(1, ("f", 1, b"bcde", 1)) == {("f", 2, b"cde", False), ("f", 5, b"fg", False)}
+    assert step(2, ("g", 3, b"x", 100)) == set()
+    assert step(3, ("g", 0, b"late", 50), ("h", 0, b"y", 200)) == {("g", 3, b"x", True), ("h", 0, b"y", False)}

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tracelake.operators import packets
+from tracelake.operators import packets, scan
+from tracelake.plans.shared import staged
 
 IDLE = "30 seconds"
 
@@ -90,86 +87,74 @@ def stream_load(spark, folder: str, schema, files_per_trigger: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-class Reassembler(StatefulProcessor):
-    """Emits the contiguous bytes of a flow's direction as they become so; the rest after 30 idle seconds or a reset.
-
-    State: the next offset, and segments that wait for it until then, as RocksDB entries of which one is read at a time.
-    """
-
-    FRAME_BYTES = 1 << 20
-    IDLE_MS = 30_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.next = handle.getValueState("next", "offset long")
-        self.waiting = handle.getMapState("waiting", "rel long", "payload binary")
-        self.timer = handle.getValueState("timer", "due long")
-
-    def _take(self, everything: bool) -> Iterator[tuple[int, bytes, bool]]:
-        at = self.next.get()[0] if self.next.exists() else 0
-        for rel in sorted(k[0] for k in self.waiting.keys()):
-            if rel > at and not everything:
-                break
-            payload = bytes(self.waiting.getValue((rel,))[0])
-            self.waiting.removeKey((rel,))
-            fresh = payload[max(at - rel, 0) :]
-            if fresh:
-                yield max(rel, at), fresh, rel > at
-                at = max(rel, at) + len(fresh)
-        self.next.update((at,))
-
-    def _frames(self, key, everything: bool) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        for row in self._take(everything):
-            out.append(row)
-            size += len(row[1])
-            if size >= self.FRAME_BYTES:
-                yield self._frame(key, out)
-                out, size = [], 0
-        yield self._frame(key, out)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        reset, last = False, self.timer.get()[0] - self.IDLE_MS if self.timer.exists() else 0
-        for part in rows:
-            last = max(last, int(pd.Timestamp(part["ts"].max()).timestamp() * 1000))
-            for rel, payload, rst in zip(part["rel"], part["payload"], part["rst"], strict=True):
-                if payload is not None and len(payload):
-                    at, new = (int(rel),), bytes(payload)
-                    old = bytes(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else b""
-                    if len(new) > len(old):
-                        self.waiting.updateValue(at, (old + new[len(old) :],))
-                reset |= bool(rst)
-        yield from self._frames(key, reset)
-        if reset:
-            self.next.clear()
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        self.handle.registerTimer(last + self.IDLE_MS)
-        self.timer.update((last + self.IDLE_MS,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._frames(key, True)
-        self.next.clear()
-        self.timer.clear()
-
-    @staticmethod
-    def _frame(key, out) -> pd.DataFrame:
-        rows = [(key[0], int(key[1]), start, data, gap) for start, data, gap in out]
-        return pd.DataFrame(rows, columns=["flow", "dir", "start", "data", "gap_before"])
-
-    def close(self) -> None:
-        pass
-
-
 REASSEMBLED = T.StructType([
     T.StructField("flow", T.StringType()), T.StructField("dir", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("data", T.BinaryType()),
     T.StructField("gap_before", T.BooleanType()),
 ])
+IDLE_MS = 30_000
+_SIDE = ["flow", "dir"]
+_HELD = "flow string, dir int, rel long, payload binary, next long, last_ms long"
+
 
+@dataclass(frozen=True)
+class Reassembly:
+    """Emits the contiguous bytes of a flow's direction as they become so; the rest after 30 idle seconds or a reset.
+
+    State: a table of each direction's next offset and last time (rel null) and of the segments that wait. Every micro-batch
+    joins the table of the one before and writes its own over the one before that, so a repeated batch overwrites its own results. Its work is
+    a few shuffles whatever the number of flows, and running values spread one busy direction over all tasks.
+    """
+
+    stream: DataFrame
+    delay: str
+    schema: T.StructType = REASSEMBLED
 
-def stream_reassemble(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Reassembly across micro-batches of (flow, dir, rel, payload, rst, ts); needs the RocksDB state store."""
-    # the driver's state runner doesn't see shipped files, so the processor travels by value
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    grouped = stream.withWatermark("ts", delay).groupBy("flow", "dir")
-    return grouped.transformWithStateInPandas(Reassembler(), outputStructType=REASSEMBLED, outputMode="Append", timeMode="EventTime")
+    def writer(self, out: str, table: str):
+        """A writer of rows of schema into out, a folder for each batch, with its state in table."""
+        return self.stream.writeStream.foreachBatch(lambda batch, number: self._step(batch, number, out, table))
+
+    def _step(self, batch: DataFrame, number: int, out: str, table: str) -> None:
+        spark = batch.sparkSession
+        before, after = f"{table}/{(number + 1) % 2}", f"{table}/{number % 2}"
+        held = spark.read.schema(_HELD).parquet(f"{before}/held") if number else spark.createDataFrame([], _HELD)
+        mark = spark.read.parquet(f"{before}/mark").first()[0] if number else None
+        passed = batch.agg(F.unix_millis(F.max("ts") - F.expr(f"INTERVAL {self.delay}"))).first()[0]
+        marks = [x for x in (mark, passed) if x is not None]
+        new = batch.select(*_SIDE, F.col("rel").cast("long").alias("rel"), "payload", F.unix_millis("ts").alias("last_ms"), F.coalesce("rst", F.lit(False)).alias("rst"))
+        if mark is not None:
+            new = new.filter(F.coalesce(F.col("last_ms") > mark, F.lit(True)))
+        rows = _placed(held.withColumn("rst", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True), max(marks, default=None))
+        rows.filter(F.col("out")).select(*_SIDE, "start", "data", F.col("gap").alias("gap_before")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        reached = F.max(F.when(F.col("rel").isNull() | F.col("open"), F.col("reach")))
+        heads = rows.groupBy(*_SIDE).agg(F.bool_or("rst").alias("rst"), F.bool_or("idle").alias("idle"), reached.alias("next"), F.max("last_ms").alias("last_ms")).filter("not idle")
+        heads = heads.select(*_SIDE, F.when(F.col("rst"), 0).otherwise(F.col("next")).cast("long").alias("next"), "last_ms")
+        waiting = rows.filter("rel is not null and not out").select(*_SIDE, "rel", "payload")
+        waiting.unionByName(heads, allowMissingColumns=True).write.mode("overwrite").parquet(f"{after}/held")
+        spark.createDataFrame([(max(marks, default=None),)], "mark long").write.mode("overwrite").parquet(f"{after}/mark")
+
+
+def _placed(rows: DataFrame, mark: int | None) -> DataFrame:
+    """Held and new rows as one row for each direction (rel null) and one for each segment with fresh bytes: start, data, gap, and whether it comes out.
+
+    Of equal offsets the held bytes stand, then those that came first; a longer segment adds what lies beyond them. An overlap is cut from the later.
+    """
+    sides = rows.groupBy(*_SIDE).agg(F.coalesce(F.max("next"), F.lit(0)).alias("next"), F.max("last_ms").alias("last_ms"), F.bool_or("rst").alias("rst"))
+    idle = F.coalesce("last_ms", F.lit(0)) + IDLE_MS <= mark if mark is not None else F.lit(False)
+    size, beyond = F.octet_length("payload"), 1 << 30
+    grown = lambda have, p: F.when(F.octet_length(p["payload"]) > F.octet_length(have), F.concat(have, F.substring(p["payload"], F.octet_length(have) + 1, F.lit(beyond)))).otherwise(have)
+    listed = F.sort_array(F.collect_list(F.struct(F.coalesce("_new", F.lit(False)), "last_ms", "payload")))
+    segments = rows.filter(size > 0).groupBy(*_SIDE, "rel").agg(F.aggregate(listed, F.lit(b""), grown).alias("payload"))
+    parts = scan.dealt(sides.withColumn("idle", idle).unionByName(segments, allowMissingColumns=True), _SIDE, ["rel"])
+    head = F.col("rel").isNull()
+    parts = parts.withColumn("reach", F.when(head, F.col("next")).otherwise(F.col("rel") + size))
+    seen = scan.running(parts, _SIDE, ["rel"], _reach=("max", F.col("reach")), _all=("first", F.when(head, F.col("rst") | F.col("idle"))))
+    over = F.least(F.greatest(F.col("_reach") - F.col("rel"), F.lit(0)), size).cast("int")
+    fresh = seen.withColumns({"start": F.col("rel") + over, "data": F.substring("payload", over + 1, size), "gap": F.coalesce(F.col("rel") > F.col("_reach"), F.lit(False))})
+    numbered = scan.running(fresh.filter(head | (F.octet_length("data") > 0)), _SIDE, ["rel"], _holes=("sum", F.col("gap").cast("int")))
+    opened = ~F.col("gap") & (F.col("_holes") == 0)
+    return staged(numbered.withColumn("open", opened).withColumn("out", ~head & (F.col("open") | F.col("_all"))).drop("_reach", "_all", "_holes", scan.PART))
+
+
+def stream_reassemble(stream: DataFrame, delay: str = "10 seconds") -> Reassembly:
+    """Reassembly across micro-batches of (flow, dir, rel, payload, rst, ts); rows later than the delay are dropped."""
+    return Reassembly(stream, delay)
