@@ -96,7 +96,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(linktype, ts_us, data, id): an Ethernet frame for every message that has addresses; TCP for gRPC, ZMQ and TCP, else UDP."""
+    """(linktype, ts_us, data, id): an Ethernet frame for every message that has addresses; TCP for gRPC, ZMQ and TCP, else UDP.
+
+    A field holds the first hex digits of a number that is too long for it: four of a port (105536 is 19C40, so 0x19C4 = 6596), eight of a sequence number.
+    """
     m = scalars(spark, sf_dir).filter("src is not null")
     hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
     ip = lambda a: F.concat(*(hexed(F.split_part(F.split_part(a, F.lit(":"), F.lit(1)), F.lit("."), F.lit(k)).cast("long"), 2) for k in range(1, 5)))
