@@ -70,6 +70,18 @@ def test_library_encoder_of_pieces_with_blanks():
     assert own.encode(texts, 2) == [np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
 
 
+def test_library_sees_each_piece_once():
+    """Strings that share letters, figures and marks are learned by these; apostrophes, special tokens and other characters stay in whole strings."""
+    own, lib = idfile.LibraryEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = [f"{a}{b}{c}" for a in ("one", "Two", "d\u00e9j\u00e0", "<|", "it's") for b in ("", "!", "%%%", "7", "42", "_") for c in ("", "three", "\u00c4u\u00df", "\u00d7", "\u4e2d")]
+    assert [ids(r) for r in own.encode([*texts, " ".join(texts), "\n".join(texts)], 2)] == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, " ".join(texts), "\n".join(texts)]]
+    own.forget()
+    plain = [f"{a}{b}" for a in ("alpha", "beta", "gamma") for b in ("!", "?", "%%%", "delta9", "9")]
+    own.encode(plain, 2)
+    assert own.known.keys() == {b"alpha", b"beta", b"gamma", b"!", b"?", b"%%%", b"9", b"alphadelta", b"betadelta", b"gammadelta"}
+    assert not idfile.cuts_pieces(BYTES)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 299), max_size=700), st.integers(1, 4))
 def test_blocks_round_trip(values, repeat):
