@@ -254,3 +254,14 @@ def test_counters_survive_a_restart(spark, tmp_path):
     # a batch that runs again writes over its own counts
     jobs.stream_stats(stream, where["out"]).option("checkpointLocation", str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
     assert jobs.stats_totals(spark, where["out"]).first().received == 12
+
+
+def test_reassembly_is_cut_by_bytes_in_memory(spark, monkeypatch):
+    """Payloads that compress well don't gather in few tasks: partitions follow the rows' own bytes, and no task has many of them."""
+    monkeypatch.setattr(scan, "PART_BYTES", 20_000, raising=False)
+    df = spark.range(4000).selectExpr("id div 4 as flow", "0 as dir", "0 as epoch", "(id % 4) * 100 as rel", "id as arrival", "encode(repeat('x', 100), 'UTF-8') as payload")
+    parts = packets.tcp_reassemble(df)
+    rows = parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    assert sum(r.n for r in rows) == 1000 and sum(r["size"] for r in rows) == 400_000
+    assert scan.width(df, "payload") == 50 and max(r.n for r in rows) < 100
+    assert scan.width(df.limit(0), "payload") == min(spark.sparkContext.defaultParallelism, scan.STRAIGHT)

@@ -324,14 +324,15 @@ def tcp_relative_seq(df: DataFrame) -> DataFrame:
 _KEYS = ("flow", "dir", "epoch")
 
 
-def tcp_chunks(df: DataFrame) -> DataFrame:
+def tcp_chunks(df: DataFrame, into: int | None = None) -> DataFrame:
     """(flow, dir, epoch, rel, payload, gap) of each direction: one chunk of equal offsets (the first to arrive, then the longest), overlaps cut from the later.
 
-    gap: bytes missing before the chunk. Rows keep the number of their part (see scan).
+    gap: bytes missing before the chunk. Rows keep the number of their part (see scan). into: partitions of the work, else by df's size.
     """
-    size = F.octet_length("payload")
-    once = df.filter(size > 0).groupBy(*_KEYS, "rel").agg(F.min_by("payload", F.struct("arrival", -size, F.col("payload"))).alias("payload"))
-    chunks = scan.running(scan.dealt(once, list(_KEYS), ["rel"]), list(_KEYS), ["rel"], _reach=("max", F.col("rel") + size))
+    size, into = F.octet_length("payload"), into or scan.width(df, "payload")
+    dealt = df.filter(size > 0).repartition(into, "flow", "rel")  # before the aggregate, which would sort all rows of a task that reads
+    once = dealt.groupBy(*_KEYS, "rel").agg(F.min_by("payload", F.struct("arrival", -size, F.col("payload"))).alias("payload"))
+    chunks = scan.running(scan.dealt(once, list(_KEYS), ["rel"], into), list(_KEYS), ["rel"], into, _reach=("max", F.col("rel") + size))
     over = F.greatest(F.coalesce(F.col("_reach") - F.col("rel"), F.lit(0)), F.lit(0)).cast("int")
     cut = chunks.withColumn("payload", F.substring("payload", over + 1, size)).withColumn("rel", F.col("rel") + over)
     return cut.filter(size > 0).withColumn("gap", F.col("rel") - F.coalesce("_reach", F.lit(0))).drop("_reach")
@@ -365,15 +366,16 @@ def tcp_reassemble(df: DataFrame, with_bytes: bool = True, run_bytes: int = 1 <<
 
     A run is cut in parts of about run_bytes, so no value grows with a connection. part counts from 0.
     """
-    chunks, opens = tcp_chunks(df), F.col("gap") > 0
-    isles = scan.running(chunks, list(_KEYS), ["rel"], _runs=("sum", opens.cast("int")), _start=("last", F.when(opens, F.col("rel"))))
+    into = scan.width(df, "payload")
+    chunks, opens = tcp_chunks(df, into), F.col("gap") > 0
+    isles = scan.running(chunks, list(_KEYS), ["rel"], into, _runs=("sum", opens.cast("int")), _start=("last", F.when(opens, F.col("rel"))))
     islands = isles.withColumn("run", F.col("_runs") + opens.cast("int"))
     parts = islands.withColumn("part", F.floor((F.col("rel") - F.when(opens, F.col("rel")).otherwise(F.coalesce("_start", F.lit(0)))) / run_bytes))
     listed = F.sort_array(F.collect_list(F.struct("rel", "payload")))
     sums = [F.min("rel").alias("start"), F.sum(F.octet_length("payload")).alias("size")]
     if not with_bytes:
         return parts.groupBy(*_KEYS, "run", "part").agg(*sums)
-    grouped = parts.groupBy(*_KEYS, "run", "part").agg(*sums, listed.alias("_l"))
+    grouped = parts.repartition(into, *_KEYS, "run", "part").groupBy(*_KEYS, "run", "part").agg(*sums, listed.alias("_l"))
     return grouped.withColumn("data", F.unhex(F.array_join(F.transform("_l", lambda x: F.hex(x["payload"])), ""))).drop("_l")
 
 
