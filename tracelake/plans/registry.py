@@ -94,16 +94,17 @@ def length_prefixed(flow, parts: Iterator[bytes]) -> Iterator[tuple]:
         yield flow, n, len(held), False
 
 
-def decode(streams: DataFrame, protocol: str) -> DataFrame:
+def decode(streams: DataFrame, protocol: str, into: int | None = None) -> DataFrame:
     """The registered decoder over every flow of a table of reassembled streams (flow, dir, epoch, run, part, data).
 
-    A decoder gets a flow's parts one after the other, in order, and holds no more of them than it wants.
+    A decoder gets a flow's parts one after the other, in order, and holds no more of them than it wants. into: partitions of
+    flows, else by compressed bytes (see scan.width).
     """
     if protocol not in DECODERS:
         raise KeyError(f"no decoder for {protocol}")
     function, schema = DECODERS[protocol]
     order = ["flow", *(c for c in ("dir", "epoch", "run", "part") if c in streams.columns)]
-    rows = streams.select(*order, "data").repartition("flow").sortWithinPartitions(*order).select("flow", "data")
+    rows = streams.select(*order, "data").repartition(*([into] if into else []), "flow").sortWithinPartitions(*order).select("flow", "data")
     names = T._parse_datatype_string(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
