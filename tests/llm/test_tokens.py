@@ -82,6 +82,42 @@ def test_library_sees_each_piece_once():
     assert not idfile.cuts_pieces(BYTES)
 
 
+def test_pieces_of_either_case_are_learned_once():
+    """Letters up to U+00FF are lowered before they are looked up; the library sees a plain piece without its normalizer and pattern."""
+    own, lib = idfile.LibraryEncoder(WORDS), Tokenizer.from_file(WORDS)
+    latin = "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["\u00c9T\u00c9 \u00e9t\u00e9 \u00c9t\u00e9", "stra\u00dfe STRA\u00dfE", " ".join(latin), latin.replace("\u00d7", "").replace("\u00f7", ""), "\u00c0" * 7, "\u00c0" * 8]
+    assert [ids(r) for r in own.encode(texts, 2)] == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    own.forget()
+    own.encode(texts[:2], 2)
+    assert own.known.keys() == {"\u00e9t\u00e9".encode(), "stra\u00dfe".encode()}
+
+
+def test_known_strings_of_all_lengths():
+    """Around the length up to which strings are kept as numbers, with bytes 0 at the end, over growing tables and after a new start."""
+    own, lib = idfile.LibraryEncoder(WORDS), Tokenizer.from_file(WORDS)
+    draw = np.random.default_rng(7)
+    words = ["".join(draw.choice(list("abc\u00e9"), n)) for n in draw.integers(1, 20, 12_000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)] + ["ab", "ab\0", "ab\0\0", "z" * 15, "z" * 16, "z" * 15 + "\0", "it's" + "z" * 20, "\n"]
+    want = [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for _ in range(2):
+        assert [ids(r) for r in own.encode(texts, 2)] == want  # the second time all are known
+    assert len(set(own.known.values())) == len(own.known) == own.count - 1
+    own.by_pieces = False  # blank-separated strings for other tokenizers
+    own.forget()
+    assert [ids(r) for r in own.encode(texts, 2)] == want
+
+
+def test_ones_are_carried_to_the_words_before():
+    full = 0xFFFFFFFF
+    words = np.array([5, full, full, 7, full, 8], np.uint64)
+    idfile._carry(words, np.array([2, 3, 3, 5]))
+    assert words.tolist() == [6, 0, 0, 9, full, 9]
+    # a block whose lanes pass 64 bits again and again
+    x = np.random.default_rng(2).integers(0, 49_408, 60_000)
+    assert (idfile.decode_block(memoryview(idfile.encode_block(x, 49_408)))[0] == x).all()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 299), max_size=700), st.integers(1, 4))
 def test_blocks_round_trip(values, repeat):

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from tracelake.llm import kit
 from tracelake.plans.ship import map_arrow
 
-MAGIC = b"TLID"
+MAGIC = b"TLI2"
 LANES, STEPS = 4096, 256
 BLOCK_IDS = LANES * STEPS
 #: Bytes of text that are cut together.
 CUT_BYTES = 1 << 21
-#: Strings whose ids a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 500_000
+#: Strings whose ids a worker keeps; beyond that it starts afresh. Those of up to SHORT bytes are kept as numbers.
+KEPT_WORDS, SHORT = 1_000_000, 15
 #: Ids of a row, and the least number of times that an order-2 context was seen to have one.
 TOP, SEEN = 16, 4
 #: Probabilities are parts of 2**SCALE; the table of order-2 rows has 2**HASH places.
@@ -46,7 +46,8 @@ _LEAST = 1 << 10
 #: Steps whose intervals are looked up together.
 _AHEAD = 4
 _EACH_BYTE = np.uint64(0x0101010101010101)
-_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+#: A lane writes words of 32 bits.
+_BOTTOM, _WORD = np.uint64(1 << 32), np.uint64(32)
 
 
 def _best(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -93,12 +94,12 @@ class _Model:
         trust = np.minimum(_ONE * often // (often + kinds), _ONE - _LEAST)
         weight = np.maximum(trust[own] * n // often[own] + (_ONE - trust[own]) * self.plain[ids] // self.total, 1)
         keep = _best(own, weight)
-        self.row = np.zeros(vocabulary, np.int64)
+        self.row = np.zeros(vocabulary, np.int32)
         self.row[context] = 1 + own
         rows, row_ids, row_weights = [1 + own[keep]], [ids[keep]], [weight[keep]]
         n_rows = 1 + len(often)
         # order 2: contexts seen often enough, mixed with the row of their last id
-        self.place = np.zeros(1 << HASH, np.int64)
+        self.place = np.zeros(1 << HASH, np.int32)
         self.key = np.full(n_rows, -1, np.int64)
         if len(seen) > 2:
             triples, m, own2, often2 = _counted((seen[:-2].ravel() * vocabulary + seen[1:-1].ravel()) * vocabulary + seen[2:].ravel(), vocabulary)
@@ -140,15 +141,21 @@ class _Model:
             out[place] = values
             return out
 
-        summed = lambda x: np.concatenate([np.zeros((n_rows, 1), np.int32), np.cumsum(x.reshape(n_rows, TOP), 1, dtype=np.int32)], 1).ravel()
-        #: Of each row: ids in ascending order (vocabulary: none), edges of their intervals, and the same ids' edges on the order-0
-        #: line: counts taken out before each, and where each would begin on the line without those before it.
+        def summed(values: np.ndarray, more: int) -> np.ndarray:
+            out = np.zeros((n_rows, TOP + 1 + more), np.int32)
+            np.cumsum(table(values, 0).reshape(n_rows, TOP), 1, out=out[:, 1 : TOP + 1])
+            return out
+
+        #: Of each row: ids in ascending order (vocabulary: none), edges of their intervals and of the rest's, the same ids' edges on the order-0
+        #: line (counts taken out before each, and where each would begin on the line without those before it), and what is left of that line.
         self.ids = table(row_ids, vocabulary)
         self.id_rows = self.ids.reshape(n_rows, TOP)
-        self.edges = summed(table(row_weights, 0))
-        self.edge_rows = np.ascontiguousarray(self.edges.reshape(n_rows, TOP + 1)[:, 1:])
-        self.taken = summed(table(self.plain[row_ids], 0))
-        self.begin_rows = (self.below[self.id_rows] - self.taken.reshape(n_rows, TOP + 1)[:, :-1]).astype(np.int32)
+        edges, taken = summed(row_weights, 1), summed(self.plain[row_ids], 0)
+        edges[:, TOP + 1] = _ONE
+        self.edge_rows = np.ascontiguousarray(edges[:, 1 : TOP + 1])
+        self.edges, self.taken = edges.ravel(), taken.ravel()
+        self.begin_rows = (self.below[self.id_rows] - taken[:, :-1]).astype(np.int32)
+        self.left = self.total - taken[:, TOP].astype(np.int64)
 
     @staticmethod
     def slot(key: np.ndarray) -> np.ndarray:
@@ -165,32 +172,29 @@ class _Model:
         """The row of each context: order 2 if it has one, else order 1, else the empty row 0."""
         key = last2 * self.vocabulary + last
         row = self.place.take(self.slot(key))
-        return np.where(self.key.take(row) == key, row, self.row.take(last))
+        return np.where(self.key.take(row) == key, row, self.row.take(last)).astype(np.int64)
 
     def intervals(self, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each id: start and width in its row, and in the order-0 line (width 0 if it is in the row) with its total."""
         slot = self.rank(self.id_rows, row, ids)  # ids up to this one
-        at = row * (TOP + 1) + slot
-        inside = (slot > 0) & (self.ids.take(row * TOP + np.maximum(slot - 1, 0)) == ids)
-        edge, used = self.edges.take(at).astype(np.int64), self.edges.take(row * (TOP + 1) + TOP).astype(np.int64)
-        start = np.where(inside, self.edges.take(at - inside), used)
-        width = np.where(inside, edge, _ONE) - start
-        start0 = self.below.take(ids) - self.taken.take(at)
-        width0 = np.where(inside, 0, self.plain.take(ids))
-        return start, width, start0, width0, self.total - self.taken.take(row * (TOP + 1) + TOP).astype(np.int64)
-
-
-def _spread(low: np.ndarray, span: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-    """Lanes (of those among) whose top 16 bits are settled or that are out of range, which are made to settle."""
-    lo, wide = (low, span) if among is None else (low.take(among), span.take(among))
-    settled = (lo ^ (lo + wide)) < _TOP
-    small = wide < _BOTTOM
-    small &= ~settled
-    if small.any():
-        some = np.flatnonzero(small) if among is None else among[small]
-        span[some] = (np.uint64(0) - low[some]) & (_BOTTOM - np.uint64(1))
-        settled |= small
-    return np.flatnonzero(settled) if among is None else among[settled]
+        inside = self.ids.take(row * TOP + np.maximum(slot - 1, 0)) == ids
+        at = row * (TOP + 2) + np.where(inside, slot - 1, TOP)
+        start = self.edges.take(at).astype(np.int64)
+        rest = np.flatnonzero(~inside)
+        start0, width0 = np.zeros((2, len(ids)), np.int64)
+        start0[rest] = self.below.take(ids[rest]) - self.taken.take(row[rest] * (TOP + 1) + slot[rest])
+        width0[rest] = self.plain.take(ids[rest])
+        return start, self.edges.take(at + 1) - start, start0, width0, self.left.take(row)
+
+
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to the words at each place; what passes 32 bits goes on to the word before."""
+    words += np.bincount(at, minlength=len(words)).astype(np.uint64)
+    over = np.flatnonzero(words >= _BOTTOM)
+    while len(over):
+        words[over] -= _BOTTOM
+        words[over - 1] += np.uint64(1)
+        over = over[words[over - 1] >= _BOTTOM] - 1
 
 
 def _epochs(steps: int) -> list[tuple[int, int]]:
@@ -208,13 +212,20 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     flat[:n] = ids
     grid = np.ascontiguousarray(flat.reshape(lanes, steps).T)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, of = [], []  # settled words as they come, and their lanes
+    words, of = [], []  # words as they come, and their lanes
+    count = np.zeros(lanes, np.int64)  # of a lane's words
+    carries = []  # lanes whose low passed 64 bits, and their count then
 
-    def settle(go: np.ndarray | None = None) -> None:
-        while len(go := _spread(low, span, go)):  # only lanes that have moved can move on
+    def carry(go: np.ndarray) -> None:
+        if len(go):
+            carries.append((go, count[go]))
+
+    def settle(go: np.ndarray) -> None:
+        if len(go):
             now = low[go]
-            words.append((now >> np.uint64(48)).astype("<u2"))
+            words.append((now >> _WORD).astype(np.uint32))
             of.append(go.astype(np.uint16))
+            count[go] += 1
             low[go] = now << _WORD
             span[go] <<= _WORD
 
@@ -227,20 +238,28 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
             parts = [x.reshape(d - c, lanes) for x in model.intervals(row, grid[c:d].ravel())]
             for start, width, start0, width0, total0 in zip(*parts, strict=True):
                 unit = span >> np.uint64(SCALE)
-                low += unit * start.view(np.uint64)
+                more = unit * start.view(np.uint64)
+                low += more
+                carry(np.flatnonzero(low < more))
                 np.multiply(unit, width.view(np.uint64), out=span)
-                settle()
+                settle(np.flatnonzero(span < _BOTTOM))
                 if len(rest := np.flatnonzero(width0)):
                     unit = span[rest] // total0[rest].view(np.uint64)
-                    low[rest] += unit * start0[rest].view(np.uint64)
-                    span[rest] = unit * width0[rest].view(np.uint64)
-                    settle(rest)
-    for shift in (48, 32, 16, 0):
-        words.append((low >> np.uint64(shift)).astype("<u2"))
+                    more = unit * start0[rest].view(np.uint64)
+                    low[rest] = now = low[rest] + more
+                    carry(rest[now < more])
+                    span[rest] = now = unit * width0[rest].view(np.uint64)
+                    settle(rest[now < _BOTTOM])
+    for half in (low >> _WORD, low & (_BOTTOM - np.uint64(1))):
+        words.append(half.astype(np.uint32))
         of.append(np.arange(lanes, dtype=np.uint16))
     own = np.concatenate(of)
-    at = np.bincount(own, minlength=lanes)
-    words = np.concatenate(words)[np.argsort(own, kind="stable")].tobytes()
+    at = count + 2
+    values = np.concatenate(words)[np.argsort(own, kind="stable")].astype(np.uint64)
+    if carries:  # what a lane has written so far is a number, to which one is added
+        lane, n_before = map(np.concatenate, zip(*carries, strict=True))
+        _carry(values, np.cumsum(at)[lane] - at[lane] + n_before - 1)
+    words = values.astype("<u4").tobytes()
     raw = np.ascontiguousarray(ids, "<u4").tobytes()
     body = struct.pack("<IIII", n, lanes, vocabulary, len(words)) + at.astype("<u4").tobytes() + words
     return body + struct.pack("<II", zlib.crc32(raw), zlib.crc32(body))
@@ -254,19 +273,16 @@ def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
     if zlib.crc32(data[:end]) != crc_body:
         raise ValueError("damaged block")
     lengths = np.frombuffer(data, "<u4", lanes, 16).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", size // 2, 16 + 4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)])
-    at = np.cumsum(lengths) - lengths
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = code << _WORD | words[at]
-        at += 1
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def settle(go: np.ndarray | None = None) -> None:
-        while len(go := _spread(low, span, go)):
-            code[go] = code[go] << _WORD | words[at[go]]
-            at[go] += 1
-            low[go] <<= _WORD
+    words = np.frombuffer(data, "<u4", size // 4, 16 + 4 * lanes).astype(np.uint64)
+    at = np.cumsum(lengths) - lengths + 2
+    code = words[at - 2] << _WORD | words[at - 1]  # less the coder's low
+    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def settle(go: np.ndarray) -> None:
+        if len(go):
+            place = at[go]
+            code[go] = code[go] << _WORD | words.take(place)
+            at[go] = place + 1
             span[go] <<= _WORD
 
     steps = -(-n // lanes)
@@ -278,26 +294,24 @@ def decode_block(data: memoryview) -> tuple[np.ndarray, int]:
         for k in range(a, b):
             row = model.rows_of(last2, last)
             unit = span >> np.uint64(SCALE)
-            spot = np.minimum((code - low) // unit, np.uint64(_ONE - 1)).view(np.int64)
-            base = row * (TOP + 1)
-            slot = model.rank(model.edge_rows, row, spot)
-            out = slot == TOP
-            first = model.edges.take(base + slot).astype(np.int64)
-            until = np.where(out, _ONE, model.edges.take(base + slot + ~out))
-            now = model.ids.take(row * TOP + slot - out).astype(np.int64)
-            low += unit * first.view(np.uint64)
-            np.multiply(unit, (until - first).view(np.uint64), out=span)
-            settle()
-            if len(rest := np.flatnonzero(out)):
+            slot = model.rank(model.edge_rows, row, code // unit)
+            place = row * (TOP + 2) + slot
+            first = model.edges.take(place).astype(np.int64)
+            width = model.edges.take(place + 1) - first
+            now = model.ids.take(row * TOP + slot, mode="clip").astype(np.int64)
+            np.subtract(code, unit * first.view(np.uint64), out=code)
+            np.multiply(unit, width.view(np.uint64), out=span)
+            settle(np.flatnonzero(span < _BOTTOM))
+            if len(rest := np.flatnonzero(slot == TOP)):
                 own = row[rest]
-                total0 = model.total - model.taken.take(own * (TOP + 1) + TOP).astype(np.int64)
-                unit = span[rest] // total0.view(np.uint64)
-                spot = np.minimum((code[rest] - low[rest]) // unit, (total0 - 1).view(np.uint64)).view(np.int64)
+                unit = span[rest] // model.left.take(own).view(np.uint64)
+                left = code[rest]
+                spot = (left // unit).view(np.int64)
                 skipped = model.taken.take(own * (TOP + 1) + model.rank(model.begin_rows, own, spot))
                 now[rest] = found = plain_id.take(spot + skipped)
-                low[rest] += unit * (model.below.take(found) - skipped).view(np.uint64)
-                span[rest] = unit * model.plain.take(found).view(np.uint64)
-                settle(rest)
+                code[rest] = left - unit * (model.below.take(found) - skipped).view(np.uint64)
+                span[rest] = wide = unit * model.plain.take(found).view(np.uint64)
+                settle(rest[wide < _BOTTOM])
             grid[k] = now
             last2, last = last, now
     ids = np.ascontiguousarray(grid.T).ravel()[:n]
@@ -365,7 +379,11 @@ _KIND[0x30:0x3A] = _FIGURE
 _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
 _KIND[0x80:0xC0] = _KIND[0xC3] = _LETTER
 _KIND[0x27] = _OTHER
-_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_KINDS, _LOWERED = _KIND.tobytes(), kit.LOWER.tobytes()
+#: The character that the ByteLevel part puts for each byte; the blank stays, as it parts pieces.
+_CHARACTERS = np.arange(256, dtype="<u2")
+_CHARACTERS[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = 256 + np.arange(0x21 + 0x22 + 1)
+_CHARACTERS[0x20] = 0x20
 
 
 def cuts_pieces(path: str) -> bool:
@@ -378,35 +396,60 @@ def cuts_pieces(path: str) -> bool:
     return same and plain and made["post_processor"] is None and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in added)
 
 
-def _pieces(data: np.ndarray, edges: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text's bytes are cut (edges included; runs of blanks are cut off as well), and the bytes with ASCII letters of plain strings lowered.
+def _pieces(data: np.ndarray, edges: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces of the texts begin and end (runs of blanks belong to none), whether each is plain, and the bytes with letters of plain ones lowered.
 
-    whole: only at blanks. Else a blank-separated string without _OTHER bytes and without <| is cut where its kind changes and at figures.
+    whole: only blanks and edges of texts part pieces, and none is plain. Else a blank-separated string without _OTHER bytes and without <| is cut
+    where its kind changes and at figures; these pieces are plain.
     """
-    kind = _KIND.take(data)
-    cut = np.zeros(len(data) + 1, bool)
+    raw = data.tobytes()
+    kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
     blank = kind == _BLANK
+    cut = np.zeros(len(data) + 1, bool)
     np.not_equal(blank[1:], blank[:-1], out=cut[1:-1])
     cut[edges] = True
-    if whole:
-        return np.flatnonzero(cut), data
-    odd = kind == _OTHER
-    after = data[1:]
-    lead = data[:-1] == 0xC3
-    odd[1:] |= (lead != ((after >= 0x80) & (after < 0xC0))) | (lead & ((after == 0x97) | (after == 0xB7)))  # so is a letter's second byte without its first
-    odd[:-1] |= (data[:-1] == 0x3C) & (after == 0x7C)
-    words = np.flatnonzero(cut)
-    strange = np.logical_or.reduceat(odd, words[:-1])
-    plain = np.repeat(~strange, np.diff(words))
-    inner = (kind[1:] != kind[:-1]) | (kind[1:] == _FIGURE)
-    cut[1:-1] |= inner & plain[1:] & plain[:-1]
-    return np.flatnonzero(cut), np.where(plain, kit.LOWER.take(data), data)
-
-
-def _listed(strings: pa.Array) -> list[bytes]:
-    edges = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset).tolist()
-    raw = strings.buffers()[2].to_pybytes()
-    return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    low, plain = data, np.zeros(1, bool)
+    if not whole:
+        odd = kind == _OTHER
+        after = data[1:]
+        lead = data[:-1] == 0xC3
+        odd[1:] |= (lead != ((after >= 0x80) & (after < 0xC0))) | (lead & ((after == 0x97) | (after == 0xB7)))  # so is a letter's second byte without its first
+        odd[:-1] |= (data[:-1] == 0x3C) & (after == 0x7C)
+        inner = (kind[1:] != kind[:-1]) | (kind[1:] == _FIGURE)
+        low = np.frombuffer(bytearray(raw.translate(_LOWERED)), np.uint8)
+        low[1 + np.flatnonzero(lead & (after >= 0x80) & (after < 0x9F))] += 0x20
+        plain = np.ones(len(data), bool)
+        if len(strange := np.flatnonzero(odd)):
+            words = np.flatnonzero(cut)
+            own = np.searchsorted(words, strange, "right") - 1
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            size = words[own + 1] - words[own]
+            at = np.arange(size.sum()) + np.repeat(words[own] - np.cumsum(size) + size, size)  # bytes of the strings that have any
+            plain[at], low[at] = False, data[at]
+            inner &= plain[1:] & plain[:-1]
+        cut[1:-1] |= inner
+    at = np.flatnonzero(cut)
+    first, end = at[:-1], at[1:]
+    some = ~blank.take(first)
+    first, end = first[some], end[some]
+    return first, end, plain.take(first, mode="clip"), low
+
+
+def _keys(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that hold the bytes of each string of at most SHORT bytes, and its length; for longer ones, what no short one has."""
+    words = np.zeros(len(data) // 8 + 3, "<u8")
+    words.view(np.uint8)[: len(data)] = data
+    at, by = first >> 3, ((first & 7) << 3).view(np.uint64)
+    one, two, three = words.take(at), words.take(at + 1), words.take(at + 2)
+    back = np.uint64(63) - by
+    size = np.minimum(length, SHORT + 1)
+    key0 = (one >> by | two << np.uint64(1) << back) & _FIRST_BYTES.take(size)
+    key1 = (two >> by | three << np.uint64(1) << back) & _MORE_BYTES.take(size) | (size << 56).view(np.uint64)
+    return key0, key1
+
+
+_FIRST_BYTES = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 2)], np.uint64)
+_MORE_BYTES = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
 
 
 class LibraryEncoder:
@@ -427,7 +470,7 @@ class LibraryEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.by_words = keeps_words_apart(self.library)
         self.by_pieces = self.by_words and cuts_pieces(path)
-        #: The same without the parts that leave small ASCII letters between blanks as they are.
+        #: The same without the parts whose work on plain pieces is done before: they are lowered, and their bytes stand as _CHARACTERS.
         self.bare = Tokenizer.from_file(path)
         self.bare.no_padding()
         self.bare.no_truncation()
@@ -440,11 +483,20 @@ class LibraryEncoder:
         self.forget()
 
     def forget(self) -> None:
-        #: The number of each known string; by it, where its ids begin in pool and how many they are.
-        self.known: dict[bytes, int] = {}
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        #: The number of each known string of over SHORT bytes; those of the others stand in places that follow from their keys (0: none).
+        self.long: dict[bytes, int] = {}
+        self.places, self.count = np.zeros(1 << 13, np.int32), 1
+        #: By number: the keys, where the string's ids begin in pool, and how many they are.
+        self.key0, self.key1 = np.zeros((2, 1 << 12), np.uint64)
+        self.start, self.size = np.zeros((2, 1 << 12), np.int64)
         self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
 
+    @property
+    def known(self) -> dict[bytes, int]:
+        """The number of each known string."""
+        both = np.stack([self.key0, self.key1], 1).astype("<u8").view(np.uint8).reshape(-1, 16)
+        return self.long | {both[n, : both[n, 15]].tobytes(): n for n in np.flatnonzero(self.key1[: self.count]).tolist()}
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
         out = []
@@ -464,66 +516,110 @@ class LibraryEncoder:
             if not len(data):
                 yield i, j, np.full(j - i, end, np.uint32), np.ones(j - i, np.int64)
                 continue
-            cuts, low = _pieces(data, edges, not self.by_pieces)
-            strings = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)]).dictionary_encode()
-            number = self.numbers(_listed(strings.dictionary)).take(strings.indices.to_numpy())
+            first, last, plain, low = _pieces(data, edges, not self.by_pieces)
+            number = self.numbers(low, first, last, plain)
             size = self.size.take(number)
-            until = np.cumsum(size)
-            ids = self.pool.take(np.arange(until[-1]) + np.repeat(self.start.take(number) - until + size, size))
-            ended = np.concatenate([[0], until]).take(np.searchsorted(cuts, edges))  # ids up to each edge of a text
+            until = np.concatenate([[0], np.cumsum(size)])
+            ids = self.pool.take(np.arange(until[-1]) + np.repeat(self.start.take(number) - until[:-1], size))
+            ended = until.take(np.searchsorted(first, edges))  # ids up to each edge of a text
             yield i, j, np.insert(ids, ended[1:], end), np.diff(ended) + 1
 
-    def numbers(self, strings: list[bytes]) -> np.ndarray:
-        if len(self.known) > KEPT_WORDS:
+    def numbers(self, data: np.ndarray, first: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The number of each string of data; new ones are learned."""
+        if self.count > KEPT_WORDS:
             self.forget()
-        known = self.known
-        found = list(map(known.get, strings))
-        if new := [s for s, n in zip(strings, found, strict=True) if n is None]:
-            blanks = [s for s in new if s[0] in b" \n"]
-            self.keep(blanks, np.zeros(0, np.uint32), np.zeros(len(blanks), np.int64))
-            if self.by_pieces:
-                letters = [s for s in new if s.isalpha()]  # ASCII ones
-                others = [s for s in new if not s.isalpha() and _PLAIN.fullmatch(s)]
-                for library, pieces in ((self.bare, letters), (self.library, others)):
-                    for i in range(0, len(pieces), 1024):
-                        self.learn_pieces(library, pieces[i : i + 1024])
-            rest = [s for s in new if s not in known]
-            for i in range(0, len(rest), 4096):
-                self.learn_words(rest[i : i + 4096])
-            found = list(map(known.__getitem__, strings))
-        return np.array(found, np.int64)
-
-    def keep(self, strings: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        length = end - first
+        key0, key1 = _keys(data, first, length)
+        number = self.find(key0, key1)
+        long = np.flatnonzero(length > SHORT)
+        text = lambda at: [data[a:b].tobytes() for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+        strings = text(long)
+        number[long] = [self.long.get(s, 0) for s in strings]
+        if len(new := np.flatnonzero(number == 0)):
+            new = new[np.lexsort((key1[new], key0[new]))]
+            new = new[length[new] <= SHORT]
+            one = new[np.concatenate([[True], (key0[new[1:]] != key0[new[:-1]]) | (key1[new[1:]] != key1[new[:-1]])])[: len(new)]]
+            more = {s: k for s, k, n in zip(strings, long.tolist(), number[long].tolist(), strict=True) if not n}
+            made = self.learn(text(one) + list(more), np.concatenate([plain[one], plain[list(more.values())]]) if more else plain[one])
+            self.key0[made[: len(one)]], self.key1[made[: len(one)]] = key0[one], key1[one]
+            self.put(made[: len(one)])
+            self.long.update(zip(more, made[len(one) :].tolist(), strict=True))
+            number[new] = self.find(key0[new], key1[new])
+            number[long] = [self.long[s] for s in strings]
+        return number
+
+    def place(self, key0: np.ndarray, key1: np.ndarray) -> np.ndarray:
+        mixed = (key0 ^ key0 >> np.uint64(32) ^ key1 * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - len(self.places).bit_length())).view(np.int64)
+
+    def find(self, key0: np.ndarray, key1: np.ndarray) -> np.ndarray:
+        """The number of each string by its keys, 0 for new ones."""
+        at = self.place(key0, key1)
+        number = self.places.take(at)
+        go = np.flatnonzero((self.key0.take(number) != key0) | (self.key1.take(number) != key1))
+        while len(go := go[number[go] > 0]):
+            at[go] = next_ = at[go] + 1 & len(self.places) - 1
+            number[go] = n = self.places.take(next_)
+            go = go[(self.key0.take(n) != key0[go]) | (self.key1.take(n) != key1[go])]
+        return number
+
+    def put(self, number: np.ndarray) -> None:
+        """Gives strings whose keys are set their places; at most every second one is taken."""
+        if 2 * self.count > len(self.places):
+            self.places = np.zeros(2 << (2 * self.count).bit_length(), np.int32)
+            number = np.flatnonzero(self.key1[: self.count])
+        at = self.place(self.key0[number], self.key1[number])
+        while len(number):
+            free = self.places.take(at) == 0
+            self.places[at[free]] = number[free]
+            lost = self.places.take(at) != number  # taken before, or by another one of these
+            number, at = number[lost], at[lost] + 1 & len(self.places) - 1
+
+    def learn(self, strings: list[bytes], plain: np.ndarray) -> np.ndarray:
+        """The numbers of new strings, of which the library sees each once."""
+        number = self.count + np.arange(len(strings))
+        self.count += len(strings)
+        while self.count > len(self.size):
+            self.key0, self.key1, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key0, self.key1, self.start, self.size))
+        learned = np.zeros(len(strings), bool)
+        pieces = np.flatnonzero(plain)
+        for i in range(0, len(pieces), 256):
+            some = pieces[i : i + 256]
+            learned[some] = self.learn_pieces([strings[k] for k in some.tolist()], number[some])
+        rest = np.flatnonzero(~learned)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            self.learn_words([strings[k] for k in some.tolist()], number[some])
+        return number
+
+    def keep(self, number: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """ids: those of all strings, one after the other."""
-        n = len(self.known)
-        while n + len(strings) > len(self.size):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.known.update(zip(strings, range(n, n + len(strings)), strict=True))
-        self.size[n : n + len(strings)] = sizes
-        self.start[n : n + len(strings)] = self.used + np.cumsum(sizes) - sizes
+        self.size[number] = sizes
+        self.start[number] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def learn_pieces(self, library, pieces: list[bytes]) -> None:
-        """Pieces with blanks between them, in one text; each ends with an id of its own kind."""
-        ids = np.array(library.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+    def learn_pieces(self, pieces: list[bytes], number: np.ndarray) -> bool:
+        """Plain pieces with blanks between them, in one text; whether each had ids with one at its end that ends a piece."""
+        text = _CHARACTERS.take(np.frombuffer(b" ".join(pieces), np.uint8)).tobytes().decode("utf-16-le")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
-        if len(last) == len(pieces) and last[-1] == len(ids) - 1:
-            self.keep(pieces, ids, np.diff(last, prepend=-1))
+        if fits := len(last) == len(pieces) and last[-1] == len(ids) - 1:
+            self.keep(number, ids, np.diff(last, prepend=-1))
+        return fits
 
-    def learn_words(self, words: list[bytes]) -> None:
+    def learn_words(self, words: list[bytes], number: np.ndarray) -> None:
         texts = [w.decode() for w in words]
-        together = [(w, t) for w, t in zip(words, texts, strict=True) if self.mark[0] not in t] if self.mark else []
-        if together:
-            ids = np.array(self.library.encode_batch_fast([self.mark[0].join(t for _, t in together)], add_special_tokens=False)[0].ids, np.uint32)
+        apart = np.array([not self.mark or self.mark[0] in t for t in texts])
+        if not apart.all():
+            ids = np.array(self.library.encode_batch_fast([self.mark[0].join(t for t, alone in zip(texts, apart, strict=True) if not alone)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.mark[1])
-            self.keep([w for w, _ in together], np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1)
-        rest = [(w, t) for w, t in zip(words, texts, strict=True) if w not in self.known]
-        each = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False)]
-        if each:
-            self.keep([w for w, _ in rest], np.concatenate(each), np.array([len(e) for e in each]))
+            self.keep(number[~apart], np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1)
+        if apart.any():
+            each = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t for t, alone in zip(texts, apart, strict=True) if alone], add_special_tokens=False)]
+            self.keep(number[apart], np.concatenate(each), np.array([len(e) for e in each]))
 
 
 @lru_cache(4)
