@@ -14,6 +14,7 @@ rest of the row and then by the order-0 counts of ids that aren't in it.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import struct
@@ -70,7 +71,7 @@ def _counted(keys: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray, np.n
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(keys)))
-    keys = keys[first]
+    keys = keys[first].astype(np.int64)
     of = keys // group
     own = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys, n, own, np.bincount(own, n).astype(np.int64)
@@ -87,8 +88,8 @@ class _Model:
         self.below = np.concatenate([[0], np.cumsum(self.plain)])
         self.total = int(self.below[-1])
         # order 1
-        last = seen[:-1].ravel() * vocabulary
-        pairs, n, own, often = _counted(last + seen[1:].ravel(), vocabulary)
+        two = seen[:-1].ravel() * vocabulary + seen[1:].ravel()
+        pairs, n, own, often = _counted(two.astype(np.uint32) if vocabulary <= 1 << 16 else two, vocabulary)
         kinds = np.bincount(own, minlength=len(often))
         context, ids = np.divmod(pairs, vocabulary)
         trust = np.minimum(_ONE * often // (often + kinds), _ONE - _LEAST)
@@ -102,7 +103,7 @@ class _Model:
         self.place = np.zeros(1 << HASH, np.int32)
         self.key = np.full(n_rows, -1, np.int64)
         if len(seen) > 2:
-            triples, m, own2, often2 = _counted((seen[:-2].ravel() * vocabulary + seen[1:-1].ravel()) * vocabulary + seen[2:].ravel(), vocabulary)
+            triples, m, own2, often2 = _counted(two[: -seen.shape[1]] * vocabulary + seen[2:].ravel(), vocabulary)
             use = often2[own2] >= SEEN
             triples, m, own2 = triples[use], m[use], (np.cumsum(often2 >= SEEN) - 1)[own2[use]]
             often2 = often2[often2 >= SEEN]
@@ -448,10 +449,23 @@ def _keys(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.n
     return key0, key1
 
 
+def _joined(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the strings, a blank after each, and where each begins (and the end)."""
+    begin = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(begin[-1], 0x20, np.uint8)
+    to = np.arange(begin[-1] - len(first)) + np.repeat(np.arange(len(first)), length)
+    out[to] = data.take(to + np.repeat(first - begin[:-1], length))
+    return out, begin
+
+
 _FIRST_BYTES = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 2)], np.uint64)
 _MORE_BYTES = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
 
 
+def _listed(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    return [data[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+
+
 class LibraryEncoder:
     """Encodes with the tokenizers library, which sees each different string once.
 
@@ -532,15 +546,15 @@ class LibraryEncoder:
         key0, key1 = _keys(data, first, length)
         number = self.find(key0, key1)
         long = np.flatnonzero(length > SHORT)
-        text = lambda at: [data[a:b].tobytes() for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-        strings = text(long)
+        strings = _listed(data, first[long], end[long])
         number[long] = [self.long.get(s, 0) for s in strings]
         if len(new := np.flatnonzero(number == 0)):
             new = new[np.lexsort((key1[new], key0[new]))]
             new = new[length[new] <= SHORT]
             one = new[np.concatenate([[True], (key0[new[1:]] != key0[new[:-1]]) | (key1[new[1:]] != key1[new[:-1]])])[: len(new)]]
             more = {s: k for s, k, n in zip(strings, long.tolist(), number[long].tolist(), strict=True) if not n}
-            made = self.learn(text(one) + list(more), np.concatenate([plain[one], plain[list(more.values())]]) if more else plain[one])
+            at = np.concatenate([one, np.array(list(more.values()), np.int64)])
+            made = self.learn(data, first[at], end[at], plain[at])
             self.key0[made[: len(one)]], self.key1[made[: len(one)]] = key0[one], key1[one]
             self.put(made[: len(one)])
             self.long.update(zip(more, made[len(one) :].tolist(), strict=True))
@@ -575,21 +589,22 @@ class LibraryEncoder:
             lost = self.places.take(at) != number  # taken before, or by another one of these
             number, at = number[lost], at[lost] + 1 & len(self.places) - 1
 
-    def learn(self, strings: list[bytes], plain: np.ndarray) -> np.ndarray:
+    def learn(self, data: np.ndarray, first: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
         """The numbers of new strings, of which the library sees each once."""
-        number = self.count + np.arange(len(strings))
-        self.count += len(strings)
+        number = self.count + np.arange(len(first))
+        self.count += len(first)
         while self.count > len(self.size):
             self.key0, self.key1, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key0, self.key1, self.start, self.size))
-        learned = np.zeros(len(strings), bool)
+        learned = np.zeros(len(first), bool)
         pieces = np.flatnonzero(plain)
+        text, begin = _joined(data, first[pieces], (end - first)[pieces])
         for i in range(0, len(pieces), 256):
             some = pieces[i : i + 256]
-            learned[some] = self.learn_pieces([strings[k] for k in some.tolist()], number[some])
+            learned[some] = self.learn_pieces(text[begin[i] : begin[i + len(some)]], number[some])
         rest = np.flatnonzero(~learned)
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            self.learn_words([strings[k] for k in some.tolist()], number[some])
+            self.learn_words(_listed(data, first[some], end[some]), number[some])
         return number
 
     def keep(self, number: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -601,12 +616,12 @@ class LibraryEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def learn_pieces(self, pieces: list[bytes], number: np.ndarray) -> bool:
-        """Plain pieces with blanks between them, in one text; whether each had ids with one at its end that ends a piece."""
-        text = _CHARACTERS.take(np.frombuffer(b" ".join(pieces), np.uint8)).tobytes().decode("utf-16-le")
+    def learn_pieces(self, text: np.ndarray, number: np.ndarray) -> bool:
+        """Plain pieces with blanks behind them, in one text; whether each had ids with one at its end that ends a piece."""
+        text = _CHARACTERS.take(text).tobytes().decode("utf-16-le")
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
-        if fits := len(last) == len(pieces) and last[-1] == len(ids) - 1:
+        if fits := len(last) == len(number) and last[-1] == len(ids) - 1:
             self.keep(number, ids, np.diff(last, prepend=-1))
         return fits
 
@@ -622,6 +637,17 @@ class LibraryEncoder:
             self.keep(number[apart], np.concatenate(each), np.array([len(e) for e in each]))
 
 
+@lru_cache(1)
+def steady_heap() -> None:
+    """Arrays come and go: what is freed inside a task stays with this worker (64 MiB at most at the heap's end), else every step touches new pages. ship gives it back after the task."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except AttributeError:  # another C library
+        pass
+
+
 @lru_cache(4)
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
@@ -636,6 +662,7 @@ def write_id_files(df: DataFrame, path: str, folder: str, end: int = 2, text: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         enc = encoder(path)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs, coded, size = [], [], 0
@@ -674,6 +701,7 @@ def read_id_files(spark, folder: str, ident: str = "doc_id") -> DataFrame:
     placed = kit.sized_join(rows, starts, "part", "inner").select((F.col("part_start") + F.col("before")).alias("start"), "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         for batch in batches:
             for start, segment in zip(batch.column("start").to_pylist(), batch.column("segment"), strict=True):
                 docs, lengths, ids = decode_segment(segment.as_py())
