@@ -119,13 +119,22 @@ class _Model:
             size, start = size1[self.row[lower]], start1[self.row[lower]]
             base = np.repeat(np.arange(len(known)), size)
             at = np.arange(len(base)) - np.repeat(np.cumsum(size) - size - start, size)
-            mine_keys, more_keys = own2 * vocabulary + triples % vocabulary, base * vocabulary + row_ids[0][at]
-            spot = np.minimum(np.searchsorted(mine_keys, more_keys), max(len(mine_keys) - 1, 0))
-            new = mine_keys[spot] != more_keys if len(mine_keys) else np.ones(len(more_keys), bool)
-            more = ((_ONE - trust2[base[new]]) * row_weights[0][at[new]]) >> SCALE
-            mixed = np.sort(np.concatenate([mine_keys << SCALE | np.clip(mine, 1, _ONE - 1), more_keys[new] << SCALE | np.maximum(more, 1)]))
-            own2, after = np.divmod(mixed >> SCALE, vocabulary)
-            mixed &= _ONE - 1
+            after, more_ids = triples % vocabulary, row_ids[0].take(at)
+            mine_keys, more_keys = own2 * vocabulary + after, base * vocabulary + more_ids
+            spot = np.searchsorted(mine_keys, more_keys)
+            new = np.flatnonzero(np.append(mine_keys, -1).take(spot) != more_keys)
+            base, spot = base.take(new), spot.take(new)
+            more = ((_ONE - trust2.take(base)) * row_weights[0].take(at.take(new))) >> SCALE
+            # where the entries of both stand in order
+            old = np.arange(len(mine_keys)) + np.cumsum(np.bincount(spot, minlength=len(mine_keys)))[: len(mine_keys)]
+            spot += np.arange(len(new))
+
+            def merged(mine: np.ndarray, more: np.ndarray) -> np.ndarray:
+                out = np.empty(len(mine) + len(more), np.int64)
+                out[old], out[spot] = mine, more
+                return out
+
+            own2, after, mixed = merged(own2, base), merged(after, more_ids.take(new)), merged(np.clip(mine, 1, _ONE - 1), np.maximum(more, 1))
             best = _best(own2, mixed)
             rows.append(n_rows + own2[best])
             row_ids.append(after[best])
