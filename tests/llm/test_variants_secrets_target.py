@@ -131,6 +131,16 @@ def test_roots_follow_forms(spark):
     assert spelling.variants(kit.stage(spark.createDataFrame([], "word string, n long"))).count() == 0
 
 
+def test_words_are_never_broadcast(spark, monkeypatch):
+    """Sizes that Spark supposes for staged words and their entries are far below the true ones, so no join of them may go by these."""
+    plans, stage = [], kit.stage
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(kit, "stage", lambda df: stage(plan(df)))
+    words = stage(spark.createDataFrame([("aaaaab", 3), ("aaaabb", 6), ("aaabbb", 12), ("other", 5)], "word string, n long"))
+    plan(spelling.variants(words))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_edges_of_spelling(docs):
     rows = [(1, "Éclair éclair ECLAIR x×y÷z"), (None, "éclair " * 4), (2, None), (3, "abcdefgh" * 40_000), (4, "abĀcdefg " * 9), (4, "İstanbul " * 3)]
     want = Counter()

@@ -190,6 +190,15 @@ def _entries(rank: np.ndarray, sizes: tuple[int, ...] | None, short: int):
     return run
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled and merged, never broadcast.
+
+    Spark sizes staged words by their compressed file, and the entries of the index, several a word, as if they were the
+    words: it would send tables through the driver that are far larger than its threshold.
+    """
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame, short: int = SHORT) -> DataFrame:
     """(word, near): pairs of words one insertion, deletion or replacement of a letter apart, both ways round.
 
@@ -206,7 +215,7 @@ def near_pairs(words: DataFrame, short: int = SHORT) -> DataFrame:
     entries = lambda sizes: map_arrow(words, _entries(rank, sizes, short), "key string, size int, word string, last long").select(F.xxhash64("key", "size").alias("key"), "word", F.col("last").cast("int").alias("last"))
     index, search = entries(None).alias("i"), entries((-1, 0, 1)).alias("s")
     near = (F.col("s.last") <= F.col("i.last")) & (F.col("i.word") != F.col("s.word")) & (F.levenshtein(F.col("i.word"), F.col("s.word"), 1) == 1)
-    found = index.join(search, (F.col("i.key") == F.col("s.key")) & near).select(F.col("s.word").alias("word"), F.col("i.word").alias("near"))
+    found = index.join(_merged(search), (F.col("i.key") == F.col("s.key")) & near).select(F.col("s.word").alias("word"), F.col("i.word").alias("near"))
     return found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
@@ -218,20 +227,20 @@ def variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     no rings. An empty table gives an empty result.
     """
     pairs = near_pairs(words.select("word"))
-    counted = pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = pairs.join(_merged(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near"))).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(_merged(best), "word", "left")
     usable = -F.col("best.minus") >= F.lit(ratio) * F.col("n")
     formed = kit.stage(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(usable, F.col("best.near")).alias("form"), F.when(usable, -F.col("best.minus")).alias("form_n")))
     # every round doubles the steps that root has gone
     roots = formed.filter("form is not null").select("word", F.col("form").alias("root"))
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        roots = kit.stage(roots.join(ahead, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        roots = kit.stage(roots.join(_merged(ahead), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         if roots.filter("moved").isEmpty():
             break
         roots = roots.drop("moved")
-    return formed.join(roots.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(_merged(roots.select("word", "root")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
