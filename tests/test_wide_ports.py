@@ -26,6 +26,20 @@ def test_ports_beyond_the_field(spark, wide, name):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.fixture(scope="module")
+def crowded(sf_dir, tmp_path_factory):
+    """Four groups of users at the same times. Users 16 and 600266 are between the same hosts, and their ports 40016 and 640266 begin with the same four hex digits."""
+    path = tmp_path_factory.mktemp("crowded")
+    copies = "(VALUES (0, 2), (1, 600252), (2, 48880), (3, 78400)) t(c, u)"
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 1000 * c AS event_id, user_id + u AS user_id) FROM '{sf_dir}/events.parquet', {copies}) TO '{path}/events.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["streams_to_messages"])
+def test_flows_of_the_messages_ends(spark, crowded, name):
+    test_ports_beyond_the_field(spark, crowded, name)
+
+
 def test_datagrams_of_one_moment(spark, sf_dir, tmp_path):
     """Users with the same addresses send at the same times; every datagram comes out of its fragments."""
     duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 64000 * c AS event_id, user_id + 1750 * c AS user_id) FROM '{sf_dir}/events.parquet', range(3) t(c)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")

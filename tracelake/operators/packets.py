@@ -218,26 +218,32 @@ class Datagram:
         return bytes(self.data) if self.ranges == [(0, self.end)] else None
 
 
-def _join_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_fragments(keys: list[str]):
     """One datagram is open at a time: it ends when it is whole, with its key, or after FRAGMENT_US without a fragment."""
-    names = [*_DATAGRAM, "started_us", "ts_us", "payload"]
-    key, open_ = None, Datagram()
-    for batch in batches:
-        out = []
-        for *own, ts, offset, more, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own != key or ts - open_.last >= FRAGMENT_US or not open_.ranges:
-                key, open_ = own, Datagram(started=ts)
-            open_.last = ts
-            if (whole := open_.add(offset, more, payload)) is not None:
-                out.append((*own[:-1], open_.started, ts, whole))
-                open_ = Datagram()
-        if out:
-            kinds = [batch.schema.field(k).type for k in range(len(_DATAGRAM))] + [pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def ip_defragment(df: DataFrame) -> DataFrame:
-    """(src_ip, dst_ip, ip_id, ip_protocol, started_us, ts_us, payload) of whole datagrams, from fragments among packet_headers' rows.
+    names = [*keys, "started_us", "ts_us", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, open_ = None, Datagram()
+        for batch in batches:
+            out = []
+            for *own, ts, offset, more, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key or ts - open_.last >= FRAGMENT_US or not open_.ranges:
+                    key, open_ = own, Datagram(started=ts)
+                open_.last = ts
+                if (whole := open_.add(offset, more, payload)) is not None:
+                    out.append((*own[:-1], open_.started, ts, whole))
+                    open_ = Datagram()
+            if out:
+                kinds = [batch.schema.field(k).type for k in range(len(keys))] + [pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def ip_defragment(df: DataFrame, *by: str) -> DataFrame:
+    """(src_ip, dst_ip, ip_id, ip_protocol, *by, started_us, ts_us, payload) of whole datagrams, from fragments among packet_headers' rows.
+
+    by: columns that tell apart what was captured in different places; fragments that differ in them are not joined.
 
     Fragments of an id are taken in order of time (of offset at one time). A datagram is closed the moment it has no gaps, and the next
     fragment of the id begins another; one that is incomplete goes after FRAGMENT_US without a fragment. started_us
@@ -246,15 +252,15 @@ def ip_defragment(df: DataFrame) -> DataFrame:
     An id's fragments are cut where they pause for FRAGMENT_US, and such runs are dealt to tasks; a task holds one
     open datagram, at most 64 KiB.
     """
-    parts = df.filter("error is null and payload is not null and (frag_offset > 0 or more_fragments)").select(*_DATAGRAM, "ts_us", "frag_offset", "more_fragments", "payload")
-    order = ["ts_us", "frag_offset"]
-    timed = scan.running(scan.dealt(parts, list(_DATAGRAM), order), list(_DATAGRAM), order, before=("last", F.col("ts_us")))
+    keys, order = [*_DATAGRAM, *by], ["ts_us", "frag_offset"]
+    parts = df.filter("error is null and payload is not null and (frag_offset > 0 or more_fragments)").select(*keys, "ts_us", "frag_offset", "more_fragments", "payload")
+    timed = scan.running(scan.dealt(parts, keys, order), keys, order, before=("last", F.col("ts_us")))
     paused = F.coalesce((F.col("ts_us") - F.col("before") >= FRAGMENT_US).cast("int"), F.lit(0))
-    runs = scan.running(timed, list(_DATAGRAM), order, _earlier=("sum", paused)).withColumn("_run", F.col("_earlier") + paused)
-    own = [*_DATAGRAM, "_run"]
+    runs = scan.running(timed, keys, order, _earlier=("sum", paused)).withColumn("_run", F.col("_earlier") + paused)
+    own = [*keys, "_run"]
     ready = runs.repartition(*own).sortWithinPartitions(*own, *order, "more_fragments", "payload").select(*own, *order, "more_fragments", "payload")
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
-    return map_arrow(ready, _join_fragments, ", ".join(f"{c} {kinds[c]}" for c in _DATAGRAM) + ", started_us long, ts_us long, payload binary")
+    return map_arrow(ready, _join_fragments(keys), ", ".join(f"{c} {kinds[c]}" for c in keys) + ", started_us long, ts_us long, payload binary")
 
 
 def datagram_headers(datagrams: DataFrame) -> DataFrame:
@@ -275,10 +281,10 @@ def datagram_headers(datagrams: DataFrame) -> DataFrame:
     return map_arrow(datagrams, run, schema).withColumn("flow", flow_key())
 
 
-def whole_packets(headers: DataFrame) -> DataFrame:
-    """packet_headers' rows with fragments replaced by the datagrams that they make up."""
+def whole_packets(headers: DataFrame, *by: str) -> DataFrame:
+    """packet_headers' rows with fragments replaced by the datagrams that they make up; by: see ip_defragment."""
     fragment = F.col("error").isNull() & ((F.col("frag_offset") > 0) | F.col("more_fragments"))
-    joined = datagram_headers(ip_defragment(headers)).drop("started_us")
+    joined = datagram_headers(ip_defragment(headers, *by)).drop("started_us")
     return headers.filter(~F.coalesce(fragment, F.lit(False))).unionByName(joined, allowMissingColumns=True)
 
 

@@ -95,8 +95,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(linktype, ts_us, data, id): an Ethernet frame for every message that has addresses; TCP for gRPC, ZMQ and TCP, else UDP.
+def packets(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """(linktype, ts_us, data, id, *kept): an Ethernet frame for every message that has addresses, and columns of the message; TCP for gRPC, ZMQ and TCP, else UDP.
 
     A field holds the first hex digits of a number that is too long for it: four of a port (105536 is 19C40, so 0x19C4 = 6596), eight of a sequence number.
     """
@@ -112,7 +112,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     datagram = F.concat(port(src), port(dst), hexed((F.octet_length("payload_text") + 8).cast("long"), 4), F.lit("0000"))
     frame = F.concat(F.lit("0200000000010200000000020800"), network, F.when(tcp, segment).otherwise(datagram), body)
     path = shared_dir(spark)  # a table, as packets come
-    m.select(F.lit(1).alias("linktype"), F.expr("ts_ns div 1000").alias("ts_us"), F.unhex(frame).alias("data"), "id").write.parquet(path)
+    m.select(F.lit(1).alias("linktype"), F.expr("ts_ns div 1000").alias("ts_us"), F.unhex(frame).alias("data"), "id", *kept).write.parquet(path)
     return spark.read.parquet(path)
 
 
